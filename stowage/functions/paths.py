@@ -46,18 +46,21 @@ def suffix_of(name: Column) -> Column:
     return F.when((dot_at > 1) & (tail != ""), F.concat(F.lit("."), F.lower(tail)))
 
 
-def category_of(extension: Column, lists: dict[str, list[str]] | None = None) -> Column:
-    """Content category of an extension; unknown and NULL are ``other``.
+def sql_list(values: list[str]) -> str:
+    """Constants as SQL text, which builds a long list in one call."""
+    return ", ".join("'" + v.replace("'", "\\'") + "'" for v in values)
+
+
+def category_of(extension: str = "extension", lists: dict[str, list[str]] | None = None) -> Column:
+    """Content category of the named column; unknown and NULL are ``other``.
 
     The lists are constants, so each test is a hash-set lookup without a join.
     """
-    lists = lists or CATEGORY_EXTENSIONS
-    ext = F.lower(extension)
-    chain = None
-    for name, members in lists.items():
-        test = ext.isin(members)
-        chain = F.when(test, name) if chain is None else chain.when(test, name)
-    return chain.otherwise("other")
+    arms = " ".join(
+        f"WHEN lower({extension}) IN ({sql_list(members)}) THEN '{name}'"
+        for name, members in (lists or CATEGORY_EXTENSIONS).items()
+    )
+    return F.expr(f"CASE {arms} ELSE 'other' END")
 
 
 def with_path_parts(df: DataFrame, path: str = "path") -> DataFrame:
@@ -66,7 +69,7 @@ def with_path_parts(df: DataFrame, path: str = "path") -> DataFrame:
         df.withColumn("directory", directory_of(F.col(path)))
         .withColumn("filename", file_name(F.col(path)))
         .withColumn("extension", suffix_of(F.col("filename")))
-        .withColumn("category", category_of(F.col("extension")))
+        .withColumn("category", category_of("extension"))
     )
 
 
@@ -84,12 +87,14 @@ def depth_below(directory: Column, root: str) -> Column:
 
 def ancestors(directory: Column) -> Column:
     """All folders from ``/`` down to the directory itself, in that order."""
-    parts = F.filter(F.split(directory, "/"), lambda p: p != "")
-    return F.when(directory == "/", F.array(F.lit("/"))).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.size(parts)),
-            lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")),
-        )
+    depth = F.when(directory == "/", 0).otherwise(
+        F.length(directory) - F.length(F.replace(directory, F.lit("/"), F.lit("")))
+    )
+    return F.transform(
+        F.sequence(F.lit(0), depth.cast("int")),
+        lambda i: F.when(i == 0, "/").otherwise(
+            F.call_function("substring_index", directory, F.lit("/"), i + 1)
+        ),
     )
 
 

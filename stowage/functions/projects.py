@@ -7,31 +7,37 @@ from pyspark.sql import Column, functions as F
 from stowage import fixed_values as V
 
 
-def artifact_rule(path: Column, patterns: list[tuple] | None = None) -> Column:
-    """Number (from 1) of the first pattern that the path contains, else NULL.
+def artifact_rule(path: str, patterns: list[tuple] | None = None) -> Column:
+    """Number (from 1) of the first pattern that the named column contains, else NULL.
 
-    A pattern counts only if something other than ``/`` stands before it. As
-    all patterns start with a slash, that is a match after position 2, or at 2
-    with another first character.
+    A pattern counts only if its first occurrence has something other than
+    ``/`` before it. All patterns start with a slash, so in an absolute path
+    that is an occurrence after position 2. The column is read once per
+    pattern, so it should be a plain one (see ``computed_once``).
     """
-    chain = None
-    for number, row in enumerate(patterns or V.WORKSPACE_PATTERNS, 1):
-        at = F.instr(path, row[0])
-        test = (at > 2) | ((at == 2) & ~path.startswith("/"))
-        chain = F.when(test, number) if chain is None else chain.when(test, number)
-    return chain
+    arms = " ".join(
+        f"WHEN instr({path}, '{row[0]}') > 2 THEN {number}"
+        for number, row in enumerate(patterns or V.WORKSPACE_PATTERNS, 1)
+    )
+    return F.expr(f"CASE {arms} END")
+
+
+def searchable(path: Column) -> Column:
+    """An absolute path as it is, a relative one moved by one character."""
+    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("."), path))
 
 
-def rule_value(rule: Column, position: int, patterns: list[tuple] | None = None) -> Column:
-    """One attribute of the matched pattern, from a constant array."""
-    values = [F.lit(row[position]) for row in patterns or V.WORKSPACE_PATTERNS]
-    return F.get(F.array(*values), rule - 1)
+def rule_value(rule: str, position: int, patterns: list[tuple] | None = None) -> Column:
+    """One attribute of the pattern whose number is in the named column."""
+    values = [row[position] for row in patterns or V.WORKSPACE_PATTERNS]
+    texts = ", ".join(str(v).lower() if isinstance(v, bool) else f"'{v}'" for v in values)
+    return F.expr(f"get(array({texts}), {rule} - 1)")
 
 
-def workspace_root(path: Column, rule: Column, patterns: list[tuple] | None = None) -> Column:
+def workspace_root(path: str, rule: str, patterns: list[tuple] | None = None) -> Column:
     """What stands before the first occurrence of the matched pattern."""
-    at = F.call_function("instr", path, rule_value(rule, 0, patterns))
-    return F.left(path, at - 1)
+    at = F.call_function("instr", F.col(path), rule_value(rule, 0, patterns))
+    return F.left(F.col(path), at - 1)
 
 
 def model_extension(path: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from stowage import fixed_values as V
+from stowage.functions.paths import sql_list
 
 
 def stale_score(access_days: Column, modify_days: Column) -> Column:
@@ -45,7 +46,7 @@ def tier_by_score(score: Column) -> Column:
 
 def in_artifact_directory(path: Column, names: list[str] | None = None) -> Column:
     """Whether any component of the path is the name of a build or cache folder."""
-    wanted = F.array(*[F.lit(n) for n in names or V.ARTIFACT_DIRECTORIES])
+    wanted = F.expr(f"array({sql_list(names or V.ARTIFACT_DIRECTORIES)})")
     return F.arrays_overlap(F.split(path, "/"), wanted)
 
 

@@ -35,9 +35,9 @@ def parse_iso(text: Column) -> Column:
 def days_since(ts: Column, as_of: str | Column) -> Column:
     """Days as a fraction, at least 0; an unknown time counts as very old."""
     elapsed = F.unix_micros(as_of_column(as_of)) - F.unix_micros(ts)
-    return F.coalesce(
-        F.greatest(F.lit(0.0), elapsed / F.lit(float(MICROS_PER_DAY))), F.lit(UNKNOWN_AGE_DAYS)
-    )
+    days = F.greatest(F.lit(0.0), elapsed / F.lit(float(MICROS_PER_DAY)))
+    # greatest() passes over NULL, so an unknown time needs its own branch.
+    return F.when(ts.isNull(), UNKNOWN_AGE_DAYS).otherwise(days)
 
 
 def whole_days_since(ts: Column, as_of: str | Column) -> Column:

@@ -62,7 +62,7 @@ def directory_sizes(targets: DataFrame, rollup: DataFrame) -> DataFrame:
     return targets.join(sizes, "path")
 
 
-def transitions(events: DataFrame, bucket: str = "day") -> DataFrame:
+def transitions(events: DataFrame, bucket: str = "hour") -> DataFrame:
     """Each status change with the status before it, per action.
 
     The events of one action may be very many, so they are not ordered in one

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stowage.functions.paths import ancestors, depth_below, file_name, under_root
+from stowage.functions.paths import depth_below, file_name, under_root
 
 
 def _folder_columns(path: Column, root: str) -> list[Column]:
@@ -16,14 +16,29 @@ def _folder_columns(path: Column, root: str) -> list[Column]:
     ]
 
 
+def with_each_ancestor(df: DataFrame, folder: str, root: str = "/", name: str = "path") -> DataFrame:
+    """One row per folder from the root down to ``folder``, itself included.
+
+    Rows outside the root give none. A prefix of ``n`` components is the text
+    before the slash number ``n + 1``, so no array of prefixes is built.
+    """
+    top = 0 if root == "/" else root.rstrip("/").count("/")
+    path = F.col(folder)
+    kept = [c for c in df.columns if c != name]
+    level = F.explode(F.sequence(F.lit(top), depth_below(path, "/")))
+    prefix = F.call_function("substring_index", F.col("_at"), F.lit("/"), F.col("_level") + 1)
+    return (
+        df.where(under_root(path, root))
+        .select(*[c for c in kept], path.alias("_at"), level.alias("_level"))
+        .withColumn(name, F.when(F.col("_level") == 0, "/").otherwise(prefix))
+        .drop("_at", "_level")
+    )
+
+
 def folder_table(files: DataFrame, root: str = "/") -> DataFrame:
     """One row per folder at or below the root that holds a file at any depth."""
     directories = files.select("scan_id", "directory").distinct()
-    paths = (
-        directories.select("scan_id", F.explode(ancestors(F.col("directory"))).alias("path"))
-        .where(under_root(F.col("path"), root))
-        .distinct()
-    )
+    paths = with_each_ancestor(directories, "directory", root).select("scan_id", "path").distinct()
     return paths.select("scan_id", "path", *_folder_columns(F.col("path"), root))
 
 
@@ -41,27 +56,12 @@ def folder_rollup(files: DataFrame, root: str = "/") -> DataFrame:
     ancestors. All sums combine on the map side, so the root, which receives
     something from every directory, gets one row per task.
     """
-    up = (
-        direct_sizes(files)
-        .select(
-            "scan_id",
-            F.explode(ancestors(F.col("directory"))).alias("path"),
-            "total_size_bytes",
-            "file_count",
-        )
-        .where(under_root(F.col("path"), root))
-    )
+    up = with_each_ancestor(direct_sizes(files), "directory", root)
     sums = up.groupBy("scan_id", "path").agg(
         F.sum("total_size_bytes").alias("total_size_bytes"), F.sum("file_count").alias("file_count")
     )
     # Each folder now counts once for every folder above it.
-    lines = sums.select(
-        "scan_id",
-        F.col("path").alias("_own"),
-        "total_size_bytes",
-        "file_count",
-        F.explode(ancestors(F.col("path"))).alias("path"),
-    ).where(under_root(F.col("path"), root))
+    lines = with_each_ancestor(sums.withColumnRenamed("path", "_own"), "_own", root)
     own = F.col("_own") == F.col("path")
     full = lines.groupBy("scan_id", "path").agg(
         F.sum(F.when(own, F.col("total_size_bytes")).otherwise(0)).alias("total_size_bytes"),

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stowage import fixed_values as V
+from stowage.functions.once import computed_once
 from stowage.functions.paths import file_name
 from stowage.functions.projects import (
     artifact_rule, inactivity_bucket, model_extension, project_name_key, rule_value,
-    workspace_risk, workspace_root,
+    searchable, workspace_risk, workspace_root,
 )
 from stowage.functions.times import whole_days_since
 from stowage.operators.breakdowns import of_scan
@@ -26,7 +27,9 @@ def artifact_files(files: DataFrame, scan_id: str | None = None) -> DataFrame:
     A single projection and filter: no join with the patterns.
     """
     path, rule = F.col("path"), F.col("_rule")
-    rows = of_scan(files, scan_id).withColumn("_rule", artifact_rule(path))
+    rows = of_scan(files, scan_id).select("scan_id", "file_id", "path", "size_bytes", "modified_at")
+    rows = computed_once(rows, path=path, _searched=searchable(path))
+    rows = computed_once(rows, _rule=artifact_rule("_searched")).drop("_searched")
     is_model = rule.isNull() & model_extension(path).isin(V.MODEL_EXTENSIONS)
     return (
         rows.withColumn("is_model", F.coalesce(is_model, F.lit(False)))
@@ -34,12 +37,12 @@ def artifact_files(files: DataFrame, scan_id: str | None = None) -> DataFrame:
         .select(
             "scan_id", "file_id", "path", "size_bytes", "modified_at", "is_model",
             F.when(F.col("is_model"), _directory(path))
-            .otherwise(workspace_root(path, rule)).alias("root"),
-            F.when(F.col("is_model"), "ml").otherwise(rule_value(rule, 1)).alias("workspace_type"),
+            .otherwise(workspace_root("path", "_rule")).alias("root"),
+            F.when(F.col("is_model"), "ml").otherwise(rule_value("_rule", 1)).alias("workspace_type"),
             F.when(F.col("is_model"), "ml_model")
-            .otherwise(rule_value(rule, 2)).alias("artifact_type"),
-            F.when(F.col("is_model"), "medium").otherwise(rule_value(rule, 3)).alias("risk_level"),
-            F.when(F.col("is_model"), False).otherwise(rule_value(rule, 4)).alias("is_safe"),
+            .otherwise(rule_value("_rule", 2)).alias("artifact_type"),
+            F.when(F.col("is_model"), "medium").otherwise(rule_value("_rule", 3)).alias("risk_level"),
+            F.when(F.col("is_model"), False).otherwise(rule_value("_rule", 4)).alias("is_safe"),
         )
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
 
 from stowage.functions.modes import octal_permissions
-from stowage.functions.paths import category_of, suffix_of, with_path_parts
+from stowage.functions.paths import category_of, with_path_parts
 from stowage.session import use_utc
 
 AS_OF = "1998-06-01 00:00:00"
@@ -28,16 +28,16 @@ _SUFFIXES = [".py", ".js", ".pdf", ".jpg", ".mp4", ".zip", ".parquet", ".pt", ".
 FILE_ID_SQL = "concat(l_orderkey,'-',l_partkey,'-',l_suppkey,'-',l_linenumber)"
 
 
-def _case(selector: str, values: list[str]) -> str:
-    arms = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values[:-1]))
-    return f"CASE {selector} {arms} ELSE '{values[-1]}' END"
+def _choice(selector: str, values: list[str]) -> str:
+    names = ", ".join(f"'{v}'" for v in values)
+    return f"element_at(array({names}), CAST({selector} AS INT) + 1)"
 
 
 PATH_SQL = (
     "concat('/vol', l_suppkey % 4, '/u', l_orderkey % 50, '/proj', l_orderkey % 97, "
-    + _case("(l_partkey + l_linenumber) % 12", _FOLDERS)
+    + _choice("(l_partkey + l_linenumber) % 12", _FOLDERS)
     + f", '/f', {FILE_ID_SQL}, "
-    + _case("l_partkey % 10", _SUFFIXES)
+    + _choice("l_partkey % 10", _SUFFIXES)
     + ")"
 )
 
@@ -239,6 +239,4 @@ def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without their bytes, with extension and category."""
-    return content(spark, sf_dir).drop("content").withColumn(
-        "category", category_of(suffix_of(F.col("path")))
-    )
+    return content(spark, sf_dir).drop("content").withColumn("category", category_of("extension"))
