@@ -5,12 +5,13 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stowage.fixed_values import CATEGORY_EXTENSIONS
+from stowage.functions.once import computed_once
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
@@ -65,11 +66,10 @@ def category_of(extension: str = "extension", lists: dict[str, list[str]] | None
 
 def with_path_parts(df: DataFrame, path: str = "path") -> DataFrame:
     """Adds directory, filename, extension and category."""
-    return (
-        df.withColumn("directory", directory_of(F.col(path)))
-        .withColumn("filename", file_name(F.col(path)))
-        .withColumn("extension", suffix_of(F.col("filename")))
-        .withColumn("category", category_of("extension"))
+    rows = computed_once(df, **{path: F.col(path), "filename": file_name(F.col(path))})
+    rows = computed_once(rows, extension=suffix_of(F.col("filename")))
+    return rows.withColumn("directory", directory_of(F.col(path))).withColumn(
+        "category", category_of("extension")
     )
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from stowage.operators.breakdowns import of_scan
+from stowage.operators.overview import merge_by_scan
 
 
 def category_extension_cube(files: DataFrame) -> DataFrame:
@@ -69,25 +70,18 @@ def snapshot(
     done = of_scan(scans, scan_id).where(F.col("status").startswith("completed")).select("scan_id")
     used = F.lit(None if capacity_bytes is None or free_bytes is None
                  else capacity_bytes - free_bytes).cast("bigint")
-    return (
-        totals.join(done, "scan_id", "left_semi")
-        .join(top, "scan_id", "left")
-        .join(dirs, "scan_id", "left")
-        .join(biggest_files, "scan_id", "left")
-        .join(biggest_folders, "scan_id", "left")
-        .select(
-            "scan_id",
-            F.lit(snapshot_date).cast("date").alias("snapshot_date"),
-            F.coalesce(F.lit(capacity_bytes).cast("bigint"), F.col("_bytes"))
-            .alias("total_size_bytes"),
-            F.coalesce(used, F.col("_bytes")).alias("used_size_bytes"),
-            "file_count",
-            F.coalesce("dir_count", F.lit(0)).alias("dir_count"),
-            "category_breakdown",
-            "extension_breakdown",
-            "largest_files",
-            "largest_folders",
-        )
+    row = merge_by_scan([totals, top, dirs, biggest_files, biggest_folders], {})
+    return row.join(done.distinct(), "scan_id", "left_semi").where("file_count IS NOT NULL").select(
+        "scan_id",
+        F.lit(snapshot_date).cast("date").alias("snapshot_date"),
+        F.coalesce(F.lit(capacity_bytes).cast("bigint"), F.col("_bytes")).alias("total_size_bytes"),
+        F.coalesce(used, F.col("_bytes")).alias("used_size_bytes"),
+        "file_count",
+        F.coalesce("dir_count", F.lit(0)).alias("dir_count"),
+        "category_breakdown",
+        "extension_breakdown",
+        "largest_files",
+        "largest_folders",
     )
 
 

@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+_local_folders: dict[str, str] = {}
+
 
 def build_session(name: str = "stowage", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; a cluster's own settings stay in force."""
@@ -42,7 +44,8 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="stowage-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
+        application = spark.sparkContext.applicationId
+        if application not in _local_folders:
+            _local_folders[application] = tempfile.mkdtemp(prefix="stowage-")
+        return _local_folders[application]
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
