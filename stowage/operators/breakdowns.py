@@ -46,16 +46,36 @@ def extension_breakdown(
     )
 
 
-def largest_files(files: DataFrame, scan_id: str | None = None, limit: int = 100) -> DataFrame:
+def top_by(rows: DataFrame, value: str, tiebreak: list[str], limit: int) -> DataFrame:
+    """The ``limit`` rows with the largest values, ties broken by other columns.
+
+    A first pass reads only the value column and finds the smallest value of
+    the list. The second pass reads the wide columns, and its scan gets that
+    bound as a filter: on a table sorted by the value it skips nearly all pages.
+    """
+    bound = (
+        rows.select(value)
+        .orderBy(F.col(value).desc())
+        .limit(limit)
+        .agg(F.min(value).alias("bound"))
+        .scalar()
+    )
     return (
-        of_scan(files, scan_id)
-        .select("file_id", "path", "filename", "extension", "size_bytes", "category", "modified_at")
-        .orderBy(F.col("size_bytes").desc(), "path", "file_id")
+        rows.where(F.col(value) >= bound)
+        .orderBy(F.col(value).desc(), *tiebreak)
         .limit(limit)
     )
 
 
+def largest_files(files: DataFrame, scan_id: str | None = None, limit: int = 100) -> DataFrame:
+    rows = of_scan(files, scan_id).select(
+        "file_id", "path", "filename", "extension", "size_bytes", "category", "modified_at"
+    )
+    return top_by(rows, "size_bytes", ["path", "file_id"], limit)
+
+
 def largest_folders(folders: DataFrame, scan_id: str | None = None, limit: int = 50) -> DataFrame:
+    """The folders with the most bytes below them, from a folder rollup."""
     return (
         of_scan(folders, scan_id)
         .select("path", "name", "total_size_bytes", "file_count", "depth")
