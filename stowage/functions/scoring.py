@@ -65,18 +65,21 @@ def risk_level(category: Column, score: Column, is_artifact: Column) -> Column:
     )
 
 
-def priority_of(size: Column, risk: str | Column) -> Column:
-    """Priority of a recommendation from its bytes and its risk."""
-    low = (F.lit(risk) if isinstance(risk, str) else risk) == "low"
+def priority_sql(size: str, risk: str) -> str:
+    """SQL for the priority of a recommendation from its bytes and its risk."""
     return (
-        F.when((size >= 50 * V.GIB) & low, "critical")
-        .when(size >= 5 * V.GIB, "high")
-        .when((size >= V.GIB) & low, "high")
-        .when(size >= V.GIB // 2, "medium")
-        .otherwise("low")
+        f"CASE WHEN {size} >= {50 * V.GIB} AND {risk} = 'low' THEN 'critical' "
+        f"WHEN {size} >= {5 * V.GIB} THEN 'high' "
+        f"WHEN {size} >= {V.GIB} AND {risk} = 'low' THEN 'high' "
+        f"WHEN {size} >= {V.GIB // 2} THEN 'medium' ELSE 'low' END"
     )
 
 
+def priority_of(size: str, risk: str) -> Column:
+    """Priority from two columns, given by name or as SQL."""
+    return F.expr(priority_sql(size, risk))
+
+
 def priority_rank(priority: Column) -> Column:
     chain = None
     for rank, name in enumerate(V.PRIORITY_ORDER):

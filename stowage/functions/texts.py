@@ -9,37 +9,30 @@ from stowage.fixed_values import GIB, KIB, MIB
 TIB = 1024 * GIB
 
 
-def _div(a: Column, b: int | Column) -> Column:
-    """Whole-number division of bigint values."""
-    return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
-
-
-def _one_decimal(size: Column, unit: int, label: str) -> Column:
+def _one_decimal(size: str, unit: int, label: str) -> str:
     """``size / unit`` with one decimal, a tie going to the even digit."""
-    rest = (size % unit) * 10
-    tenths = _div(size, unit) * 10 + _div(rest, unit)
-    left = (rest % unit) * 2
-    up = (left > unit) | ((left == unit) & (tenths % 2 == 1))
-    rounded = tenths + F.when(up, 1).otherwise(0)
-    return F.concat(
-        _div(rounded, 10).cast("string"),
-        F.lit("."),
-        (rounded % 10).cast("string"),
-        F.lit(" " + label),
-    )
+    whole, rest = f"({size}) div {unit} * 10", f"({size}) % {unit} * 10"
+    tenths = f"({whole} + ({rest}) div {unit})"
+    left = f"(({rest}) % {unit} * 2)"
+    up = f"if({left} > {unit} OR ({left} = {unit} AND {tenths} % 2 = 1), 1, 0)"
+    rounded = f"({tenths} + {up})"
+    return f"concat({rounded} div 10, '.', {rounded} % 10, ' {label}')"
 
 
-def human_bytes(size: Column, with_terabytes: bool = False) -> Column:
-    """Bytes as text in B, KB, MB or GB (and TB on request)."""
-    size = size.cast("bigint")
+def human_bytes_sql(size: str, with_terabytes: bool = False) -> str:
+    """SQL for a whole number of bytes as text in B, KB, MB or GB (TB on request)."""
     steps = [(GIB, "GB"), (MIB, "MB"), (KIB, "KB")]
     if with_terabytes:
         steps.insert(0, (TIB, "TB"))
-    chain = None
-    for unit, label in steps:
-        text = _one_decimal(size, unit, label)
-        chain = F.when(size >= unit, text) if chain is None else chain.when(size >= unit, text)
-    return chain.otherwise(F.concat(size.cast("string"), F.lit(" B")))
+    arms = " ".join(
+        f"WHEN ({size}) >= {unit} THEN {_one_decimal(size, unit, label)}" for unit, label in steps
+    )
+    return f"CASE {arms} ELSE concat({size}, ' B') END"
+
+
+def human_bytes(size: str, with_terabytes: bool = False) -> Column:
+    """Text of the bytes in the named column (or SQL expression)."""
+    return F.expr(human_bytes_sql(f"CAST({size} AS BIGINT)", with_terabytes))
 
 
 def percent_of(part: Column, total: Column) -> Column:

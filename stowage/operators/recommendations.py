@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Window as W
 
 from stowage import fixed_values as V
-from stowage.functions.scoring import priority_of, priority_rank
-from stowage.functions.texts import human_bytes
+from stowage.functions.paths import sql_list
+from stowage.functions.scoring import priority_rank, priority_sql
+from stowage.functions.texts import human_bytes_sql
 from stowage.operators.overview import merge_by_scan
 from stowage.operators.paging import where_all
 
@@ -103,137 +104,133 @@ def context(
 
 def _top_list(rows: DataFrame, weight: str, tiebreak: str, limit: int) -> DataFrame:
     """The first ``limit`` rows of each scan; ranks are cut before the shuffle."""
-    from pyspark.sql import Window as W
-
     order = W.partitionBy("scan_id").orderBy(F.col(weight).desc(), F.col(tiebreak))
     return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit)
 
 
-def _text(template: str, values: dict[str, Column]) -> Column:
-    """Fills the names in braces with columns."""
+def _text(template: str, values: dict[str, str]) -> str:
+    """SQL filling the names in braces with expressions."""
     pieces = re.split(r"\{(\w+)\}", template)
-    columns = [
-        (values[p].cast("string") if i % 2 else F.lit(p)) for i, p in enumerate(pieces) if p
+    parts = [
+        values[piece] if i % 2 else "'" + piece.replace("'", "\\'") + "'"
+        for i, piece in enumerate(pieces)
+        if piece
     ]
-    return F.concat(*columns)
+    return f"concat({', '.join(parts)})"
 
 
-def _recommendation(
+def _when(
+    condition: str,
     key: str,
     category: str,
-    priority: Column,
+    priority: str,
     confidence: float,
-    risk: Column,
-    size: Column,
-    count: Column,
-    values: dict[str, Column],
-    paths: Column | None = None,
-    subject: Column | None = None,
-) -> Column:
+    risk: str,
+    size: str,
+    count: str,
+    values: dict[str, str],
+    paths: str = "CAST(array() AS ARRAY<STRING>)",
+    subject: str | None = None,
+) -> str:
+    """SQL for one recommendation, NULL where the condition does not hold."""
     title, description, explanation = V.RECOMMENDATION_TEXTS[key]
-    return F.struct(
-        F.lit(category).alias("category"),
-        priority.alias("priority"),
-        _text(title, values).alias("title"),
-        _text(description, values).alias("description"),
-        _text(explanation, values).alias("explanation"),
-        F.lit(confidence).alias("confidence"),
-        risk.alias("risk_level"),
-        size.cast("bigint").alias("recoverable_bytes"),
-        count.cast("bigint").alias("affected_count"),
-        (paths if paths is not None else F.array().cast("array<string>")).alias("affected_paths"),
-        (subject if subject is not None else F.lit(key)).alias("subject"),
-    )
+    return f"""CASE WHEN {condition} THEN named_struct(
+        'category', '{category}', 'priority', {priority},
+        'title', {_text(title, values)}, 'description', {_text(description, values)},
+        'explanation', {_text(explanation, values)},
+        'confidence', CAST({confidence} AS DOUBLE), 'risk_level', {risk},
+        'recoverable_bytes', CAST({size} AS BIGINT), 'affected_count', CAST({count} AS BIGINT),
+        'affected_paths', {paths}, 'subject', {subject or f"'{key}'"}) END"""
+
+
+# Each rule is SQL for an array of recommendations over the context's columns.
 
 
-def growth_warning() -> Column:
-    growth, free = F.col("daily_growth_bytes"), F.col("free_storage")
-    days = F.try_divide(free.cast("double"), growth)
-    priority = F.when(days < 30, "critical").when(days < 90, "high").otherwise("medium")
-    made = _recommendation(
-        "growth_warning", "growth_warning", priority, 0.70,
-        F.when(days < 60, "high").otherwise("medium"), F.lit(0), F.lit(0),
+def growth_warning() -> str:
+    days = "try_divide(CAST(free_storage AS DOUBLE), daily_growth_bytes)"
+    rec = _when(
+        f"daily_growth_bytes > 0 AND free_storage > 0 AND {days} <= 180",
+        "growth_warning", "growth_warning",
+        f"CASE WHEN {days} < 30 THEN 'critical' WHEN {days} < 90 THEN 'high' ELSE 'medium' END",
+        0.70, f"if({days} < 60, 'high', 'medium')", "0", "0",
         {
-            "days": days.cast("bigint"),
-            "monthly": human_bytes(growth * 30),
-            "free": human_bytes(free),
-            "daily": human_bytes(growth),
+            "days": f"CAST({days} AS BIGINT)",
+            "monthly": human_bytes_sql("CAST(daily_growth_bytes * 30 AS BIGINT)"),
+            "free": human_bytes_sql("free_storage"),
+            "daily": human_bytes_sql("CAST(daily_growth_bytes AS BIGINT)"),
         },
     )
-    return F.array(F.when((growth > 0) & (free > 0) & (days <= 180), made))
+    return f"array({rec})"
 
 
-def duplicate_cleanup() -> Column:
-    wasted, groups = F.col("wasted_bytes"), F.col("duplicate_groups")
-    names = F.array_join(F.slice(F.coalesce("top_extensions", F.array().cast("array<string>")), 1, 5), ", ")
-    made = _recommendation(
-        "duplicates", "duplicate_cleanup", priority_of(wasted, "low"), 0.95, F.lit("low"),
-        wasted, F.col("duplicate_files"),
+def duplicate_cleanup() -> str:
+    names = "array_join(slice(top_extensions, 1, 5), ', ')"
+    rec = _when(
+        f"duplicate_groups > 0 AND wasted_bytes >= {100 * V.KIB}",
+        "duplicates", "duplicate_cleanup", priority_sql("wasted_bytes", "'low'"), 0.95, "'low'",
+        "wasted_bytes", "duplicate_files",
         {
-            "groups": groups,
-            "wasted": human_bytes(wasted),
-            "extensions": F.when(names == "", "various").otherwise(names),
+            "groups": "duplicate_groups",
+            "wasted": human_bytes_sql("wasted_bytes"),
+            "extensions": f"coalesce(nullif({names}, ''), 'various')",
         },
     )
-    return F.array(F.when((groups > 0) & (wasted >= 100 * V.KIB), made))
+    return f"array({rec})"
 
 
-def workspace_cleanup() -> Column:
-    safe, inactive = F.col("workspace_safe_bytes"), F.col("inactive_workspaces")
-    rest = F.greatest(F.col("workspace_bytes") - safe, F.lit(0))
-    regenerable = _recommendation(
-        "regenerable", "workspace_cleanup", priority_of(safe, "low"), 0.97, F.lit("low"),
-        safe, F.col("workspace_count"), {"safe": human_bytes(safe)},
+def workspace_cleanup() -> str:
+    rest = "greatest(workspace_bytes - workspace_safe_bytes, 0)"
+    regenerable = _when(
+        f"workspace_safe_bytes > {10 * V.MIB}",
+        "regenerable", "workspace_cleanup", priority_sql("workspace_safe_bytes", "'low'"),
+        0.97, "'low'", "workspace_safe_bytes", "workspace_count",
+        {"safe": human_bytes_sql("workspace_safe_bytes")},
     )
-    abandoned = _recommendation(
-        "abandoned", "workspace_cleanup", priority_of(rest, "medium"), 0.80, F.lit("medium"),
-        rest, inactive, {"inactive": inactive},
+    abandoned = _when(
+        "inactive_workspaces >= 2",
+        "abandoned", "workspace_cleanup", priority_sql(rest, "'medium'"), 0.80, "'medium'",
+        rest, "inactive_workspaces", {"inactive": "inactive_workspaces"},
+    )
+    of_type = _when(
+        f"t.recoverable_bytes > {100 * V.MIB}",
+        "workspace_type", "workspace_cleanup", "'high'", 0.90,
+        f"if(t.workspace_type IN ({sql_list(V.REGENERABLE_WORKSPACES)}), 'low', 'medium')",
+        "t.recoverable_bytes", "t.count",
+        {
+            "type": "t.workspace_type",
+            "recoverable": human_bytes_sql("t.recoverable_bytes"),
+            "count": "t.count",
+        },
+        subject="concat('workspace_type:', t.workspace_type)",
     )
+    return f"array({regenerable}, {abandoned}), transform(by_type, t -> {of_type})"
 
-    def of_type(entry: Column) -> Column:
-        kind, size = entry["workspace_type"], entry["recoverable_bytes"]
-        made = _recommendation(
-            "workspace_type", "workspace_cleanup", F.lit("high"), 0.90,
-            F.when(kind.isin(V.REGENERABLE_WORKSPACES), "low").otherwise("medium"),
-            size, entry["count"],
-            {"type": kind, "recoverable": human_bytes(size), "count": entry["count"]},
-            subject=F.concat(F.lit("workspace_type:"), kind),
-        )
-        return F.when(size > 100 * V.MIB, made)
 
-    none = F.array().cast("array<struct<workspace_type:string,count:bigint,recoverable_bytes:bigint>>")
-    return F.concat(
-        F.array(F.when(safe > 10 * V.MIB, regenerable), F.when(inactive >= 2, abandoned)),
-        F.transform(F.coalesce("by_type", none), of_type),
+def stale_cleanup() -> str:
+    archive = _when(
+        f"archive_bytes > {V.MIB}",
+        "archive", "archive", priority_sql("archive_bytes", "'low'"), 0.88, "'low'",
+        "archive_bytes", "archive_count",
+        {"count": "archive_count", "bytes": human_bytes_sql("archive_bytes")},
+    )
+    stale = _when(
+        f"stale_bytes > {5 * V.MIB}",
+        "stale", "stale_cleanup", priority_sql("stale_bytes", "'medium'"), 0.72, "'medium'",
+        "stale_bytes", "stale_count",
+        {"count": "stale_count", "bytes": human_bytes_sql("stale_bytes")},
     )
+    return f"array({archive}, {stale})"
 
 
-def stale_cleanup() -> Column:
-    made = []
-    for key, category, size, count, floor, risk, confidence in (
-        ("archive", "archive", "archive_bytes", "archive_count", V.MIB, "low", 0.88),
-        ("stale", "stale_cleanup", "stale_bytes", "stale_count", 5 * V.MIB, "medium", 0.72),
-    ):
-        rec = _recommendation(
-            key, category, priority_of(F.col(size), risk), confidence, F.lit(risk),
-            F.col(size), F.col(count),
-            {"count": F.col(count), "bytes": human_bytes(F.col(size))},
-        )
-        made.append(F.when(F.col(size) > floor, rec))
-    return F.array(*made)
-
-
-def large_file_review() -> Column:
-    none = F.array().cast("array<struct<path:string,size_bytes:bigint>>")
-    large = F.filter(F.coalesce("largest_files", none), lambda f: f["size_bytes"] > V.GIB)
-    total = F.aggregate(large, F.lit(0).cast("bigint"), lambda acc, f: acc + f["size_bytes"])
-    count = F.size(large)
-    made = _recommendation(
-        "large_files", "large_file", priority_of(total, "medium"), 0.65, F.lit("medium"),
-        total, count, {"count": count, "bytes": human_bytes(total)},
-        paths=F.slice(F.transform(large, lambda f: f["path"]), 1, 20),
+def large_file_review() -> str:
+    rec = _when(
+        "size(large_files) > 0",
+        "large_files", "large_file", priority_sql("large_bytes", "'medium'"), 0.65, "'medium'",
+        "large_bytes", "size(large_files)",
+        {"count": "size(large_files)", "bytes": human_bytes_sql("large_bytes")},
+        paths="slice(transform(large_files, f -> f.path), 1, 20)",
     )
-    return F.array(F.when(count > 0, made))
+    return f"array({rec})"
 
 
 RULES = [growth_warning, duplicate_cleanup, workspace_cleanup, stale_cleanup, large_file_review]
@@ -245,11 +242,27 @@ def recommendations(contexts: DataFrame, rules: list | None = None) -> DataFrame
     Every rule is an expression giving a short list, so the context is
     computed once and no rule can make the others fail.
     """
-    lists = reduce(lambda a, b: F.concat(a, b), [rule() for rule in rules or RULES])
-    rows = contexts.select(
-        "scan_id", F.inline(F.filter(lists, lambda r: r.isNotNull()))
+    empty_types = (
+        "CAST(array() AS ARRAY<STRUCT<workspace_type: STRING, count: BIGINT, "
+        "recoverable_bytes: BIGINT>>)"
+    )
+    empty_files = "CAST(array() AS ARRAY<STRUCT<path: STRING, size_bytes: BIGINT>>)"
+    rows = contexts.withColumns(
+        {
+            "top_extensions": F.expr("coalesce(top_extensions, CAST(array() AS ARRAY<STRING>))"),
+            "by_type": F.expr(f"coalesce(by_type, {empty_types})"),
+            "large_files": F.expr(
+                f"filter(coalesce(largest_files, {empty_files}), f -> f.size_bytes > {V.GIB})"
+            ),
+        }
+    ).withColumn(
+        "large_bytes", F.expr("aggregate(large_files, 0L, (total, f) -> total + f.size_bytes)")
+    )
+    lists = ", ".join(rule() for rule in rules or RULES)
+    made = rows.select(
+        "scan_id", F.expr(f"inline(filter(concat({lists}), r -> r IS NOT NULL))")
     )
-    return rows.select(
+    return made.select(
         F.concat_ws("/", "scan_id", "category", "subject").alias("recommendation_id"),
         "scan_id",
         *[c for c in COLUMNS if c != "subject"],

@@ -986,21 +986,21 @@ def growth_rate_report(spark, sf):
 
 @query
 def priority_of_bytes(spark, sf):
-    size = F.round(F.col("o_totalprice") * 1000).cast("bigint") * 500
-    risk = F.when(F.col("o_orderstatus") == "F", "low").otherwise("medium")
+    size = "CAST(round(o_totalprice * 1000) AS BIGINT) * 500"
+    risk = "if(o_orderstatus = 'F', 'low', 'medium')"
     return given.table(spark, sf, "orders").select(
-        "o_orderkey", priority_of(size, risk).alias("priority")
+        "o_orderkey", priority_of(f"({size})", risk).alias("priority")
     )
 
 
 @query
 def human_bytes_text(spark, sf):
-    size = F.round(F.col("o_totalprice") * 100).cast("bigint") * F.col("o_custkey")
+    size = "CAST(round(o_totalprice * 100) AS BIGINT) * o_custkey"
     return given.table(spark, sf, "orders").select(
         "o_orderkey",
         human_bytes(size).alias("size_text"),
-        human_bytes(size * 1000, with_terabytes=True).alias("large_text"),
-        human_bytes(F.col("o_custkey")).alias("small_text"),
+        human_bytes(f"{size} * 1000", with_terabytes=True).alias("large_text"),
+        human_bytes("o_custkey").alias("small_text"),
     )
 
 
