@@ -646,6 +646,11 @@ delta AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN
  WHERE size_bytes >= 1024 GROUP BY 1 HAVING count(*) > 1"""
     q["dup_size_candidates"] = f"""WITH {CONTENT} SELECT file_id, size_bytes FROM (SELECT *,
  count(*) OVER (PARTITION BY size_bytes) AS n FROM content WHERE size_bytes >= 1024) WHERE n > 1"""
+    ends = "left(hex(body), 8192) || right(hex(body), 8192)"
+    q["dup_partial_hash"] = f"""WITH {CONTENT}, e AS (SELECT file_id, size_bytes,
+ CASE WHEN size_bytes <= 8192 THEN hex(body) ELSE {ends} END AS ends FROM content
+ WHERE size_bytes >= 1024) SELECT file_id, size_bytes FROM (SELECT *, count(*) OVER
+ (PARTITION BY size_bytes, ends) AS n FROM e) WHERE n > 1"""
     q["dup_full_hash"] = f"WITH {GROUPS} SELECT file_id, path, size_bytes, sha256 FROM hashed"
     q["dup_groups"] = f"WITH {GROUPS} SELECT * FROM groups"
     q["dup_members"] = f"""WITH {GROUPS} SELECT group_id, file_id, path, false AS is_keeper

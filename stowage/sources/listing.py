@@ -31,8 +31,14 @@ def _as_inventory(listed: DataFrame, scan_id: str) -> DataFrame:
     )
 
 
-def list_files(spark: SparkSession, root: str, scan_id: str) -> DataFrame:
-    """All files below ``root``; bytes are not read."""
+def read_contents(spark: SparkSession, root: str, scan_id: str) -> DataFrame:
+    """All files below ``root`` that are not empty, with their bytes.
+
+    Columns that are not asked for are not read, so a selection without
+    ``content`` opens no file. Spark leaves out empty files here and stops at
+    2 GB per row; ``list_files`` with ``duplicates.hash_listed_files`` has
+    neither limit.
+    """
     listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -41,9 +47,14 @@ def list_files(spark: SparkSession, root: str, scan_id: str) -> DataFrame:
             _plain(F.col("path")).alias("path"),
             F.col("length").alias("size_bytes"),
             F.col("modificationTime").alias("modified_at"),
+            "content",
         )
     )
-    return _as_inventory(listed, scan_id)
+    rows = with_path_parts(listed.withColumn("path", normalize_path(F.col("path"))))
+    return rows.select(
+        F.lit(scan_id).alias("scan_id"), F.sha2("path", 256).alias("file_id"),
+        "path", "extension", "size_bytes", "content", "modified_at",
+    )
 
 
 _ENTRY = "path string, is_folder boolean, size_bytes bigint, modified_at timestamp"
@@ -86,13 +97,13 @@ def _list_below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield found.loc[~found["is_folder"]]
 
 
-def list_many(
-    spark: SparkSession, roots: DataFrame, scan_id: str, spread_levels: int = 2,
+def list_files(
+    spark: SparkSession, roots: str | DataFrame, scan_id: str, spread_levels: int = 2,
     partitions: int | None = None,
 ) -> DataFrame:
-    """All files below many roots, listed by the executors.
+    """All files below one root, or below a table of roots (column ``path``).
 
-    ``list_files`` keeps the whole listing in the driver. Here the first
+    The executors list, so the driver never holds the listing: the first
     ``spread_levels`` levels are listed folder by folder and dealt out, then
     each task walks the subtrees it was given and hands rows on as it goes.
     """
@@ -100,6 +111,8 @@ def list_many(
     def deal(df: DataFrame) -> DataFrame:
         return df.repartition(partitions, "path") if partitions else df.repartition("path")
 
+    if isinstance(roots, str):
+        roots = spark.createDataFrame([(roots,)], "path string")
     folders, files = deal(roots.select("path").distinct()), None
     for _ in range(spread_levels):
         level = folders.mapInPandas(_list_level, _ENTRY)
