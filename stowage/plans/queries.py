@@ -22,7 +22,7 @@ from stowage.operators import (
     audit, breakdowns, cleanup, duplicates, exclusions, folders, forecasting, overview, paging,
     progress, recommendations, scans, snapshots, staleness, workspaces,
 )
-from stowage.session import shared_folder
+from stowage.session import shared_folder, use_utc
 from stowage.sources import given_tables as given
 from stowage.sources import listing, tables
 from stowage.streaming import jobs as streams
@@ -91,7 +91,7 @@ def _rollup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def inventory_listing(spark, sf):
     """The files that hold the given tables, as an inventory."""
-    return listing.list_files(spark, sf, "scan-files").select(
+    return listing.list_files(use_utc(spark), sf, "scan-files").select(
         "scan_id", "file_id", "path", "directory", "filename", "extension", "size_bytes",
         "category",
     )

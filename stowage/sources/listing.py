@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -58,43 +59,44 @@ def read_contents(spark: SparkSession, root: str, scan_id: str) -> DataFrame:
 
 
 _ENTRY = "path string, is_folder boolean, size_bytes bigint, modified_at timestamp"
+_ENTRY_TYPES = [pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us", tz="UTC")]
+_NAMES = ["path", "is_folder", "size_bytes", "modified_at"]
 
+Entry = tuple[str, bool, int | None, datetime | None]
 
-def _children(path: str) -> pd.DataFrame:
+
+def _children(path: str) -> list[Entry]:
     """Entries directly in one folder; an unreadable folder has none."""
     store, name = (
         fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
     )
     prefix = path[: len(path) - len(name)] if path.endswith(name) else ""
     try:
-        entries = store.get_file_info(fs.FileSelector(name, allow_not_found=True))
+        found = store.get_file_info(fs.FileSelector(name, allow_not_found=True))
     except OSError:
-        entries = []
-    return pd.DataFrame(
-        {
-            "path": [prefix + e.path for e in entries],
-            "is_folder": [e.type == fs.FileType.Directory for e in entries],
-            "size_bytes": pd.array([e.size for e in entries], dtype="Int64"),
-            "modified_at": pd.to_datetime([e.mtime for e in entries], utc=True).tz_localize(None)
-            if entries
-            else pd.to_datetime([]),
-        }
-    )
+        return []
+    return [(prefix + e.path, e.type == fs.FileType.Directory, e.size, e.mtime) for e in found]
+
+
+def _batch(entries: list[Entry]) -> pa.RecordBatch:
+    columns = zip(*entries, strict=True) if entries else ([],) * len(_NAMES)
+    arrays = [pa.array(list(c), t) for c, t in zip(columns, _ENTRY_TYPES, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=_NAMES)
 
 
-def _list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _list_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path in batch["path"]:
-            yield _children(path)
+        for path in batch.column("path").to_pylist():
+            yield _batch(_children(path))
 
 
-def _list_below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _list_below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pending = list(batch["path"])
+        pending = batch.column("path").to_pylist()
         while pending:
-            found = _children(pending.pop())
-            pending.extend(found.loc[found["is_folder"], "path"])
-            yield found.loc[~found["is_folder"]]
+            entries = _children(pending.pop())
+            pending.extend(path for path, is_folder, _, _ in entries if is_folder)
+            yield _batch([entry for entry in entries if not entry[1]])
 
 
 def list_files(
@@ -115,11 +117,11 @@ def list_files(
         roots = spark.createDataFrame([(roots,)], "path string")
     folders, files = deal(roots.select("path").distinct()), None
     for _ in range(spread_levels):
-        level = folders.mapInPandas(_list_level, _ENTRY)
+        level = folders.mapInArrow(_list_level, _ENTRY)
         here = level.where("NOT is_folder")
         files = here if files is None else files.unionByName(here)
         folders = deal(level.where("is_folder").select("path"))
-    below = folders.mapInPandas(_list_below, _ENTRY)
+    below = folders.mapInArrow(_list_below, _ENTRY)
     files = below if files is None else files.unionByName(below)
     return _as_inventory(
         files.select(_plain(F.col("path")).alias("path"), "size_bytes", "modified_at"), scan_id
