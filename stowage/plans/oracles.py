@@ -686,14 +686,14 @@ delta AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN
  CASE WHEN a.body = b.body THEN 1 ELSE 0 END AS identical FROM members m
  JOIN firsts f ON f.group_id = m.group_id AND f.f <> m.file_id
  JOIN content a ON a.file_id = m.file_id JOIN content b ON b.file_id = f.f"""
-    q["content_hash_of"] = f"WITH {CONTENT} SELECT file_id, sha256 FROM content"
+    q["content_hash"] = f"WITH {CONTENT} SELECT file_id, sha256 FROM content"
     q["dup_incremental"] = f"""WITH {GROUPS} SELECT group_id, file_size_bytes, member_count,
  wasted_bytes FROM groups"""
     q["hardlink_collapse"] = f"""WITH {RAW} SELECT path, file_id, size_bytes, device, inode,
  link_count FROM (SELECT *, row_number() OVER (PARTITION BY device, inode ORDER BY path, file_id,
  size_bytes) AS r, count(*) OVER (PARTITION BY device, inode) AS link_count FROM raw) WHERE r = 1"""
 
-    q["days_since_text"] = f"""WITH {RAW} SELECT file_id, CASE WHEN flag = 'R' OR state = 'O'
+    q["days_since"] = f"""WITH {RAW} SELECT file_id, CASE WHEN flag = 'R' OR state = 'O'
  THEN 9999e0 ELSE round({_days('modified_at')}, 4) END AS days FROM raw"""
     for name in ("stale_score", "is_stale", "risk_level"):
         q[name] = f"WITH {SCORED} SELECT file_id, {name} FROM scored"
@@ -731,9 +731,12 @@ delta AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN
 
     q["artifact_match"] = f"""WITH {SPACES} SELECT file_id, root, workspace_type, artifact_type,
  risk_level, is_safe FROM artifacts"""
+    q["workspace_root"] = f"WITH {SPACES} SELECT file_id, path, root FROM artifacts"
+    q["workspace_type"] = f"WITH {SPACES} SELECT path, workspace_type FROM found"
+    q["workspace_risk"] = f"WITH {SPACES} SELECT path, workspace_type, risk_level FROM found"
     q["ml_model_files"] = f"""WITH {SPACES} SELECT file_id, root, size_bytes FROM artifacts
  WHERE is_model = 1"""
-    q["workspaces_detected"] = f"""WITH {SPACES} SELECT path, name, workspace_type,
+    q["workspaces"] = f"""WITH {SPACES} SELECT path, name, workspace_type,
  total_size_bytes, recoverable_bytes, safe_recoverable_bytes, file_count, risk_level,
  days_inactive, is_active, {_ts('last_modified_at')} FROM found"""
     per_type = """SELECT root AS path, artifact_type, CAST(sum(size_bytes) AS BIGINT)
@@ -796,6 +799,8 @@ delta AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN
     q["forecast_auto"] = q["latest_forecast"] = _forecast("auto")
     trend = _TREND.format(daily="(c_custkey % 7 * 1.5e0)", total="round(c_acctbal)")
     q["trend_class"] = f"SELECT c_custkey, {trend} AS trend FROM customer"
+    q["forecast_store"] = f"""WITH {DAILY} SELECT DISTINCT volume_id AS series,
+ CAST(2 AS BIGINT) AS stored_runs, '2024-01-31 00:00:00' AS last_created_at FROM snaps"""
     q["forecast_confidence"] = f"""WITH {FIT} SELECT series, round(confidence, 3) AS confidence
  FROM linear"""
     q["exhaustion"] = f"""WITH {FIT} SELECT series, days_until_full, {_EXHAUSTED}
@@ -816,18 +821,18 @@ delta AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN
  FROM {_ALL_SERIES} c LEFT JOIN auto a ON a.series = c.series"""
 
     priced = "(CAST(round(o_totalprice * 1000) AS BIGINT) * 500)"
-    q["priority_of_bytes"] = f"""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN
+    q["priority_of"] = f"""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN
  {_priority(priced, True)} ELSE {_priority(priced, False)} END AS priority FROM orders"""
-    q["human_bytes_text"] = f"""WITH s AS (SELECT o_orderkey, o_custkey,
+    q["human_bytes"] = f"""WITH s AS (SELECT o_orderkey, o_custkey,
  CAST(round(o_totalprice * 100) AS BIGINT) * o_custkey AS n FROM orders) SELECT o_orderkey,
  {_bytes_text('n')} AS size_text, {_bytes_text('n * 1000', True)} AS large_text,
  {_bytes_text('o_custkey')} AS small_text FROM s"""
-    q["recommendation_context"] = f"""WITH {CONTEXT} SELECT 'scan-1' AS scan_id, duplicate_groups,
+    q["context"] = f"""WITH {CONTEXT} SELECT 'scan-1' AS scan_id, duplicate_groups,
  duplicate_files, wasted_bytes, stale_bytes, stale_count, archive_bytes, archive_count,
  workspace_count, workspace_bytes, workspace_safe_bytes, inactive_workspaces, free_storage,
  round(daily_growth_bytes, 0) AS daily_growth_bytes, top_extensions, by_type, largest_files
  FROM ctx"""
-    q["recommendations_made"] = f"WITH {RECS} SELECT * FROM recs"
+    q["recommendations"] = f"WITH {RECS} SELECT * FROM recs"
     for name, category in (
         ("rec_growth_warning", "growth_warning"), ("rec_duplicates", "duplicate_cleanup"),
         ("rec_workspaces", "workspace_cleanup"),
@@ -858,6 +863,25 @@ delta AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN
     q["rec_replace"] = f"""WITH {RECS} SELECT scan_id, priority, count(*) AS recommendation_count,
  CAST(sum(recoverable_bytes) AS BIGINT) AS recoverable_bytes FROM recs GROUP BY 1, 2"""
 
+    made = RECS.replace("c_free AS (SELECT CAST(sum(size_bytes) AS BIGINT) AS free_storage,\n "
+        "sum(size_bytes) / 100e0 AS daily_growth_bytes FROM inv)",
+        f"c_free AS (SELECT CAST({CAPACITY // 4} AS BIGINT) AS free_storage, (SELECT "
+        "sum((b - a) / CAST(d AS DOUBLE)) FROM (SELECT min_by(used_size_bytes, snapshot_date) "
+        "AS a, max_by(used_size_bytes, snapshot_date) AS b, date_diff('day', "
+        "min(snapshot_date), max(snapshot_date)) AS d FROM snaps GROUP BY volume_id)) "
+        "AS daily_growth_bytes)")
+    counted = {
+        "scored_files": "inv", "workspaces": "found", "file_hashes": "hashed",
+        "duplicate_groups": "groups", "duplicate_members": "members", "recommendations": "recs",
+        "forecasts": "(SELECT DISTINCT volume_id FROM snaps)",
+        "folders": f"(SELECT DISTINCT {_ANCESTORS} AS path FROM inv)",
+        "snapshots": "(SELECT 1)",
+    }
+    q["analysis_job"] = f"WITH {DAILY}, {made} " + " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {source}"
+        for name, source in counted.items()
+    )
+
     q["plan_propose"] = f"""WITH {PLAN} SELECT action_id, action_type, count(*) AS target_count,
  {size_sum} AS total_bytes, 'proposed' AS status FROM plan GROUP BY 1, 2"""
     q["plan_dry_run"] = f"""WITH {PLAN} SELECT action_id,

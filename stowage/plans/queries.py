@@ -22,6 +22,7 @@ from stowage.operators import (
     audit, breakdowns, cleanup, duplicates, exclusions, folders, forecasting, overview, paging,
     progress, recommendations, scans, snapshots, staleness, workspaces,
 )
+from stowage.plans import analysis_job
 from stowage.session import shared_folder, use_utc
 from stowage.sources import given_tables as given
 from stowage.sources import listing, tables
@@ -49,6 +50,16 @@ def query(function: Query) -> Query:
     return function
 
 
+def named(name: str) -> Callable[[Query], Query]:
+    """Registers under a name that a module or function used here has already."""
+
+    def register(function: Query) -> Query:
+        QUERIES[name] = function
+        return function
+
+    return register
+
+
 def ts_text(column: str | Column) -> Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
 
@@ -566,7 +577,7 @@ def dup_verify_bytes(spark, sf):
     return checked.withColumn("identical", F.col("identical").cast("int"))
 
 
-@query
+@named("content_hash")
 def content_hash_of(spark, sf):
     return given.content(spark, sf).select(
         "file_id", content_hash(F.col("content")).alias("sha256")
@@ -608,7 +619,7 @@ def hardlink_collapse(spark, sf):
 # Staleness
 
 
-@query
+@named("days_since")
 def days_since_text(spark, sf):
     """Ages from stored text: some without a zone, some that are no time."""
     stored = F.when(F.col("flag") == "R", F.date_format("modified_at", "yyyy-MM-dd'T'HH:mm:ss"))
@@ -703,6 +714,21 @@ def artifact_match(spark, sf):
     )
 
 
+@named("workspace_root")
+def workspace_root_of_files(spark, sf):
+    return _artifacts(spark, sf).select("file_id", "path", "root")
+
+
+@query
+def workspace_type(spark, sf):
+    return _spaces(spark, sf).select("path", "workspace_type")
+
+
+@named("workspace_risk")
+def workspace_risk_of_spaces(spark, sf):
+    return _spaces(spark, sf).select("path", "workspace_type", "risk_level")
+
+
 @query
 def ml_model_files(spark, sf):
     return workspaces.model_files(given.inventory(spark, sf)).select(
@@ -719,7 +745,7 @@ def _space_columns(spaces: DataFrame) -> DataFrame:
     )
 
 
-@query
+@named("workspaces")
 def workspaces_detected(spark, sf):
     return _space_columns(_spaces(spark, sf))
 
@@ -946,6 +972,15 @@ def _stored_forecasts(spark, sf):
     return spark.read.parquet(folder)
 
 
+@query
+def forecast_store(spark, sf):
+    """All stored runs: appended, none replaced."""
+    return _stored_forecasts(spark, sf).groupBy("series").agg(
+        F.count(F.lit(1)).alias("stored_runs"),
+        ts_text(F.max("created_at")).alias("last_created_at"),
+    )
+
+
 @query
 def latest_forecast(spark, sf):
     return _forecast_columns(forecasting.latest_forecast(_stored_forecasts(spark, sf)))
@@ -984,7 +1019,7 @@ def growth_rate_report(spark, sf):
 # Recommendations
 
 
-@query
+@named("priority_of")
 def priority_of_bytes(spark, sf):
     size = "CAST(round(o_totalprice * 1000) AS BIGINT) * 500"
     risk = "if(o_orderstatus = 'F', 'low', 'medium')"
@@ -993,7 +1028,7 @@ def priority_of_bytes(spark, sf):
     )
 
 
-@query
+@named("human_bytes")
 def human_bytes_text(spark, sf):
     size = "CAST(round(o_totalprice * 100) AS BIGINT) * o_custkey"
     return given.table(spark, sf, "orders").select(
@@ -1021,7 +1056,7 @@ def _recs(spark, sf):
     return recommendations.recommendations(_context(spark, sf))
 
 
-@query
+@named("context")
 def recommendation_context(spark, sf):
     return _context(spark, sf).select(
         "scan_id", "duplicate_groups", "duplicate_files", "wasted_bytes", "stale_bytes",
@@ -1049,7 +1084,7 @@ def _rec_columns(recs: DataFrame) -> DataFrame:
     )
 
 
-@query
+@named("recommendations")
 def recommendations_made(spark, sf):
     return _rec_columns(_recs(spark, sf))
 
@@ -1132,6 +1167,20 @@ def rec_replace(spark, sf):
     )
 
 
+@named("analysis_job")
+def analysis_of_scan(spark, sf):
+    """The whole pipeline into stored tables, run twice: the second run replaces."""
+    folder = f"{shared_folder(spark)}/analysis-{uuid.uuid4().hex}"
+    files = given.inventory(spark, sf)
+    done = files.select("scan_id").distinct().withColumn("status", F.lit("completed"))
+    for _ in range(2):
+        report = analysis_job.run_analysis(
+            spark, files, _hashed(spark, sf), done, given.snapshots(spark, sf), folder, SCAN,
+            AS_OF, CAPACITY, CAPACITY // 4,
+        )
+    return report
+
+
 # Cleanup and audit
 
 
