@@ -6,10 +6,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stowage.fixed_values import MAX_HASHED_BYTES, PARTIAL_BYTES
+from stowage.sources.stores import open_store
 
 _CHUNK = 1 << 20
 
@@ -28,10 +28,7 @@ def partial_hash(content: Column, size: Column, edge: int = PARTIAL_BYTES) -> Co
 def _digest(path: str, size: int, edge: int | None) -> str | None:
     """Digest of one file, read in pieces; NULL if it cannot be read."""
     try:
-        if "://" in path or path.startswith("file:"):
-            store, name = fs.FileSystem.from_uri(path)
-        else:
-            store, name = fs.LocalFileSystem(), path
+        store, name = open_store(path)
         digest = hashlib.sha256()
         with store.open_input_file(name) as source:
             if edge is not None and size > 2 * edge:

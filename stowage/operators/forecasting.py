@@ -221,7 +221,8 @@ def forecasts(
         .otherwise(F.col("linear"))
     )
     return fit.select(
-        "series", "current_bytes", "capacity_bytes", "linear", "moving", "smoothing",
+        "series", F.col("n").alias("point_count"), "current_bytes", "capacity_bytes",
+        "linear", "moving", "smoothing",
         chosen.alias("auto"),
     )
 

@@ -13,6 +13,7 @@ from stowage.functions.scoring import (
 from stowage.functions.times import days_since
 from stowage.operators.breakdowns import of_scan
 from stowage.operators.paging import where_all
+from stowage.operators.skew import join_by_key
 
 
 def score_files(files: DataFrame, as_of: str | Column) -> DataFrame:
@@ -144,5 +145,14 @@ def artifact_totals(summary: DataFrame) -> DataFrame:
 
 
 def orphaned_files(files: DataFrame, scans: DataFrame) -> DataFrame:
-    """Files whose scan is not in the register any more."""
-    return files.join(scans.select("scan_id").distinct(), "scan_id", "left_anti")
+    """Files whose scan is not in the register any more.
+
+    The scans are compared first, one row each; a scan that holds a large part
+    of all files is then looked up in pieces.
+    """
+    lost = (
+        files.groupBy("scan_id")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .join(scans.select("scan_id").distinct(), "scan_id", "left_anti")
+    )
+    return join_by_key(files, lost, "scan_id", "_n", "file_id").select(*files.columns)

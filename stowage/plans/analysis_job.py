@@ -77,9 +77,9 @@ def run_analysis(
 
     # Series with fewer than two snapshots give nothing to forecast from.
     points = forecasting.series_points(history)
-    fitted = forecasting.one_model(forecasting.forecasts(points, date))
+    fitted = forecasting.forecasts(points, date).where("point_count > 1")
     store(
-        fitted.where("data_points_used > 1").withColumn("forecast_date", F.lit(date).cast("date")),
+        forecasting.one_model(fitted).withColumn("forecast_date", F.lit(date).cast("date")),
         "forecasts", "forecast_date",
     )
     return stored_rows(spark, output, scan_id)

@@ -10,6 +10,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stowage.functions.paths import normalize_path, with_path_parts
+from stowage.sources.stores import open_store
 
 
 def _plain(path: Column) -> Column:
@@ -67,9 +68,7 @@ Entry = tuple[str, bool, int | None, datetime | None]
 
 def _children(path: str) -> list[Entry]:
     """Entries directly in one folder; an unreadable folder has none."""
-    store, name = (
-        fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    )
+    store, name = open_store(path)
     prefix = path[: len(path) - len(name)] if path.endswith(name) else ""
     try:
         found = store.get_file_info(fs.FileSelector(name, allow_not_found=True))
