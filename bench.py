@@ -27,7 +27,7 @@ from stowage.sources import given_tables as given, tables  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-JOBS = ["dup_groups", "dup_removable", "forecast_auto", "overview", "recommendations_made"]
+JOBS = ["dup_groups", "dup_removable", "forecast_auto", "overview", "recommendations"]
 
 
 def _run(make) -> float:
@@ -87,7 +87,7 @@ def main() -> None:
         "largest_folders_50": lambda: breakdowns.largest_folders(dirs, scan, 50),
         "full_overview": lambda: _overview(files, dirs),
     }
-    for _ in range(3):
+    for _ in range(6):
         for make in headline.values():
             _run(make)
     times = {

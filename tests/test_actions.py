@@ -12,13 +12,18 @@ CTX = {
 }
 
 
-def _recs(frame, growth=0.0, extensions=None, types=None, files=None, **given):
-    ddl = "scan_id string, " + ", ".join(f"{c} bigint" for c in CTX) + (
-        ", daily_growth_bytes double, top_extensions array<string>, by_type array<struct<"
-        "workspace_type:string,count:bigint,recoverable_bytes:bigint>>, largest_files "
-        "array<struct<path:string,size_bytes:bigint>>")
-    row = ("s", *({**CTX, **given}.values()), growth, extensions, types, files)
-    recs = recommendations.recommendations(frame([row], ddl))
+DDL = "scan_id string, " + ", ".join(f"{c} bigint" for c in CTX) + (
+    ", daily_growth_bytes double, top_extensions array<string>, by_type array<struct<"
+    "workspace_type:string,count:bigint,recoverable_bytes:bigint>>, largest_files "
+    "array<struct<path:string,size_bytes:bigint>>")
+
+
+def _row(scan="s", growth=0.0, extensions=None, types=None, files=None, **given):
+    return (scan, *({**CTX, **given}.values()), growth, extensions, types, files)
+
+
+def _recs(frame, **given):
+    recs = recommendations.recommendations(frame([_row(**given)], DDL))
     return recs.orderBy(*recommendations.recommendation_order()).collect()
 
 
@@ -26,7 +31,7 @@ def test_nothing_to_recommend(frame):
     assert _recs(frame) == []
 
 
-@pytest.mark.parametrize("given,count", [
+THRESHOLDS = [
     ({"duplicate_groups": 1, "wasted_bytes": 100 * V.KIB}, 1),
     ({"duplicate_groups": 1, "wasted_bytes": 100 * V.KIB - 1}, 0),
     ({"duplicate_groups": 0, "wasted_bytes": V.GIB}, 0),
@@ -38,9 +43,15 @@ def test_nothing_to_recommend(frame):
     ({"free_storage": 0, "growth": 1.0}, 0), ({"free_storage": 5, "growth": 0.0}, 0),
     ({"files": [("/a", V.GIB)]}, 0), ({"files": [("/a", V.GIB + 1), ("/b", 1)]}, 1),
     ({"types": [("node", 2, 100 * V.MIB)]}, 0), ({"types": [("node", 2, 100 * V.MIB + 1)]}, 1),
-])
-def test_thresholds(frame, given, count):
-    assert len(_recs(frame, **given)) == count
+]
+
+
+def test_thresholds(frame):
+    """One context per case, all of them in one run."""
+    rows = [_row(scan=str(i), **given) for i, (given, _) in enumerate(THRESHOLDS)]
+    made = recommendations.recommendations(frame(rows, DDL)).groupBy("scan_id").count().collect()
+    counts = {r["scan_id"]: r["count"] for r in made}
+    assert [counts.get(str(i), 0) for i in range(len(rows))] == [n for _, n in THRESHOLDS]
 
 
 def test_texts_and_order(frame):
