@@ -8,12 +8,15 @@ per group or per member.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stowage.fixed_values import MAX_HASHED_BYTES, MIN_DUPLICATE_BYTES
+from stowage.fixed_values import MAX_HASHED_BYTES, MIN_DUPLICATE_BYTES, PARTIAL_BYTES
 from stowage.functions.hashing import content_hash, hash_files, partial_hash
 from stowage.operators.paging import where_all
 from stowage.operators.skew import join_by_key
+from stowage.session import shared_folder
 
 
 def size_groups(files: DataFrame, min_bytes: int = MIN_DUPLICATE_BYTES) -> DataFrame:
@@ -84,25 +87,36 @@ def full_hashes(
 
 
 def hash_listed_files(
-    listing: DataFrame, min_bytes: int = MIN_DUPLICATE_BYTES, partitions: int | None = None
+    listing: DataFrame,
+    min_bytes: int = MIN_DUPLICATE_BYTES,
+    partitions: int | None = None,
+    work_folder: str | None = None,
 ) -> DataFrame:
     """Full digests of real files, reading as few bytes as the funnel allows.
 
     Paths and sizes are all that moves. Before each hashing step the candidates
-    are dealt out again, since a join leaves them grouped by key.
+    are dealt out again, since a join leaves them grouped by key. Each step
+    writes its digests to a table in the shared folder, so that no file is
+    read twice for one step and a lost executor repeats only its own tasks.
     """
+    spark = listing.sparkSession
+    folder = work_folder or f"{shared_folder(spark)}/hashes-{uuid.uuid4().hex}"
 
-    def deal(df: DataFrame) -> DataFrame:
+    def hashed(df: DataFrame, name: str, edge: int | None = None) -> DataFrame:
         key = F.xxhash64("file_id")
-        return df.repartition(partitions, key) if partitions else df.repartition(key)
+        dealt = df.repartition(partitions, key) if partitions else df.repartition(key)
+        hash_files(dealt, name, edge).write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
 
-    first = hash_files(deal(same_size_files(listing, min_bytes)), "partial_hash", edge=4096)
+    first = hashed(same_size_files(listing, min_bytes), "partial_hash", PARTIAL_BYTES)
     keyed = first.withColumn(
-        "_key", F.when(F.col("partial_hash").isNotNull(),
-                       F.concat_ws(":", "size_bytes", "partial_hash"))
+        "_key",
+        F.when(
+            F.col("partial_hash").isNotNull(), F.concat_ws(":", "size_bytes", "partial_hash")
+        ),
     )
     survivors = _keep_repeated(keyed, "_key").drop("_key", "partial_hash")
-    return hash_files(deal(survivors), "sha256").where(F.col("sha256").isNotNull())
+    return hashed(survivors, "sha256").where(F.col("sha256").isNotNull())
 
 
 def duplicate_groups(hashed: DataFrame) -> DataFrame:
