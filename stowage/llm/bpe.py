@@ -27,7 +27,7 @@ from stowage.llm.tables import Scratch
 WORDS_PER_BLOCK = 6_000_000
 #: Matches of more bytes are encoded by the tiktoken library: a fold takes quadratic time in them.
 LONGEST_FOLD = 256
-#: The map has places for pairs at two hash values each, so a lookup reads at most two.
+#: Places over which the map's rows are laid.
 _PLACES = 1 << 17
 
 
@@ -53,31 +53,32 @@ def _merged_pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return pairs
 
 
-def _first_place(a, b):
-    return (a * 40503 + b * 10007) & (_PLACES - 1)
-
-
-def _second_place(a, b):
-    return (a * 9241 + b * 60013 + 77) & (_PLACES - 1)
-
-
 @lru_cache(maxsize=4)
-def _rank_map(path: str) -> str:
-    """The map as JSON: entry ``(a * 65536 + b) * 65536 + rank`` at one of its pair's two places."""
-    table: list[int | None] = [None] * _PLACES
+def _rank_map(path: str) -> tuple[str, str]:
+    """The map from pairs to ranks as two JSON lists, starts and entries.
+
+    The pair (a, b) has its entry, ``a * 65536 + rank`` in 32 bits, at place
+    ``starts[a] + b``; rows of first tokens are laid into each other where they
+    leave room, the longest ones first. Other places belong to another a, or hold -1.
+    """
+    rows: dict[int, list[tuple[int, int]]] = {}
     for (a, b), rank in _merged_pairs(read_ranks(path)).items():
-        entry = ((a << 16 | b) << 16) | rank
-        place = _first_place(a, b)
-        for _ in range(500):
-            entry, table[place] = table[place], entry
-            if entry is None:
-                break
-            x, y = entry >> 32, entry >> 16 & 0xFFFF
-            first, second = _first_place(x, y), _second_place(x, y)
-            place = second if place == first else first
-        else:
-            raise ValueError("the rank map has no place left for a pair")
-    return json.dumps([-1 if e is None else e for e in table], separators=(",", ":"))
+        rows.setdefault(a, []).append((b, rank))
+    top = max(b for row in rows.values() for b, _ in row) + 1
+    entries = np.full(_PLACES + top, -1, np.int32)
+    starts = np.zeros(max(rows) + 1, np.int64)
+    rng = np.random.default_rng(1)
+    for a, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
+        columns = np.array([b for b, _ in row])
+        tried = rng.integers(0, _PLACES, 256 if len(row) > 2 else 16)
+        free = (entries[tried[:, None] + columns] == -1).all(axis=1)
+        while not free.any():
+            tried = rng.integers(0, _PLACES, 4096)
+            free = (entries[tried[:, None] + columns] == -1).all(axis=1)
+        starts[a] = start = tried[free.argmax()]
+        values = np.array([a << 16 | rank for _, rank in row], np.int64)
+        entries[start + columns] = values.astype(np.uint32).view(np.int32)
+    return tuple(json.dumps(x.tolist(), separators=(",", ":")) for x in (starts, entries))
 
 
 def _literal(values: str, kind: str) -> Column:
@@ -85,57 +86,45 @@ def _literal(values: str, kind: str) -> Column:
     return F.from_json(F.lit(values), kind)
 
 
-def _lookup(table: Column, a: Column, b: Column) -> Column:
-    """Rank of the merge of two neighbours, or NULL."""
-    a, b = a.cast("bigint"), b.cast("bigint")
-    key = a * 65536 + b
-    first = F.get(table, _first_place_of(a, b))
-    second = F.get(table, _second_place_of(a, b))
-    rank = lambda e: e.bitwiseAND(F.lit(0xFFFF))
-    return F.when(F.shiftright(first, 16) == key, rank(first)).when(
-        F.shiftright(second, 16) == key, rank(second)
-    )
-
-
-def _first_place_of(a: Column, b: Column) -> Column:
-    return (a * 40503 + b * 10007).bitwiseAND(F.lit(_PLACES - 1)).cast("int")
-
-
-def _second_place_of(a: Column, b: Column) -> Column:
-    return (a * 9241 + b * 60013 + 77).bitwiseAND(F.lit(_PLACES - 1)).cast("int")
-
-
 def fold_merges(word: Column, path: str) -> Column:
     """Token ids of one match of the pattern, by merging its bytes in the order of ranks."""
     ranks = read_ranks(path)
-    table = _literal(_rank_map(path), "array<bigint>")
-    byte_ids = F.array(*[F.lit(ranks[bytes([i])]) for i in range(256)])
+    starts, entries = (_literal(x, "array<int>") for x in _rank_map(path))
+    byte_ids = _literal(json.dumps([ranks[bytes([i])] for i in range(256)]), "array<int>")
     letters = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # one character for each byte
     n = F.octet_length(word)
-    ids = F.transform(
-        F.sequence(F.lit(1), n), lambda i: F.get(byte_ids, F.ascii(F.substring(letters, i, F.lit(1))))
-    )
+    ids = F.transform(F.split(letters, ""), lambda c: F.get(byte_ids, F.ascii(c)))
+
+    def fold(start: Column, entry_list: Column) -> Column:
+        def next_merge(ids: Column, a: Column, i: Column) -> Column:
+            """Rank and place of the merge with the next id in one number, or NULL."""
+            entry = F.get(entry_list, F.get(start, a) + F.get(ids, i + 1))
+            rank = entry.bitwiseAND(F.lit(0xFFFF))
+            return F.when(F.shiftrightunsigned(entry, 16) == a, rank * 512 + i)
+
+        def with_next(ids: Column) -> Column:
+            merges = F.transform(ids, lambda a, i: next_merge(ids, a, i))
+            return F.struct(ids.alias("ids"), F.array_min(merges).alias("next"))
+
+        def named(ids: Column) -> Column:  # evaluates ids once
+            return F.get(F.transform(F.array(ids), with_next), F.lit(0))
+
+        def merge(state: Column, _: Column) -> Column:
+            at = state["next"].bitwiseAND(F.lit(511))
+            own = state["ids"]
+            rank = F.shiftright(state["next"], 9)
+            merged = F.filter(
+                F.transform(own, lambda a, i: F.when(i == at, rank).when(i != at + 1, a)),
+                lambda a: a.isNotNull(),
+            )
+            return F.when(state["next"].isNull(), state).otherwise(named(merged))
+
+        return F.aggregate(F.sequence(F.lit(1), n), named(ids), merge, lambda state: state["ids"])
 
-    def with_next(ids: Column) -> Column:
-        """The ids and their next merge: its rank and place in one number."""
-        places = F.transform(
-            ids, lambda a, i: _lookup(table, a, F.get(ids, i + 1)) * 65536 + i.cast("bigint")
-        )
-        return F.struct(ids.alias("ids"), F.array_min(places).alias("next"))
-
-    def named(ids: Column) -> Column:  # evaluates ids once
-        return F.get(F.transform(F.array(ids), with_next), F.lit(0))
-
-    def merge(state: Column, _: Column) -> Column:
-        at = state["next"].bitwiseAND(F.lit(0xFFFF)).cast("int")
-        rank = F.shiftright(state["next"], 16).cast("int")
-        rest = F.size(state["ids"])
-        merged = F.concat(
-            F.slice(state["ids"], F.lit(1), at), F.array(rank), F.slice(state["ids"], at + 3, rest)
-        )
-        return F.when(state["next"].isNull(), state).otherwise(named(merged))
-
-    return F.aggregate(F.sequence(F.lit(1), n), named(ids), merge, lambda state: state["ids"])
+    # The lists are named by lambdas, so the plan holds each literal once.
+    inner = F.get(F.transform(F.array(starts), lambda start: F.get(
+        F.transform(F.array(entries), lambda entry_list: fold(start, entry_list)), F.lit(0))), F.lit(0))
+    return inner
 
 
 def _unreachable(ranks: dict[bytes, int]) -> dict[str, int]:

@@ -291,6 +291,7 @@ def identify(
     text_col: str = "text",
     keep: list[str] | None = None,
     penalty: float = SWITCH_PENALTY,
+    prefix: str = "",
 ) -> DataFrame:
     """The columns of ``docs`` (or those in ``keep``), ``lang_pred``, ``score`` and ``spans``.
 
@@ -301,11 +302,11 @@ def identify(
     Defined cases: NULL, empty and letterless texts are ``und`` with score 0 and
     no spans; equal scores go to the first language in sorted order, or the more
     frequent one if no letter counts; repeated rows have equal results; input
-    columns with a result's name are replaced.
+    columns with a result's name are replaced. ``prefix`` stands before result names.
     """
     from pyspark.sql.types import StructType
 
-    results = ["lang_pred", "score", "spans"]
+    results = [f"{prefix}lang_pred", f"{prefix}score", f"{prefix}spans"]
     columns = [c for c in (docs.columns if keep is None else keep) if c.lower() not in results]
     source = docs.select(*columns, F.col(text_col).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -338,5 +339,6 @@ def identify(
             )
 
     schema = StructType([docs.schema[c] for c in columns])
-    ddl = StructType.fromDDL(f"lang_pred string, score double, spans {SPANS}")
+    kinds = ["string", "double", SPANS]
+    ddl = StructType.fromDDL(", ".join(f"{n} {k}" for n, k in zip(results, kinds, strict=True)))
     return source.mapInArrow(run, StructType(schema.fields + ddl.fields))
