@@ -7,14 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stowage.llm import bpe, jaccard, langid, mixing, quality
-from stowage.llm.tables import table
+from stowage.llm import (
+    ann, bpe, chat, fingerprints, html, jaccard, langid, mixing, quality, records,
+)
+from stowage.llm.tables import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+WORD_TOKENIZER = "word_bpe_49k.json"
+#: Appended to every document's token ids.
+END_ID = 2
 GOOD_FROM = 0.3
 
 
@@ -33,6 +38,14 @@ def op1_mix_sources(spark, sf):
     return mixing.mix_sources(table(spark, sf, "documents"))
 
 
+@query
+def op2_token_records(spark, sf):
+    folder = Scratch(spark, "records").folder
+    path = public_tokenizers.path(WORD_TOKENIZER)
+    records.write_records(table(spark, sf, "documents"), folder, path, END_ID)
+    return records.index_records(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @query
 def op3_language_id(spark, sf):
     docs = table(spark, sf, "documents")
@@ -43,11 +56,46 @@ def op3_language_id(spark, sf):
                         F.size("spans").alias("n_spans"))
 
 
+@query
+def op4_chat_format(spark, sf):
+    said = "</s>[INST] ok [/INST]"
+    example = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    made = chat.format_conversations(rows.unionByName(example))
+    read = made.select(
+        "conv_id", F.length("formatted").cast("bigint").alias("formatted_chars"),
+        chat.read_turns(F.col("formatted")).alias("turns"),
+        F.array_join(chat.read_loss(F.col("formatted"), F.col("loss_spans")), "").alias("loss"),
+    )
+    whole = F.array_join(
+        F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(whole, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 @query
 def op5_jaccard_join(spark, sf):
     return jaccard.linked_documents(table(spark, sf, "documents"), size=4, percent=85)
 
 
+@query
+def op6_fingerprints(spark, sf):
+    return fingerprints.compare_with_next(table(spark, sf, "documents"))
+
+
+@query
+def op7_html_text(spark, sf):
+    found = html.extract(table(spark, sf, "pages"), keep=["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 @query
 def op8_quality(spark, sf):
     docs = table(spark, sf, "documents")
@@ -58,6 +106,12 @@ def op8_quality(spark, sf):
                          (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
 
 
+@query
+def op9_nearest(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Token counts and digests of the encoded and decoded texts."""
     path = public_tokenizers.path(BPE_RANKS)
@@ -107,6 +161,28 @@ SELECT d.*, i.copy::INTEGER AS copy FROM documents d JOIN copies c ON d.doc_id =
   unnest(range(1, c.n + 1)) AS i(copy)
 """
 
+# Turns in order; formatted texts are measured by their parts.
+SQL["op4_chat_format"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'),
+    (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+sized AS (
+  SELECT *, lag(role) OVER w AS last, lead(role) OVER w AS next, row_number() OVER w AS place,
+    length(regexp_replace(replace(role, '\', '\\'), c, '\1\\\2', 'g')) AS role_chars,
+    length(regexp_replace(replace(text, '\', '\\'), c, '\1\\\2', 'g')) AS text_chars
+  FROM turns, (SELECT '([<\[])(\|im_start\|>|\|im_sep\|>|\|im_turn\|>|\|im_end\|>|\|endoftext\|>|' ||
+    'INST\]|/INST\]|<SYS>>|</SYS>>|s>|/s>)' AS c)
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(text_chars + CASE WHEN last IS DISTINCT FROM role THEN 12 + role_chars + 10 ELSE 11 END
+    + CASE WHEN next IS DISTINCT FROM role THEN 11 ELSE 0 END)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
 # Sets of shingles, all pairs that share one, and the links' closure.
 SQL["op5_jaccard_join"] = r"""
 WITH RECURSIVE words AS (
