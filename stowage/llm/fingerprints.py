@@ -188,7 +188,7 @@ def _with_followers(docs: DataFrame, id_col: str, text_col: str, parts: int) ->
     ids = rows.select("id")
     cuts = ids.where("id is not null").approxQuantile(
         "id", [i / parts for i in range(1, parts)], 0.2 / parts)
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    splits = [-float("inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
 
     def dealt(df: DataFrame) -> DataFrame:
         found = Bucketizer(splits=splits, inputCol="__as_double", outputCol="__bucket").transform(

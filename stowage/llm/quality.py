@@ -70,14 +70,14 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     opens = ~blank
     opens[1:] &= blank[:-1] | (place[1:] == 0)
     first = np.flatnonzero(opens)
+    home = bag[first]
+    total = np.maximum(np.bincount(home, minlength=n), 1)
     if len(first):
         word = np.add.reduceat(np.where(blank, 0, _MIX[data]), first)
-        home = bag[first]
-        total = np.maximum(np.bincount(home, minlength=n), 1)
         for feature, back in ((width, 1), (width + 1, 2)):
             same = (word[back:] == word[:-back]) & (home[back:] == home[:-back])
             out[:, feature] = np.bincount(home[back:][same], minlength=n) / total
-        out[:, width + 2] = np.log1p(length / total) / 3
+    out[:, width + 2] = np.log1p(length / total) / 3
     out[:, width + 3] = length / PASSAGE
     return out, counts
 
