@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stowage.fixed_values import MAX_HASHED_BYTES, PARTIAL_BYTES
+from stowage.fixed_values import PARTIAL_BYTES
 from stowage.sources.stores import open_store
 
 _CHUNK = 1 << 20
@@ -26,7 +26,7 @@ def partial_hash(content: Column, size: Column, edge: int = PARTIAL_BYTES) -> Co
 
 
 def _digest(path: str, size: int, edge: int | None) -> str | None:
-    """Digest of one file, read in pieces; NULL if it cannot be read."""
+    """Digest of one file, read in pieces; NULL if there is no such file any more."""
     try:
         store, name = open_store(path)
         digest = hashlib.sha256()
@@ -38,25 +38,30 @@ def _digest(path: str, size: int, edge: int | None) -> str | None:
                 while piece := source.read(_CHUNK):
                     digest.update(piece)
         return digest.hexdigest()
-    except (OSError, ValueError):
+    except FileNotFoundError:
         return None
 
 
 def hash_files(
-    files: DataFrame, output: str, edge: int | None = None, max_bytes: int = MAX_HASHED_BYTES
+    files: DataFrame, output: str, edge: int | None = None, max_bytes: int | None = None
 ) -> DataFrame:
     """Adds the digest of the file at ``path`` to each row.
 
     Only paths and sizes are shuffled, never bytes. ``edge`` asks for the
-    partial digest. Files over ``max_bytes`` get NULL, unless only their ends
-    are read.
+    partial digest. A file that is gone gets NULL; any other failure to read
+    fails the task, so that Spark tries it again and nothing counts as unique
+    because a store was busy. With ``max_bytes`` larger files get NULL too,
+    unless only their ends are read.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
 
+    def wanted(size: int) -> bool:
+        return edge is not None or max_bytes is None or size <= max_bytes
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch[output] = [
-                _digest(path, size, edge) if edge is not None or size <= max_bytes else None
+                _digest(path, size, edge) if wanted(size) else None
                 for path, size in zip(batch["path"], batch["size_bytes"], strict=True)
             ]
             yield batch

@@ -1,9 +1,10 @@
 """Duplicate files: a funnel of size, partial digest and full digest.
 
 Row tables carry ``scan_id, file_id, path, extension, size_bytes`` and, once
-hashed, ``sha256``. The digest is the id of a group, so a second run gives the
-same groups. Groups are never collected: every result is flat, with one row
-per group or per member.
+hashed, ``sha256``. A group is the files of one scan that share a digest: its
+key is (scan_id, group_id), the digest being the group's id, so a second run
+gives the same groups. Groups are never collected: every result is flat, with
+one row per group or per member.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stowage.fixed_values import MAX_HASHED_BYTES, MIN_DUPLICATE_BYTES, PARTIAL_BYTES
+from stowage.fixed_values import MIN_DUPLICATE_BYTES, PARTIAL_BYTES
 from stowage.functions.hashing import content_hash, hash_files, partial_hash
 from stowage.operators.paging import where_all
 from stowage.operators.skew import join_by_key
 from stowage.session import shared_folder
 
+GROUP = ["scan_id", "group_id"]
+
 
 def size_groups(files: DataFrame, min_bytes: int = MIN_DUPLICATE_BYTES) -> DataFrame:
     """Sizes from ``min_bytes`` on that occur more than once."""
@@ -70,17 +73,20 @@ def partial_hash_candidates(
 def full_hashes(
     content: DataFrame,
     min_bytes: int = MIN_DUPLICATE_BYTES,
-    max_bytes: int = MAX_HASHED_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Full digest of each file from a table with bytes, as a narrow table.
 
+    Without ``max_bytes`` every size is hashed.
+
     A columnar table hands over the bytes of a row group whichever of its rows
     survive the funnel, so the digest is taken in that one pass; sending bytes
     through a join to save digests would cost far more.
     """
-    return content.where(
-        (F.col("size_bytes") >= min_bytes) & (F.col("size_bytes") <= max_bytes)
-    ).select(
+    rows = content.where(F.col("size_bytes") >= min_bytes)
+    if max_bytes is not None:
+        rows = rows.where(F.col("size_bytes") <= max_bytes)
+    return rows.select(
         "scan_id", "file_id", "path", "extension", "size_bytes", "modified_at",
         content_hash(F.col("content")).alias("sha256"),
     )
@@ -137,11 +143,7 @@ def duplicate_groups(hashed: DataFrame) -> DataFrame:
 
 def _with_group(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
     """Joins rows carrying ``group_id`` with their group, hot groups being split."""
-    keyed = groups.withColumn("_group", F.concat_ws("|", "scan_id", "group_id")).drop(
-        "scan_id", "group_id"
-    )
-    rows = rows.withColumn("_group", F.concat_ws("|", "scan_id", "group_id"))
-    return join_by_key(rows, keyed, "_group", "member_count", "file_id", how).drop("_group")
+    return join_by_key(rows, groups, GROUP, "member_count", "file_id", how)
 
 
 def duplicate_members(hashed: DataFrame) -> DataFrame:
@@ -190,10 +192,8 @@ def filter_groups(
     )
 
 
-
-
 def group_order() -> list[Column]:
-    return [F.col("wasted_bytes").desc(), F.col("group_id")]
+    return [F.col("wasted_bytes").desc(), F.col("group_id"), F.col("scan_id")]
 
 
 def group_detail(members: DataFrame, group_ids: DataFrame | None = None) -> DataFrame:
@@ -203,9 +203,9 @@ def group_detail(members: DataFrame, group_ids: DataFrame | None = None) -> Data
     """
     rows = members
     if group_ids is not None:
-        rows = rows.join(group_ids.select("group_id").distinct(), "group_id", "left_semi")
+        rows = rows.join(group_ids.select(*GROUP).distinct(), GROUP, "left_semi")
     return rows.select(
-        "group_id", "file_size_bytes", "member_count", "wasted_bytes", "status",
+        *GROUP, "file_size_bytes", "member_count", "wasted_bytes", "status",
         "file_id", "path", "is_keeper",
     )
 
@@ -213,19 +213,19 @@ def group_detail(members: DataFrame, group_ids: DataFrame | None = None) -> Data
 def resolve_groups(members: DataFrame, decisions: DataFrame) -> DataFrame:
     """Marks the chosen keeper of each decided group.
 
-    ``decisions`` has (group_id, keep_file_id); the last one per group counts,
-    by ``decided_at``. A decision naming a file outside the group changes
-    nothing; ``unknown_decisions`` lists those.
+    ``decisions`` has (scan_id, group_id, keep_file_id); the last one per group
+    counts, by ``decided_at``. A decision naming a file outside the group
+    changes nothing; ``unknown_decisions`` lists those.
     """
     chosen = _latest_decisions(decisions)
     valid = (
-        members.select("group_id", F.col("file_id").alias("keep_file_id"), "member_count")
-        .join(chosen, ["group_id", "keep_file_id"])
-        .groupBy("group_id")
+        members.select(*GROUP, F.col("file_id").alias("keep_file_id"), "member_count")
+        .join(chosen, [*GROUP, "keep_file_id"])
+        .groupBy(*GROUP)
         .agg(F.min("keep_file_id").alias("keep_file_id"), F.max("member_count").alias("_n"))
     )
     rows = members.drop("status", "is_keeper")
-    joined = join_by_key(rows, valid, "group_id", "_n", "file_id", "left").drop("_n")
+    joined = join_by_key(rows, valid, GROUP, "_n", "file_id", "left").drop("_n")
     return joined.withColumn(
         "is_keeper", F.coalesce(F.col("file_id") == F.col("keep_file_id"), F.lit(False))
     ).withColumn(
@@ -234,22 +234,22 @@ def resolve_groups(members: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def _latest_decisions(decisions: DataFrame) -> DataFrame:
-    return decisions.groupBy("group_id").agg(
+    return decisions.groupBy(*GROUP).agg(
         F.max(F.struct("decided_at", "keep_file_id"))["keep_file_id"].alias("keep_file_id")
     )
 
 
 def unknown_decisions(members: DataFrame, decisions: DataFrame) -> DataFrame:
     """Decisions whose file is not a member of the group."""
-    known = members.select("group_id", F.col("file_id").alias("keep_file_id"))
-    return _latest_decisions(decisions).join(known, ["group_id", "keep_file_id"], "left_anti")
+    known = members.select(*GROUP, F.col("file_id").alias("keep_file_id"))
+    return _latest_decisions(decisions).join(known, [*GROUP, "keep_file_id"], "left_anti")
 
 
 def resolve_report(resolved: DataFrame) -> DataFrame:
     """Files and bytes that each resolved group gives back."""
     return (
         resolved.where(F.col("status") == "resolved")
-        .groupBy("group_id")
+        .groupBy(*GROUP)
         .agg(
             F.max("member_count").alias("member_count"),
             (F.max("member_count") - 1).alias("files_removable"),
@@ -266,30 +266,41 @@ def auto_keepers(members: DataFrame, policy: str = "oldest") -> DataFrame:
         "newest": F.max(F.struct("modified_at", "file_id")),
         "largest": F.max(F.struct("size_bytes", "file_id")),
     }[policy]
-    return members.groupBy("group_id").agg(
+    return members.groupBy(*GROUP).agg(
         first["file_id"].alias("keep_file_id"), F.max("member_count").alias("member_count")
     )
 
 
-def removable_files(members: DataFrame, spare_first_too: bool = False) -> DataFrame:
-    """Members that may go: all but the keeper, or but the first by id.
+def removable_files(
+    hashed: DataFrame, decisions: DataFrame | None = None, spare_first_too: bool = False
+) -> DataFrame:
+    """Copies that may go: all but the group's keeper, or but the first by id.
 
     ``spare_first_too`` keeps the first member even where a keeper is chosen.
-    The spared member comes from an aggregate, not from numbering the rows of a
-    group, so a huge group is never sorted in one task.
+    ``decisions`` choose keepers as in ``resolve_groups``. One aggregate per
+    group knows its size, first member and keeper, and one join brings it back,
+    so the digests are read twice and a huge group is never sorted in one task.
     """
-    spared = members.groupBy("group_id").agg(
-        F.min("file_id").alias("_first"),
-        F.min(F.when(F.col("is_keeper"), F.col("file_id"))).alias("_keeper"),
-        F.max("member_count").alias("_n"),
+    rows = hashed.where(F.col("sha256").isNotNull()).select(
+        "scan_id", F.col("sha256").alias("group_id"), "file_id", "path", "size_bytes"
     )
-    joined = join_by_key(members, spared, "group_id", "_n", "file_id").drop("_n")
-    is_first = F.col("file_id") == F.col("_first")
-    if spare_first_too:
-        gone = ~F.col("is_keeper") & ~is_first
+    marked = rows.select(*GROUP, "file_id")
+    if decisions is None:
+        keeper = F.lit(None).cast("string")
     else:
-        gone = F.when(F.col("_keeper").isNull(), ~is_first).otherwise(~F.col("is_keeper"))
-    return joined.where(gone).select("scan_id", "group_id", "file_id", "path", "size_bytes")
+        chosen = _latest_decisions(decisions).select(
+            *GROUP, F.col("keep_file_id").alias("file_id"), F.lit(True).alias("_chosen")
+        )
+        marked = marked.join(chosen, [*GROUP, "file_id"], "left")
+        keeper = F.when(F.col("_chosen"), F.col("file_id"))
+    groups = marked.groupBy(*GROUP).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("file_id").alias("_first"), F.min(keeper).alias("_keeper")
+    ).where("_n > 1")
+    joined = join_by_key(rows, groups, GROUP, "_n", "file_id")
+    gone = F.col("file_id") != F.coalesce("_keeper", "_first")
+    if spare_first_too:
+        gone &= F.col("file_id") != F.col("_first")
+    return joined.where(gone).select(*GROUP, "file_id", "path", "size_bytes")
 
 
 def removable_totals(removable: DataFrame) -> DataFrame:
@@ -299,49 +310,71 @@ def removable_totals(removable: DataFrame) -> DataFrame:
     )
 
 
-def verify_bytes(content: DataFrame, members: DataFrame) -> DataFrame:
-    """Compares each member byte for byte with the first member of its group.
+def verify_bytes(content: DataFrame, hashed: DataFrame, bytes_per_task: int = 1 << 30) -> DataFrame:
+    """Compares each copy byte for byte with the first member of its group.
 
-    ``n - 1`` comparisons per group. The first member's bytes are repeated once
-    per piece of a hot group, never for every member.
+    ``n - 1`` comparisons per group. Only rows of groups are joined with their
+    bytes. A group is cut into pieces by its bytes, and the first member's bytes
+    are repeated once per piece, never for every member.
     """
-    first = members.groupBy("group_id").agg(
-        F.min("file_id").alias("first_file_id"), F.max("member_count").alias("_n")
+    rows = hashed.where(F.col("sha256").isNotNull()).select(
+        "scan_id", F.col("sha256").alias("group_id"), "file_id"
+    )
+    groups = hashed.where(F.col("sha256").isNotNull()).groupBy(
+        "scan_id", F.col("sha256").alias("group_id")
+    ).agg(
+        F.count(F.lit(1)).alias("_count"), F.min("file_id").alias("first_file_id"),
+        F.sum(F.coalesce("size_bytes", F.lit(0))).alias("_n"),
+    ).where("_count > 1").drop("_count")
+    bytes_of = content.select("scan_id", "file_id", "content")
+    models = groups.join(
+        bytes_of.select(
+            "scan_id", F.col("file_id").alias("first_file_id"), F.col("content").alias("_model")
+        ),
+        ["scan_id", "first_file_id"],
     )
-    # The ids of members and of first members bring the bytes along once each.
-    bytes_of = content.select("file_id", "content")
-    rows = members.select("group_id", "file_id").join(bytes_of, "file_id")
-    models = first.join(
-        bytes_of.select(F.col("file_id").alias("first_file_id"), F.col("content").alias("_model")),
-        "first_file_id",
+    members = rows.join(groups.select(*GROUP), GROUP, "left_semi").join(
+        bytes_of, ["scan_id", "file_id"]
     )
-    joined = join_by_key(rows, models, "group_id", "_n", "file_id", rows_per_task=20_000)
+    joined = join_by_key(members, models, GROUP, "_n", "file_id", rows_per_task=bytes_per_task)
     return joined.where(F.col("file_id") != F.col("first_file_id")).select(
-        "group_id", "first_file_id", "file_id",
+        *GROUP, "first_file_id", "file_id",
         F.coalesce(F.col("content") == F.col("_model"), F.lit(False)).alias("identical"),
     )
 
 
 def collapse_hardlinks(listing: DataFrame) -> DataFrame:
-    """One row per (device, inode): the path that sorts first."""
+    """One row per (device, inode): the path that sorts first.
+
+    Files of which either is unknown are no links of each other and stay as they are.
+    """
     rest = [c for c in listing.columns if c not in ("device", "inode", "path")]
-    return (
-        listing.groupBy("device", "inode")
+    known = F.col("device").isNotNull() & F.col("inode").isNotNull()
+    linked = (
+        listing.where(known).groupBy("device", "inode")
         .agg(F.min(F.struct("path", *rest)).alias("_row"), F.count(F.lit(1)).alias("link_count"))
         .select("_row.*", "device", "inode", "link_count")
     )
+    single = listing.where(~known).select(
+        "path", *rest, "device", "inode", F.lit(1).cast("bigint").alias("link_count")
+    )
+    return linked.unionByName(single)
 
 
 def incremental_hashes(content: DataFrame, known: DataFrame) -> DataFrame:
     """Digests of a new scan, taken anew only for files not known unchanged.
 
-    ``known`` has (path, size_bytes, modified_at, sha256) of an earlier scan.
+    ``known`` has (path, size_bytes, modified_at, sha256) of earlier scans; of
+    several digests of one state of a file the largest counts, so a file gives
+    one row. Bytes are hashed where the row is read and never shuffled; real
+    files go through ``hash_files``, which opens only the changed ones.
     """
     match = ["path", "size_bytes", "modified_at"]
-    listed = content.drop("content")
-    reused = listed.join(known.select(*match, "sha256"), match).select(
-        "scan_id", "file_id", "path", "extension", "size_bytes", "modified_at", "sha256"
-    )
-    changed = listed.join(known.select(*match), match, "left_anti").select("file_id")
-    fresh = full_hashes(content.join(changed, "file_id", "left_semi"), min_bytes=0)
-    return reused.unionByName(fresh)
+    states = known.groupBy(*match).agg(F.max("sha256").alias("_known"))
+    listed = content.select("scan_id", "file_id", "extension", *match)
+    columns = ["scan_id", "file_id", "path", "extension", "size_bytes", "modified_at", "sha256"]
+    found = listed.join(states, match, "left")
+    reused = found.where("_known is not null").withColumnRenamed("_known", "sha256")
+    changed = found.where("_known is null").select("scan_id", "file_id")
+    fresh = full_hashes(content, min_bytes=0).join(changed, ["scan_id", "file_id"], "left_semi")
+    return reused.select(*columns).unionByName(fresh.select(*columns))

@@ -52,11 +52,14 @@ def context(
         F.sum("wasted_bytes").alias("wasted_bytes"),
     )
     stale, archive = F.col("tier") == "stale", F.col("tier") == "archive_candidate"
+    large = F.coalesce(F.col("size_bytes") > V.GIB, F.lit(False))
     tiers = scored.groupBy("scan_id").agg(
         F.sum(F.when(stale, F.col("size_bytes")).otherwise(0)).alias("stale_bytes"),
         F.count_if(stale).alias("stale_count"),
         F.sum(F.when(archive, F.col("size_bytes")).otherwise(0)).alias("archive_bytes"),
         F.count_if(archive).alias("archive_count"),
+        F.sum(F.when(large, F.col("size_bytes")).otherwise(0)).alias("large_file_bytes"),
+        F.count_if(large).alias("large_file_count"),
     )
     types = spaces.groupBy("scan_id", "workspace_type").agg(
         F.count(F.lit(1)).alias("count"),
@@ -88,7 +91,8 @@ def context(
         for name in (
             "duplicate_groups", "duplicate_files", "wasted_bytes", "stale_bytes", "stale_count",
             "archive_bytes", "archive_count", "workspace_count", "workspace_bytes",
-            "workspace_safe_bytes", "inactive_workspaces", "free_storage",
+            "workspace_safe_bytes", "inactive_workspaces", "free_storage", "large_file_bytes",
+            "large_file_count",
         )
     }
     blank = scored.sparkSession.range(0).select(
@@ -224,10 +228,10 @@ def stale_cleanup() -> str:
 
 def large_file_review() -> str:
     rec = _when(
-        "size(large_files) > 0",
-        "large_files", "large_file", priority_sql("large_bytes", "'medium'"), 0.65, "'medium'",
-        "large_bytes", "size(large_files)",
-        {"count": "size(large_files)", "bytes": human_bytes_sql("large_bytes")},
+        "large_file_count > 0",
+        "large_files", "large_file", priority_sql("large_file_bytes", "'medium'"), 0.65, "'medium'",
+        "large_file_bytes", "large_file_count",
+        {"count": "large_file_count", "bytes": human_bytes_sql("large_file_bytes")},
         paths="slice(transform(large_files, f -> f.path), 1, 20)",
     )
     return f"array({rec})"
@@ -255,8 +259,6 @@ def recommendations(contexts: DataFrame, rules: list | None = None) -> DataFrame
                 f"filter(coalesce(largest_files, {empty_files}), f -> f.size_bytes > {V.GIB})"
             ),
         }
-    ).withColumn(
-        "large_bytes", F.expr("aggregate(large_files, 0L, (total, f) -> total + f.size_bytes)")
     )
     lists = ", ".join(rule() for rule in rules or RULES)
     made = rows.select(

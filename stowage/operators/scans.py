@@ -8,6 +8,10 @@ from stowage.operators.breakdowns import of_scan
 from stowage.operators.paging import where_all
 
 
+#: The two ways in which a scan ends well.
+COMPLETED = ["completed", "completed_with_warnings"]
+
+
 def scan_order() -> list[Column]:
     return [F.col("created_at").desc(), F.col("scan_id")]
 
@@ -24,13 +28,16 @@ def latest_completed(scans: DataFrame, per_root: bool = False) -> DataFrame:
     """The completed scan that ended last, overall or for each root path."""
     columns = [c for c in scans.columns if c not in ("completed_at", "scan_id")]
     last = F.max(F.struct("completed_at", "scan_id", *columns)).alias("_last")
-    done = scans.where((F.col("status") == "completed") & F.col("completed_at").isNotNull())
+    done = scans.where(F.col("status").isin(COMPLETED) & F.col("completed_at").isNotNull())
     picked = done.groupBy("root_path").agg(last) if per_root else done.agg(last)
     return picked.where(F.col("_last").isNotNull()).select("_last.*")
 
 
 def scan_totals(files: DataFrame, folders: DataFrame, scans: DataFrame) -> DataFrame:
-    """Files, folders, bytes, rate and final status of each scan in ``files``."""
+    """Files, folders, bytes, rate and final status of each scan of the register.
+
+    A scan without files has zeros, and one that has not ended keeps its status.
+    """
     file_sums = files.groupBy("scan_id").agg(
         F.count(F.lit(1)).alias("total_files"), F.sum("size_bytes").alias("total_size_bytes")
     )
@@ -39,18 +46,19 @@ def scan_totals(files: DataFrame, folders: DataFrame, scans: DataFrame) -> DataF
         F.unix_micros("completed_at") - F.unix_micros("started_at")
     ) / F.lit(1_000_000.0)
     return (
-        scans.select("scan_id", "started_at", "completed_at", "error_count")
-        .join(file_sums, "scan_id")
+        scans.select("scan_id", "started_at", "completed_at", "error_count", "status")
+        .join(file_sums, "scan_id", "left")
         .join(folder_sums, "scan_id", "left")
         .select(
             "scan_id",
-            "total_files",
+            F.coalesce("total_files", F.lit(0)).alias("total_files"),
             F.coalesce("total_dirs", F.lit(0)).alias("total_dirs"),
-            "total_size_bytes",
-            F.when(seconds > 0, F.round(F.col("total_files") / seconds, 1))
+            F.coalesce("total_size_bytes", F.lit(0)).alias("total_size_bytes"),
+            F.when(seconds > 0, F.round(F.coalesce("total_files", F.lit(0)) / seconds, 1))
             .otherwise(0.0).alias("files_per_second"),
-            F.when(F.col("error_count") > 0, "completed_with_warnings")
-            .otherwise("completed").alias("status"),
+            F.when(~F.col("status").isin(COMPLETED), F.col("status"))
+            .when(F.col("error_count") > 0, COMPLETED[1])
+            .otherwise(COMPLETED[0]).alias("status"),
         )
     )
 
@@ -59,19 +67,19 @@ def inventory_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """New, changed, unchanged and gone files between two scans, by path."""
     old = before.select(
         "path", F.col("size_bytes").alias("old_size_bytes"),
-        F.col("modified_at").alias("old_modified_at"),
+        F.col("modified_at").alias("old_modified_at"), F.lit(True).alias("_was"),
     )
-    new = after.select("path", "size_bytes", "modified_at")
+    new = after.select("path", "size_bytes", "modified_at", F.lit(True).alias("_is"))
     same = F.col("modified_at").eqNullSafe(F.col("old_modified_at")) & F.col(
         "size_bytes"
     ).eqNullSafe(F.col("old_size_bytes"))
     return old.join(new, "path", "full_outer").withColumn(
         "change",
-        F.when(F.col("old_size_bytes").isNull(), "new")
-        .when(F.col("size_bytes").isNull(), "gone")
+        F.when(F.col("_was").isNull(), "new")
+        .when(F.col("_is").isNull(), "gone")
         .when(same, "unchanged")
         .otherwise("changed"),
-    )
+    ).drop("_was", "_is")
 
 
 def delta_summary(delta: DataFrame) -> DataFrame:

@@ -9,42 +9,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# At most this many keys are treated as hot, so the list of them is small
-# whatever the data. A key beyond it holds at most this fraction of the rows.
-HOT_KEYS = 1000
-# Rows of a key up to which one task can hold it.
+# Rows of a key up to which one task can hold it. All keys beyond are hot; there is
+# at most one for each so many rows, so even of 10^12 rows their list has 2 million.
 ROWS_PER_TASK = 500_000
-MAX_PIECES = 4096
 
 
 def join_by_key(
     rows: DataFrame,
     lookup: DataFrame,
-    key: str,
+    key: str | list[str],
     weight: str,
     spread_by: str,
     how: str = "inner",
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Joins ``rows`` with the one ``lookup`` row per ``key``.
+    """Joins ``rows`` with the one ``lookup`` row per ``key``, one column or several.
 
     ``lookup.weight`` is the number of rows of that key. Each hot key is cut
-    into pieces by a hash of ``spread_by``, and its lookup row is repeated once
-    per piece; all other keys have one piece. Nothing is dropped.
+    into as many pieces as its rows ask for, by a hash of ``spread_by``, and its
+    lookup row is repeated once per piece; all other keys have one piece.
+    Nothing is dropped.
     """
-    hot = (
-        lookup.where(F.col(weight) > rows_per_task)
-        .orderBy(F.col(weight).desc(), F.col(key))
-        .limit(HOT_KEYS)
-        .select(
-            key,
-            F.least(F.ceil(F.col(weight) / rows_per_task), F.lit(MAX_PIECES))
-            .cast("int")
-            .alias("_pieces"),
-        )
+    keys = [key] if isinstance(key, str) else key
+    hot = lookup.where(F.col(weight) > rows_per_task).select(
+        *keys, F.ceil(F.col(weight) / rows_per_task).cast("int").alias("_pieces")
     )
     hot = F.broadcast(hot)
-    left = rows.join(hot, key, "left").withColumn(
+    left = rows.join(hot, keys, "left").withColumn(
         "_piece",
         F.when(
             F.col("_pieces").isNotNull(),
@@ -52,11 +43,11 @@ def join_by_key(
         ).otherwise(0),
     ).drop("_pieces")
     right = (
-        lookup.join(hot, key, "left")
+        lookup.join(hot, keys, "left")
         .withColumn(
             "_piece",
             F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1)),
         )
         .drop("_pieces")
     )
-    return left.join(right, [key, "_piece"], how).drop("_piece")
+    return left.join(right, [*keys, "_piece"], how).drop("_piece")

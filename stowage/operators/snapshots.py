@@ -106,11 +106,13 @@ def upsert_snapshots(
 ) -> DataFrame:
     """One snapshot per key; the one created last replaces the others.
 
-    An aggregate rather than numbered rows, so it reduces before the shuffle.
+    Of several created at one time the one with the largest JSON text counts, so
+    the choice doesn't depend on the order of rows. An aggregate rather than
+    numbered rows, so it reduces before the shuffle.
     """
     both = stored.unionByName(arrived)
     rest = [c for c in both.columns if c not in (*key, "created_at")]
-    last = F.max_by(F.struct(*rest), F.col("created_at"))
+    last = F.max_by(F.struct(*rest), F.struct("created_at", F.to_json(F.struct(*rest))))
     return both.groupBy(*key).agg(last.alias("_row"), F.max("created_at").alias("created_at")).select(
         *key, "_row.*", "created_at"
     )
@@ -130,16 +132,19 @@ def snapshot_history(
     snapshots: DataFrame,
     from_date: str | None = None,
     to_date: str | None = None,
-    limit: int | None = 90,
+    per_volume: int | None = None,
 ) -> DataFrame:
-    """Snapshots within the dates (inclusive), newest first."""
+    """Snapshots within the dates (inclusive), newest first; the last few of each volume if asked."""
     rows = snapshots
     if from_date is not None:
         rows = rows.where(F.col("snapshot_date") >= F.lit(from_date).cast("date"))
     if to_date is not None:
         rows = rows.where(F.col("snapshot_date") <= F.lit(to_date).cast("date"))
-    rows = rows.orderBy(F.col("snapshot_date").desc(), "volume_id")
-    return rows if limit is None else rows.limit(limit)
+    if per_volume is not None:
+        newest = W.partitionBy("volume_id").orderBy(F.col("snapshot_date").desc())
+        rows = rows.withColumn("_rank", F.row_number().over(newest)).where(
+            F.col("_rank") <= per_volume).drop("_rank")
+    return rows.orderBy(F.col("snapshot_date").desc(), "volume_id")
 
 
 def growth_series(snapshots: DataFrame, points: int = 30) -> DataFrame:

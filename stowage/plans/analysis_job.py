@@ -2,7 +2,8 @@
 
 Each step writes its table before the next one reads it. That cuts the
 lineage, so a lost executor repeats one step at most, and a job that is run
-again replaces the partitions of its scan instead of adding to them.
+again replaces the partitions of its scan instead of adding to them. Snapshots
+and forecasts are kept per scan and date, so those of other dates stay.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stowage.operators import (
     breakdowns, duplicates, folders, forecasting, recommendations, snapshots, staleness, workspaces,
 )
-from stowage.sources.tables import replace_partitions
+from stowage.sources.tables import read_table, replace_partitions
 
 STEPS = [
     "scored_files", "folders", "workspaces", "file_hashes", "duplicate_groups",
@@ -43,10 +44,14 @@ def run_analysis(
     if register.limit(1).count() == 0:
         raise ValueError(f"scan {scan_id} is not completed")
 
-    def store(df: DataFrame, name: str, *keys: str) -> DataFrame:
-        replace_partitions(df, f"{output}/{name}", *(keys or ("scan_id",)))
-        stored = spark.read.parquet(f"{output}/{name}")
-        return breakdowns.of_scan(stored, scan_id) if "scan_id" in stored.columns else stored
+    stored: dict[str, DataFrame] = {}
+
+    def store(df: DataFrame, name: str, *more: str) -> DataFrame:
+        """Replaces the scan's rows of a table, by none if there are none, and reads them back."""
+        replace = [scan_id] if not more else []
+        replace_partitions(df, f"{output}/{name}", "scan_id", *more, replacing=replace)
+        stored[name] = breakdowns.of_scan(read_table(df, f"{output}/{name}"), scan_id)
+        return stored[name]
 
     own = breakdowns.of_scan(files, scan_id)
     scored = store(staleness.score_files(own, as_of), "scored_files")
@@ -78,20 +83,11 @@ def run_analysis(
     # Series with fewer than two snapshots give nothing to forecast from.
     points = forecasting.series_points(history)
     fitted = forecasting.forecasts(points, date).where("point_count > 1")
-    store(
-        forecasting.one_model(fitted).withColumn("forecast_date", F.lit(date).cast("date")),
-        "forecasts", "forecast_date",
-    )
-    return stored_rows(spark, output, scan_id)
-
-
-def stored_rows(spark: SparkSession, output: str, scan_id: str) -> DataFrame:
-    """Rows per stored table of one scan."""
-    counts = []
-    for name in STEPS:
-        stored = spark.read.parquet(f"{output}/{name}")
-        rows = breakdowns.of_scan(stored, scan_id) if "scan_id" in stored.columns else stored
-        counts.append(
-            rows.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
-        )
+    made = forecasting.one_model(fitted).withColumns(
+        {"scan_id": F.lit(scan_id), "forecast_date": F.lit(date).cast("date")})
+    store(made, "forecasts", "forecast_date")
+    counts = [
+        stored[name].agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
+        for name in STEPS
+    ]
     return reduce(lambda a, b: a.unionByName(b), counts)

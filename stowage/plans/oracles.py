@@ -181,14 +181,12 @@ daily AS (SELECT CAST(user_id % 20 AS VARCHAR) AS volume_id, CAST(ts AS DATE) AS
  CAST(sum(CAST(round(value * 100) AS BIGINT) * 10000) AS BIGINT) AS bytes, count(*) AS files
  FROM events GROUP BY 1, 2),
 cumulated AS (SELECT *, CAST(sum(bytes) OVER w AS BIGINT) AS running,
- CAST(sum(files) OVER w AS BIGINT) AS file_count, row_number() OVER w AS day_number FROM daily
+ CAST(sum(files) OVER w AS BIGINT) AS file_count FROM daily
  WINDOW w AS (PARTITION BY volume_id ORDER BY snapshot_date
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 snaps AS (SELECT volume_id, snapshot_date, CAST(1000000000000000 AS BIGINT) AS total_size_bytes,
  CASE WHEN CAST(volume_id AS INTEGER) >= 15 THEN bytes ELSE running END AS used_size_bytes,
- file_count, CAST(0 AS BIGINT) AS dir_count FROM cumulated
- WHERE day_number <= CASE WHEN CAST(volume_id AS INTEGER) BETWEEN 10 AND 12 THEN 4
-  WHEN CAST(volume_id AS INTEGER) BETWEEN 13 AND 14 THEN 2 ELSE 1000000 END)"""
+ file_count, CAST(0 AS BIGINT) AS dir_count FROM cumulated)"""
 POINTS = DAILY + """,
 points AS (SELECT volume_id AS series, CAST(date_diff('day', min(snapshot_date)
  OVER (PARTITION BY volume_id), snapshot_date) AS INTEGER) AS day_index,
@@ -398,10 +396,10 @@ RECS = CONTEXT + ",\nrecs AS (" + "\nUNION ALL ".join([
 ]) + ")"
 # No file of the inventory exceeds the limit of the large-file rule by itself.
 LARGE = INV + """,
-big AS (SELECT path, size_bytes FROM (SELECT path, size_bytes * 2000 AS size_bytes FROM inv
- ORDER BY size_bytes DESC, path LIMIT 20) WHERE size_bytes > 1073741824),
+big AS (SELECT path, size_bytes * 2000 AS size_bytes FROM inv WHERE size_bytes * 2000 > 1073741824),
+shown AS (SELECT * FROM big ORDER BY size_bytes DESC, path LIMIT 20),
 big_sum AS (SELECT count(*) AS n, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS b,
- string_agg(path, ',' ORDER BY size_bytes DESC, path) AS paths FROM big)"""
+ (SELECT string_agg(path, ',' ORDER BY size_bytes DESC, path) FROM shown) AS paths FROM big)"""
 
 PLAN = SCORED + "," + GROUPS + "," + SPACES.removeprefix(INV + ",") + "," + SECOND + """,
 plan AS (
@@ -532,14 +530,17 @@ def oracle_sql() -> dict[str, str]:
  {size_sum} AS total_size_bytes, count(*) AS file_count FROM page_inv GROUP BY 1, 2"""
     q["depth_limit"] = f"""WITH {INV} SELECT file_id, path FROM inv
  WHERE len(string_split(directory, '/')) - 1 <= 4"""
-    q["scan_totals"] = f"""WITH {FOLDERS}, {SCANS} SELECT s.scan_id, i.total_files, d.total_dirs,
- i.total_size_bytes, CASE WHEN epoch_us(completed_at) > epoch_us(started_at) THEN
- round(total_files / ((epoch_us(completed_at) - epoch_us(started_at)) / 1000000e0), 1)
- ELSE 0e0 END AS files_per_second, CASE WHEN error_count > 0 THEN 'completed_with_warnings'
- ELSE 'completed' END AS status
- FROM scans s JOIN (SELECT scan_id, count(*) AS total_files, {size_sum} AS total_size_bytes
+    q["scan_totals"] = f"""WITH {FOLDERS}, {SCANS} SELECT s.scan_id,
+ coalesce(i.total_files, 0) AS total_files, coalesce(d.total_dirs, 0) AS total_dirs,
+ coalesce(i.total_size_bytes, 0) AS total_size_bytes,
+ CASE WHEN epoch_us(completed_at) > epoch_us(started_at) THEN
+ round(coalesce(total_files, 0) / ((epoch_us(completed_at) - epoch_us(started_at)) / 1000000e0), 1)
+ ELSE 0e0 END AS files_per_second, CASE WHEN status <> 'completed' THEN status
+ WHEN error_count > 0 THEN 'completed_with_warnings' ELSE 'completed' END AS status
+ FROM scans s LEFT JOIN (SELECT scan_id, count(*) AS total_files, {size_sum} AS total_size_bytes
  FROM inv GROUP BY 1) i ON i.scan_id = s.scan_id
- JOIN (SELECT scan_id, count(*) AS total_dirs FROM folders GROUP BY 1) d ON d.scan_id = s.scan_id"""
+ LEFT JOIN (SELECT scan_id, count(*) AS total_dirs FROM folders GROUP BY 1) d
+ ON d.scan_id = s.scan_id"""
     q["scan_registry"] = f"""WITH {SCANS} SELECT scan_id, root_path, status, {_ts('created_at')},
  total_size_bytes FROM (SELECT * FROM scans WHERE status = 'completed'
  ORDER BY created_at DESC, scan_id LIMIT 50 OFFSET 50)"""
@@ -610,7 +611,7 @@ delta AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN
  (PARTITION BY volume_id ORDER BY snapshot_date DESC) AS r FROM snaps) WHERE r = 1"""
     q["snapshot_history"] = f"""WITH {DAILY} SELECT volume_id, {_day()}, total_size_bytes,
  used_size_bytes, file_count, dir_count FROM (SELECT * FROM snaps WHERE snapshot_date BETWEEN
- DATE '2024-01-05' AND DATE '2024-01-20' ORDER BY snapshot_date DESC, volume_id LIMIT 90)"""
+ DATE '2024-01-05' AND DATE '2024-01-20')"""
     q["growth_series"] = f"""WITH {DAILY} SELECT volume_id, {_day()}, total_size_bytes,
  used_size_bytes, file_count FROM (SELECT *, row_number() OVER
  (PARTITION BY volume_id ORDER BY snapshot_date DESC) AS r FROM snaps) WHERE r <= 14"""

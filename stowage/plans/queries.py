@@ -25,7 +25,7 @@ from stowage.operators import (
 from stowage.plans import analysis_job
 from stowage.session import shared_folder, use_utc
 from stowage.sources import given_tables as given
-from stowage.sources import listing, tables
+from stowage.sources import tables
 from stowage.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,15 +99,6 @@ def _rollup(spark: SparkSession, sf: str) -> DataFrame:
 # Inventory
 
 
-@query
-def inventory_listing(spark, sf):
-    """The files that hold the given tables, as an inventory."""
-    return listing.list_files(use_utc(spark), sf, "scan-files").select(
-        "scan_id", "file_id", "path", "directory", "filename", "extension", "size_bytes",
-        "category",
-    )
-
-
 @query
 def inventory_table(spark, sf):
     files = given.inventory(spark, sf).where(F.col("scan_id") == SCAN)
@@ -390,7 +381,7 @@ def latest_snapshot(spark, sf):
 @query
 def snapshot_history(spark, sf):
     rows = snapshots.snapshot_history(
-        given.snapshots(spark, sf), "2024-01-05", "2024-01-20", 90
+        given.snapshots(spark, sf), "2024-01-05", "2024-01-20"
     )
     return rows.withColumn("snapshot_date", day_text("snapshot_date"))
 
@@ -514,19 +505,19 @@ def dup_group_list_totals(spark, sf):
 
 @query
 def dup_group_detail(spark, sf):
-    return duplicates.group_detail(_members(spark, sf)).withColumn(
+    return duplicates.group_detail(_members(spark, sf)).drop("scan_id").withColumn(
         "is_keeper", F.col("is_keeper").cast("int")
     )
 
 
 def _decisions(spark, sf):
     """Labelled documents were looked at: good ones are to be kept."""
-    hashed = _hashed(spark, sf).select("file_id", F.col("sha256").alias("group_id"))
+    hashed = _hashed(spark, sf).select("scan_id", "file_id", F.col("sha256").alias("group_id"))
     good = given.table(spark, sf, "labels").where("quality = 1").select(
         F.col("doc_id").cast("string").alias("file_id"), F.col("doc_id").alias("decided_at")
     )
     return hashed.join(good, "file_id").select(
-        "group_id", F.col("file_id").alias("keep_file_id"), "decided_at"
+        "scan_id", "group_id", F.col("file_id").alias("keep_file_id"), "decided_at"
     )
 
 
@@ -543,7 +534,7 @@ def dup_resolve(spark, sf):
 
 @query
 def dup_resolve_report(spark, sf):
-    return duplicates.resolve_report(_resolved(spark, sf))
+    return duplicates.resolve_report(_resolved(spark, sf)).drop("scan_id")
 
 
 @query
@@ -552,29 +543,31 @@ def dup_auto_keeper(spark, sf):
     return keepers.select("group_id", "keep_file_id")
 
 
+def _removable(spark, sf, spare_first_too=False):
+    return duplicates.removable_files(
+        _hashed(spark, sf), _decisions(spark, sf), spare_first_too
+    )
+
+
 @query
 def dup_removable(spark, sf):
-    return duplicates.removable_files(_resolved(spark, sf)).select(
-        "group_id", "file_id", "path", "size_bytes"
-    )
+    return _removable(spark, sf).select("group_id", "file_id", "path", "size_bytes")
 
 
 @query
 def dup_removable_strict(spark, sf):
-    return duplicates.removable_files(_resolved(spark, sf), spare_first_too=True).select(
-        "group_id", "file_id", "path", "size_bytes"
-    )
+    return _removable(spark, sf, True).select("group_id", "file_id", "path", "size_bytes")
 
 
 @query
 def dup_removable_bytes(spark, sf):
-    return duplicates.removable_totals(duplicates.removable_files(_resolved(spark, sf)))
+    return duplicates.removable_totals(_removable(spark, sf))
 
 
 @query
 def dup_verify_bytes(spark, sf):
-    checked = duplicates.verify_bytes(given.content(spark, sf), _members(spark, sf))
-    return checked.withColumn("identical", F.col("identical").cast("int"))
+    checked = duplicates.verify_bytes(given.content(spark, sf), _hashed(spark, sf))
+    return checked.drop("scan_id").withColumn("identical", F.col("identical").cast("int"))
 
 
 @named("content_hash")
@@ -1184,7 +1177,7 @@ def analysis_of_scan(spark, sf):
 
 def _plan(spark, sf):
     """Three actions: remove duplicates, archive old code, remove caches."""
-    removable = duplicates.removable_files(_members(spark, sf))
+    removable = duplicates.removable_files(_hashed(spark, sf))
     old = staleness.stale_files(_scored(spark, sf), "archive_candidate", category="code")
     caches = _artifacts(spark, sf).where("is_safe")
     return (

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-_local_folders: dict[str, str] = {}
+SHARED_DIR = "spark.stowage.shared.dir"
+_shipped: set[str] = set()
 
 
 def build_session(name: str = "stowage", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,18 +39,27 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="stowage-")).resolve() / "stowage.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(application)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can write to.
+    """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session,
-    where driver and executors are one machine, may fall back to a new folder.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in
+    a local session, the caller names it in ``spark.stowage.shared.dir``.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        application = spark.sparkContext.applicationId
-        if application not in _local_folders:
-            _local_folders[application] = tempfile.mkdtemp(prefix="stowage-")
-        return _local_folders[application]
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SHARED_DIR, None)
+    if not named:
+        raise ValueError(f"set spark.checkpoint.dir or {SHARED_DIR} to a folder that all share")
+    return named.rstrip("/")

@@ -198,22 +198,19 @@ def daily_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily snapshots per volume that reach every forecasting branch.
+    """Daily snapshots per volume, all days of all of them.
 
-    Volumes 0-9 grow steadily, 10-12 have four days, 13-14 two days, and
-    15-19 show the bytes of the day itself, which follow no line.
+    Volumes 0-14 grow steadily; 15-19 show the bytes of the day itself, which
+    follow no line.
     """
     by_date = W.partitionBy("volume_id").orderBy("snapshot_date")
     volume = F.col("volume_id").cast("int")
     noisy = volume >= 15
-    days_kept = F.when(volume.between(10, 12), 4).when(volume.between(13, 14), 2).otherwise(10**6)
     so_far = by_date.rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
         daily_bytes(spark, sf_dir)
         .withColumn("running", F.sum("bytes").over(so_far))
         .withColumn("file_count", F.sum("files").over(so_far))
-        .withColumn("day_number", F.row_number().over(by_date))
-        .where(F.col("day_number") <= days_kept)
         .select(
             "volume_id",
             "snapshot_date",

@@ -1,16 +1,10 @@
-"""Inventories from real folders."""
+"""Inventories from real folders, by Spark's own file listing."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import datetime
-
-import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stowage.functions.paths import normalize_path, with_path_parts
-from stowage.sources.stores import open_store
 
 
 def _plain(path: Column) -> Column:
@@ -18,7 +12,18 @@ def _plain(path: Column) -> Column:
     return F.regexp_replace(path, r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
 
 
-def _as_inventory(listed: DataFrame, scan_id: str) -> DataFrame:
+def list_files(spark: SparkSession, root: str, scan_id: str) -> DataFrame:
+    """All files below ``root`` that are not empty, in the layout of an inventory.
+
+    Spark's file source lists in parallel and opens no file. It leaves out empty
+    and hidden files and follows links, so folders with links to themselves
+    need an inventory that comes as a table.
+    """
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        .select(_plain(F.col("path")).alias("path"), F.col("length").alias("size_bytes"),
+                F.col("modificationTime").alias("modified_at"))
+    )
     rows = with_path_parts(listed.withColumn("path", normalize_path(F.col("path"))))
     return rows.select(
         F.lit(scan_id).alias("scan_id"),
@@ -31,97 +36,3 @@ def _as_inventory(listed: DataFrame, scan_id: str) -> DataFrame:
         F.lit(None).cast("string").alias("owner"),
         F.lit(None).cast("string").alias("permissions"),
     )
-
-
-def read_contents(spark: SparkSession, root: str, scan_id: str) -> DataFrame:
-    """All files below ``root`` that are not empty, with their bytes.
-
-    Columns that are not asked for are not read, so a selection without
-    ``content`` opens no file. Spark leaves out empty files here and stops at
-    2 GB per row; ``list_files`` with ``duplicates.hash_listed_files`` has
-    neither limit.
-    """
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select(
-            _plain(F.col("path")).alias("path"),
-            F.col("length").alias("size_bytes"),
-            F.col("modificationTime").alias("modified_at"),
-            "content",
-        )
-    )
-    rows = with_path_parts(listed.withColumn("path", normalize_path(F.col("path"))))
-    return rows.select(
-        F.lit(scan_id).alias("scan_id"), F.sha2("path", 256).alias("file_id"),
-        "path", "extension", "size_bytes", "content", "modified_at",
-    )
-
-
-_ENTRY = "path string, is_folder boolean, size_bytes bigint, modified_at timestamp"
-_ENTRY_TYPES = [pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us", tz="UTC")]
-_NAMES = ["path", "is_folder", "size_bytes", "modified_at"]
-
-Entry = tuple[str, bool, int | None, datetime | None]
-
-
-def _children(path: str) -> list[Entry]:
-    """Entries directly in one folder; an unreadable folder has none."""
-    store, name = open_store(path)
-    prefix = path[: len(path) - len(name)] if path.endswith(name) else ""
-    try:
-        found = store.get_file_info(fs.FileSelector(name, allow_not_found=True))
-    except OSError:
-        return []
-    return [(prefix + e.path, e.type == fs.FileType.Directory, e.size, e.mtime) for e in found]
-
-
-def _batch(entries: list[Entry]) -> pa.RecordBatch:
-    columns = zip(*entries, strict=True) if entries else ([],) * len(_NAMES)
-    arrays = [pa.array(list(c), t) for c, t in zip(columns, _ENTRY_TYPES, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, names=_NAMES)
-
-
-def _list_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path in batch.column("path").to_pylist():
-            yield _batch(_children(path))
-
-
-def _list_below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pending = batch.column("path").to_pylist()
-        while pending:
-            entries = _children(pending.pop())
-            pending.extend(path for path, is_folder, _, _ in entries if is_folder)
-            yield _batch([entry for entry in entries if not entry[1]])
-
-
-def list_files(
-    spark: SparkSession, roots: str | DataFrame, scan_id: str, spread_levels: int = 2,
-    partitions: int | None = None,
-) -> DataFrame:
-    """All files below one root, or below a table of roots (column ``path``).
-
-    The executors list, so the driver never holds the listing: the first
-    ``spread_levels`` levels are listed folder by folder and dealt out, then
-    each task walks the subtrees it was given and hands rows on as it goes.
-    """
-
-    def deal(df: DataFrame) -> DataFrame:
-        return df.repartition(partitions, "path") if partitions else df.repartition("path")
-
-    if isinstance(roots, str):
-        roots = spark.createDataFrame([(roots,)], "path string")
-    folders, files = deal(roots.select("path").distinct()), None
-    for _ in range(spread_levels):
-        level = folders.mapInArrow(_list_level, _ENTRY)
-        here = level.where("NOT is_folder")
-        files = here if files is None else files.unionByName(here)
-        folders = deal(level.where("is_folder").select("path"))
-    below = folders.mapInArrow(_list_below, _ENTRY)
-    files = below if files is None else files.unionByName(below)
-    return _as_inventory(
-        files.select(_plain(F.col("path")).alias("path"), "size_bytes", "modified_at"), scan_id
-    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stowage.operators.breakdowns import of_scan
@@ -12,17 +14,38 @@ def read_inventory(spark: SparkSession, folder: str, scan_id: str | None = None)
     return of_scan(spark.read.parquet(folder), scan_id)
 
 
-def replace_partitions(df: DataFrame, folder: str, *keys: str) -> None:
+def replace_partitions(
+    df: DataFrame, folder: str, *keys: str, replacing: Iterable[str] = ()
+) -> None:
     """Writes the partitions present in ``df``, replacing what they held.
 
-    Writing the same scan again gives the same table, so a repeated run is safe.
+    ``replacing`` names values of the first key whose old rows go even if ``df``
+    has none for them. Writing the same scan again gives the same table, so a
+    repeated run is safe.
     """
+    jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    old = []
+    for value in replacing:
+        path = jvm.org.apache.hadoop.fs.Path(folder, escaped(keys[0], value))
+        store = path.getFileSystem(hadoop)
+        if store.exists(path):
+            files = store.listFiles(path, True)
+            while files.hasNext():
+                old.append((store, files.next().getPath()))
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys)
         .parquet(folder)
     )
+    for store, path in old:  # what no new partition has taken the place of
+        store.delete(path, False)
+
+
+def read_table(df: DataFrame, folder: str) -> DataFrame:
+    """A stored table with the schema of ``df``, also one without any file."""
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def write_inventory(files: DataFrame, folder: str, by_size: bool = True) -> None:

@@ -9,6 +9,7 @@ CTX = {
     "duplicate_groups": 0, "duplicate_files": 0, "wasted_bytes": 0, "stale_bytes": 0,
     "stale_count": 0, "archive_bytes": 0, "archive_count": 0, "workspace_count": 0,
     "workspace_bytes": 0, "workspace_safe_bytes": 0, "inactive_workspaces": 0, "free_storage": 0,
+    "large_file_bytes": 0, "large_file_count": 0,
 }
 
 
@@ -27,6 +28,14 @@ def _recs(frame, **given):
     return recs.orderBy(*recommendations.recommendation_order()).collect()
 
 
+def test_all_large_files_count(frame):
+    """The list that is shown is short; count and bytes are of all files."""
+    (rec,) = _recs(frame, files=[(f"/{i}", 2 * V.GIB) for i in range(20)],
+                   large_file_count=30, large_file_bytes=60 * V.GIB)
+    assert rec["affected_count"] == 30 and rec["recoverable_bytes"] == 60 * V.GIB
+    assert rec["title"].startswith("Review 30 files")
+
+
 def test_nothing_to_recommend(frame):
     assert _recs(frame) == []
 
@@ -41,7 +50,7 @@ THRESHOLDS = [
     ({"inactive_workspaces": 1}, 0), ({"inactive_workspaces": 2}, 1),
     ({"free_storage": 180, "growth": 1.0}, 1), ({"free_storage": 181, "growth": 1.0}, 0),
     ({"free_storage": 0, "growth": 1.0}, 0), ({"free_storage": 5, "growth": 0.0}, 0),
-    ({"files": [("/a", V.GIB)]}, 0), ({"files": [("/a", V.GIB + 1), ("/b", 1)]}, 1),
+    ({"files": [("/a", V.GIB)]}, 0), ({"files": [("/a", V.GIB + 1), ("/b", 1)], "large_file_count": 1, "large_file_bytes": V.GIB + 1}, 1),
     ({"types": [("node", 2, 100 * V.MIB)]}, 0), ({"types": [("node", 2, 100 * V.MIB + 1)]}, 1),
 ]
 
@@ -57,7 +66,8 @@ def test_thresholds(frame):
 def test_texts_and_order(frame):
     recs = _recs(
         frame, growth=10.0, extensions=[".a", ".b"], types=[("ml", 3, V.GIB)],
-        files=[("/big", 2 * V.GIB)], duplicate_groups=3, duplicate_files=7, wasted_bytes=V.GIB,
+        files=[("/big", 2 * V.GIB)], large_file_bytes=2 * V.GIB, large_file_count=1,
+        duplicate_groups=3, duplicate_files=7, wasted_bytes=V.GIB,
         archive_bytes=60 * V.GIB, archive_count=4, free_storage=250,
     )
     assert [r["priority"] for r in recs] == ["critical", "critical", "high", "high", "medium"]

@@ -58,7 +58,7 @@ def test_funnel_and_groups(frame):
     assert members.count() == 5
     flags = {r["file_id"]: r["is_duplicate"] for r in duplicates.duplicate_flags(hashed).collect()}
     assert sum(flags.values()) == 5 and flags["f002"] is False
-    checked = duplicates.verify_bytes(content, members).collect()
+    checked = duplicates.verify_bytes(content, hashed).collect()
     assert len(checked) == 3 and all(r["identical"] for r in checked)
 
 
@@ -68,29 +68,48 @@ def test_no_duplicates(frame):
     assert duplicates.duplicate_summary(duplicates.duplicate_groups(hashed)).first() == (0, 0, 0)
 
 
+DECISIONS = "scan_id string, group_id string, keep_file_id string, decided_at bigint"
+
+
 @pytest.mark.parametrize("keep,gone,gone_too", [
     (None, {"f006", "f007"}, {"f006", "f007"}),
     ("f005", {"f006", "f007"}, {"f006", "f007"}),
     ("f006", {"f005", "f007"}, {"f007"}),
 ])
 def test_removable_spares_one(frame, keep, gone, gone_too):
-    hashed = duplicates.full_hashes(_content(frame, BLOBS))
-    members = duplicates.duplicate_members(hashed).where("size_bytes = 1024")
-    group = members.first()["group_id"]
-    ddl = "group_id string, keep_file_id string, decided_at bigint"
-    decisions = frame([(group, "f007", 1), (group, keep, 2)] if keep else [], ddl)
-    resolved = duplicates.resolve_groups(members, decisions)
-    got = {r["file_id"] for r in duplicates.removable_files(resolved).collect()}
+    hashed = duplicates.full_hashes(_content(frame, BLOBS)).where("size_bytes = 1024")
+    group = hashed.first()["sha256"]
+    decisions = frame([("s", group, "f007", 1), ("s", group, keep, 2)] if keep else [], DECISIONS)
+    got = {r["file_id"] for r in duplicates.removable_files(hashed, decisions).collect()}
     assert got == gone
-    strict = duplicates.removable_files(resolved, spare_first_too=True).collect()
+    strict = duplicates.removable_files(hashed, decisions, spare_first_too=True).collect()
     assert {r["file_id"] for r in strict} == gone_too
+    resolved = duplicates.resolve_groups(duplicates.duplicate_members(hashed), decisions)
+    assert {r["file_id"] for r in resolved.where("is_keeper").collect()} == ({keep} if keep else set())
+
+
+def test_groups_of_two_scans_stay_apart(frame):
+    rows = [("s1", "a"), ("s1", "b"), ("s2", "b"), ("s2", "c"), ("s3", "b")]
+    hashed = frame([(s, f, f"/{f}", 5000, "h") for s, f in rows],
+                   "scan_id string, file_id string, path string, size_bytes bigint, sha256 string")
+    members = duplicates.duplicate_members(hashed)
+    assert members.count() == 4
+    decisions = frame([("s1", "h", "b", 1)], DECISIONS)
+    gone = {(r["scan_id"], r["file_id"]) for r in duplicates.removable_files(hashed, decisions).collect()}
+    assert gone == {("s1", "a"), ("s2", "c")}
+    resolved = duplicates.resolve_groups(members, decisions)
+    assert {(r["scan_id"], r["status"]) for r in resolved.collect()} == {("s1", "resolved"), ("s2", "unresolved")}
+    assert {(r["scan_id"], r["files_removable"]) for r in duplicates.resolve_report(resolved).collect()} == {("s1", 1)}
+    content = hashed.withColumn("content", F.encode(F.lit("x"), "utf-8"))
+    checked = duplicates.verify_bytes(content, hashed).collect()
+    assert {(r["scan_id"], r["file_id"]) for r in checked} == {("s1", "b"), ("s2", "c")}
 
 
 def test_unknown_decision_changes_nothing(frame):
     hashed = duplicates.full_hashes(_content(frame, BLOBS))
     members = duplicates.duplicate_members(hashed)
     group = members.first()["group_id"]
-    decisions = frame([(group, "nobody", 1)], "group_id string, keep_file_id string, decided_at bigint")
+    decisions = frame([("s", group, "nobody", 1)], DECISIONS)
     resolved = duplicates.resolve_groups(members, decisions)
     assert resolved.where("status = 'resolved'").count() == 0
     assert duplicates.unknown_decisions(members, decisions).count() == 1
@@ -132,26 +151,28 @@ def test_real_files(spark, tmp_path):
     hashed = duplicates.hash_listed_files(listed)
     groups = duplicates.duplicate_groups(hashed).collect()
     assert len(groups) == 1 and groups[0]["group_id"] == hashlib.sha256(BLOBS[0]).hexdigest()
-    from_bytes = duplicates.full_hashes(listing.read_contents(spark, str(tmp_path), "s"))
-    assert {g["group_id"] for g in duplicates.duplicate_groups(from_bytes).collect()} == {
-        groups[0]["group_id"]}
 
 
-def test_unreadable_and_huge_files_drop_out(frame, tmp_path):
+def test_missing_files_have_no_digest_and_failures_are_raised(frame, tmp_path):
     (tmp_path / "here").write_bytes(b"y" * 5000)
+    ddl = "scan_id string, file_id string, path string, size_bytes bigint"
     rows = [("s", "1", str(tmp_path / "here"), 5000), ("s", "2", str(tmp_path / "gone"), 5000)]
-    files = frame(rows, "scan_id string, file_id string, path string, size_bytes bigint")
+    files = frame(rows, ddl)
     got = {r["file_id"]: r["h"] for r in hashing.hash_files(files, "h").collect()}
     assert got == {"1": hashlib.sha256(b"y" * 5000).hexdigest(), "2": None}
     capped = hashing.hash_files(files, "h", max_bytes=4999).collect()
     assert all(r["h"] is None for r in capped)
+    folder = frame([("s", "1", str(tmp_path), 5000)], ddl)
+    with pytest.raises(Exception, match="director"):
+        hashing.hash_files(folder, "h").collect()
 
 
 def test_hardlinks(frame):
-    rows = [(1, 7, "/b", "2", 5), (1, 7, "/a", "1", 5), (2, 7, "/c", "3", 5)]
+    rows = [(1, 7, "/b", "2", 5), (1, 7, "/a", "1", 5), (2, 7, "/c", "3", 5),
+            (None, None, "/d", "4", 5), (None, None, "/e", "5", 5), (1, None, "/f", "6", 5)]
     df = frame(rows, "device int, inode int, path string, file_id string, size_bytes bigint")
     got = {(r["path"], r["link_count"]) for r in duplicates.collapse_hardlinks(df).collect()}
-    assert got == {("/a", 2), ("/c", 1)}
+    assert got == {("/a", 2), ("/c", 1), ("/d", 1), ("/e", 1), ("/f", 1)}
 
 
 def test_incremental_hashes_only_changes(frame):
@@ -161,7 +182,9 @@ def test_incremental_hashes_only_changes(frame):
     after = before.withColumn("modified_at", F.when(F.col("file_id") != "f000",
                               F.lit("2026-01-01").cast("timestamp"))
                               .otherwise(F.lit("2026-02-01").cast("timestamp")))
-    got = {r["file_id"]: r["sha256"] for r in duplicates.incremental_hashes(after, known).collect()}
-    assert len(got) == len(BLOBS)
+    twice = known.unionByName(known.withColumn("scan_id", F.lit("older")))
+    rows = duplicates.incremental_hashes(after, twice).collect()
+    got = {r["file_id"]: r["sha256"] for r in rows}
+    assert len(got) == len(rows) == len(BLOBS)
     assert got["f000"] == hashlib.sha256(BLOBS[0]).hexdigest()
     assert all(v == "known" for k, v in got.items() if k != "f000")

@@ -93,7 +93,7 @@ def _kept(df):
     return sorted(r["path"] for r in df.collect())
 
 
-def test_file_rules_by_constants_and_by_joins(frame, spark):
+def test_file_rules(frame, spark):
     files = _inventory(frame, [(p, 1) for p in PATHS])
     rules = exclusions.rule_table(spark, RULES)
     want = sorted([
@@ -101,10 +101,9 @@ def test_file_rules_by_constants_and_by_joins(frame, spark):
         "/q/cache1/f", "/q/cache12/f",
     ])
     assert _kept(exclusions.exclude_files(files, rules)) == want
-    assert _kept(exclusions.exclude_files(files, rules, max_constants=0)) == want
 
 
-def test_subtree_rules_by_constants_and_by_joins(frame, spark):
+def test_subtree_rules(frame, spark):
     files = _inventory(frame, [(p, 1) for p in PATHS])
     rules = exclusions.rule_table(spark, RULES)
     want = sorted([
@@ -112,15 +111,27 @@ def test_subtree_rules_by_constants_and_by_joins(frame, spark):
         "/q/cache12/f", "/p/node_modules",
     ])
     assert _kept(exclusions.exclude_subtrees(files, rules)) == want
-    assert _kept(exclusions.exclude_subtrees(files, rules, max_constants=0)) == want
 
 
 def test_substring_rules(frame, spark):
     files = _inventory(frame, [("/home/dev/x", 1), ("/a/x", 1)])
     rules = exclusions.rule_table(spark, [("/dev", "path")])
-    for limit in (1000, 0):
-        kept = exclusions.exclude_files(files, rules, substring=True, max_constants=limit)
-        assert _kept(kept) == ["/a/x"]
+    assert _kept(exclusions.exclude_files(files, rules, substring=True)) == ["/a/x"]
+
+
+def test_any_number_of_rules_and_odd_ones(frame, spark):
+    """The root, relative paths, missing paths and patterns that only one regex engine takes."""
+    files = frame([("x/z/f.py",), ("/x/y/f.py",), (None,), ("/Ünï/a",)], "path string").withColumn(
+        "directory", F.regexp_replace("path", "/[^/]*$", ""))
+    many = [(f"n{i}", "name") for i in range(3000)]
+    kept = lambda rules: {r["path"] for r in exclusions.exclude_files(
+        files, exclusions.rule_table(spark, rules + many)).collect()}
+    assert kept([("/", "path")]) == {"x/z/f.py", None}
+    assert kept([("/x", "path")]) == {"x/z/f.py", None, "/Ünï/a"}
+    assert kept([("x", "path")]) == {None, "/Ünï/a"}
+    assert kept([("(?P<n>x)", "regex"), ("[", "regex"), (r"^/\p{Lu}\p{L}+", "regex")]) == {"x/z/f.py", "/x/y/f.py", None}
+    tree = exclusions.exclude_subtrees(files, exclusions.rule_table(spark, [("/x", "path"), *many]))
+    assert {r["path"] for r in tree.collect()} == {"x/z/f.py", None, "/Ünï/a"}
 
 
 def test_rule_sources(frame, spark):
@@ -164,17 +175,12 @@ def _tree(root):
 def test_listing_of_a_tree(spark, tmp_path):
     root = str(tmp_path)
     _tree(root)
-    want = {(f"{root}/a.txt", 3, "document"), (f"{root}/sub/b.py", 5, "code"),
-            (f"{root}/sub/deep/c", 0, "other"), (f"{root}/sub/deep/er/d.mp4", 7, "video")}
-    roots = spark.createDataFrame([(root,)], "path string")
-    for given, levels in ((root, 2), (roots, 0), (roots, 1), (roots, 4)):
-        listed = listing.list_files(spark, given, "s", spread_levels=levels)
-        assert {(r["path"], r["size_bytes"], r["category"]) for r in listed.collect()} == want
-    contents = listing.read_contents(spark, root, "s")
-    assert {r["path"]: len(r["content"]) for r in contents.collect()} == {
-        path: size for path, size, _ in want if size
-    }
-    plan = contents.select("size_bytes")._jdf.queryExecution().executedPlan().toString()
+    listed = listing.list_files(spark, root, "s")
+    assert {(r["path"], r["size_bytes"], r["category"]) for r in listed.collect()} == {
+        (f"{root}/a.txt", 3, "document"), (f"{root}/sub/b.py", 5, "code"),
+        (f"{root}/sub/deep/er/d.mp4", 7, "video")}
+    assert listed.count() == 3
+    plan = listed._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
 
 
@@ -187,3 +193,25 @@ def test_store_replaces_a_scan(spark, frame, tmp_path):
     counts = {r["scan_id"]: r["count"] for r in
               tables.read_inventory(spark, folder).groupBy("scan_id").count().collect()}
     assert counts == {"s": 2, "t": 7}
+
+
+def test_register_of_odd_scans(frame):
+    import datetime as dt
+
+    t0, t1, t2 = (dt.datetime(2026, 1, d) for d in (1, 2, 3))
+    register = frame([("a", "/r", "completed", t0, t1, 0, t0), ("b", "/r", "completed_with_warnings", t0, t2, 2, t0),
+                      ("c", "/r", "running", t0, None, 0, t0), ("d", "/r", "failed", t0, t1, 0, t0)],
+                     "scan_id string, root_path string, status string, started_at timestamp, "
+                     "completed_at timestamp, error_count bigint, created_at timestamp")
+    assert [r["scan_id"] for r in scans.latest_completed(register).collect()] == ["b"]
+    files = frame([("a", 5), ("a", None)], "scan_id string, size_bytes bigint")
+    none = frame([], "scan_id string")
+    got = {r["scan_id"]: (r["total_files"], r["total_dirs"], r["total_size_bytes"], r["status"])
+           for r in scans.scan_totals(files, none, register).collect()}
+    assert got == {"a": (2, 0, 5, "completed"), "b": (0, 0, 0, "completed_with_warnings"),
+                   "c": (0, 0, 0, "running"), "d": (0, 0, 0, "failed")}
+
+
+def test_delta_of_unknown_sizes(frame):
+    rows = frame([("/a", None, None)], "path string, size_bytes bigint, modified_at timestamp")
+    assert [r["change"] for r in scans.inventory_delta(rows, rows).collect()] == ["unchanged"]

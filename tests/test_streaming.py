@@ -89,5 +89,28 @@ def test_analysis_refuses_an_open_scan(spark, tmp_path):
         )
 
 
+def test_analysis_of_small_scans_again_and_again(spark, frame, tmp_path):
+    """Scans without duplicates don't fail, a re-run that finds nothing empties, others stay."""
+    files = given.inventory(spark, SF).limit(50)
+    both = files.unionByName(files.withColumn("scan_id", F.lit("scan-b")))
+    done = both.select("scan_id").distinct().withColumn("status", F.lit("completed_with_warnings"))
+    history = given.snapshots(spark, SF)
+    ddl = ("scan_id string, file_id string, path string, extension string, size_bytes bigint, "
+           "modified_at timestamp, sha256 string")
+    pair = frame([("scan-b", f, f"/{f}", ".x", 5000, None, "h") for f in "ab"], ddl)
+
+    def rows(hashed, scan):
+        counted = analysis_job.run_analysis(
+            spark, both, hashed, done, history, str(tmp_path), scan, given.AS_OF)
+        return {r["table_name"]: r["row_count"] for r in counted.collect()}
+
+    first = rows(pair.limit(0), given.SCAN_ID)
+    assert first["duplicate_groups"] == 0 and first["scored_files"] == 50 and first["snapshots"] == 1
+    assert rows(pair, "scan-b")["duplicate_members"] == 2
+    again = rows(pair.limit(0), "scan-b")
+    assert again["duplicate_groups"] == again["duplicate_members"] == 0
+    assert spark.read.parquet(str(tmp_path / "snapshots")).count() == 2
+
+
 def test_shared_folder_is_the_clusters(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
