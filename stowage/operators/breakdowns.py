@@ -46,13 +46,19 @@ def extension_breakdown(
     )
 
 
-def top_by(rows: DataFrame, value: str, tiebreak: list[str], limit: int) -> DataFrame:
-    """The ``limit`` rows with the largest values, ties broken by other columns.
+def top_by(
+    rows: DataFrame, value: str, tiebreak: list[str], limit: int, two_pass: bool = False
+) -> DataFrame:
+    """The ``limit`` rows with the largest values, ties broken by other columns; NULLs come last.
 
-    A first pass reads only the value column and finds the smallest value of
-    the list. The second pass reads the wide columns, and its scan gets that
-    bound as a filter: on a table sorted by the value it skips nearly all pages.
+    With ``two_pass``, meant for stored tables that are sorted by the value, a
+    first pass reads only the value column and finds the smallest value of the
+    list; the second one reads the wide columns with that bound as a filter,
+    which skips nearly all pages. Both give the same rows.
     """
+    order = [F.col(value).desc_nulls_last(), *tiebreak]
+    if not two_pass:
+        return rows.orderBy(*order).limit(limit)
     bound = (
         rows.select(value)
         .orderBy(F.col(value).desc())
@@ -60,11 +66,10 @@ def top_by(rows: DataFrame, value: str, tiebreak: list[str], limit: int) -> Data
         .agg(F.min(value).alias("bound"))
         .scalar()
     )
-    return (
-        rows.where(F.col(value) >= bound)
-        .orderBy(F.col(value).desc(), *tiebreak)
-        .limit(limit)
-    )
+    enough = rows.select(value).where(F.col(value).isNotNull()).limit(limit).agg(
+        F.count(F.lit(1)).alias("n")).scalar()
+    kept = F.coalesce(F.col(value) >= bound, F.lit(False)) | (enough < limit)
+    return rows.where(kept).orderBy(*order).limit(limit)
 
 
 def largest_files(files: DataFrame, scan_id: str | None = None, limit: int = 100) -> DataFrame:

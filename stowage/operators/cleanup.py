@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from stowage.fixed_values import ACTION_TYPES, ALLOWED_TRANSITIONS
+from stowage.operators.breakdowns import of_scan
 from stowage.operators.paging import where_all
 
 
@@ -28,16 +29,24 @@ def proposal_totals(plan: DataFrame) -> DataFrame:
     )
 
 
-def dry_run_targets(plan: DataFrame, inventory: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
+def dry_run_targets(
+    plan: DataFrame,
+    inventory: DataFrame,
+    rollup: DataFrame | None = None,
+    scan_id: str | None = None,
+) -> DataFrame:
     """Checks each target against a fresh inventory: ready with its size, or missing.
 
     With a folder rollup, targets that are folders count with all below them.
+    Of an inventory with several scans the wanted one is named; a path that
+    still occurs more than once counts once, with its largest size.
     """
-    present = inventory.select("path", F.col("size_bytes").alias("_size"))
+    present = of_scan(inventory, scan_id).select("path", F.col("size_bytes").alias("_size"))
     if rollup is not None:
         present = present.unionByName(
-            rollup.select("path", F.col("total_size_bytes").alias("_size"))
+            of_scan(rollup, scan_id).select("path", F.col("total_size_bytes").alias("_size"))
         )
+    present = present.groupBy("path").agg(F.max("_size").alias("_size"))
     joined = plan.join(present, "path", "left")
     return joined.select(
         "action_id",
@@ -57,9 +66,9 @@ def dry_run(checked: DataFrame) -> DataFrame:
 
 
 def directory_sizes(targets: DataFrame, rollup: DataFrame) -> DataFrame:
-    """Recursive bytes of each target folder."""
-    sizes = rollup.select("path", "total_size_bytes", "file_count")
-    return targets.join(sizes, "path")
+    """Recursive bytes of each target folder, by scan where both tables know it."""
+    key = [c for c in ("scan_id", "path") if c in targets.columns and c in rollup.columns]
+    return targets.join(rollup.select(*key, "total_size_bytes", "file_count"), key)
 
 
 def transitions(events: DataFrame, bucket: str = "hour") -> DataFrame:

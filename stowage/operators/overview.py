@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stowage.operators.breakdowns import of_scan
+from stowage.operators.scans import latest_completed
 
 
 def merge_by_scan(parts: list[DataFrame], defaults: dict[str, Column]) -> DataFrame:
@@ -28,31 +29,33 @@ def merge_by_scan(parts: list[DataFrame], defaults: dict[str, Column]) -> DataFr
 
 
 def overview(
-    files: DataFrame,
+    scored: DataFrame,
     folders: DataFrame,
     groups: DataFrame,
-    scored: DataFrame,
     spaces: DataFrame,
     scan_id: str,
     capacity_bytes: int,
     last_scan_at: str | None = None,
+    scans: DataFrame | None = None,
 ) -> DataFrame:
-    """Capacity, use, counts and recoverable bytes of one scan; zeros if it is empty."""
-    spark = files.sparkSession
+    """Capacity, use, counts and recoverable bytes of one scan; zeros if it is empty.
+
+    One aggregate over the scored files gives all that concerns files. The time
+    of the last scan comes from the register ``scans``, if it is given.
+    """
+    spark = scored.sparkSession
     blank = spark.range(1).select(F.lit(scan_id).alias("scan_id"))
     merged = merge_by_scan(
         [
             blank,
-            of_scan(files, scan_id).groupBy("scan_id").agg(
-                F.count(F.lit(1)).alias("file_count"), F.sum("size_bytes").alias("used_storage")
+            of_scan(scored, scan_id).groupBy("scan_id").agg(
+                F.count(F.lit(1)).alias("file_count"), F.sum("size_bytes").alias("used_storage"),
+                F.sum(F.when(F.col("is_stale"), F.col("size_bytes"))).alias("stale_files_size"),
             ),
             of_scan(folders, scan_id).groupBy("scan_id").agg(F.count(F.lit(1)).alias("dir_count")),
             of_scan(groups, scan_id).groupBy("scan_id").agg(
                 F.sum("wasted_bytes").alias("duplicate_waste")
             ),
-            of_scan(scored, scan_id).groupBy("scan_id").agg(
-                F.sum(F.when(F.col("is_stale"), F.col("size_bytes"))).alias("stale_files_size")
-            ),
             of_scan(spaces, scan_id).groupBy("scan_id").agg(
                 F.sum("recoverable_bytes").alias("workspace_recoverable")
             ),
@@ -65,6 +68,11 @@ def overview(
             )
         },
     )
+    last = F.lit(last_scan_at).cast("string")
+    if scans is not None:
+        done = latest_completed(scans).select(
+            F.date_format("completed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+        last = F.coalesce(last, done.scalar())
     return merged.select(
         "scan_id",
         F.lit(capacity_bytes).cast("bigint").alias("total_storage"),
@@ -78,7 +86,7 @@ def overview(
         "workspace_recoverable",
         (F.col("duplicate_waste") + F.col("stale_files_size") + F.col("workspace_recoverable"))
         .alias("recovery_opportunities"),
-        F.lit(last_scan_at).cast("string").alias("last_scan_at"),
+        last.alias("last_scan_at"),
     )
 
 

@@ -33,6 +33,11 @@ def latest_completed(scans: DataFrame, per_root: bool = False) -> DataFrame:
     return picked.where(F.col("_last").isNotNull()).select("_last.*")
 
 
+def of_latest_completed(rows: DataFrame, scans: DataFrame) -> DataFrame:
+    """The rows of the scan that ended last, which reports show where no scan is named."""
+    return rows.join(latest_completed(scans).select("scan_id"), "scan_id", "left_semi")
+
+
 def scan_totals(files: DataFrame, folders: DataFrame, scans: DataFrame) -> DataFrame:
     """Files, folders, bytes, rate and final status of each scan of the register.
 

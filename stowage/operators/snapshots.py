@@ -128,6 +128,12 @@ def latest_snapshot(snapshots: DataFrame) -> DataFrame:
     )
 
 
+def newest_snapshot(snapshots: DataFrame) -> DataFrame:
+    """The newest stored snapshot of all, which reports show where none is named."""
+    newest = snapshots.orderBy(F.col("snapshot_date").desc(), F.col("scan_id").desc())
+    return newest.limit(1)
+
+
 def snapshot_history(
     snapshots: DataFrame,
     from_date: str | None = None,

@@ -333,8 +333,8 @@ def snapshot_upsert(spark, sf):
 def _overview(spark, sf):
     files = given.inventory(spark, sf)
     return overview.overview(
-        files, folders.folder_table(files), _groups(spark, sf), _scored(spark, sf),
-        _spaces(spark, sf), SCAN, CAPACITY, "1998-06-01T00:00:00.000000Z",
+        _scored(spark, sf), folders.folder_table(files), _groups(spark, sf), _spaces(spark, sf),
+        SCAN, CAPACITY, "1998-06-01T00:00:00.000000Z",
     )
 
 

@@ -157,15 +157,20 @@ def test_progress(frame):
     assert progress.events_after(events, "a", 1).count() == 1
 
 
+ENDED = dt.datetime(2026, 1, 2, 3, 4, 5)
+
+
 def test_overview_of_an_empty_scan(frame):
-    files = frame([], "scan_id string, size_bytes bigint")
+    register = frame([("r", "/", "completed_with_warnings", ENDED), ("q", "/", "running", None)],
+                     "scan_id string, root_path string, status string, completed_at timestamp")
     row = overview.overview(
-        files, frame([], "scan_id string, path string"),
-        frame([], "scan_id string, wasted_bytes bigint"),
         frame([], "scan_id string, size_bytes bigint, is_stale boolean"),
-        frame([], "scan_id string, recoverable_bytes bigint"), "s", 100,
+        frame([], "scan_id string, path string"),
+        frame([], "scan_id string, wasted_bytes bigint"),
+        frame([], "scan_id string, recoverable_bytes bigint"), "s", 100, scans=register,
     )
     first = row.first()
+    assert first["last_scan_at"] == ENDED.strftime("%Y-%m-%dT%H:%M:%S.%fZ")
     assert (first["file_count"], first["free_storage"], first["recovery_opportunities"]) == (0, 100, 0)
     assert overview.storage_health(row).first()["headline"] == "scanned"
 
