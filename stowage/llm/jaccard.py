@@ -34,6 +34,10 @@ MAX_SKETCH_BITS = 23
 #: What a counter of the sketch holds at most; such a shingle's list is dealt to many tasks.
 FULL = 255
 SALTS = 64
+#: 64-bit words of a set's bitmap, which bounds what two sets can share.
+BITMAP = 16
+#: Nodes before it, in a random order, that a node of an unconnected list is compared with.
+REACH = 4
 _CHUNKS = 64
 _BATCH = 2_000_000
 _REMEMBERED = 400_000
@@ -132,7 +136,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _prepare(docs: DataFrame, sketch, bits: int, id_col: str, text_col: str, size: int, percent: int):
-    """Per row: id, set size, hashes of the set and of the group, prefix, and its full counters.
+    """Per row: id, set size, hashes of the set and of the group, prefix, its full counters, bitmap.
 
     The prefix is given once per group and task, which is all the join needs.
     """
@@ -149,7 +153,7 @@ def _prepare(docs: DataFrame, sketch, bits: int, id_col: str, text_col: str, siz
                 own = np.unique(shingles(text, size, hashes))
                 n = len(own)
                 if not n:
-                    rows.append((0, 0, 0, None, 0))
+                    rows.append((0, 0, 0, None, 0, None))
                     continue
                 often = counts[(own & mask).astype(np.int64)]
                 order = np.argsort(often, kind="stable")[: prefix_length(n, percent)]
@@ -160,7 +164,10 @@ def _prepare(docs: DataFrame, sketch, bits: int, id_col: str, text_col: str, siz
                 first = group not in seen
                 seen.add(group)
                 full = int((often[order] == FULL).sum()) if first else 0
-                rows.append((n, key, group, prefix if first else None, full))
+                marks = np.zeros(64 * BITMAP, np.uint8)
+                marks[(own >> np.uint64(40)).astype(np.int64) % len(marks)] = 1
+                bitmap = np.packbits(marks, bitorder="little").view(np.int64)
+                rows.append((n, key, group, prefix if first else None, full, bitmap))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -169,12 +176,14 @@ def _prepare(docs: DataFrame, sketch, bits: int, id_col: str, text_col: str, siz
                     pa.array([r[2] for r in rows], pa.int64()),
                     pa.array([r[3] for r in rows], pa.list_(pa.int64())),
                     pa.array([r[4] for r in rows], pa.int32()),
+                    pa.array([r[5] for r in rows], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "set_key", "gid", "prefix", "n_full"],
+                names=["doc_id", "n", "set_key", "gid", "prefix", "n_full", "bitmap"],
             )
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_col).mapInArrow(
-        run, "doc_id bigint, n int, set_key bigint, gid bigint, prefix array<bigint>, n_full int"
+        run, "doc_id bigint, n int, set_key bigint, gid bigint, prefix array<bigint>, n_full int, "
+        "bitmap array<bigint>"
     )
 
 
@@ -235,28 +244,77 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def _crossing(rows: DataFrame, by: str, node: str, percent: int) -> DataFrame:
-    """Pairs of nodes of a list that lie in different components, once per list they share.
+def _needed(n: Column, m: Column, percent: int) -> Column:
+    """Shingles that two similar sets of these sizes must share."""
+    return F.ceil((n + m) * percent / (100 + percent))
+
 
-    Each list's largest component is its main one; a pair has at least one node
-    outside it, so only these nodes meet the whole list.
+def _may_match(a: str, b: str, percent: int) -> Column:
+    """Whether two nodes of one list, structs with n, at and bitmap, can be similar enough.
+
+    In the list of the first shingle that two sets share, ``at`` shingles of
+    each come before it. And each bit that only one bitmap has stands for a
+    shingle that only that set has. What is left must be enough.
     """
-    mixed = rows.groupBy(by).agg(
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    needed = F.ceil((n_a + n_b) * percent / (100 + percent))
+    follow = F.least(n_a - F.col(f"{a}.at"), n_b - F.col(f"{b}.at"))
+
+    def only(x: str, y: str) -> Column:
+        return sum((F.bit_count(F.get(f"{x}.bitmap", F.lit(i)).bitwiseAND(
+            F.bitwise_not(F.get(f"{y}.bitmap", F.lit(i))))) for i in range(BITMAP)), F.lit(0))
+
+    shared = F.least(n_a - only(a, b), n_b - only(b, a))
+    return (follow >= needed) & F.coalesce(shared >= needed, F.lit(True))
+
+
+def _mixed(rows: DataFrame, by: str) -> DataFrame:
+    """Rows of lists whose nodes lie in several components, with their largest one as ``main``."""
+    lists = rows.groupBy(by).agg(
         F.min("component").alias("low"), F.max("component").alias("high"),
         F.max(F.struct("members", "component"))["component"].alias("main"),
     ).where("low <> high").select(by, "main")
-    rows = rows.join(mixed, by)
-    outside = rows.where("component <> main").select(
-        by, F.col(node).alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a")
+    return rows.join(lists, by)
+
+
+def _node(rows: DataFrame, node: str) -> Column:
+    return F.struct(F.col(node).alias("id"), "n", "at", "bitmap", "component")
+
+
+def _nearby(rows: DataFrame, by: str, node: str, percent: int) -> DataFrame:
+    """Pairs of nodes in different components that stand close in a random order of their list."""
+    w = W.partitionBy(by).orderBy(F.xxhash64(by, node), node)
+    rows = rows.select(by, node, _node(rows, node).alias("a")).withColumn(
+        "others", F.array(*[F.lag("a", k).over(w) for k in range(1, REACH + 1)])
     )
-    others = rows.select(
-        by, F.col(node).alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), "main"
+    pairs = rows.select("a", F.explode("others").alias("b")).where(
+        F.col("b").isNotNull() & (F.col("a.component") != F.col("b.component"))
     )
+    return pairs.where(_may_match("a", "b", percent)).select(
+        F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
+
+
+def _crossing(rows: DataFrame, by: str, node: str, percent: int) -> DataFrame:
+    """Pairs of nodes of a list that lie in different components, once per list they share.
+
+    A pair has at least one node outside the list's main component, so only
+    these nodes meet the whole list.
+    """
+    outside = rows.where("component <> main").select(by, _node(rows, node).alias("a"))
+    others = rows.select(by, _node(rows, node).alias("b"), "main")
+    one_way = (F.col("b.component") == F.col("main")) | (F.col("a.id") < F.col("b.id"))
     return outside.join(others, by).where(
-        (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b")))
-        & _fits(F.col("n_a"), F.col("n_b"), percent)
-    ).select(*_sides("a", "b"), F.least("n_a", "n_b").alias("small"),
-             F.greatest("n_a", "n_b").alias("large"))
+        (F.col("a.component") != F.col("b.component")) & one_way & _may_match("a", "b", percent)
+    ).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
+
+
+def _members(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Classes with their component and its number of classes."""
+    members = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep")
+    )
+    sizes = members.groupBy("component").agg(F.count("*").alias("members"))
+    return members.join(sizes, "component")
 
 
 def linked_documents(
@@ -274,9 +332,10 @@ def linked_documents(
     id that links lead to.
 
     Defined cases: NULL, empty and wordless texts have no shingles and no links;
-    rows with one id are one document, linked by any of its texts; a row with a
-    NULL id has a NULL component unless its set occurs under an id; an empty
-    table gives an empty one; other columns of ``docs`` don't matter.
+    every row is a document, so rows with one id and different texts can have
+    different components; a row with a NULL id has a NULL component unless its
+    set occurs under an id; an empty table gives an empty one; other columns of
+    ``docs`` don't matter.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -289,7 +348,7 @@ def linked_documents(
     tokens = prep.where("prefix is not null").select(
         "gid", "n", (F.size("prefix") - F.col("n_full")).alias("plain"),
         F.posexplode("prefix").alias("at", "token"),
-    ).select("token", "gid", "n", (F.col("at") >= F.col("plain")).alias("hot"))
+    ).select("token", "gid", "n", "at", (F.col("at") >= F.col("plain")).alias("hot"))
     salt = F.when(F.col("hot"), F.pmod("gid", F.lit(SALTS))).otherwise(0).cast("int")
     w = W.partitionBy("token", "salt").orderBy("n", "gid")
     lists = tokens.withColumn("salt", salt).withColumns({
@@ -324,39 +383,37 @@ def linked_documents(
     links = scratch.write(_verified(pairs, texts, size, percent), "links")
     roots = scratch.write(connected_components(links, scratch, "first"), "roots")
 
-    # What isn't connected yet.
-    members = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep")
-    )
-    sizes = members.groupBy("component").agg(F.count("*").alias("members"))
-    members = scratch.write(members.join(sizes, "component"), "members")
-    # A group in several components counts as one of its own until its members are looked at.
-    groups = members.groupBy("gid").agg(
-        F.when(F.min("component") == F.max("component"), F.min("component"))
-        .otherwise(F.lit(-1) - F.min("rep")).alias("component"),
-        F.max("members").alias("members"),
-    )
-    open_lists = lists.select("token", "gid", "n").distinct().join(groups, "gid")
-    met = _crossing(open_lists, "token", "gid", percent).groupBy("a", "b").agg(
-        F.count("*").alias("common"), F.first("small").alias("small"), F.first("large").alias("large")
-    )
-    # Beyond the common part of the prefixes, no more than the rest of one set can be common.
-    rest = F.ceil(F.col("large") * percent / 100) - 1
-    needed = F.ceil((F.col("small") + F.col("large")) * percent / (100 + percent))
-    open_groups = met.where(F.col("common") + rest >= needed).select(
-        F.col("a").alias("g"), F.col("b").alias("h")
-    )
-    side = lambda name, s: members.select(
-        F.col("gid").alias(name), F.col("rep").alias(s), F.col("component").alias(f"c_{s}")
-    )
-    open_pairs = open_groups.join(side("g", "a"), "g").join(side("h", "b"), "h").where("c_a <> c_b")
-    inside = _crossing(members.join(several.select("gid").distinct(), "gid"), "gid", "rep", percent)
-    open_pairs = open_pairs.select(*_sides("a", "b")).unionByName(inside.select("a", "b")).where(
-        "a <> b").distinct()
-    more = scratch.write(_verified(open_pairs, texts, size, percent), "more")
-    if more.limit(1).count():
-        both = links.unionByName(more)
-        roots = scratch.write(connected_components(both, scratch, "second"), "all_roots")
+    # What isn't connected yet: first pairs that stand close in a random order, then all pairs.
+    bitmaps = prep.where("n > 0").groupBy("gid").agg(
+        F.min("set_key").alias("low"), F.max("set_key").alias("high"), F.first("bitmap").alias("bitmap")
+    ).select("gid", F.when(F.col("low") == F.col("high"), F.col("bitmap")).alias("bitmap"))
+    open_lists = lists.select("token", "gid", "n", "at").distinct().join(bitmaps, "gid")
+    for turn, pairs_of in enumerate((_nearby, _crossing)):
+        members = scratch.write(_members(classes, roots), f"members-{turn}")
+        # A group in several components counts as one of its own until its members are looked at.
+        groups = members.groupBy("gid").agg(
+            F.when(F.min("component") == F.max("component"), F.min("component"))
+            .otherwise(F.lit(-1) - F.min("rep")).alias("component"),
+            F.max("members").alias("members"),
+        )
+        open_lists = scratch.write(_mixed(open_lists.join(groups, "gid"), "token"), f"open-{turn}")
+        open_groups = pairs_of(open_lists, "token", "gid", percent).distinct().select(
+            F.col("a").alias("g"), F.col("b").alias("h")
+        )
+        side = lambda name, s: members.select(  # noqa: B023, E731
+            F.col("gid").alias(name), F.col("rep").alias(s), F.col("component").alias(f"c_{s}")
+        )
+        across = open_groups.join(side("g", "a"), "g").join(side("h", "b"), "h").where("c_a <> c_b")
+        within = members.join(several.select("gid").distinct(), "gid").withColumns(
+            {"at": F.lit(0), "bitmap": F.lit(None).cast("array<bigint>")})
+        inside = pairs_of(_mixed(within, "gid"), "gid", "rep", percent)
+        open_pairs = across.select(*_sides("a", "b")).unionByName(inside).where("a <> b").distinct()
+        more = scratch.write(_verified(open_pairs, texts, size, percent), f"more-{turn}")
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            roots = scratch.write(connected_components(links, scratch, f"again-{turn}"), f"roots-{turn}")
+        open_lists = open_lists.drop("component", "members", "main")
+    scratch.drop("open-0", "open-1")
     scratch.drop("lists")
     named = classes.select("gid", "set_key", "rep").join(
         roots.withColumnRenamed("node", "rep"), "rep", "left"
@@ -364,10 +421,8 @@ def linked_documents(
     return (
         prep.select("doc_id", "n", "gid", "set_key")
         .join(named, ["gid", "set_key"], "left")
-        .join(roots.select(F.col("node").alias("doc_id"), F.col("component").alias("own")),
-              "doc_id", "left")
         .select(
             "doc_id", F.col("n").cast("bigint").alias("n_shingles"),
-            F.coalesce("component", "own", "rep", "doc_id").alias("component_id"),
+            F.coalesce("component", "rep", "doc_id").alias("component_id"),
         )
     )
