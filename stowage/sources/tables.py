@@ -43,6 +43,21 @@ def replace_partitions(
         store.delete(path, False)
 
 
+def _located(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    store, path = _located(spark, folder)
+    return store.exists(path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    store, path = _located(spark, folder)
+    store.delete(path, True)
+
+
 def read_table(df: DataFrame, folder: str) -> DataFrame:
     """A stored table with the schema of ``df``, also one without any file."""
     return df.sparkSession.read.schema(df.schema).parquet(folder)

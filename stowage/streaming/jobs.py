@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from stowage.operators.progress import progress_windows
 from stowage.operators.snapshots import upsert_snapshots
 from stowage.session import shared_folder
-from stowage.sources.tables import replace_partitions
+from stowage.sources.tables import exists, read_table, remove, replace_partitions
 
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -41,10 +41,14 @@ def progress_stream(
 
 
 def progress_updates(
-    events: DataFrame, output: str, checkpoint: str, width: str = "1 hour", once: bool = False
+    events: DataFrame, output: str, checkpoint: str, width: str = "1 hour",
+    lateness: str = "7 days", once: bool = False,
 ) -> StreamingQuery:
     """Keeps the current state of every window, including those still open.
 
+    A window's state goes once no event of it can come any more, which
+    ``lateness`` says; its rows stay as they were written last.
+
     Each batch writes the windows it changed under its own number, so that a
     repeated batch replaces itself; ``latest_windows`` reads the newest state.
     """
@@ -53,7 +57,7 @@ def progress_updates(
         replace_partitions(batch.withColumn("batch", F.lit(number)), output, "batch")
 
     writer = (
-        progress_windows(events, width)
+        progress_windows(events.withWatermark("ts", lateness), width)
         .writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
@@ -77,7 +81,10 @@ def progress_windows_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     use_utc(spark)
     folder = f"{shared_folder(spark)}/progress-{uuid.uuid4().hex}"
     events = task_events_of(stream_table(spark, f"{sf_dir}/events.parquet*"))
-    running = progress_updates(events, f"{folder}/out", f"{folder}/state", once=True)
+    # A table's files come in any order, so no event of them is late.
+    running = progress_updates(
+        events, f"{folder}/out", f"{folder}/state", lateness="36500 days", once=True
+    )
     running.awaitTermination()
     return latest_windows(spark, f"{folder}/out")
 
@@ -107,17 +114,14 @@ def snapshot_stream(
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         merged = f"{output}_merge/{number}"
-        try:
-            stored = spark.read.schema(batch.schema).parquet(output)
+        stored = batch.limit(0)
+        if exists(spark, output):  # the first batch finds no table yet
             dates = batch.select("snapshot_date").distinct()
-            stored = stored.join(dates, "snapshot_date", "left_semi")
-            rows = upsert_snapshots(stored.select(*batch.columns), batch)
-        except Exception as error:  # the first batch finds no table yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            rows = upsert_snapshots(batch.limit(0), batch)
+            stored = read_table(batch, output).join(dates, "snapshot_date", "left_semi")
+        rows = upsert_snapshots(stored.select(*batch.columns), batch)
         rows.write.mode("overwrite").parquet(merged)
-        replace_partitions(spark.read.parquet(merged), output, "snapshot_date")
+        replace_partitions(read_table(rows, merged), output, "snapshot_date")
+        remove(spark, merged)
 
     writer = arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
