@@ -1,30 +1,30 @@
 """Byte-level BPE encoding and decoding with a given list of ranked tokens.
 
-Encoding works on distinct words. Each task numbers the words of its documents
-and sends every word once; equal words of many tasks meet, and one fold of
-Spark's array functions over the word's bytes applies the merges in the order
-of their ranks, looked up in a literal map. The pieces go back to the blocks of
-word numbers, which become token ids. Decoding looks pieces up in a literal
-list and concatenates them.
+Encoding works on distinct words. Each task numbers the words of a block of
+documents, and one fold of Spark's array functions over the bytes of every
+distinct word applies the merges in the order of their ranks, looked up in a
+literal map. The numbers then become token ids. Words that a sample finds
+frequent are folded once beforehand. Decoding looks pieces up in a literal list
+and concatenates them.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from stowage.llm.tables import Scratch
 
 #: Words numbered together; a document is never cut, so one can be larger.
-WORDS_PER_BLOCK = 6_000_000
+WORDS_PER_BLOCK = 2_000_000
+#: Documents whose words are counted, and words folded beforehand, at most: some 20 MB.
+SAMPLED_DOCS, KEPT_WORDS = 20_000, 250_000
 #: Matches of more bytes are encoded by the tiktoken library: a fold takes quadratic time in them.
 LONGEST_FOLD = 256
 #: Places over which the map's rows are laid.
@@ -140,76 +140,42 @@ def _unreachable(ranks: dict[bytes, int]) -> dict[str, int]:
     return out
 
 
-def _numbered_blocks(matches: DataFrame, parts: int) -> DataFrame:
-    """Per block of documents: ids, matches per document and their numbers in the block's list of
-    words; and the words themselves with their numbers, dealt to ``parts`` by a hash."""
-    id_type = matches.schema["id"].dataType
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    """A column's chunks as one array."""
+    whole = column.combine_chunks()
+    return whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
 
-    def run(batches):
-        task = TaskContext.get().partitionId() << 20
-        waiting: list[pa.RecordBatch] = []
-        size, block = 0, task
 
-        def flush():
-            whole = pa.Table.from_batches(waiting).combine_chunks()
-            lists = whole.column("words").combine_chunks()
-            if isinstance(lists, pa.ChunkedArray):
-                lists = lists.chunk(0)
-            found = lists.flatten().dictionary_encode()
-            codes = found.indices.to_numpy(zero_copy_only=False)
-            often = np.bincount(codes, minlength=len(found.dictionary))
-            order = np.argsort(-often, kind="stable")  # small numbers for frequent words
-            number = np.empty(len(order), np.int32)
-            number[order] = np.arange(len(order), dtype=np.int32)
-            words = found.dictionary.take(pa.array(order))
-            planes = number[codes].view(np.uint8).reshape(-1, 4).T.tobytes()
-            counts = np.diff(lists.offsets.to_numpy()).astype(np.int32)
-            ids = whole.column("id").combine_chunks()
-            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-            yield _block_rows(block, ids, [(None, counts, planes, None)])
-            part = np.array(
-                [zlib.crc32(w) % parts for w in words.cast(pa.binary()).to_pylist()], np.int64
-            )
-            rows = []
-            for p in range(parts):
-                own = np.flatnonzero(part == p).astype(np.int32)
-                if len(own):
-                    rows.append((p, own, None, words.take(pa.array(own))))
-            if rows:
-                yield _block_rows(block, None, rows)
+def _matches(text_col: str, pattern: str) -> Column:
+    return F.regexp_extract_all(
+        F.coalesce(F.col(text_col), F.lit("")), F.lit(f"(?U)({pattern})"), F.lit(0)
+    )
 
-        for batch in batches:
-            waiting.append(batch)
-            size += len(batch.column(1).flatten())
-            if size >= WORDS_PER_BLOCK:
-                yield from flush()
-                waiting, size, block = [], 0, block + 1
-        if waiting and sum(map(len, waiting)):
-            yield from flush()
-
-    def _block_rows(block, ids, rows):
-        n = len(rows)
-        numbers = pa.array([r[1] for r in rows], pa.list_(pa.int32()))
-        words = pa.array([None if r[3] is None else r[3].to_pylist() for r in rows],
-                         pa.list_(pa.string()))
-        if ids is None:
-            documents = pa.nulls(n, pa.list_(arrow_id))
-        else:
-            documents = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-        return pa.RecordBatch.from_arrays([
-            pa.array([block] * n, pa.int64()), pa.array([r[0] for r in rows], pa.int32()),
-            documents.cast(pa.list_(arrow_id)), numbers, words, pa.array([r[2] for r in rows], pa.binary()),
-        ], names=["block", "part", "ids", "numbers", "words", "codes"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
+def _pieces(word: Column, path: str) -> Column:
+    """Token ids of a match; NULL for a very long one."""
+    folded = fold_merges(word, path)
+    for token, rank in sorted(_unreachable(read_ranks(path)).items()):
+        folded = F.when(word == token, F.array(F.lit(rank))).otherwise(folded)
+    return F.when(F.octet_length(word) <= LONGEST_FOLD, folded)
 
-    arrow_id = to_arrow_type(id_type)
-    schema = StructType.fromDDL(
-        "block bigint, part int, numbers array<int>, words array<string>, codes binary"
-    )
-    fields = schema.fields
-    ids = StructType().add("ids", ArrayType(id_type)).fields
-    return matches.mapInArrow(run, StructType([*fields[:2], *ids, *fields[2:]]))
+
+def frequent_words(
+    docs: DataFrame, ranks_path: str, pattern: str, text_col: str, sample: int, kept: int
+) -> dict[str, list[int]]:
+    """Token ids of the words that ``sample`` documents, chosen by a hash, use most often.
+
+    These words are only encoded beforehand, so the choice changes no result.
+    """
+    share = min(1.0, sample / max(1, docs.count()))
+    chosen = F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
+    words = docs.where(chosen).select(F.explode(_matches(text_col, pattern)).alias("word"))
+    counts = words.groupBy("word").count().where("count > 1")
+    top = counts.orderBy(F.col("count").desc(), "word").limit(kept).select("word")
+    top = Scratch(docs.sparkSession, "bpe").write(top.repartition("word"), "frequent")
+    rows = top.select("word", _pieces(F.col("word"), ranks_path).alias("ids")).toArrow()
+    found = zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist(), strict=True)
+    return {word: ids for word, ids in found if ids is not None}
 
 
 def encode(
@@ -218,113 +184,114 @@ def encode(
     pattern: str,
     id_col: str = "doc_id",
     text_col: str = "text",
+    sample: int = SAMPLED_DOCS,
+    kept: int = KEPT_WORDS,
 ) -> DataFrame:
     """Per row of ``docs``: its id and ``ids``, the token ids of the whole text.
 
     Every match of ``pattern`` is encoded by itself; there are no special tokens.
+    Nothing is shuffled: a block of documents is numbered, its new words are
+    folded, and it is put together within one task.
 
     Defined cases: NULL and empty texts have no ids; repeated rows give repeated
     rows; a NULL id stays NULL; an empty table gives an empty one; other columns
     of ``docs`` don't matter.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "bpe")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = F.regexp_extract_all(
-        F.coalesce(F.col(text_col), F.lit("")), F.lit(f"(?U)({pattern})"), F.lit(0)
-    )
-    matches = docs.select(F.col(id_col).alias("id"), found.alias("words"))
-    blocks = scratch.write(_numbered_blocks(matches, parts), "blocks")
-    words = (
-        blocks.where("part is not null").select("part", "block", "numbers", "words")
-        .repartition("part")
-        .select("part", "block", F.explode(F.arrays_zip("numbers", "words")).alias("w"))
-        .select("part", "block", "w.numbers", F.col("w.words").alias("word"))
-        # So many tasks share a word's encoding; more would make its list too long.
-        .withColumn("section", F.shiftright("block", 32))
-    )
-    ranks = read_ranks(ranks_path)
-    by_word = W.partitionBy("part", "section", "word").orderBy("block")
-    short = F.octet_length("word") <= LONGEST_FOLD
-    first = F.row_number().over(by_word) == 1
-    encoded = fold_merges(F.col("word"), ranks_path)
-    for token, rank in sorted(_unreachable(ranks).items()):
-        encoded = F.when(F.col("word") == token, F.array(F.lit(rank))).otherwise(encoded)
-    words = words.withColumn("first", first).withColumn(
-        "pieces", F.when(F.col("first") & short, encoded)
-    )
-    words = words.withColumn("pieces", F.first("pieces").over(by_word))
-    long = _long_matches(ranks)
-    words = words.withColumn("pieces", F.when(short, F.col("pieces")).otherwise(
-        long(F.when(~short, F.col("word")))
-    )) if _has_long(blocks) else words
-    pieces = words.select("block", "numbers", "pieces")
-    documents = blocks.where("part is null").select("block", "ids", "numbers", "codes")
-    id_type = matches.schema["id"].dataType
-    out = StructType().add(id_col, id_type).add("ids", ArrayType(StructType.fromDDL("i int")[0].dataType))
     from pyspark.sql.pandas.types import to_arrow_type
 
+    context = docs.sparkSession.sparkContext
+    ranks = read_ranks(ranks_path)
+    known = frequent_words(docs, ranks_path, pattern, text_col, sample, kept)
+    lists = pa.array(list(known.values()), pa.list_(pa.int32()))
+    places = context.broadcast({word: i for i, word in enumerate(known)})
+    frequent = context.broadcast((
+        np.array(lists.flatten(), np.int32), np.array(lists.offsets, np.int32)))
+    matches = docs.select(F.col(id_col).alias("id"), _matches(text_col, pattern).alias("words"))
+    id_type = matches.schema["id"].dataType
     arrow_id = to_arrow_type(id_type)
 
-    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({id_col: pa.array([], arrow_id), "ids": pa.array([], pa.list_(pa.int32()))})
-        documents = left.column("ids").combine_chunks().flatten()
-        counts = left.column("numbers").combine_chunks().flatten().to_numpy()
-        planes = np.frombuffer(left.column("codes")[0].as_py(), np.uint8).reshape(4, -1)
-        codes = np.ascontiguousarray(planes.T).view(np.int32).reshape(-1)
-        ids = np.zeros(0, np.int32)
-        sizes = np.zeros(len(codes), np.int64)
-        if len(codes):
-            number = right.column("numbers").to_numpy()
-            lists = right.column("pieces").combine_chunks()
-            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-            flat = lists.flatten().to_numpy()
-            length = np.zeros(len(number), np.int64)
-            start = np.zeros(len(number), np.int64)
-            offsets = lists.offsets.to_numpy().astype(np.int64)
-            length[number] = np.diff(offsets)
-            start[number] = offsets[:-1] - offsets[0]
-            sizes = length[codes]
-            ends = np.cumsum(sizes)
-            # Where each token of the block stands in the list of pieces.
-            ids = flat[np.repeat(start[codes] - (ends - sizes), sizes) + np.arange(ends[-1])]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        bounds = total[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids, pa.int32()))
-        return pa.table({id_col: documents.cast(arrow_id), "ids": lists})
-
-    return documents.groupBy("block").cogroup(pieces.groupBy("block")).applyInArrow(assemble, out)
-
+    def number(batches):
+        """A row per block: ids, words per document, numbers of their words, and new words."""
+        known = places.value
+        waiting: list[pa.RecordBatch] = []
+        size = 0
 
-def _has_long(blocks: DataFrame) -> bool:
-    longest = F.array_max(F.transform("words", F.octet_length))
-    row = blocks.where("part is not null").agg(F.max(longest).alias("n")).first()
-    return (row["n"] or 0) > LONGEST_FOLD
+        def flush():
+            whole = pa.Table.from_batches(waiting)
+            lists = _one(whole.column("words"))
+            found = lists.flatten().dictionary_encode()
+            words = found.dictionary.to_pylist()
+            place = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+            new = np.flatnonzero(place < 0)
+            place[new] = len(known) + np.arange(len(new))
+            codes = place.astype(np.int32)[found.indices.to_numpy(zero_copy_only=False)]
+            counts = np.diff(lists.offsets.to_numpy()).astype(np.int32)
+            ids = _one(whole.column("id"))
+            return pa.RecordBatch.from_arrays([
+                pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                pa.array([counts.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary()),
+                pa.array([[words[i] for i in new]], pa.list_(pa.string())),
+            ], names=["ids", "counts", "codes", "words"])
 
+        for batch in batches:
+            waiting.append(batch)
+            size += len(batch.column(1).flatten())
+            if size >= WORDS_PER_BLOCK:
+                yield flush()
+                waiting, size = [], 0
+        if waiting and sum(map(len, waiting)):
+            yield flush()
+
+    first = StructType().add("ids", ArrayType(id_type))
+    rest = StructType.fromDDL("counts binary, codes binary, words array<string>")
+    blocks = matches.mapInArrow(number, StructType(first.fields + rest.fields))
+    folded = blocks.select(
+        "ids", "counts", "codes",
+        F.filter("words", lambda w: F.octet_length(w) > LONGEST_FOLD).alias("longer"),
+        F.transform("words", lambda w: _pieces(w, ranks_path)).alias("pieces"),
+    )
 
-def _long_matches(ranks: dict[bytes, int]):
-    """Encodes the rare very long matches with the library itself."""
+    def assemble(batches):
+        known_ids, known_offsets = frequent.value
+        for batch in batches:
+            for i in range(len(batch)):
+                yield one_block(batch.slice(i, 1), known_ids, known_offsets)
+
+    def one_block(block, known_ids, known_offsets):
+        documents = block.column(0).flatten()
+        counts = np.frombuffer(block.column(1)[0].as_buffer(), np.int32)
+        codes = np.frombuffer(block.column(2)[0].as_buffer(), np.int32)
+        pieces = block.column(4).flatten()
+        if pieces.null_count:
+            longer = iter(_long_matches(ranks, block.column(3).flatten()))
+            pieces = pa.array(
+                [next(longer) if p is None else p for p in pieces.to_pylist()], pa.list_(pa.int32()))
+        offsets = pieces.offsets.to_numpy()
+        flat = np.concatenate([known_ids, pieces.flatten().to_numpy(zero_copy_only=False)]).astype(np.int32)
+        start = np.concatenate([known_offsets[:-1], offsets[:-1] - offsets[0] + len(known_ids)])
+        length = np.concatenate([np.diff(known_offsets), np.diff(offsets)])
+        sizes = length[codes]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        # Where each token of the block stands in the list of pieces.
+        at = np.repeat((start[codes] - (ends - sizes)).astype(np.int32), sizes)
+        at += np.arange(total, dtype=np.int32)
+        ids = flat[at]
+        tokens = np.concatenate([[0], ends])
+        bounds = tokens[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids, pa.int32()))
+        return pa.RecordBatch.from_arrays([documents.cast(arrow_id), lists], names=[id_col, "ids"])
 
-    @F.pandas_udf("array<int>")
-    def encode_long(words):
-        import tiktoken
+    out = StructType().add(id_col, id_type).add("ids", ArrayType(IntegerType()))
+    return folded.mapInArrow(assemble, out)
 
-        own = None
-        out = []
-        for word in words:
-            if word is None:
-                out.append(None)
-                continue
-            own = own or tiktoken.Encoding(
-                "given", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}
-            )
-            out.append(own.encode_ordinary(word))
-        import pandas as pd
 
-        return pd.Series(out)
+def _long_matches(ranks: dict[bytes, int], words: pa.Array) -> list[list[int]]:
+    """Ids of the rare very long matches, from the library itself."""
+    import tiktoken
 
-    return encode_long
+    own = tiktoken.Encoding("given", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    return [own.encode_ordinary(word) for word in words.to_pylist()]
 
 
 def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids", result_col: str = "decoded"):
