@@ -413,8 +413,7 @@ def linked_documents(
             links = links.unionByName(more)
             roots = scratch.write(connected_components(links, scratch, f"again-{turn}"), f"roots-{turn}")
         open_lists = open_lists.drop("component", "members", "main")
-    scratch.drop("open-0", "open-1")
-    scratch.drop("lists")
+    scratch.drop("lists", "links", "open-0", "open-1", "more-0", "more-1", "members-0", "members-1")
     named = classes.select("gid", "set_key", "rep").join(
         roots.withColumnRenamed("node", "rep"), "rep", "left"
     )
