@@ -22,7 +22,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 from stowage.llm.tables import Scratch
 
 #: Words numbered together; a document is never cut, so one can be larger.
-WORDS_PER_BLOCK = 2_000_000
+WORDS_PER_BLOCK = 1_200_000
 #: Documents whose words are counted, and words folded beforehand, at most: some 20 MB.
 SAMPLED_DOCS, KEPT_WORDS = 20_000, 250_000
 #: Matches of more bytes are encoded by the tiktoken library: a fold takes quadratic time in them.
