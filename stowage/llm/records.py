@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -30,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 MASK = 0xA282EAD8
 _HEAD, _FOOT = struct.Struct("<QI"), struct.Struct("<I")
 _ID = struct.Struct("<?qB")
-#: Words whose ids a task remembers; others are encoded again when they return.
-_REMEMBERED = 500_000
+#: Words whose ids a worker remembers; others are encoded again when they return.
+_REMEMBERED = 1_000_000
 
 
 def masked_crc(data: bytes) -> int:
@@ -76,25 +77,49 @@ def _tokenizer(definition: str):
 
 
 class _WordIds:
-    """Ids of words between white space, which this kind of tokenizer encodes one by one."""
+    """Ids of words between white space, which this kind of tokenizer encodes one by one.
+
+    It also lower-cases, and takes letters and marks apart; so plain words in
+    capitals or before a stop or comma need no encoding of their own.
+    """
 
     def __init__(self, definition: str, width: int):
         self.tokenizer = _tokenizer(definition)
         self.kind = np.dtype(f"<u{width}")
         self.known: dict[str, bytes] = {}
+        self.marks = {mark: self._encoded([mark])[0] for mark in ".,"}
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        code = "H" if self.kind.itemsize == 2 else "I"
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [array(code, e.ids).tobytes() for e in found]
 
     def pieces(self, words: list[str]) -> list[bytes]:
-        known = self.known
-        new = [w for w in words if w not in known]
+        known, marks = self.known, self.marks
+        keys, ends = [], []
+        for word in words:
+            end = b""
+            if word.isascii():
+                word = word.lower()
+                if word[-1:] in marks and word[:-1].isalpha():
+                    end = marks[word[-1]]
+                    word = word[:-1]
+            keys.append(word)
+            ends.append(end)
+        new = [k for k in dict.fromkeys(keys) if k not in known]
         if len(known) + len(new) > _REMEMBERED:
             known = self.known = {}
-            new = words
+            new = list(dict.fromkeys(keys))
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            for word, e in zip(part, encoded, strict=True):
-                known[word] = np.array(e.ids, self.kind).tobytes()
-        return [known[w] for w in words]
+            known.update(zip(part, self._encoded(part), strict=True))
+        return [known[k] + end for k, end in zip(keys, ends, strict=True)]
+
+
+@lru_cache(maxsize=1)
+def _word_ids(definition: str, width: int) -> _WordIds:
+    """One for all tasks of a worker, with the words it remembers."""
+    return _WordIds(definition, width)
 
 
 def encode_texts(texts: pa.Array, words_of: _WordIds, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +153,8 @@ def write_records(
 ) -> None:
     """Encodes whole texts and writes records in ascending order of ids to ``folder/data``.
 
-    The tokenizer must drop white space, so that words are encoded one by one.
+    The tokenizer must drop white space and case, and take letters and marks
+    apart, as one of word-level BPE does: then words are encoded one by one.
 
     Defined cases: a NULL text counts as an empty one, which has only the end
     id; rows with a NULL id come first; rows with one id follow each other in
@@ -144,7 +170,7 @@ def write_records(
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        words_of = _WordIds(shared.value, width)
+        words_of = _word_ids(shared.value, width)
         for batch in batches:
             if not len(batch):
                 continue
