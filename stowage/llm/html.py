@@ -3,12 +3,14 @@
 Every paragraph gives points, for its length and its commas, to the containers
 around it; a container's points are discounted by the part of its text that is
 in links. The best container is the article, and siblings of it that look like
-parts of it are kept. Navigation, forms and other furniture are left out by
-element, role or name wherever they stand.
+parts of it are kept. Navigation and other furniture are left out by element or
+role wherever they stand; forms, and elements whose name alone marks furniture,
+are left out unless they hold most of the page's points.
 """
 
 from __future__ import annotations
 
+import functools
 import html as references
 import re
 
@@ -36,6 +38,11 @@ CLOSED_BY = {
     "option": frozenset(["option"]),
 }
 SCOPES = frozenset("ul ol dl table body html div article section main blockquote".split())
+#: Elements of ``SKIPPED`` that are kept where they hold most of the page.
+WRAPPERS = frozenset(["form", "fieldset"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Content that is kept beside the best container, if not mostly links.
+BESIDE = PARAGRAPHS | frozenset("ul ol dl dt table figure figcaption details".split())
 #: Words of names and roles that mark furniture, and words that mark an article.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promoted "
@@ -46,15 +53,26 @@ FURNITURE = frozenset(
     "search complementary contentinfo dialog toc skip disclaimer paywall".split()
 )
 ARTICLE = frozenset("article body content entry main post story text blog".split())
+#: Furniture that may be longer than the article.
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+#: Furniture that as id of a section can also be the subject of a chapter.
+TOPICS = frozenset(
+    "advertising alert consent cookies dialog disclaimer discussion login menu navigation notice "
+    "notices notification related replies reply search sharing social sponsor subscription".split()
+)
+#: First words of names that tell what an element has or lacks, and last words without a meaning.
+STATES = frozenset("no not non has have with without is hide show".split())
+PLAIN = frozenset(
+    "area bar block bottom box button buttons col column container group inner item items left link "
+    "links list outer panel posts right row section top unit slot wrap wrapper".split()
+)
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S,
 )
-_NAMES = re.compile(
-    r"\b(class|id|role|aria-hidden|hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I
-)
+_NAMES = re.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -63,60 +81,130 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class _Node:
     """A block element: its blocks of text and children in page order, and its points."""
 
-    __slots__ = ("tag", "parent", "content", "points", "chars", "linked", "furniture", "named")
+    __slots__ = ("tag", "parent", "content", "points", "chars", "linked", "furniture", "named",
+                 "suspect", "level")
 
-    def __init__(self, tag: str, parent: _Node | None, furniture: bool, named: bool):
+    def __init__(self, tag: str, parent: _Node | None, furniture: bool, named: bool,
+                 suspect: _Suspect | None = None):
         self.tag, self.parent = tag, parent
-        self.furniture, self.named = furniture, named
+        self.furniture, self.named, self.suspect = furniture, named, suspect
+        self.level = 0 if parent is None else parent.level + 1
         self.content: list = []
         self.points = 0.0
         self.chars = self.linked = 0
 
 
-def _judged(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is furniture, and whether its name speaks for an article."""
-    if tag in SKIPPED:
-        return True, False
-    if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False, tag in ("article", "main")
-    words: set[str] = set()
+class _Suspect:
+    """An element that may be furniture: its kind, the one around it, and what its nodes hold."""
+
+    __slots__ = ("kind", "outer", "known", "points", "chars", "linked", "headed")
+
+    def __init__(self, kind: str):
+        self.kind = kind
+        self.outer: _Suspect | None = None
+        self.known = False
+        self.points = 0.0
+        self.chars = self.linked = 0
+        self.headed = False
+
+
+@functools.lru_cache(maxsize=8192)
+def _meaning(token: str) -> str:
+    """What one name speaks for: a word of ``FURNITURE``, "article", or nothing."""
+    words = [w.lower() for w in _WORDS.findall(token)]
+    if len(words) > 1 and words[0] in STATES:
+        return ""
+    while len(words) > 1 and words[-1] in PLAIN:
+        words.pop()
+    if not words:
+        return ""
+    if words[-1] in FURNITURE:
+        return words[-1]
+    if words[-1] in ARTICLE:
+        return next((w for w in words if w in FURNITURE), "article")
+    return ""
+
+
+def _judged(tag: str, attributes: str) -> tuple[bool, str, bool]:
+    """Whether an element is furniture, as which kind it may be so, and whether its name speaks
+    for an article."""
+    wrapper = tag in WRAPPERS
+    if tag in SKIPPED and not wrapper:
+        return True, "", False
+    positive = tag in ("article", "main")
+    kind = "form" if wrapper else ""
+    if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
+        return False, kind, positive
+    found = ""
     for name, value in _NAMES.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True, False
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            return True, "", False
         if name == "style":
             if _HIDDEN.search(value):
-                return True, False
-        else:
-            words.update(w.lower() for w in _WORDS.findall(value))
-    positive = tag in ("article", "main") or bool(words & ARTICLE)
-    furniture = bool(words & FURNITURE) and tag not in ("article", "main", "body", "html")
-    return furniture, positive
+                return True, "", False
+        elif name in ("class", "id", "role"):
+            for token in value.split():
+                word = _meaning(token)
+                if word == "article":
+                    positive = True
+                elif word and name == "id" and tag in HEADINGS:
+                    continue  # made of the heading's text
+                elif word and name == "id" and tag == "section" and word in TOPICS:
+                    found = found or "topic"
+                elif word:
+                    found = "comments" if word in COMMENTS else "name"
+    if wrapper:
+        return False, kind, positive
+    if positive or tag in ("body", "html"):
+        found = ""
+    return False, found, positive
 
 
 def _tree(page: str) -> _Node:
     root = node = _Node("html", None, False, False)
     text: list[str] = []
     linked = depth = 0  # characters in links since the last block began, and open links
+    # Open inline elements from the first one that is or may be furniture: tag, whether it or one
+    # around it is furniture, the outermost suspect of its block, block. And the suspect of a text
+    # all of which stands in one.
+    inline: list[tuple[str, bool, _Suspect | None, _Node]] = []
+    alone: _Suspect | None = None
+    mixed = False
 
     def finish() -> None:
-        nonlocal linked
+        nonlocal linked, alone, mixed
         if text:
             joined = "".join(text)
             text.clear()
             block = _SPACE.sub(" ", joined).strip()
             if block and not node.furniture:
-                node.content.append((block, min(linked, len(block))))
+                home = node
+                if alone and not mixed and node.tag not in PARAGRAPHS:
+                    home = _Node("span", node, False, False, alone)
+                    node.content.append(home)
+                home.content.append((block, min(linked, len(block))))
         linked = 0
+        alone, mixed = None, False
 
     def add(part: str) -> None:
-        nonlocal linked
+        nonlocal linked, alone, mixed
         if part and not node.furniture:
+            if inline and inline[-1][1]:
+                return
             part = references.unescape(part) if "&" in part else part
             text.append(part)
+            if not mixed and not part.isspace():
+                own = inline[-1][2] if inline and inline[-1][3] is node else None
+                mixed = own is None or alone is not None and alone is not own
+                alone = own
             if depth:
                 linked += len(_SPACE.sub(" ", part).strip())
 
+    def left() -> None:
+        while inline and inline[-1][3].level > node.level:
+            inline.pop()
+
     at, end = 0, len(page)
     while at < end:
         found = _TAG.search(page, at)
@@ -139,11 +227,14 @@ def _tree(page: str) -> _Node:
                     up = up.parent
                 if up.parent is not None:
                     node = up.parent
+                    left()
             elif tag == "br":
                 add(" ")
-            elif node.tag == tag and node.parent is not None:  # furniture of an inline element
-                finish()
-                node = node.parent
+            if inline and tag not in BLOCKS:
+                for i in range(len(inline) - 1, -1, -1):
+                    if inline[i][0] == tag:
+                        del inline[i:]
+                        break
             continue
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -158,15 +249,14 @@ def _tree(page: str) -> _Node:
             continue
         if tag in VOID and tag != "hr":
             continue
-        furniture, named = _judged(tag, attributes)
-        if tag in BLOCKS or furniture:
+        furniture, kind, named = _judged(tag, attributes)
+        if tag in BLOCKS:
             finish()
             depth = 0
-            if tag in BLOCKS:
-                up = node
-                while up.tag == "p" and up.parent is not None:  # a block ends an open paragraph
-                    up = up.parent
-                node = up
+            up = node
+            while up.tag == "p" and up.parent is not None:  # a block ends an open paragraph
+                up = up.parent
+            node = up
             closes = CLOSED_BY.get(tag)
             if closes:
                 up = node
@@ -176,18 +266,94 @@ def _tree(page: str) -> _Node:
                         if tag != "tr":
                             break
                     up = up.parent
-            if tag == "hr" or tag in VOID:
+            left()
+            if tag == "hr":
                 continue
-            child = _Node(tag, node, furniture or node.furniture, named)
-            if not attributes.endswith("/") or tag in BLOCKS:
-                node.content.append(child)
-                node = child
-        elif tag == "a":
+            suspect = _Suspect(kind) if kind else None
+            if inline:
+                furniture = furniture or inline[-1][1]
+                suspect = inline[-1][3] is node and inline[-1][2] or suspect
+            child = _Node(tag, node, furniture or node.furniture, named, suspect)
+            node.content.append(child)
+            node = child
+            continue
+        if tag == "a":
             depth += 1
+        if (inline or furniture or kind) and not attributes.endswith("/"):
+            suspect = _Suspect(kind) if kind else None
+            if inline:
+                furniture = furniture or inline[-1][1]
+                suspect = inline[-1][3] is node and inline[-1][2] or suspect
+            inline.append((tag, furniture, suspect, node))
     finish()
     return root
 
 
+def _own_points(node: _Node) -> tuple[float, int, int]:
+    """Points of the text directly in a node, its length, and how much of it is in links."""
+    own = [x for x in node.content if not isinstance(x, _Node)]
+    if not own:
+        return 0.0, 0, 0
+    length = sum(len(t) for t, _ in own)
+    in_links = sum(n for _, n in own)
+    points = 1 + sum(t.count(",") for t, _ in own) + min(length / 100, 3)
+    return points * (1 - min(1.0, in_links / length)), length, in_links
+
+
+def _settle(root: _Node) -> None:
+    """Makes furniture of those suspects that don't hold most of the page's points."""
+    nodes, suspects, stack = [], [], [(root, None)]
+    total, prose = 0.0, False
+    while stack:
+        node, around = stack.pop()
+        nodes.append(node)
+        if node.furniture:
+            continue
+        if node.suspect and node.suspect is not around:
+            if not node.suspect.known:
+                node.suspect.known, node.suspect.outer = True, around
+                suspects.append(node.suspect)
+            around = node.suspect
+        points, chars, linked = _own_points(node)
+        total += points
+        if around:
+            around.points += points
+            around.chars += chars
+            around.linked += linked
+            around.headed |= node.tag in HEADINGS
+        elif node.tag not in HEADINGS and chars >= 80 and linked < chars / 4:
+            prose = True
+        stack.extend((x, around) for x in reversed(node.content) if isinstance(x, _Node))
+    for suspect in reversed(suspects):
+        outer = suspect.outer
+        if outer:
+            outer.points += suspect.points
+            outer.chars += suspect.chars
+            outer.linked += suspect.linked
+            outer.headed |= suspect.headed
+    if not suspects:
+        return
+    for node in nodes:
+        parent, suspect = node.parent, node.suspect
+        if parent is not None and parent.furniture:
+            node.furniture = True
+        elif suspect and not node.furniture:
+            most = suspect.points > total / 2
+            if suspect.kind == "comments":
+                spared = most and not prose
+            elif suspect.kind == "topic":
+                inside = parent
+                while inside is not None and not inside.named:
+                    inside = inside.parent
+                chapter = suspect.headed or inside is not None
+                spared = most or chapter and suspect.linked < suspect.chars / 4
+            else:
+                spared = most
+            node.furniture = not spared
+        if node.furniture:
+            node.content = []
+
+
 def _score(root: _Node) -> list[_Node]:
     """Gives points to containers; all nodes in page order."""
     nodes, stack = [], [root]
@@ -204,13 +370,9 @@ def _score(root: _Node) -> list[_Node]:
                 node.chars += len(x[0])
                 node.linked += x[1]
     for node in nodes:
-        own = [x for x in node.content if not isinstance(x, _Node)]
-        if node.furniture or not own:
+        points, length, _ = _own_points(node)
+        if node.furniture or not length:
             continue
-        length = sum(len(t) for t, _ in own)
-        in_links = sum(n for _, n in own)
-        points = 1 + sum(t.count(",") for t, _ in own) + min(length / 100, 3)
-        points *= 1 - min(1.0, in_links / length)
         if node.tag in PARAGRAPHS:
             up, share = node.parent, 1.0
         else:
@@ -231,7 +393,7 @@ def _score(root: _Node) -> list[_Node]:
     return nodes
 
 
-def _blocks(node: _Node, out: list[str]) -> None:
+def _blocks(node: _Node | tuple[str, int], out: list[str]) -> None:
     stack: list = [node]
     while stack:
         x = stack.pop()
@@ -247,6 +409,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = _tree(page)
+    _settle(root)
     nodes = [n for n in _score(root) if not n.furniture and n.chars]
     if not nodes:
         return ""
@@ -255,17 +418,15 @@ def main_text(page: str | None) -> str:
         best = best.parent
     kept = [best]
     if best.parent is not None:
-        least = max(2.0, 0.2 * best.points)
         kept = []
         for x in best.parent.content:
             if x is best:
                 kept.append(x)
-            elif isinstance(x, _Node) and not x.furniture and x.chars:
-                density = x.linked / x.chars
-                headline = x.tag in ("h1", "h2")
-                alike = x.tag == best.tag and x.points >= least
-                prose = x.tag in PARAGRAPHS and (x.chars > 80 and density < 0.25 or headline)
-                if alike or prose or x.named and density < 0.5:
+            elif not isinstance(x, _Node):
+                if x[1] < len(x[0]) / 2:
+                    kept.append(x)
+            elif not x.furniture and x.chars and x.linked < x.chars / 2:
+                if x.tag == best.tag or x.tag in BESIDE or x.named:
                     kept.append(x)
     out: list[str] = []
     for node in kept:

@@ -58,3 +58,29 @@ def test_table(frame):
     assert out.columns == ["page_id", "url", "html", "text"]
     assert sorted((r["page_id"], r["text"]) for r in out.collect()) == [(1, "a"), (1, "a"), (2, "")]
     assert extract(frame([], "page_id bigint, html string")).collect() == []
+
+
+LONG = "Words of the article, one after the other, with commas, so that they count as prose in a page."
+
+
+@pytest.mark.parametrize(("body", "text"), [
+    (f"<div class='content has-sidebar'><p>{LONG}</p></div>", LONG),
+    (f"<div class='post no-footer'><p>{LONG}</p></div>", LONG),
+    (f"<div class='layout has-sidebar'><p>{LONG}</p><div class=sidebar>no</div></div>", LONG),
+    (f"<form action=/><nav>no</nav><div><p>{LONG}</p><p>End.</p></div><input></form>", f"{LONG}\nEnd."),
+    (f"<article><p>{LONG}</p><section id=discussion><h2>Discussion</h2><p>So it is.</p></section>"
+     f"<section id=related-work><p>Others.</p></section></article>", f"{LONG}\nDiscussion\nSo it is.\nOthers."),
+    (f"<article><h2 id=search>Search</h2><p>{LONG}</p></article>", f"Search\n{LONG}"),
+    ("<article><p>It is <span class=alert>not</span> so.</p></article>", "It is not so."),
+    ("<article><p>It is <span hidden>not</span> so.</p></article>", "It is so."),
+    ("<article><p title='a hidden place'>Here.</p></article>", "Here."),
+    (f"<div>Before.<section><p>{LONG * 9}</p></section>Between.<section><p>Short.</p></section></div>",
+     f"Before.\n{LONG * 9}\nBetween.\nShort."),
+    (f"<my-page class=widget><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></my-page>", "\n".join([LONG] * 3)),
+    (f"<div><p>{LONG}</p></div><div id=comments>" + f"<p>{LONG}</p>" * 9 + "</div>", LONG),
+    (f"<article><p>{LONG}</p><span class=ad>Buy</span><span class=ad><p>Buy</p></span><p>End.</p></article>",
+     f"{LONG}\nEnd."),
+    (f"<article><p>{LONG}</p><div class='post-footer'>no</div><div class=comment-body>no</div></article>", LONG),
+])
+def test_only_furniture_is_left_out(body, text):
+    assert main_text(f"<html><body><header>no</header>{body}<footer>no</footer></body></html>") == text
