@@ -40,6 +40,8 @@ def _gains() -> np.ndarray:
 
 
 _GAIN = _gains()
+#: The steps' sums: what c equal bytes add.
+_SUM = np.concatenate([[0], np.cumsum(_GAIN)])
 
 
 def _entropies(data: np.ndarray) -> np.ndarray:
@@ -57,9 +59,10 @@ def _entropies(data: np.ndarray) -> np.ndarray:
                 same = (part[d : d + m] == part[:m]).view(np.uint8)
                 own_later[:m] += same
                 own_earlier[d : d + m] += same
-    first = np.unique(data[:WINDOW], return_counts=True)[1].astype(np.float64)
+    # Sums of the same steps for every window, so that a window's entropy depends on its bytes only.
+    first = np.unique(data[:WINDOW], return_counts=True)[1]
     total = np.empty(n - WINDOW + 1, np.int64)
-    total[0] = int(np.rint((first * np.log2(first)).sum() * _SCALE))
+    total[0] = _SUM[first].sum()
     total[1:] = _GAIN[earlier[WINDOW:]] - _GAIN[later[: n - WINDOW]]
     np.cumsum(total, out=total)
     most = np.log2(WINDOW)

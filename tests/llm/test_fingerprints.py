@@ -72,3 +72,14 @@ def test_one_row_no_row_and_missing_ids(frame):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert got == Counter([(2, sha("b" * 9)), (2, sha("b" * 6 + "aaa")), (1, sha("a" * 6 + "nnn")),
                            (None, sha("n" * 6 + "bbb"))])
+
+
+def test_entropy_depends_on_the_window_only():
+    """Before, the first window's rounding moved all windows of a batch, whole numbers by one."""
+    body = ("0123456789abcdef" * 4 + "aabbccdd" * 8 + _prose(4, 200)).encode()
+    alone = fp._entropies(np.frombuffer(body, np.uint8))
+    assert alone[0] == 800 and alone[64] == 400
+    starts = ["abcdefghijklmnopqrstuvwxyz012345", "a" * 32, "aaabbbcccdddeeefffggghhhiiijjjkk"]
+    for start in starts + [_prose(i, 12)[:32] for i in range(30)]:
+        data = np.frombuffer(start.encode() + body, np.uint8)
+        assert (fp._entropies(data)[32:] == alone).all(), start
