@@ -2,7 +2,10 @@
 
 Every byte window of a text is ranked by how improbable its entropy is. A
 window that is the most improbable one of many neighbourhoods is a feature; its
-hash sets bits in a Bloom filter, and full filters are chained. Two
+hash sets bits in a Bloom filter, and full filters are chained. Where a
+long stretch has no feature, such as a repeated word or a run of one character,
+its repeated windows are features; a text without any feature gives all its
+windows. Two
 fingerprints are compared filter by filter, by the overlap of bits beyond what
 chance gives.
 """
@@ -21,6 +24,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 WINDOW, NEIGHBOURS, WINS = 32, 32, 8
 #: Texts of fewer bytes give all windows of ``SHORT_WINDOW`` bytes, or themselves.
 SHORT_TEXT, SHORT_WINDOW = 128, 8
+#: Bytes without a feature that give their repeated windows: what ``edited`` leaves of the shortest long text.
+STRETCH = SHORT_TEXT * 2 // 3
 #: Bits of a filter, features it takes, and bits that a feature sets.
 BITS, FEATURES, HASHES = 2048, 160, 5
 #: Part of the way from chance to the largest overlap that counts as no likeness.
@@ -107,6 +112,35 @@ def _selected(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.bincount(won, minlength=1) >= WINS)
 
 
+def _repeated(
+    data: np.ndarray, places: np.ndarray, owner: np.ndarray, bounds: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, hash and place of the windows that stand for stretches without a feature."""
+    rows = np.flatnonzero(np.diff(bounds) >= SHORT_TEXT)
+    marks = np.concatenate([bounds[rows] - 1, places, bounds[rows + 1] - WINDOW + 1])
+    of = np.concatenate([rows, owner, rows])
+    order = np.lexsort((marks, of))
+    marks, of = marks[order], of[order]
+    wide = np.flatnonzero((np.diff(marks) > STRETCH - WINDOW + 1) & (of[1:] == of[:-1]))
+    sizes = marks[wide + 1] - marks[wide] - 1
+    ends = np.cumsum(sizes)
+    stretch = np.repeat(np.arange(len(wide)), sizes)
+    at = np.arange(len(stretch)) + (marks[wide] + 1 - ends + sizes)[stretch]
+    found = np.empty(len(at), np.uint64)
+    for i in range(0, len(at), _PIECE):
+        found[i : i + _PIECE] = _hashed(data, at[i : i + _PIECE], WINDOW)
+    order = np.lexsort((found, stretch))  # stable: a window's first place comes first
+    stretch, found, at = stretch[order], found[order], at[order]
+    fresh = np.ones(len(at) + 1, bool)
+    fresh[1:-1] = (stretch[1:] != stretch[:-1]) | (found[1:] != found[:-1])
+    first = np.flatnonzero(fresh)
+    times, first = np.diff(first), first[:-1]
+    text = of[wide][stretch[first]]
+    bare = np.bincount(owner, minlength=len(bounds))[text] == 0
+    kept = bare | (times > 1)
+    return text[kept], found[first][kept], at[first][kept]
+
+
 def fingerprints(texts: list[bytes]) -> list[tuple[int, np.ndarray]]:
     """Number of features, and filters (a row of bytes each), of every text."""
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -116,6 +150,8 @@ def fingerprints(texts: list[bytes]) -> list[tuple[int, np.ndarray]]:
     owner = np.searchsorted(bounds, places, side="right") - 1
     long = sizes[owner] >= SHORT_TEXT
     owners, hashes, order = [owner[long]], [_hashed(data, places[long], WINDOW)], [places[long]]
+    for rows, new in zip((owners, hashes, order), _repeated(data, places[long], owner[long], bounds), strict=True):
+        rows.append(new)
     for i in np.flatnonzero((sizes > 0) & (sizes < SHORT_TEXT)):
         if sizes[i] < SHORT_WINDOW:
             digest = hashlib.blake2b(texts[i], digest_size=8).digest()
@@ -159,7 +195,7 @@ def from_text(text: str) -> tuple[int, np.ndarray]:
 def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
     """0 to 1: per filter of the shorter chain its best overlap with the other's, weighed by bits.
 
-    Texts without features are like each other only.
+    Texts without features, which are the empty ones, are like each other only.
     """
     x, y = (a[1], b[1]) if len(a[1]) <= len(b[1]) else (b[1], a[1])
     if not len(x):

@@ -83,3 +83,20 @@ def test_entropy_depends_on_the_window_only():
     for start in starts + [_prose(i, 12)[:32] for i in range(30)]:
         data = np.frombuffer(start.encode() + body, np.uint8)
         assert (fp._entropies(data)[32:] == alone).all(), start
+
+
+def test_long_repetitive_texts():
+    """Before, all of these had no feature and so were like each other and like an empty text."""
+    raw = ["spam " * 200, "ham eggs" * 100, "ab" * 300, "=" * 500, "-" * 500, "0123456789abcdef" * 40, "a" * 128, ""]
+    prints = fp.fingerprints([t.encode() for t in raw])
+    for i, a in enumerate(prints):
+        assert (a[0] > 0) == (raw[i] != "")
+        for j, b in enumerate(prints):
+            assert fp.likeness(a, b) == (1.0 if i == j else 0.0), (raw[i][:9], raw[j][:9])
+    for text in raw[:-1]:  # two thirds are as before
+        own, new = fp.fingerprints([text.encode(), fp.edited(text, _prose(1)).encode()])
+        assert fp.likeness(own, new) > 0.9
+    texts = [t.encode() for t in raw] + [(_prose(1) + "=" * 400 + _prose(2)).encode()]
+    alone = [fp.as_text(fp.fingerprints([t])[0]) for t in texts]
+    assert alone == [fp.as_text(p) for p in fp.fingerprints(texts)]
+    assert alone == [fp.as_text(p) for p in fp.fingerprints(texts[::-1])][::-1]
