@@ -1,6 +1,6 @@
 """Nearest neighbours by cosine from navigable small-world graphs, one per shard.
 
-Equal vectors are one node, so many copies cannot tie a graph into knots. A
+Vectors of one direction are one node, so many copies cannot tie a graph into knots. A
 shard's graph has levels: a node is in each higher one with a fixed chance, and
 on every level it knows its nearest nodes in different directions. Levels are
 stored as flat arrays of neighbours. A search goes down from the top level and
@@ -193,20 +193,28 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _distinct(vectors: DataFrame, kept: int) -> DataFrame:
-    """Distinct vectors as bytes, and the smallest ids of each; a task sends a vector once."""
+    """Distinct directions as bytes, and the smallest ids of each; a task sends a direction once.
+
+    A direction is the vector divided by its largest component, as ``cosine`` does first, so that
+    all rows of one have the same score.
+    """
 
     def once(batches):
-        ids_of: dict[bytes, list[int]] = {}
+        ids_of: dict[bytes, set[int]] = {}
         for batch in batches:
             lists = batch.column(1)
             flat, bounds = lists.flatten().to_numpy(), lists.offsets.to_numpy()
             bounds = bounds - bounds[0]
-            flat = flat + 0.0  # one zero
+            if not batch.num_rows:
+                continue
+            largest = np.maximum.reduceat(np.abs(flat), bounds[:-1])
+            flat = flat / np.repeat(largest, np.diff(bounds)) + 0.0  # one zero
             for vec_id, a, b in zip(batch.column(0).to_pylist(), bounds, bounds[1:], strict=False):
-                own = ids_of.setdefault(flat[a:b].tobytes(), [])
-                own.append(vec_id)
+                key = flat[a:b].tobytes()
+                own = ids_of.setdefault(key, set())
+                own.add(vec_id)
                 if len(own) > 4 * kept:
-                    own[:] = sorted(own)[:kept]
+                    ids_of[key] = set(sorted(own)[:kept])
         rows = list(ids_of.items())
         for i in range(0, len(rows), 5000):
             part = rows[i : i + 5000]
@@ -217,7 +225,7 @@ def _distinct(vectors: DataFrame, kept: int) -> DataFrame:
             )
 
     return vectors.mapInArrow(once, "vector binary, ids array<bigint>").groupBy("vector").agg(
-        F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, kept).alias("ids")
+        F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, kept).alias("ids")
     )
 
 
@@ -233,7 +241,7 @@ def build_index(
     vector_col: str = "embedding",
     shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
-    """Writes one row per shard (and dimension): vectors, their smallest ids, and the flat graph."""
+    """Writes one row per shard (and dimension): directions, their smallest ids, and the flat graph."""
     nodes = scratch.write(_distinct(usable(vectors, id_col, vector_col), k + 1), "nodes")
     shards = max(1, -(-nodes.count() // shard_rows))
     nodes = nodes.select(
@@ -292,12 +300,28 @@ def search_index(
             at, place = np.nonzero(near >= 0)
             node = near[at, place]
             score = cosine(q[at], x[node])
-            for i, j, s in zip(at, node, score, strict=True):
+            others: list[set[int]] = [set() for _ in names]
+
+            def add(i: int, j: int, s: float) -> None:
                 for vec_id in ids[j]:
                     if vec_id != names[i]:
+                        others[i].add(vec_id)
                         out["query_id"].append(names[i])
                         out["vec_id"].append(vec_id)
                         out["score"].append(s)
+
+            for i, j, s in zip(at, node, score, strict=True):
+                add(i, j, s)
+            for i, found in enumerate(others):
+                if len(found) < k and near.shape[1] < len(ids):  # few ids have all nodes found
+                    found.clear()
+                    score = cosine(np.broadcast_to(q[i], x.shape), x)
+                    last = -np.inf
+                    for j in np.argsort(-score, kind="stable"):
+                        if len(found) >= k and score[j] < last:
+                            break
+                        last = score[j]
+                        add(i, j, last)
         return pa.table({
             "query_id": pa.array(out["query_id"], pa.int64()),
             "vec_id": pa.array(out["vec_id"], pa.int64()),

@@ -64,3 +64,47 @@ def test_copies_odd_vectors_and_few_candidates(frame):
 def test_empty_table(frame):
     none = frame([], DDL)
     assert ann.nearest(none, none, 5).collect() == []
+
+
+def test_repeated_ids_are_cut_once(frame):
+    """Before, six rows of one id took all places of their vector."""
+    rows = [(3, [1.0, 2.0])] * 40 + [(i, [1.0, 2.0]) for i in (7, 8, 9)] + [(1, [2.0, 1.0]), (2, [-1.0, 0.0])]
+    vectors = frame([(*r, None) for r in rows], DDL).repartition(3)
+    got = _found(ann.nearest(vectors, vectors.where("vec_id = 1"), 5))
+    assert [i for i, _ in got[1]] == [3, 7, 8, 9, 2]
+
+
+def test_multiples_are_ties(frame):
+    """Before, k + 3 of the multiples were found, not those with the smallest ids."""
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(m), 2.0 * m, -3.0 * m]) for i, m in enumerate(rng.permutation(np.arange(1, 201)).tolist(), 10)]
+    rows += [(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(100, 3)), 1000)]
+    vectors = frame([(*r, None) for r in rows + [(1, [1.0, 2.0, -3.1])]], DDL)
+    got = _found(ann.nearest(vectors, vectors.where("vec_id in (1, 50)"), 5))
+    assert [i for i, _ in got[1]] == [10, 11, 12, 13, 14]
+    assert [i for i, _ in got[50]] == [10, 11, 12, 13, 14]
+    assert len({s for _, s in got[1]}) == 1
+
+
+def test_many_near_vectors_of_one_id(frame):
+    rows = [(1, [1.0, i / 1000]) for i in range(300)] + [(i, [-1.0, float(i)]) for i in range(2, 12)]
+    vectors = frame([(*r, None) for r in rows], DDL)
+    got = _found(ann.nearest(vectors, vectors.where("vec_id = 1").limit(1), 5))
+    assert [i for i, _ in got[1]] == [11, 10, 9, 8, 7]
+
+
+def test_recall_with_shards_as_in_use(spark, frame):
+    rng = np.random.default_rng(7)
+    centers = rng.normal(size=(60, 24))
+    x = (centers[rng.integers(0, 60, 9000)] + 0.4 * rng.normal(size=(9000, 24))).astype(np.float32)
+    vectors = frame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], DDL)
+    index = ann.build_index(vectors, Scratch(spark, "ann"), 5)
+    assert index.count() == 3
+    got = _found(ann.search_index(index, vectors.where("vec_id % 50 = 0"), 5))
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    hits = []
+    for q in range(0, 9000, 50):
+        near = unit @ unit[q]
+        near[q] = -np.inf
+        hits.append(len({i for i, _ in got[q]} & set(np.argsort(-near)[:5].tolist())) / 5)
+    assert np.mean(hits) >= 0.95
