@@ -42,7 +42,7 @@ def op1_mix_sources(spark, sf):
 def op2_token_records(spark, sf):
     folder = Scratch(spark, "records").folder
     path = public_tokenizers.path(WORD_TOKENIZER)
-    records.write_records(table(spark, sf, "documents"), folder, path, END_ID)
+    records.write_records(table(spark, sf, "documents"), folder, path, END_ID, special_as_text=False)
     return records.index_records(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

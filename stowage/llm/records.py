@@ -17,6 +17,7 @@ record, so records can be read in any order.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -67,12 +68,12 @@ def frames(data: bytes):
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(definition: str):
+def _tokenizer(definition: str, special_as_text: bool):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_str(definition)
-    made.encode_special_tokens = True  # their strings in a text are ordinary text
+    made.encode_special_tokens = special_as_text
     return made
 
 
@@ -83,8 +84,12 @@ class _WordIds:
     capitals or before a stop or comma need no encoding of their own.
     """
 
-    def __init__(self, definition: str, width: int):
-        self.tokenizer = _tokenizer(definition)
+    def __init__(self, definition: str, width: int, special_as_text: bool = True):
+        self.tokenizer = _tokenizer(definition, special_as_text)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        special = [] if special_as_text else [re.escape(t.content.lower()) for t in added]
+        # Words that hold such a string in any case are encoded as they are.
+        self.special = re.compile("|".join(special)).search if special else None
         self.kind = np.dtype(f"<u{width}")
         self.known: dict[str, bytes] = {}
         self.marks = {mark: self._encoded([mark])[0] for mark in ".,"}
@@ -99,7 +104,7 @@ class _WordIds:
         keys, ends = [], []
         for word in words:
             end = b""
-            if word.isascii():
+            if word.isascii() and not (self.special and self.special(word.lower())):
                 word = word.lower()
                 if word[-1:] in marks and word[:-1].isalpha():
                     end = marks[word[-1]]
@@ -117,9 +122,9 @@ class _WordIds:
 
 
 @lru_cache(maxsize=1)
-def _word_ids(definition: str, width: int) -> _WordIds:
+def _word_ids(definition: str, width: int, special_as_text: bool) -> _WordIds:
     """One for all tasks of a worker, with the words it remembers."""
-    return _WordIds(definition, width)
+    return _WordIds(definition, width, special_as_text)
 
 
 def encode_texts(texts: pa.Array, words_of: _WordIds, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,11 +155,14 @@ def write_records(
     end_id: int,
     id_col: str = "doc_id",
     text_col: str = "text",
+    special_as_text: bool = True,
 ) -> None:
     """Encodes whole texts and writes records in ascending order of ids to ``folder/data``.
 
     The tokenizer must drop white space and case, and take letters and marks
     apart, as one of word-level BPE does: then words are encoded one by one.
+    Strings of special tokens in a text are ordinary text, or with
+    ``special_as_text=False`` those tokens, as the library has it by default.
 
     Defined cases: a NULL text counts as an empty one, which has only the end
     id; rows with a NULL id come first; rows with one id follow each other in
@@ -170,7 +178,7 @@ def write_records(
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        words_of = _word_ids(shared.value, width)
+        words_of = _word_ids(shared.value, width, special_as_text)
         for batch in batches:
             if not len(batch):
                 continue

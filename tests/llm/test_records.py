@@ -63,3 +63,15 @@ def test_damage_is_noticed():
         bad[at] ^= 1
         with pytest.raises(ValueError):
             list(records.frames(bytes(bad)))
+
+
+def test_special_tokens_as_the_library_has_them(spark, frame):
+    library = Tokenizer.from_file(PATH)
+    texts = ["<|endoftext|> a", "a<|startoftext|>B<|endoftext|>. C", "<|ENDOFTEXT|> A", "é<|endoftext|>x", "Plain, TEXT."]
+    folder = Scratch(spark, "records").folder
+    docs = frame(list(enumerate(texts)), "doc_id bigint, text string")
+    records.write_records(docs, folder, PATH, 2, special_as_text=False)
+    records.index_records(spark, folder)
+    got = {r["doc_id"]: list(r["ids"]) for r in records.read_records(spark, folder).collect()}
+    assert got == {i: [*library.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert 49407 in got[0] and 49406 in got[1]
