@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stowage.llm import (
-    ann, bpe, chat, fingerprints, html, jaccard, langid, mixing, quality, records,
+    ann, bpe, chat, fingerprints, html, jaccard, langid, maxproduct, mixing, quality, records,
 )
 from stowage.llm.tables import Scratch, table
 
@@ -128,6 +128,14 @@ def op10_byte_bpe(spark, sf):
     return bpe_digests(table(spark, sf, "documents"))
 
 
+@query
+def op11_top_products(spark, sf):
+    """The 20 largest inner products of quantized vectors, for every twentieth vector."""
+    vectors = table(spark, sf, "embeddings").select(
+        "vec_id", maxproduct.quantized(F.col("embedding")).alias("vector"))
+    return maxproduct.top_products(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 # Documents' sizes per source, the parts of the mix, and for each draw of a document's count
 # the number of values k whose P(value <= k) its hash has passed.
 SQL["op1_mix_sources"] = """
@@ -206,3 +214,17 @@ reach AS (
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.b) AS component_id
 FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.s
 """
+
+# Every query against every other row.
+SQL["op11_top_products"] = """
+WITH vectors AS (
+  SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+products AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    list_sum([a[1] * a[2] FOR a IN list_zip(q.v, c.v)])::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM products
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 20
+"""

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stowage.session import shared_folder, use_utc
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,8 +36,17 @@ class Scratch:
         return f"{self.folder}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes a table and returns it as read back, with the schema it was written with."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        """Writes a table and returns it as read back, with the schema it was written with.
+
+        The shuffle files of the write go with it, instead of waiting for the
+        driver to collect its garbage: nothing but the written table is read later.
+        """
+        conf, before = self.spark.conf, self.spark.conf.get(_CLEANUP, None)
+        conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        finally:
+            conf.set(_CLEANUP, before) if before is not None else conf.unset(_CLEANUP)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
