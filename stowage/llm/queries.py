@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stowage.llm import (
-    ann, bpe, chat, fingerprints, html, jaccard, langid, maxproduct, mixing, quality, records,
+    alignment, ann, bpe, chat, collocations, fingerprints, html, jaccard, langid, maxproduct, mixing,
+    quality, records,
 )
 from stowage.llm.tables import Scratch, table
 
@@ -18,6 +19,7 @@ SQL: dict[str, str] = {}
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Appended to every document's token ids.
 END_ID = 2
 GOOD_FROM = 0.3
@@ -136,6 +138,19 @@ def op11_top_products(spark, sf):
     return maxproduct.top_products(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
+@query
+def op12_token_alignment(spark, sf):
+    """Groups and links of two tokenizers' tokens in every document, scored by counts of id pairs."""
+    return alignment.align_tokenizers(
+        table(spark, sf, "documents"), public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_MODEL))
+
+
+@query
+def op13_collocations(spark, sf):
+    """The 2,000 phrases of each language whose words belong together most."""
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
 # Documents' sizes per source, the parts of the mix, and for each draw of a document's count
 # the number of values k whose P(value <= k) its hash has passed.
 SQL["op1_mix_sources"] = """
@@ -228,3 +243,34 @@ SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM prod
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER w <= 20
 """
+
+# All n-grams by their texts.
+SQL["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\x20\x09]+') IF x <> ''] AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, m, w[i:i + m - 1] AS w FROM words, unnest(range(1, 5)) AS ms(m),
+    unnest(range(1, len(w) - m + 2)) AS places(i)),
+counts AS (SELECT lang, m, w, count(*)::BIGINT AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+  SELECT c.lang, c.w, c.a, k, l.a AS l, r.a AS r,
+    ((2000000::HUGEINT * c.a) // (l.a::HUGEINT + r.a))::BIGINT AS score
+  FROM counts c, unnest(range(1, c.m)) AS ks(k)
+  JOIN counts l ON l.lang = c.lang AND l.w = c.w[1:k]
+  JOIN counts r ON r.lang = c.lang AND r.w = c.w[k + 1:]),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, w[i:i + size - 1] AS w, max(a) AS longer FROM counts, unnest(range(2, m)) AS sizes(size),
+    unnest(range(1, m - size + 2)) AS places(i) GROUP BY ALL),
+free AS (
+  SELECT s.*, array_to_string(s.w, ' ') AS phrase FROM weakest s LEFT JOIN inside i ON i.lang = s.lang AND i.w = s.w
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT f.lang, row_number() OVER v AS rank, phrase, a, l, r, n, score
+FROM free f JOIN totals t ON t.lang = f.lang
+WINDOW v AS (PARTITION BY f.lang ORDER BY score DESC, a DESC, encode(phrase))
+QUALIFY row_number() OVER v <= 2000
+"""
