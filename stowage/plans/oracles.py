@@ -465,6 +465,15 @@ _RULED_TREE = f"""list_has_any(string_split(directory, '/'), [{_in(_NAMES)[1:-1]
  OR contains('/' || directory || '/', '/proj9/dist/')
  OR regexp_matches(directory || '/', '/proj1[0-9]/')
  OR regexp_matches(directory || '/', '/f1[0-9]*-[0-9-]*\\.pdf/')"""
+_PATTERNS = r"""
+patterns AS (SELECT CASE s_nationkey % 3
+ WHEN 0 THEN concat('/u', s_suppkey % 50, '/proj[0-9]+/(src|docs)/f[0-9]+-[0-9]+-', s_suppkey, '-')
+ WHEN 1 THEN concat('/vol', s_suppkey % 4, '/u[0-9]/proj', s_suppkey % 97, '/(build|dist)')
+ ELSE concat('-', s_suppkey, '-[1-3]\.(mp4|zip)$|/proj', s_suppkey % 97, '/\.cache/hugging') END AS regex
+ FROM supplier UNION ALL SELECT '[1-3]-[0-9]\.p[a-y]$'),
+hit_files AS (SELECT DISTINCT path FROM inv JOIN patterns ON regexp_matches(path, regex)),
+above AS (SELECT DISTINCT directory, """ + _ANCESTORS + r""" AS folder FROM (SELECT DISTINCT directory FROM inv)),
+hit_folders AS (SELECT DISTINCT directory FROM above JOIN patterns ON regexp_matches(folder, regex))"""
 _NAMED = """
 named AS (SELECT p_partkey AS project_id, concat(replace(p_brand, '#', '-b'),
  CASE p_size % 8 WHEN 0 THEN '' WHEN 1 THEN '-copy' WHEN 2 THEN '-final-v2' WHEN 3 THEN ' (2)'
@@ -517,6 +526,10 @@ def oracle_sql() -> dict[str, str]:
  AS permissions, coalesce(owner, CAST(uid AS VARCHAR)) AS owner FROM raw"""
     q["exclude_files"] = f"WITH {INV} SELECT file_id, path FROM inv WHERE NOT ({_RULED_FILE})"
     q["exclude_subtrees"] = f"WITH {INV} SELECT file_id, path FROM inv WHERE NOT ({_RULED_TREE})"
+    for name, hit, key in (("exclude_files_patterns", "hit_files", "path"),
+                           ("exclude_subtrees_patterns", "hit_folders", "directory")):
+        q[name] = f"""WITH {INV}, {_PATTERNS} SELECT file_id, path FROM inv
+ WHERE {key} NOT IN (SELECT {key} FROM {hit})"""
     fixed = " UNION ALL ".join(
         f"SELECT '{p}' AS pattern, '{t}' AS rule_type"
         for p, t in [*V.PLATFORM_RULES["linux"], ("tmp", "name"), ("scratch", "name")]

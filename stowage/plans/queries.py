@@ -163,6 +163,29 @@ def exclude_subtrees(spark, sf):
     return exclusions.exclude_subtrees(files, rules).select("file_id", "path")
 
 
+def _pattern_rules(spark, sf):
+    """A pattern per supplier, most with a plain text that matches need, and one without."""
+    pattern = F.expr(r"""CASE s_nationkey % 3
+        WHEN 0 THEN concat('/u', s_suppkey % 50, '/proj[0-9]+/(src|docs)/f[0-9]+-[0-9]+-', s_suppkey, '-')
+        WHEN 1 THEN concat('/vol', s_suppkey % 4, '/u[0-9]/proj', s_suppkey % 97, '/(build|dist)')
+        ELSE concat('-', s_suppkey, '-[1-3]\\.(mp4|zip)$|/proj', s_suppkey % 97, '/\\.cache/hugging') END""")
+    stored = given.table(spark, sf, "supplier").select(
+        pattern.alias("pattern"), F.lit("regex").alias("rule_type"), F.lit(True).alias("is_active"))
+    return stored.unionByName(exclusions.rule_table(spark, [(r"[1-3]-[0-9]\.p[a-y]$", "regex")]))
+
+
+@query
+def exclude_files_patterns(spark, sf):
+    kept = exclusions.exclude_files(given.inventory(spark, sf), _pattern_rules(spark, sf))
+    return kept.select("file_id", "path")
+
+
+@query
+def exclude_subtrees_patterns(spark, sf):
+    kept = exclusions.exclude_subtrees(given.inventory(spark, sf), _pattern_rules(spark, sf))
+    return kept.select("file_id", "path")
+
+
 def _stored_rules(spark, sf):
     return given.table(spark, sf, "supplier").select(
         F.col("s_name").alias("pattern"),
