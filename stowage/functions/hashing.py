@@ -67,3 +67,38 @@ def hash_files(
             yield batch
 
     return files.mapInPandas(run, schema=f"{schema}, `{output}` string")
+
+
+def _same_range(one: str, other: str, start: int, length: int) -> bool:
+    """Whether two files have the same bytes in a range, read in pieces."""
+    try:
+        (store_a, a), (store_b, b) = open_store(one), open_store(other)
+        with store_a.open_input_file(a) as left, store_b.open_input_file(b) as right:
+            for at in range(start, start + length, _CHUNK):
+                n = min(_CHUNK, start + length - at)
+                piece = left.read_at(n, at)
+                if len(piece) < n or piece != right.read_at(n, at):
+                    return False
+            return left.size() == right.size()
+    except FileNotFoundError:
+        return False
+
+
+def compare_ranges(pieces: DataFrame, output: str, piece_bytes: int) -> DataFrame:
+    """Whether ``path`` and ``first_path`` agree in the piece that begins at ``start``.
+
+    A file that is gone or shorter differs; any other failure to read fails
+    the task, so that Spark tries it again.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            columns = (batch[c] for c in ("first_path", "path", "start", "size_bytes"))
+            batch[output] = [
+                _same_range(one, other, start, min(piece_bytes, size - start))
+                for one, other, start, size in zip(*columns, strict=True)
+            ]
+            yield batch
+
+    return pieces.mapInPandas(run, schema=f"{schema}, `{output}` boolean")

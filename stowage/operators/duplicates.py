@@ -11,42 +11,40 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stowage.fixed_values import MIN_DUPLICATE_BYTES, PARTIAL_BYTES
-from stowage.functions.hashing import content_hash, hash_files, partial_hash
+from stowage.functions.hashing import compare_ranges, content_hash, hash_files, partial_hash
 from stowage.operators.paging import where_all
 from stowage.operators.skew import join_by_key
 from stowage.session import shared_folder
 
 GROUP = ["scan_id", "group_id"]
+PARTIAL = ["scan_id", "size_bytes", "partial_hash"]
+#: What tells that a file is as it was, and the buckets in which digests and content are stored.
+STATE = ["path", "size_bytes", "modified_at"]
 
 
 def size_groups(files: DataFrame, min_bytes: int = MIN_DUPLICATE_BYTES) -> DataFrame:
-    """Sizes from ``min_bytes`` on that occur more than once."""
+    """Sizes from ``min_bytes`` on that occur more than once in a scan."""
     return (
         files.where(F.col("size_bytes") >= min_bytes)
-        .groupBy("size_bytes")
+        .groupBy("scan_id", "size_bytes")
         .agg(F.count(F.lit(1)).alias("file_count"))
         .where(F.col("file_count") > 1)
     )
 
 
 def same_size_files(files: DataFrame, min_bytes: int = MIN_DUPLICATE_BYTES) -> DataFrame:
-    """Files that share their size with another file."""
+    """Files that share their size with another file of their scan."""
     groups = size_groups(files, min_bytes).withColumnRenamed("file_count", "_n")
-    return join_by_key(files, groups, "size_bytes", "_n", "file_id").drop("_n")
+    return join_by_key(files, groups, ["scan_id", "size_bytes"], "_n", "file_id").drop("_n")
 
 
-def _keep_repeated(rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose key occurs at least twice; a NULL key drops out."""
-    counts = (
-        rows.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > 1)
-    )
-    return join_by_key(rows, counts, key, "_n", "file_id").drop("_n")
+def _keep_repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys occur at least twice; rows with a NULL key drop out."""
+    counts = rows.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return join_by_key(rows, counts, keys, "_n", "file_id").drop("_n")
 
 
 def partial_hashes(content: DataFrame, min_bytes: int = MIN_DUPLICATE_BYTES) -> DataFrame:
@@ -63,21 +61,19 @@ def partial_hashes(content: DataFrame, min_bytes: int = MIN_DUPLICATE_BYTES) ->
 def partial_hash_candidates(
     content: DataFrame, min_bytes: int = MIN_DUPLICATE_BYTES
 ) -> DataFrame:
-    """Files that share size and partial digest with another file."""
-    keyed = partial_hashes(content, min_bytes).withColumn(
-        "_key", F.concat_ws(":", "size_bytes", "partial_hash")
-    )
-    return _keep_repeated(keyed, "_key").drop("_key")
+    """Files that share size and partial digest with another file of their scan."""
+    return _keep_repeated(partial_hashes(content, min_bytes), PARTIAL)
 
 
 def full_hashes(
     content: DataFrame,
-    min_bytes: int = MIN_DUPLICATE_BYTES,
+    min_bytes: int = 0,
     max_bytes: int | None = None,
 ) -> DataFrame:
     """Full digest of each file from a table with bytes, as a narrow table.
 
-    Without ``max_bytes`` every size is hashed.
+    Every size is hashed unless limits are given; the least size of a duplicate
+    is the first stage's rule.
 
     A columnar table hands over the bytes of a row group whichever of its rows
     survive the funnel, so the digest is taken in that one pass; sending bytes
@@ -115,13 +111,7 @@ def hash_listed_files(
         return spark.read.parquet(f"{folder}/{name}")
 
     first = hashed(same_size_files(listing, min_bytes), "partial_hash", PARTIAL_BYTES)
-    keyed = first.withColumn(
-        "_key",
-        F.when(
-            F.col("partial_hash").isNotNull(), F.concat_ws(":", "size_bytes", "partial_hash")
-        ),
-    )
-    survivors = _keep_repeated(keyed, "_key").drop("_key", "partial_hash")
+    survivors = _keep_repeated(first, PARTIAL).drop("partial_hash")
     return hashed(survivors, "sha256").where(F.col("sha256").isNotNull())
 
 
@@ -310,37 +300,82 @@ def removable_totals(removable: DataFrame) -> DataFrame:
     )
 
 
+def _verified(rows: DataFrame, identical: Column) -> DataFrame:
+    return rows.select(
+        *GROUP, "first_file_id", "file_id", F.coalesce(identical, F.lit(False)).alias("identical")
+    )
+
+
 def verify_bytes(content: DataFrame, hashed: DataFrame, bytes_per_task: int = 1 << 30) -> DataFrame:
     """Compares each copy byte for byte with the first member of its group.
 
-    ``n - 1`` comparisons per group. Only rows of groups are joined with their
-    bytes. A group is cut into pieces by its bytes, and the first member's bytes
-    are repeated once per piece, never for every member.
+    Digests are taken anew where the rows are read, so a file changed since it
+    was hashed shows. Files of one digest meet in one shuffle, the only one that
+    moves bytes, and each is compared with the first of them. Digests with more
+    than ``bytes_per_task`` bytes are cut into pieces, and their first file is
+    repeated once per piece. Files without bytes are not identical, and of files
+    that differ in spite of one digest only those equal to the first one are.
     """
-    rows = hashed.where(F.col("sha256").isNotNull()).select(
-        "scan_id", F.col("sha256").alias("group_id"), "file_id"
-    )
-    groups = hashed.where(F.col("sha256").isNotNull()).groupBy(
-        "scan_id", F.col("sha256").alias("group_id")
-    ).agg(
-        F.count(F.lit(1)).alias("_count"), F.min("file_id").alias("first_file_id"),
-        F.sum(F.coalesce("size_bytes", F.lit(0))).alias("_n"),
-    ).where("_count > 1").drop("_count")
-    bytes_of = content.select("scan_id", "file_id", "content")
-    models = groups.join(
-        bytes_of.select(
-            "scan_id", F.col("file_id").alias("first_file_id"), F.col("content").alias("_model")
-        ),
-        ["scan_id", "first_file_id"],
+    file = ["scan_id", "file_id"]
+    own = content.where("content is not null").select(
+        *file, "content", content_hash(F.col("content")).alias("_digest")
     )
-    members = rows.join(groups.select(*GROUP), GROUP, "left_semi").join(
-        bytes_of, ["scan_id", "file_id"]
+    heavy = own.groupBy("scan_id", "_digest").agg(
+        F.sum(F.octet_length("content")).alias("_n"), F.min("file_id").alias("_first")
+    ).where(F.col("_n") > bytes_per_task).select(
+        "scan_id", "_digest", "_first", F.ceil(F.col("_n") / bytes_per_task).cast("int").alias("_pieces")
     )
-    joined = join_by_key(members, models, GROUP, "_n", "file_id", rows_per_task=bytes_per_task)
-    return joined.where(F.col("file_id") != F.col("first_file_id")).select(
-        *GROUP, "first_file_id", "file_id",
-        F.coalesce(F.col("content") == F.col("_model"), F.lit(False)).alias("identical"),
+    # At most one for each ``bytes_per_task`` bytes of all files.
+    dealt = own.join(F.broadcast(heavy), ["scan_id", "_digest"], "left").withColumn("_piece", F.explode(
+        F.when(F.col("_pieces").isNull(), F.array(F.lit(0)))
+        .when(F.col("file_id") == F.col("_first"), F.sequence(F.lit(0), F.col("_pieces") - 1))
+        .otherwise(F.array(F.pmod(F.xxhash64("file_id"), F.col("_pieces")).cast("int")))))
+    before = W.partitionBy("scan_id", "_digest", "_piece").orderBy("file_id").rowsBetween(
+        W.unboundedPreceding, W.currentRow)
+    checked = dealt.withColumn("_same", F.col("content") == F.first("content").over(before)).groupBy(
+        *file).agg(F.min("_digest").alias("_digest"), F.bool_and("_same").alias("_same"))
+
+    members = hashed.where(F.col("sha256").isNotNull()).select(
+        "scan_id", F.col("sha256").alias("group_id"), "file_id"
     )
+    groups = members.groupBy(*GROUP).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("file_id").alias("first_file_id")
+    ).where("_n > 1")
+    rows = join_by_key(members, groups, GROUP, "_n", "file_id").where("file_id <> first_file_id")
+    firsts = checked.select(
+        "scan_id", F.col("file_id").alias("first_file_id"), F.col("_digest").alias("_model"),
+        F.col("_same").alias("_model_same"))
+    models = groups.join(firsts, ["scan_id", "first_file_id"]).select(*GROUP, "_n", "_model", "_model_same")
+    joined = join_by_key(
+        rows.drop("_n").join(checked, file, "left"), models, GROUP, "_n", "file_id", "left")
+    return _verified(joined, (F.col("_digest") == F.col("_model")) & F.col("_same") & F.col("_model_same"))
+
+
+def verify_files(members: DataFrame, piece_bytes: int = 256 << 20) -> DataFrame:
+    """Compares each real file of a group byte for byte with the first member.
+
+    ``members`` has (scan_id, group_id, file_id, path, size_bytes). Files are
+    cut into pieces of ``piece_bytes``, which are dealt out over all tasks,
+    compared by ranged reads, and folded together; no bytes are shuffled.
+    Files of other sizes differ without being read, and so do files that are gone.
+    """
+    first = F.min_by(F.struct("file_id", "path", "size_bytes"), "file_id")
+    groups = members.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n"), first.alias("_first")).where(
+        "_n > 1").select(
+        *GROUP, "_n", F.col("_first.file_id").alias("first_file_id"),
+        F.col("_first.path").alias("first_path"), F.col("_first.size_bytes").alias("first_bytes"))
+    plain = members.select(*GROUP, "file_id", "path", "size_bytes")
+    rows = join_by_key(plain, groups, GROUP, "_n", "file_id").where("file_id <> first_file_id")
+    alike = F.coalesce(F.col("size_bytes") == F.col("first_bytes"), F.lit(False))
+    starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("size_bytes") - 1, F.lit(0)),
+                        F.lit(piece_bytes).cast("bigint"))
+    pieces = rows.where(alike).select(
+        *GROUP, "first_file_id", "file_id", "first_path", "path", "size_bytes", F.explode(starts).alias("start"))
+    dealt = pieces.repartition(F.xxhash64("scan_id", "file_id", "start"))
+    compared = compare_ranges(dealt, "identical", piece_bytes)
+    folded = compared.groupBy(*GROUP, "first_file_id", "file_id").agg(F.bool_and("identical").alias("_same"))
+    other = rows.where(~alike).select(*GROUP, "first_file_id", "file_id", F.lit(False).alias("_same"))
+    return _verified(folded.unionByName(other), F.col("_same"))
 
 
 def collapse_hardlinks(listing: DataFrame) -> DataFrame:
@@ -366,15 +401,25 @@ def incremental_hashes(content: DataFrame, known: DataFrame) -> DataFrame:
 
     ``known`` has (path, size_bytes, modified_at, sha256) of earlier scans; of
     several digests of one state of a file the largest counts, so a file gives
-    one row. Bytes are hashed where the row is read and never shuffled; real
-    files go through ``hash_files``, which opens only the changed ones.
+    one row. Bytes are hashed above the join that leaves the unchanged files
+    out. With both tables stored in buckets of ``STATE`` (see ``write_buckets``)
+    nothing is shuffled, neither bytes nor digests.
     """
-    match = ["path", "size_bytes", "modified_at"]
-    states = known.groupBy(*match).agg(F.max("sha256").alias("_known"))
-    listed = content.select("scan_id", "file_id", "extension", *match)
+    states = known.groupBy(*STATE).agg(F.max("sha256").alias("sha256"))
     columns = ["scan_id", "file_id", "path", "extension", "size_bytes", "modified_at", "sha256"]
-    found = listed.join(states, match, "left")
-    reused = found.where("_known is not null").withColumnRenamed("_known", "sha256")
-    changed = found.where("_known is null").select("scan_id", "file_id")
-    fresh = full_hashes(content, min_bytes=0).join(changed, ["scan_id", "file_id"], "left_semi")
-    return reused.select(*columns).unionByName(fresh.select(*columns))
+    listed = content.select("scan_id", "file_id", "extension", *STATE)
+    reused = listed.join(states.hint("shuffle_hash"), STATE).select(*columns)
+    # The side with bytes is streamed past the digests, so it is never sorted.
+    changed = content.join(states.select(*STATE).hint("shuffle_hash"), STATE, "left_anti")
+    return reused.unionByName(full_hashes(changed).select(*columns))
+
+
+def incremental_listing_hashes(listing: DataFrame, known: DataFrame) -> DataFrame:
+    """As ``incremental_hashes`` for real files: only files not known unchanged are opened.
+
+    The changed ones are dealt out again, since a join leaves them grouped by key.
+    """
+    states = known.groupBy(*STATE).agg(F.max("sha256").alias("sha256"))
+    found = listing.join(states, STATE, "left")
+    changed = found.where("sha256 is null").drop("sha256").repartition(F.xxhash64("file_id"))
+    return found.where("sha256 is not null").unionByName(hash_files(changed, "sha256"))

@@ -68,6 +68,11 @@ content AS (SELECT 'scan-1' AS scan_id, CAST(doc_id AS VARCHAR) AS file_id,
  CAST(strlen(text) AS BIGINT) AS size_bytes, text AS body, sha256(text) AS sha256,
  TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id AS INTEGER)) AS modified_at
  FROM documents)"""
+SECOND_CONTENT = CONTENT + """,
+content2 AS (SELECT * REPLACE ('scan-2' AS scan_id, CASE WHEN contains(path, '/de/')
+ THEN modified_at + INTERVAL 1 HOUR ELSE modified_at END AS modified_at) FROM content
+ WHERE coalesce(NOT contains(path, '/fr/'), true)),
+contents AS (SELECT * FROM content UNION ALL SELECT * FROM content2)"""
 GROUPS = CONTENT + """,
 hashed AS (SELECT * FROM content WHERE size_bytes >= 1024),
 groups AS (SELECT scan_id, sha256 AS group_id, min(size_bytes) AS file_size_bytes,
@@ -656,16 +661,16 @@ delta AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN
  FROM g) SELECT *, concat(CAST(CAST(share_pct AS DECIMAL(20, 1)) AS VARCHAR), '%') AS share_text
  FROM s"""
 
-    q["dup_size_groups"] = f"""WITH {CONTENT} SELECT size_bytes, count(*) AS file_count FROM content
- WHERE size_bytes >= 1024 GROUP BY 1 HAVING count(*) > 1"""
-    q["dup_size_candidates"] = f"""WITH {CONTENT} SELECT file_id, size_bytes FROM (SELECT *,
- count(*) OVER (PARTITION BY size_bytes) AS n FROM content WHERE size_bytes >= 1024) WHERE n > 1"""
+    q["dup_size_groups"] = f"""WITH {SECOND_CONTENT} SELECT scan_id, size_bytes, count(*) AS file_count
+ FROM contents WHERE size_bytes >= 1024 GROUP BY 1, 2 HAVING count(*) > 1"""
+    q["dup_size_candidates"] = f"""WITH {SECOND_CONTENT} SELECT scan_id, file_id, size_bytes FROM (SELECT *,
+ count(*) OVER (PARTITION BY scan_id, size_bytes) AS n FROM contents WHERE size_bytes >= 1024) WHERE n > 1"""
     ends = "left(hex(body), 8192) || right(hex(body), 8192)"
-    q["dup_partial_hash"] = f"""WITH {CONTENT}, e AS (SELECT file_id, size_bytes,
- CASE WHEN size_bytes <= 8192 THEN hex(body) ELSE {ends} END AS ends FROM content
- WHERE size_bytes >= 1024) SELECT file_id, size_bytes FROM (SELECT *, count(*) OVER
- (PARTITION BY size_bytes, ends) AS n FROM e) WHERE n > 1"""
-    q["dup_full_hash"] = f"WITH {GROUPS} SELECT file_id, path, size_bytes, sha256 FROM hashed"
+    q["dup_partial_hash"] = f"""WITH {SECOND_CONTENT}, e AS (SELECT scan_id, file_id, size_bytes,
+ CASE WHEN size_bytes <= 8192 THEN hex(body) ELSE {ends} END AS ends FROM contents
+ WHERE size_bytes >= 1024) SELECT scan_id, file_id, size_bytes FROM (SELECT *, count(*) OVER
+ (PARTITION BY scan_id, size_bytes, ends) AS n FROM e) WHERE n > 1"""
+    q["dup_full_hash"] = f"WITH {CONTENT} SELECT file_id, path, size_bytes, sha256 FROM content"
     q["dup_groups"] = f"WITH {GROUPS} SELECT * FROM groups"
     q["dup_members"] = f"""WITH {GROUPS} SELECT group_id, file_id, path, false AS is_keeper
  FROM members"""
@@ -701,8 +706,10 @@ delta AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN
  JOIN firsts f ON f.group_id = m.group_id AND f.f <> m.file_id
  JOIN content a ON a.file_id = m.file_id JOIN content b ON b.file_id = f.f"""
     q["content_hash"] = f"WITH {CONTENT} SELECT file_id, sha256 FROM content"
-    q["dup_incremental"] = f"""WITH {GROUPS} SELECT group_id, file_size_bytes, member_count,
- wasted_bytes FROM groups"""
+    q["dup_incremental"] = f"""WITH {SECOND_CONTENT} SELECT scan_id, sha256 AS group_id,
+ min(size_bytes) AS file_size_bytes, count(*) AS member_count,
+ min(size_bytes) * (count(*) - 1) AS wasted_bytes FROM content2 WHERE size_bytes >= 1024
+ GROUP BY 1, 2 HAVING count(*) > 1"""
     q["hardlink_collapse"] = f"""WITH {RAW} SELECT path, file_id, size_bytes, device, inode,
  link_count FROM (SELECT *, row_number() OVER (PARTITION BY device, inode ORDER BY path, file_id,
  size_bytes) AS r, count(*) OVER (PARTITION BY device, inode) AS link_count FROM raw) WHERE r = 1"""

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stowage.fixed_values import SEEDED_NAME_RULES
+from stowage.fixed_values import MIN_DUPLICATE_BYTES, SEEDED_NAME_RULES
 from stowage.functions.hashing import content_hash
 from stowage.functions.modes import octal_permissions, owner_or_uid
 from stowage.functions.paths import normalize_path
@@ -24,8 +24,8 @@ from stowage.operators import (
 )
 from stowage.plans import analysis_job
 from stowage.session import shared_folder, use_utc
+from stowage.sources import buckets, tables
 from stowage.sources import given_tables as given
-from stowage.sources import tables
 from stowage.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,7 +73,7 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _hashed(spark: SparkSession, sf: str) -> DataFrame:
-    return duplicates.full_hashes(given.content(spark, sf))
+    return duplicates.full_hashes(given.content(spark, sf), MIN_DUPLICATE_BYTES)
 
 
 def _groups(spark: SparkSession, sf: str) -> DataFrame:
@@ -462,26 +462,28 @@ def share_of_total(spark, sf):
 
 @query
 def dup_size_groups(spark, sf):
-    return duplicates.size_groups(given.document_listing(spark, sf))
+    return duplicates.size_groups(given.two_contents(spark, sf).drop("content"))
 
 
 @query
 def dup_size_candidates(spark, sf):
-    return duplicates.same_size_files(given.document_listing(spark, sf)).select(
-        "file_id", "size_bytes"
+    return duplicates.same_size_files(given.two_contents(spark, sf).drop("content")).select(
+        "scan_id", "file_id", "size_bytes"
     )
 
 
 @query
 def dup_partial_hash(spark, sf):
-    return duplicates.partial_hash_candidates(given.content(spark, sf)).select(
-        "file_id", "size_bytes"
+    return duplicates.partial_hash_candidates(given.two_contents(spark, sf)).select(
+        "scan_id", "file_id", "size_bytes"
     )
 
 
 @query
 def dup_full_hash(spark, sf):
-    return _hashed(spark, sf).select("file_id", "path", "size_bytes", "sha256")
+    return duplicates.full_hashes(given.content(spark, sf)).select(
+        "file_id", "path", "size_bytes", "sha256"
+    )
 
 
 @query
@@ -611,16 +613,18 @@ def dup_replace(spark, sf):
 
 @query
 def dup_incremental(spark, sf):
-    """A second scan in which German files were touched: only they are hashed again."""
-    before = given.content(spark, sf)
-    touched = F.col("path").contains("/de/")
-    after = before.withColumn(
-        "modified_at",
-        F.when(touched, F.expr("timestampadd(HOUR, 1, modified_at)")).otherwise(F.col("modified_at")),
-    )
-    hashed = duplicates.incremental_hashes(after, duplicates.full_hashes(before))
+    """A second scan in which German files were touched: only they are hashed again.
+
+    Digests of the first scan and content of the second lie in like buckets.
+    """
+    folder = f"{shared_folder(spark)}/states-{uuid.uuid4().hex}"
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = duplicates.full_hashes(given.content(spark, sf))
+    known = buckets.write_buckets(known, f"{folder}/known", duplicates.STATE, count)
+    found = buckets.write_buckets(given.second_content(spark, sf), f"{folder}/found", duplicates.STATE, count)
+    hashed = duplicates.incremental_hashes(found, known)
     return duplicates.duplicate_groups(hashed.where("size_bytes >= 1024")).select(
-        "group_id", "file_size_bytes", "member_count", "wasted_bytes"
+        "scan_id", "group_id", "file_size_bytes", "member_count", "wasted_bytes"
     )
 
 

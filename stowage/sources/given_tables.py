@@ -112,6 +112,19 @@ def content(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def second_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next scan of the documents: French ones are gone, German ones were touched."""
+    kept = content(spark, sf_dir).where("path not like '%/fr/%' or path is null")
+    later = F.expr("timestampadd(HOUR, 1, modified_at)")
+    return kept.withColumn("scan_id", F.lit(SECOND_SCAN_ID)).withColumn(
+        "modified_at", F.when(F.col("path").contains("/de/"), later).otherwise(F.col("modified_at")))
+
+
+def two_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both scans of the documents, whose files have the same names."""
+    return content(spark, sf_dir).unionByName(second_content(spark, sf_dir))
+
+
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scan register: one scan per order."""
     return table(spark, sf_dir, "orders").selectExpr(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stowage.functions import hashing
 from stowage.operators import duplicates, skew
-from stowage.sources import listing
+from stowage.sources import buckets, listing
 
 DDL = ("scan_id string, file_id string, path string, extension string, size_bytes bigint, "
        "content binary, modified_at timestamp")
@@ -47,10 +47,14 @@ def test_funnel_and_groups(frame):
     content = _content(frame, BLOBS)
     assert {r["size_bytes"]: r["file_count"] for r in
             duplicates.size_groups(content).collect()} == {5000: 3, 1024: 3, 8292: 2}
+    twice = content.unionByName(content.withColumn("scan_id", F.lit("t")).where("file_id in ('f000', 'f007')"))
+    assert duplicates.same_size_files(twice).count() == 8
+    assert duplicates.partial_hash_candidates(twice).count() == 7
     assert duplicates.same_size_files(content).count() == 8
     # Equal ends pass the partial digest, and only the full one tells them apart.
     assert duplicates.partial_hash_candidates(content).count() == 7
-    hashed = duplicates.full_hashes(content)
+    assert duplicates.full_hashes(content).count() == len(BLOBS)
+    hashed = duplicates.full_hashes(content, 1024)
     groups = duplicates.duplicate_groups(hashed).collect()
     assert sorted((g["file_size_bytes"], g["member_count"], g["wasted_bytes"]) for g in groups) == [
         (1024, 3, 2048), (5000, 2, 5000)]
@@ -106,7 +110,7 @@ def test_groups_of_two_scans_stay_apart(frame):
 
 
 def test_unknown_decision_changes_nothing(frame):
-    hashed = duplicates.full_hashes(_content(frame, BLOBS))
+    hashed = duplicates.full_hashes(_content(frame, BLOBS), 1024)
     members = duplicates.duplicate_members(hashed)
     group = members.first()["group_id"]
     decisions = frame([("s", group, "nobody", 1)], DECISIONS)
@@ -188,3 +192,67 @@ def test_incremental_hashes_only_changes(frame):
     assert len(got) == len(rows) == len(BLOBS)
     assert got["f000"] == hashlib.sha256(BLOBS[0]).hexdigest()
     assert all(v == "known" for k, v in got.items() if k != "f000")
+
+
+def test_changed_files_are_hashed_above_the_join_and_nothing_is_shuffled(spark, frame, tmp_path):
+    content = _content(frame, BLOBS).withColumn("modified_at", F.lit("2026-01-01").cast("timestamp"))
+    known = buckets.write_buckets(duplicates.full_hashes(content), f"{tmp_path}/known", duplicates.STATE, 4)
+    changed = content.withColumn("modified_at", F.when(F.col("file_id") < "f003", F.lit("2026-02-01").cast("timestamp"))
+                                 .otherwise(F.col("modified_at")))
+    found = buckets.write_buckets(changed, f"{tmp_path}/found", duplicates.STATE, 4)
+    hashed = duplicates.incremental_hashes(found, known)
+    plan = hashed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("sha2(") == 1
+    lines = plan.splitlines()
+    digest = next(i for i, line in enumerate(lines) if "sha2(" in line)
+    anti = next(i for i, line in enumerate(lines) if "LeftAnti" in line)
+    assert digest < anti  # the digest is taken of what the join lets through
+    got = {r["file_id"]: r["sha256"] for r in hashed.collect()}
+    assert got == {f"f{i:03d}": hashlib.sha256(b).hexdigest() for i, b in enumerate(BLOBS)}
+    # Another session finds the buckets by their folder.
+    spark.sql(f"DROP TABLE {buckets._name(f'{tmp_path}/known')}")
+    again = buckets.read_buckets(spark, f"{tmp_path}/known", known.schema, duplicates.STATE, 4)
+    plan = duplicates.incremental_hashes(found, again)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_unchanged_real_files_are_not_opened(frame, tmp_path):
+    path = tmp_path / "new"
+    path.write_bytes(b"fresh")
+    ddl = "file_id string, path string, size_bytes bigint, modified_at string"
+    listed = frame([("a", str(path), 5, "2"), ("b", str(tmp_path / "gone"), 3, "1")], ddl)
+    known = frame([(str(path), 5, "1", "old"), (str(tmp_path / "gone"), 3, "1", "kept")],
+                  "path string, size_bytes bigint, modified_at string, sha256 string")
+    got = {r["file_id"]: r["sha256"] for r in duplicates.incremental_listing_hashes(listed, known).collect()}
+    assert got == {"a": hashlib.sha256(b"fresh").hexdigest(), "b": "kept"}
+
+
+def test_bytes_pass_one_shuffle_and_pieces_agree(frame):
+    blobs = [b"x" * 500] * 9 + [b"y" * 500] * 2 + [b"z", None]
+    content = frame([("s", f"f{i:02d}", f"/{i}", ".b", len(b or b""), bytearray(b) if b else None, None)
+                     for i, b in enumerate(blobs)], DDL)
+    hashed = content.select("scan_id", "file_id", "size_bytes", F.when(
+        F.col("file_id") < "f11", F.lit("g")).otherwise(F.lit("h")).alias("sha256"))
+    for limit in (1 << 30, 1000):
+        checked = duplicates.verify_bytes(content, hashed, limit)
+        got = {r["file_id"]: (r["first_file_id"], r["identical"]) for r in checked.collect()}
+        assert got == {**{f"f{i:02d}": ("f00", i < 9) for i in range(1, 11)}, "f12": ("f11", False)}
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and not [
+        line for line in plan.splitlines() if "Join" in line and "content" in line]
+
+
+def test_ranges_of_real_files(spark, frame, tmp_path):
+    whole = _noise(10_000, 1)
+    other = whole[:9000] + b"!" + whole[9001:]
+    rows = []
+    for i, data in enumerate([whole, whole, other, whole[:-1], whole + b"1", None, b"", b""]):
+        if data is not None:
+            (tmp_path / str(i)).write_bytes(data)
+        group = "e" if data == b"" else "g"
+        size = {None: 10_000}.get(data, len(data or b""))
+        rows.append(("s", group, f"f{i}", str(tmp_path / str(i)), 10_000 if i == 4 else size))
+    members = frame(rows, "scan_id string, group_id string, file_id string, path string, size_bytes bigint")
+    for piece in (1 << 20, 1024):
+        got = {r["file_id"]: r["identical"] for r in duplicates.verify_files(members, piece).collect()}
+        assert got == {"f1": True, "f2": False, "f3": False, "f4": False, "f5": False, "f7": True}
