@@ -950,4 +950,11 @@ log AS (SELECT concat('audit-', event_id) AS log_id, concat('corr-', user_id % 5
     q["task_events_after"] = f"""WITH {TASKS} SELECT task_id, event_id, event_type, {terminal}
  FROM tasks WHERE task_id = '8' AND event_id > 500"""
     q["task_progress_windows"] = q["task_progress_stream"] = _WINDOWS
+    # Closed an hour after a terminal event, or a week after any, an hour behind the newest of all.
+    q["task_ended_stream"] = f"""WITH {TASKS}, last AS (SELECT *, epoch_us(ts) AS ended_micros,
+ count(*) OVER (PARTITION BY task_id) AS event_count, {terminal},
+ row_number() OVER (PARTITION BY task_id ORDER BY event_id DESC) AS r,
+ max(epoch_us(ts) // 1000) OVER () - 3600000 AS mark FROM tasks)
+ SELECT task_id, event_id, event_type, event_count, ended_micros, is_terminal FROM last WHERE r = 1
+ AND ended_micros // 1000 + CASE WHEN is_terminal = 1 THEN 3600000 ELSE 604800000 END <= mark"""
     return q

@@ -27,6 +27,7 @@ from stowage.session import shared_folder, use_utc
 from stowage.sources import buckets, tables
 from stowage.sources import given_tables as given
 from stowage.streaming import jobs as streams
+from stowage.streaming import tasks as task_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1337,5 +1338,13 @@ def task_progress_stream(spark, sf):
 QUERIES["overview"] = _overview
 
 
+@query
+def task_ended_stream(spark, sf):
+    """Tasks closed by a timer after their last event, from the stream of all events."""
+    ended = task_streams.ended_tasks_once(spark, sf)
+    return ended.select("task_id", "event_id", "event_type", "event_count", "ended_micros",
+                        F.col("is_terminal").cast("int").alias("is_terminal"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

@@ -8,7 +8,7 @@ from stowage.plans import analysis_job
 from stowage.plans import queries as named
 from stowage.session import shared_folder
 from stowage.sources import given_tables as given
-from stowage.streaming import jobs
+from stowage.streaming import jobs, tasks
 
 SF = "/root/testdata/sf0.001"
 T = dt.datetime(2026, 1, 1)
@@ -114,3 +114,29 @@ def test_analysis_of_small_scans_again_and_again(spark, frame, tmp_path):
 
 def test_shared_folder_is_the_clusters(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_ended_tasks_give_one_row_and_leave_the_state(spark, frame, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    ddl = "task_id string, event_id bigint, event_type string, ts timestamp, files_per_second double"
+
+    def arrive(*rows):
+        made = [(t, i, kind, T + dt.timedelta(minutes=m), float(i)) for t, i, kind, m in rows]
+        frame(made, ddl).coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.stream_table(spark, source)
+        tasks.task_state_stream(stream, out, state, idle_ms=86_400_000, once=True).awaitTermination()
+        ended = spark.read.schema(tasks.OUTPUT).parquet(out).collect()
+        open_ = tasks.running_tasks(spark, state).collect()
+        return (sorted((r["task_id"], r["event_id"], r["event_count"], r["is_terminal"]) for r in ended),
+                {r["task_id"]: r["event_count"] for r in open_})
+
+    # The newest event counts, whatever the order of rows.
+    assert arrive(("a", 3, "completed", 9), ("a", 1, "progress", 5), ("b", 2, "progress", 6)) == ([], {"a": 2, "b": 1})
+    # A restarted job goes on: the grace is not over, then b goes on working.
+    assert arrive(("b", 4, "progress", 100)) == ([], {"a": 2, "b": 2})
+    done = [("a", 3, 2, True)]
+    assert arrive(("b", 5, "failed", 200), ("c", 6, "progress", 190)) == (done, {"b": 3, "c": 1})
+    # Too late for the task that has ended; c falls silent and is closed a day later.
+    done = [*done, ("b", 5, 3, True)]
+    assert arrive(("a", 7, "progress", 8), ("d", 8, "progress", 400)) == (done, {"c": 1, "d": 1})
+    assert arrive(("d", 9, "progress", 1800)) == ([*done, ("c", 6, 1, False)], {"d": 2})
