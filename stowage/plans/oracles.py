@@ -567,6 +567,14 @@ def oracle_sql() -> dict[str, str]:
  ORDER BY completed_at DESC, scan_id DESC) AS r FROM scans WHERE status = 'completed') WHERE r = 1"""
     q["inventory_sink"] = f"""WITH {INV} SELECT scan_id, category, count(*) AS file_count,
  {size_sum} AS total_bytes FROM inv GROUP BY 1, 2"""
+    q["inventory_arrivals"] = f"""WITH {INV}, arrived AS (
+ SELECT scan_id, path, size_bytes, category, -1 AS batch FROM inv
+ UNION ALL SELECT scan_id, path, size_bytes + 1, category, 0 FROM inv WHERE category = 'code'
+ UNION ALL SELECT scan_id, path || '.new', size_bytes, category, 1 FROM inv WHERE category = 'image'),
+last AS (SELECT *, row_number() OVER (PARTITION BY scan_id, path ORDER BY batch DESC, size_bytes DESC,
+ category DESC) AS r FROM arrived)
+ SELECT category, batch, count(*) AS file_count, {size_sum} AS total_bytes FROM last WHERE r = 1
+ GROUP BY 1, 2"""
     delta = INV + "," + SECOND + """,
 delta AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'new'
  WHEN b.path IS NULL THEN 'gone' WHEN a.modified_at = b.modified_at

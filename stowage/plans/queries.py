@@ -261,6 +261,20 @@ def inventory_sink(spark, sf):
     )
 
 
+@query
+def inventory_arrivals(spark, sf):
+    """A listing of the scan and two batches of changes in one store; one batch comes twice."""
+    folder = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    files = given.inventory(spark, sf).select("scan_id", "path", "size_bytes", "category")
+    tables.write_inventory(files, folder)
+    grown = files.where("category = 'code'").withColumn("size_bytes", F.col("size_bytes") + 1)
+    moved = files.where("category = 'image'").withColumn("path", F.concat("path", F.lit(".new")))
+    for number, batch in ((0, grown), (1, moved), (1, moved)):
+        tables.add_arrivals(batch, folder, number)
+    return tables.current_inventory(spark, folder, SCAN).groupBy("category", "batch").agg(
+        F.count(F.lit(1)).alias("file_count"), F.sum("size_bytes").alias("total_bytes"))
+
+
 @query
 def inventory_delta(spark, sf):
     delta = scans.inventory_delta(given.inventory(spark, sf), given.second_inventory(spark, sf))

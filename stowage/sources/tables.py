@@ -7,55 +7,44 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stowage.operators.breakdowns import of_scan
+from stowage.sources import commits
+
+
+#: The column of the batch in which a row arrived; a whole scan written at once is the first.
+BATCH, FIRST_BATCH = "batch", -1
 
 
 def read_inventory(spark: SparkSession, folder: str, scan_id: str | None = None) -> DataFrame:
-    """Inventory rows, for one scan only its partition."""
+    """Inventory rows as they arrived, for one scan only its partition."""
     return of_scan(spark.read.parquet(folder), scan_id)
 
 
+def current_inventory(spark: SparkSession, folder: str, scan_id: str | None = None) -> DataFrame:
+    """One row per path of a scan: the one that arrived last."""
+    rows = read_inventory(spark, folder, scan_id)
+    keys = ["scan_id", "path"]
+    rest = [c for c in rows.columns if c not in (*keys, BATCH)]
+    last = F.max(F.struct(BATCH, *rest)).alias("_row")
+    return rows.groupBy(*keys).agg(last).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in (*rest, BATCH)])
+
+
 def replace_partitions(
     df: DataFrame, folder: str, *keys: str, replacing: Iterable[str] = ()
 ) -> None:
     """Writes the partitions present in ``df``, replacing what they held.
 
     ``replacing`` names values of the first key whose old rows go even if ``df``
-    has none for them. Writing the same scan again gives the same table, so a
-    repeated run is safe.
+    has none for them. Rows are written beside the table first, so ``df`` may
+    read the partitions that it replaces, and a job that dies leaves the old
+    rows or the new ones (see ``commits``). Writing the same scan again gives
+    the same table, so a repeated run is safe.
     """
-    jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
-    old = []
-    for value in replacing:
-        path = jvm.org.apache.hadoop.fs.Path(folder, escaped(keys[0], value))
-        store = path.getFileSystem(hadoop)
-        if store.exists(path):
-            files = store.listFiles(path, True)
-            while files.hasNext():
-                old.append((store, files.next().getPath()))
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*keys)
-        .parquet(folder)
-    )
-    for store, path in old:  # what no new partition has taken the place of
-        store.delete(path, False)
-
-
-def _located(spark: SparkSession, folder: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+    store, change = commits.stage(df, folder, list(keys))
+    commits.replace(store, change, keys[0], list(replacing))
 
 
 def exists(spark: SparkSession, folder: str) -> bool:
-    store, path = _located(spark, folder)
-    return store.exists(path)
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    store, path = _located(spark, folder)
-    store.delete(path, True)
+    return commits.Store(spark, folder).exists()
 
 
 def read_table(df: DataFrame, folder: str) -> DataFrame:
@@ -64,15 +53,22 @@ def read_table(df: DataFrame, folder: str) -> DataFrame:
 
 
 def write_inventory(files: DataFrame, folder: str, by_size: bool = True) -> None:
-    """Stores the files of their scans.
+    """Stores the files of their scans, in place of all that was stored of them.
 
     Sorting by size within each task makes row-group statistics useful to
     size filters, without a shuffle.
     """
-    rows = files.sortWithinPartitions("scan_id", F.col("size_bytes").desc()) if by_size else files
+    rows = files.withColumn(BATCH, F.lit(FIRST_BATCH).cast("bigint"))
+    rows = rows.sortWithinPartitions("scan_id", F.col("size_bytes").desc()) if by_size else rows
     replace_partitions(rows, folder, "scan_id")
 
 
+def add_arrivals(files: DataFrame, folder: str, batch: int, source: str = "stream") -> None:
+    """Adds files that arrived in a batch to the same store; a batch delivered again replaces itself."""
+    rows = files.withColumn(BATCH, F.lit(batch).cast("bigint"))
+    commits.add(*commits.stage(rows, folder, ["scan_id"]), f"{source}-{batch}")
+
+
 def append(df: DataFrame, folder: str) -> None:
     """Appends records; existing ones are never touched."""
     df.write.mode("append").parquet(folder)

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from stowage.operators.progress import progress_windows
 from stowage.operators.snapshots import upsert_snapshots
 from stowage.session import shared_folder
-from stowage.sources.tables import exists, read_table, remove, replace_partitions
+from stowage.sources.tables import add_arrivals, exists, read_table, replace_partitions
 
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -92,10 +92,13 @@ def progress_windows_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inventory_stream(
     arrivals: DataFrame, output: str, checkpoint: str, once: bool = False
 ) -> StreamingQuery:
-    """Appends arriving inventory rows to the store, a partition per scan and batch."""
+    """Adds arriving inventory rows to the store that ``write_inventory`` writes, too.
+
+    ``current_inventory`` reads the newest row of each path.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        replace_partitions(batch.withColumn("batch", F.lit(number)), output, "scan_id", "batch")
+        add_arrivals(batch, output, number)
 
     writer = arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -107,21 +110,17 @@ def snapshot_stream(
     """Keeps one snapshot per volume and date, the newest replacing the others.
 
     A batch reads only the dates it brings, merges them and replaces just
-    those partitions. The merged rows go to their own folder first, since a
-    partition cannot be overwritten while it is read.
+    those partitions, whole or not at all.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        merged = f"{output}_merge/{number}"
         stored = batch.limit(0)
         if exists(spark, output):  # the first batch finds no table yet
             dates = batch.select("snapshot_date").distinct()
             stored = read_table(batch, output).join(dates, "snapshot_date", "left_semi")
         rows = upsert_snapshots(stored.select(*batch.columns), batch)
-        rows.write.mode("overwrite").parquet(merged)
-        replace_partitions(read_table(rows, merged), output, "snapshot_date")
-        remove(spark, merged)
+        replace_partitions(rows, output, "snapshot_date")
 
     writer = arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
