@@ -131,8 +131,8 @@ class _Block:
         at = self.starts(m)
         return at[good[at] & good[at + 1]]
 
-    def phrases(self, m: int, pointers: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-        """Texts and counts of the n-grams with the pointers' fingerprints, by their words."""
+    def phrases(self, m: int, pointers: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Texts, counts and fingerprints of the n-grams with the pointers' fingerprints, by their words."""
         at = self.starts(m)
         hit, which = self.known(pointers, m, at)
         at = at[hit]
@@ -148,7 +148,7 @@ class _Block:
         texts = self.words.take(pa.array(self.codes[places]))
         for j in range(1, m):
             texts = pc.binary_join_element_wise(texts, self.words.take(pa.array(self.codes[places + j])), " ")
-        return texts, counts
+        return texts, counts, self.prints(places, m)
 
 
 def _cut(batches):
@@ -192,6 +192,13 @@ def _pointers(parts: pa.ListScalar) -> np.ndarray:
     return np.concatenate([np.frombuffer(p.as_buffer(), "<u4") for p in parts.values]).astype(np.int64)
 
 
+def _shares(prints: np.ndarray, shares: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The share of each of these sorted fingerprints, by its leading bits, and the span of each share."""
+    share = (prints >> np.uint64(32)) * np.uint64(shares) >> np.uint64(32)
+    edges = [0, *(np.flatnonzero(share[1:] != share[:-1]) + 1), len(share)]
+    return share, list(zip(edges, edges[1:], strict=False))
+
+
 def _fingerprints(m: int, shares: int):
     """Sends a block's distinct fingerprints, parted by their leading bits."""
 
@@ -202,9 +209,7 @@ def _fingerprints(m: int, shares: int):
                 if not len(at):
                     continue
                 prints, first, counts = np.unique(block.prints(at, m), return_index=True, return_counts=True)
-                share = (prints >> np.uint64(32)) * np.uint64(shares) >> np.uint64(32)
-                edges = [0, *(np.flatnonzero(share[1:] != share[:-1]) + 1), len(share)]
-                spans = list(zip(edges, edges[1:], strict=False))
+                share, spans = _shares(prints, shares)
                 binary = lambda x: pa.array([x[a:b].tobytes() for a, b in spans], pa.binary())  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([
                     pa.array([share[a] for a, _ in spans], pa.int64()), pa.array([number] * len(spans)),
@@ -237,20 +242,44 @@ def _frequent(least: int):
     return run
 
 
-def _phrases(longest: int):
+def _phrases(longest: int, shares: int):
+    """Sends the frequent phrases of a block, parted by the leading bits of their fingerprints."""
+
     def run(batches):
         for batch in batches:
             for _, block, row in _blocks(batch):
                 levels = {x["m"].as_py(): x["pointers"] for x in row["levels"].values}
-                for m in range(1, longest + 1):
-                    if m in levels:
-                        texts, counts = block.phrases(m, _pointers(levels[m]))
-                        for i in range(0, len(texts), 50_000):
-                            n = len(texts[i : i + 50_000])
-                            yield pa.RecordBatch.from_arrays([
-                                pa.array([row["lang"].as_py()] * n, pa.string()), pa.array([m] * n, pa.int32()),
-                                texts.slice(i, n), pa.array(counts[i : i + n], pa.int64()),
-                            ], names=["lang", "m", "phrase", "a"])
+                made = [block.phrases(m, _pointers(levels[m])) for m in range(1, longest + 1) if m in levels]
+                prints = np.concatenate([x[2] for x in made])
+                order = np.argsort(prints, kind="stable")
+                share, spans = _shares(prints[order], shares)
+                texts = pa.concat_arrays([x[0] for x in made]).take(pa.array(order))
+                counts = np.concatenate([x[1] for x in made])[order]
+                offsets = pa.array([0, *(b for _, b in spans)], pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([share[a] for a, _ in spans], pa.int64()),
+                    pa.array([row["lang"].as_py()] * len(spans), pa.string()),
+                    pa.ListArray.from_arrays(offsets, texts),
+                    pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64())),
+                ], names=["share", "lang", "phrases", "counts"])
+
+    return run
+
+
+def _counted(least: int):
+    """Adds up the counts of one share of all phrases by their texts."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        sizes = pc.list_value_length(rows.column("phrases")).to_numpy()
+        flat = pa.table({
+            "lang": rows.column("lang").take(pa.array(np.repeat(np.arange(len(sizes)), sizes))),
+            "phrase": pc.list_flatten(rows.column("phrases")), "a": pc.list_flatten(rows.column("counts"))})
+        total = flat.group_by(["lang", "phrase"]).aggregate([("a", "sum")])
+        total = total.filter(pc.greater_equal(total.column("a_sum"), least))
+        m = pc.add(pc.count_substring(total.column("phrase"), " "), 1).cast(pa.int32())
+        return pa.table({"lang": total.column("lang"), "m": m, "phrase": total.column("phrase"),
+                         "a": total.column("a_sum")})
 
     return run
 
@@ -277,8 +306,10 @@ def frequent_phrases(
     for level in every[1:]:
         found = found.unionByName(level)
     found = found.groupBy("block").agg(F.collect_list(F.struct("m", "pointers")).alias("levels"))
-    phrases = blocks.join(found, "block").mapInArrow(_phrases(longest), "lang string, m int, phrase string, a bigint")
-    counted = phrases.groupBy("lang", "m", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    phrases = blocks.join(found, "block").mapInArrow(
+        _phrases(longest, shares), "share bigint, lang string, phrases array<string>, counts array<bigint>")
+    counted = phrases.groupBy("share").applyInArrow(
+        _counted(least), "lang string, m int, phrase string, a bigint")
     return scratch.write(counted, "phrases"), totals
 
 

@@ -72,7 +72,7 @@ def test_small_blocks_and_colliding_fingerprints(spark, frame, monkeypatch):
     one = next(b for b in collocations._blocks(max(blocks, key=lambda b: b.column(2)[0].as_py())))[1]
     # All n-grams share one fingerprint: counts still go by words.
     monkeypatch.setattr(one, "prints", lambda at, m: np.zeros(len(at), np.uint64))
-    found, counts = one.phrases(2, np.array([one.starts(2)[0]]))
+    found, counts, _ = one.phrases(2, np.array([one.starts(2)[0]]))
     want = Counter(" ".join(one.words[int(one.codes[i + j])].as_py() for j in range(2)) for i in one.starts(2))
     assert dict(zip(found.to_pylist(), counts.tolist(), strict=True)) == want
 
