@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from stowage.operators.breakdowns import of_scan
@@ -118,14 +118,25 @@ def upsert_snapshots(
     )
 
 
+def _order_of(snapshots: DataFrame, *first: str) -> Column:
+    """A total order: by the columns, the scan if there is one, and the row's text."""
+    scan = [c for c in ("scan_id",) if c in snapshots.columns]
+    return F.struct(*first, *scan, F.to_json(F.struct(*snapshots.columns)))
+
+
+def one_per_day(snapshots: DataFrame) -> DataFrame:
+    """One snapshot per volume and date: that of the last scan by id."""
+    keys = ["volume_id", "snapshot_date"]
+    rest = [c for c in snapshots.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), _order_of(snapshots)).alias("_row")
+    return snapshots.groupBy(*keys).agg(last).select(*keys, "_row.*")
+
+
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:
-    """The newest snapshot of each volume."""
-    rest = [c for c in snapshots.columns if c not in ("volume_id", "snapshot_date")]
-    return (
-        snapshots.groupBy("volume_id")
-        .agg(F.max_by(F.struct("snapshot_date", *rest), F.col("snapshot_date")).alias("_row"))
-        .select("volume_id", "_row.*")
-    )
+    """The newest snapshot of each volume; of several scans of that date the last one by id."""
+    rest = [c for c in snapshots.columns if c != "volume_id"]
+    last = F.max_by(F.struct(*rest), _order_of(snapshots, "snapshot_date")).alias("_row")
+    return snapshots.groupBy("volume_id").agg(last).select("volume_id", "_row.*")
 
 
 def newest_snapshot(snapshots: DataFrame) -> DataFrame:
@@ -180,15 +191,27 @@ def growth_rate(series: DataFrame, value: str = "used_size_bytes") -> DataFrame:
     return ends.withColumn("daily_growth_bytes", rate)
 
 
+#: The changes and their days.
+CHANGES = {"daily": 1, "weekly": 7, "monthly": 30}
+
+
 def usage_changes(snapshots: DataFrame, value: str = "used_size_bytes") -> DataFrame:
-    """Daily usage with its change over 1, 7 and 30 snapshots."""
-    by_date = W.partitionBy("volume_id").orderBy("snapshot_date")
-    changes = [
-        (F.col(value) - F.lag(value, n).over(by_date)).alias(f"{name}_growth_bytes")
-        for name, n in (("daily", 1), ("weekly", 7), ("monthly", 30))
-    ]
-    return snapshots.select("volume_id", "snapshot_date", F.col(value).alias("used_size_bytes"),
-                            *changes)
+    """Daily usage with its change over a day, a week and a month of the calendar.
+
+    The base of a change over n days is the newest snapshot at least n and less
+    than 2 n days back; where a gap leaves none, the change is NULL. The base's
+    date stands beside it.
+    """
+    days = one_per_day(snapshots).withColumn("_day", F.datediff("snapshot_date", F.lit("1970-01-01").cast("date")))
+    by_day = W.partitionBy("volume_id").orderBy("_day")
+    columns = []
+    for name, n in CHANGES.items():
+        back = by_day.rangeBetween(1 - 2 * n, -n)
+        columns += [
+            (F.col(value) - F.last(value).over(back)).alias(f"{name}_growth_bytes"),
+            F.last("snapshot_date").over(back).alias(f"{name}_base_date"),
+        ]
+    return days.select("volume_id", "snapshot_date", F.col(value).alias("used_size_bytes"), *columns)
 
 
 def period_usage(snapshots: DataFrame, period: str, value: str = "used_size_bytes") -> DataFrame:

@@ -192,6 +192,14 @@ cumulated AS (SELECT *, CAST(sum(bytes) OVER w AS BIGINT) AS running,
 snaps AS (SELECT volume_id, snapshot_date, CAST(1000000000000000 AS BIGINT) AS total_size_bytes,
  CASE WHEN CAST(volume_id AS INTEGER) >= 15 THEN bytes ELSE running END AS used_size_bytes,
  file_count, CAST(0 AS BIGINT) AS dir_count FROM cumulated)"""
+SCANNED = DAILY + """,
+gapped AS (SELECT * FROM snaps WHERE CAST(volume_id AS INTEGER) % 3 <> 1
+ OR day(snapshot_date) NOT BETWEEN 6 AND 19),
+scanned AS (SELECT *, 'scan-2' AS scan_id FROM gapped UNION ALL
+ SELECT * REPLACE (used_size_bytes - 1000 AS used_size_bytes), 'scan-1' FROM gapped
+ WHERE day(snapshot_date) % 4 = 2),
+per_day AS (SELECT * FROM scanned QUALIFY row_number() OVER
+ (PARTITION BY volume_id, snapshot_date ORDER BY scan_id DESC) = 1)"""
 POINTS = DAILY + """,
 points AS (SELECT volume_id AS series, CAST(date_diff('day', min(snapshot_date)
  OVER (PARTITION BY volume_id), snapshot_date) AS INTEGER) AS day_index,
@@ -632,9 +640,9 @@ delta AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN
     q["largest_folders_report"] = f"""WITH {FOLDERS} SELECT path, name, total_size_bytes,
  file_count, depth, (SELECT count(*) FROM folders) AS total_count FROM folders
  ORDER BY total_size_bytes DESC, path LIMIT 20"""
-    q["latest_snapshot"] = f"""WITH {DAILY} SELECT volume_id, {_day()}, total_size_bytes,
- used_size_bytes, file_count, dir_count FROM (SELECT *, row_number() OVER
- (PARTITION BY volume_id ORDER BY snapshot_date DESC) AS r FROM snaps) WHERE r = 1"""
+    q["latest_snapshot"] = f"""WITH {SCANNED} SELECT volume_id, {_day()}, total_size_bytes,
+ used_size_bytes, file_count, dir_count, scan_id FROM (SELECT *, row_number() OVER
+ (PARTITION BY volume_id ORDER BY snapshot_date DESC) AS r FROM per_day) WHERE r = 1"""
     q["snapshot_history"] = f"""WITH {DAILY} SELECT volume_id, {_day()}, total_size_bytes,
  used_size_bytes, file_count, dir_count FROM (SELECT * FROM snaps WHERE snapshot_date BETWEEN
  DATE '2024-01-05' AND DATE '2024-01-20')"""
@@ -648,11 +656,16 @@ delta AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN
  FROM snaps GROUP BY 1) SELECT *, CASE WHEN days > 0 THEN
  round((last_bytes - first_bytes) / CAST(days AS DOUBLE), 2) ELSE 0e0 END AS daily_growth_bytes
  FROM ends"""
-    q["weekly_monthly_usage"] = f"""WITH {DAILY} SELECT volume_id, {_day()}, used_size_bytes,
- used_size_bytes - lag(used_size_bytes, 1) OVER w AS daily_growth_bytes,
- used_size_bytes - lag(used_size_bytes, 7) OVER w AS weekly_growth_bytes,
- used_size_bytes - lag(used_size_bytes, 30) OVER w AS monthly_growth_bytes FROM snaps
- WINDOW w AS (PARTITION BY volume_id ORDER BY snapshot_date)"""
+    bases = " ".join(
+        f"LEFT JOIN LATERAL (SELECT {n}.used_size_bytes AS {n}_bytes, {n}.snapshot_date AS {n}_date FROM per_day {n} "
+        f"WHERE {n}.volume_id = p.volume_id AND date_diff('day', {n}.snapshot_date, p.snapshot_date) "
+        f"BETWEEN {days} AND {2 * days - 1} ORDER BY {n}.snapshot_date DESC LIMIT 1) AS {n}_base ON true"
+        for n, days in (("daily", 1), ("weekly", 7), ("monthly", 30)))
+    changes = ", ".join(
+        f"p.used_size_bytes - {n}_bytes AS {n}_growth_bytes, strftime({n}_date, '%Y-%m-%d') AS {n}_base_date"
+        for n in ("daily", "weekly", "monthly"))
+    q["weekly_monthly_usage"] = f"""WITH {SCANNED} SELECT p.volume_id, strftime(p.snapshot_date, '%Y-%m-%d') AS snapshot_date,
+ p.used_size_bytes, {changes} FROM per_day p {bases}"""
     q["weekly_usage"] = f"""WITH {DAILY}, weeks AS (SELECT volume_id,
  date_trunc('week', snapshot_date) AS period_start,
  max_by(used_size_bytes, snapshot_date) AS end_bytes,
@@ -662,6 +675,11 @@ delta AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN
     code = "category = 'code' AND size_bytes >= 1000000"
     q["paged_list"] = f"""WITH {INV} SELECT file_id, path, size_bytes FROM inv WHERE {code}
  ORDER BY size_bytes DESC, path, file_id LIMIT 40 OFFSET 80"""
+    q["paged_list_deep"] = f"""WITH {INV} SELECT file_id, path, size_bytes FROM inv
+ ORDER BY size_bytes DESC, path, file_id LIMIT 50 OFFSET 5800"""
+    q["paged_list_after"] = f"""WITH {INV} SELECT file_id, path, size_bytes FROM inv
+ WHERE size_bytes < 3000000 OR (size_bytes = 3000000 AND (path > '/vol2' OR (path = '/vol2' AND file_id > '')))
+ ORDER BY size_bytes DESC, path, file_id LIMIT 40"""
     q["paged_list_totals"] = f"""WITH {INV} SELECT count(*) AS total,
  CAST(ceil(count(*) / 40e0) AS BIGINT) AS pages FROM inv WHERE {code}"""
     q["share_of_total"] = f"""WITH {INV}, g AS (SELECT category, {size_sum} AS total_bytes FROM inv

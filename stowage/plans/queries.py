@@ -411,7 +411,7 @@ def largest_folders_report(spark, sf):
 
 @query
 def latest_snapshot(spark, sf):
-    return snapshots.latest_snapshot(given.snapshots(spark, sf)).withColumn(
+    return snapshots.latest_snapshot(given.scanned_snapshots(spark, sf)).withColumn(
         "snapshot_date", day_text("snapshot_date")
     )
 
@@ -440,9 +440,8 @@ def growth_rate(spark, sf):
 
 @query
 def weekly_monthly_usage(spark, sf):
-    return snapshots.usage_changes(given.snapshots(spark, sf)).withColumn(
-        "snapshot_date", day_text("snapshot_date")
-    )
+    rows = snapshots.usage_changes(given.scanned_snapshots(spark, sf))
+    return rows.withColumns({c: day_text(c) for c in rows.columns if c.endswith("_date")})
 
 
 @query
@@ -461,6 +460,24 @@ def paged_list(spark, sf):
     return paging.page(files, order, 3, 40).select("file_id", "path", "size_bytes")
 
 
+@query
+def paged_list_deep(spark, sf):
+    """A page far behind, from a stored ranking of all files."""
+    folder = f"{shared_folder(spark)}/ranked-{uuid.uuid4().hex}"
+    files = given.inventory(spark, sf).select("file_id", "path", "size_bytes")
+    order = [F.col("size_bytes").desc(), F.col("path"), F.col("file_id")]
+    paging.write_ranked(files, order, folder)
+    return paging.ranked_page(spark, folder, files.schema, 117, 50)
+
+
+@query
+def paged_list_after(spark, sf):
+    """The page behind a known row."""
+    files = given.inventory(spark, sf).select("file_id", "path", "size_bytes")
+    order = [("size_bytes", True), ("path", False), ("file_id", False)]
+    return paging.page_behind(files, order, (3_000_000, "/vol2", ""), 40)
+
+
 @query
 def paged_list_totals(spark, sf):
     files = given.inventory(spark, sf).where("category = 'code' AND size_bytes >= 1000000")

@@ -235,6 +235,15 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scanned_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshots with gaps of two weeks in some volumes, and two scans on some dates."""
+    rows = snapshots(spark, sf_dir).where("volume_id % 3 <> 1 or dayofmonth(snapshot_date) not between 6 and 19")
+    again = rows.where("dayofmonth(snapshot_date) % 4 = 2").withColumn(
+        "used_size_bytes", F.col("used_size_bytes") - 1000)
+    return rows.withColumn("scan_id", F.lit(SECOND_SCAN_ID)).unionByName(
+        again.withColumn("scan_id", F.lit(SCAN_ID)))
+
+
 def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page addresses as file paths, without query and fragment."""
     path = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"^https?:/", "")

@@ -120,6 +120,25 @@ def test_last_points_and_history(frame):
     assert snapshots.latest_snapshot(rows).first()["used_size_bytes"] == 9
 
 
+def test_changes_over_days_of_the_calendar(frame):
+    days = [0, 1, 2, 7, 28, 30, 37]
+    ddl = "volume_id string, snapshot_date date, used_size_bytes bigint, scan_id string"
+    rows = [("a", DAY0 + dt.timedelta(days=d), d * d, "s") for d in days]
+    rows += [("a", DAY0 + dt.timedelta(days=7), 5, "r"), ("a", DAY0 + dt.timedelta(days=7), 77, "t")]
+    value = {d: d * d for d in days} | {7: 77}
+    got = {(r["snapshot_date"] - DAY0).days: r for r in snapshots.usage_changes(frame(rows, ddl)).collect()}
+    assert sorted(got) == days
+    for day, row in got.items():
+        for name, n in (("daily", 1), ("weekly", 7), ("monthly", 30)):
+            base = max((d for d in days if n <= day - d < 2 * n), default=None)
+            want = None if base is None else value[day] - value[base]
+            assert row[f"{name}_growth_bytes"] == want
+            assert row[f"{name}_base_date"] == (None if base is None else DAY0 + dt.timedelta(days=base))
+    assert got[28]["daily_growth_bytes"] is None and got[28]["weekly_growth_bytes"] is None
+    assert snapshots.latest_snapshot(frame([*rows, ("a", DAY0 + dt.timedelta(days=37), 9, "z"),
+                                            ("a", DAY0 + dt.timedelta(days=37), 8, "y")], ddl)).first()["scan_id"] == "z"
+
+
 def test_later_snapshot_replaces(frame):
     ddl = "volume_id string, snapshot_date date, used_size_bytes bigint, created_at timestamp"
     t = dt.datetime(2026, 5, 1, 8)

@@ -150,6 +150,26 @@ def test_paging(frame):
     assert [r["i"] for r in after.collect()] == [5, 6]
 
 
+def test_pages_behind_a_row_and_from_a_stored_ranking(spark, frame, tmp_path):
+    rows = [(i % 3, f"k{i % 7}", i) for i in range(230)]
+    df = frame(rows, "a int, b string, c bigint")
+    order = [("a", True), ("b", False), ("c", False)]
+    want = sorted(rows, key=lambda r: (-r[0], r[1], r[2]))
+    for at in (0, 77, 228):
+        got = paging.page_behind(df, order, want[at], 5).collect()
+        assert [tuple(r) for r in got] == want[at + 1 : at + 6]
+    columns = [F.col("a").desc(), F.col("b"), F.col("c")]
+    paging.write_ranked(df, columns, str(tmp_path), 4)
+    for page in (1, 5, 23, 24, 1_000_000):
+        found = paging.ranked_page(spark, str(tmp_path), df.schema, page, 10)
+        assert [tuple(r) for r in found.collect()] == want[(page - 1) * 10 : page * 10]
+    # Only the ranges of the page are read.
+    plan = paging.ranked_page(spark, str(tmp_path), df.schema, 23, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_range" in plan and "Offset" not in plan
+    paging.write_ranked(df.limit(0), columns, f"{tmp_path}/none", 4)
+    assert paging.ranked_page(spark, f"{tmp_path}/none", df.schema, 1, 10).count() == 0
+
+
 def test_delta(frame):
     ddl = "path string, size_bytes bigint, modified_at timestamp"
     import datetime as dt
