@@ -20,6 +20,8 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ BLOCK, DENSE = 1 << 16, 4096
 #: Words of documents whose pairs are sorted together, at least one document.
 _PIECE_WORDS = 250_000
 #: Words that a worker remembers, with this many characters in all.
-_REMEMBERED, _CHARS = 250_000, 4_000_000
+_REMEMBERED, _CHARS = 300_000, 6_000_000
 #: A space where a text may be cut, and what shows that not every space is one.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s | \s|^ | $")
@@ -66,13 +68,33 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class _Word:
-    """A word's ids in both tokenizers, its groups as text, and its linked pairs; None without."""
+class _Aligned:
+    """Alignments of words, one after the other: counts per word, their linked pairs, groups as text."""
 
-    __slots__ = ("n_a", "n_b", "groups", "n_groups", "pairs")
+    def __init__(self, good=(), n_a=(), n_b=(), n_links=(), pairs=(), groups=()):
+        self.good = np.array(good, bool)
+        self.n_a, self.n_b, self.n_links, self.pairs = (
+            np.array(x, np.int64) for x in (n_a, n_b, n_links, pairs))
+        self.groups = list(groups)
 
-    def __init__(self, n_a, n_b, groups, n_groups, pairs):
-        self.n_a, self.n_b, self.groups, self.n_groups, self.pairs = n_a, n_b, groups, n_groups, pairs
+    def add(self, other: _Aligned) -> None:
+        for name in ("good", "n_a", "n_b", "n_links", "pairs"):
+            setattr(self, name, np.concatenate([getattr(self, name), getattr(other, name)]))
+        self.groups += other.groups
+
+    def kept(self, which: np.ndarray) -> _Aligned:
+        """Those of the words, which are in order."""
+        own = np.zeros(len(self.good), bool)
+        own[which] = True
+        return _Aligned(self.good[which], self.n_a[which], self.n_b[which], self.n_links[which],
+                        self.pairs[np.repeat(own, self.n_links)], [self.groups[i] for i in which])
+
+    def pairs_of(self, codes: np.ndarray) -> np.ndarray:
+        """The linked pairs of words by their numbers, one after the other."""
+        n = self.n_links[codes]
+        starts = (np.cumsum(self.n_links) - self.n_links)[codes]
+        ends = np.cumsum(n)
+        return self.pairs[np.repeat(starts - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class _Pair:
@@ -80,11 +102,17 @@ class _Pair:
 
     def __init__(self, first, second, letters: dict[str, int]):
         self.first, self.second = first, second
-        self.bytes_a = {i: bytes(letters.get(c, 0) for c in entry) if all(c in letters for c in entry)
-                        else entry.encode() for entry, i in first.get_vocab().items()}
+        vocabulary = first.get_vocab()
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for entry, i in vocabulary.items():
+            known = all(c in letters for c in entry)
+            self.bytes_a[i] = bytes(letters[c] for c in entry) if known else entry.encode()
         self.bytes_b = [self._piece(second, i) for i in range(second.get_piece_size())]
-        self.known: dict[str, _Word | None] = {}
-        self.chars = 0
+        self.len_a, self.len_b = (np.array([len(x) for x in xs]) for xs in (self.bytes_a, self.bytes_b))
+        # An id's text where its group goes on, and where its side of the group ends.
+        self.text_a = np.array([f"{i}{end}" for i in range(len(self.bytes_a)) for end in ",|"], object)
+        self.text_b = np.array([f"{i}{end}" for i in range(len(self.bytes_b)) for end in ",;"], object)
+        self.forget()
 
     @staticmethod
     def _piece(second, i: int) -> bytes:
@@ -93,42 +121,83 @@ class _Pair:
             return bytes([int(piece[1:-1], 16)])
         return piece.replace("▁", " ").encode()
 
-    def words(self, words: list[str]) -> dict[str, _Word | None]:
-        """The alignments of these words and of others."""
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if len(self.known) + len(new) > _REMEMBERED or self.chars > _CHARS:
-            self.known, self.chars = {}, 0
-            new = list(dict.fromkeys(words))
+    def forget(self, keep: np.ndarray | None = None) -> None:
+        """Forgets all words, or all but some."""
+        if keep is None:
+            self.index, self.known, self.uses, self.chars = {}, _Aligned(), np.zeros(0, np.int64), 0
+            return
+        words = list(self.index)
+        self.index = {words[i]: n for n, i in enumerate(keep)}
+        self.known, self.uses = self.known.kept(keep), self.uses[keep] // 4
+        self.chars = sum(map(len, self.index))
+
+    def codes(self, words: list[str]) -> np.ndarray:
+        """The numbers of these words among ``known``; new ones are encoded."""
+        new = [w for w in dict.fromkeys(words) if w not in self.index]
+        if len(self.index) + len(new) > _REMEMBERED or self.chars > _CHARS:
+            # Words that came once mostly don't return.
+            again = np.flatnonzero(self.uses > 1)
+            self.forget(again if len(again) < _REMEMBERED // 2 and self.chars <= _CHARS else None)
+            new = [w for w in dict.fromkeys(words) if w not in self.index]
         for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.chars += sum(map(len, part))
-            found = self.first.encode_batch_fast([" " + w for w in part], add_special_tokens=False)
-            pieces = self.second.encode(part, num_threads=1)
-            for word, a, b in zip(part, found, pieces, strict=True):
-                self.known[word] = self.align(word, a.ids, b)
-        return self.known
-
-    def align(self, word: str, a: list[int], b: list[int]) -> _Word | None:
-        """Groups and pairs; None if the bytes of either side aren't those of a space and the word."""
-        left, right = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        whole = b" " + word.encode("utf-8", "surrogatepass")
-        if b"".join(left) != whole or b"".join(right) != whole:
+            self._learn(new[i : i + 20_000])
+        codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        self.uses = np.bincount(codes, minlength=len(self.index)) + np.pad(
+            self.uses, (0, len(self.index) - len(self.uses)))
+        return codes
+
+    def _learn(self, words: list[str]) -> None:
+        # Words with white space at an edge can't stand beside others.
+        edges = [not w or w[0].isspace() or w[-1].isspace() for w in words]
+        plain = [w for w, edge in zip(words, edges, strict=True) if not edge]
+        for part in [plain, *([w] for w, edge in zip(words, edges, strict=True) if edge)]:
+            self._store(part)
+
+    def _store(self, words: list[str]) -> None:
+        """Remembers words; where the bytes of some don't come back, halves lead to these."""
+        if not words:
+            return
+        found = self.align(words)
+        if found is None and len(words) > 1:
+            self._store(words[: len(words) // 2])
+            self._store(words[len(words) // 2 :])
+            return
+        self.known.add(found or _Aligned([False], [0], [0], [0], [], [""]))
+        for word in words:
+            self.index[word] = len(self.index)
+            self.chars += len(word)
+
+    def align(self, words: list[str]) -> _Aligned | None:
+        """Alignments of words that may stand side by side; None if not all bytes come back."""
+        texts = [" ".join(words[i : i + 64]) for i in range(0, len(words), 64)]
+        found = self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        a = list(chain.from_iterable(e.ids for e in found))
+        b = list(chain.from_iterable(self.second.encode(texts, num_threads=1)))
+        parts = [(" " + w).encode("utf-8", "surrogatepass") for w in words]
+        whole = b"".join(parts)
+        if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(
+                map(self.bytes_b.__getitem__, b)) != whole:
+            return None
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        end_a, end_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
+        marks = np.zeros((2, len(whole) + 1), bool)
+        marks[0, end_a], marks[1, end_b] = True, True
+        ends_a, ends_b = marks[1, end_a], marks[0, end_b]  # a group ends with these tokens
+        last_a, last_b = np.flatnonzero(ends_a), np.flatnonzero(ends_b)
+        words_end = np.cumsum([len(p) for p in parts])
+        if not (marks[0, words_end] & marks[1, words_end]).all():
             return None
-        groups, pairs = [], []
-        i = j = from_a = from_b = 0
-        end_a = end_b = 0
-        while i < len(a) or j < len(b):
-            if i < len(a) and (end_a <= end_b or j == len(b)):
-                end_a += len(left[i])
-                i += 1
-            else:
-                end_b += len(right[j])
-                j += 1
-            if end_a == end_b and i > from_a and j > from_b:
-                groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                pairs.append(a[i - 1] << 32 | b[j - 1])
-                from_a, from_b = i, j
-        return _Word(len(a), len(b), ";".join(groups), len(groups), pairs)
+        # Groups as text: a group's A ids, then its B ids.
+        tokens_a, tokens_b = (np.concatenate([[0], x + 1]) for x in (last_a, last_b))
+        group_a, group_b = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b
+        out = np.empty(len(a) + len(b), object)
+        out[np.arange(len(a)) + tokens_b[group_a]] = self.text_a[2 * a + ends_a]
+        out[np.arange(len(b)) + tokens_a[group_b + 1]] = self.text_b[2 * b + ends_b]
+        groups = np.concatenate([[0], np.searchsorted(end_a[last_a], words_end) + 1])
+        n_a, n_b = tokens_a[groups], tokens_b[groups]
+        texts, at = out.tolist(), (n_a + n_b).tolist()
+        return _Aligned(np.ones(len(words), bool), np.diff(n_a), np.diff(n_b), np.diff(groups),
+                        a[last_a] << 32 | b[last_b], ["".join(texts[i:j]) for i, j in zip(at, at[1:], strict=False)])
 
 
 def cut_words(text: str) -> list[str]:
@@ -164,31 +233,38 @@ def _align(definition, model):
                 schema=kinds)
 
         def piece(start: int, docs: list, texts: list):
-            import hashlib
-
             block = partition << 32 | start >> 16
-            cut = [cut_words(t) if t else [] for t in texts]
-            known = pair.words([w for words in cut for w in words])
-            rows, links, counts = [], [], []
-            for doc, text, words in zip(docs, texts, cut, strict=True):
-                found = [known[w] for w in words]
-                if None in found:  # the whole text decides
-                    whole = pair.align(text, pair.first.encode(" " + text, add_special_tokens=False).ids,
-                                       pair.second.encode(text))
-                    found = [whole] if whole else []
-                own = [p for w in found for p in w.pairs]
-                digest = hashlib.sha256(";".join([w.groups for w in found]).encode()).hexdigest() if found else ""
-                rows.append((doc, sum([w.n_a for w in found]), sum([w.n_b for w in found]),
-                             sum([w.n_groups for w in found]), len(own), digest))
-                links.extend(own)
-                counts.append(len(own))
             at = (start & 0xFFFF) + np.arange(len(docs))
-            names = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
-            yield table({"block": pa.array([block] * len(docs)), "pos": pa.array(at)}
-                        | {n: pa.array([r[i] for r in rows], kinds.field(n).type) for i, n in enumerate(names)},
-                        len(docs))
-            if links:
-                for pairs, plane, n, bits in _postings(np.array(links, np.int64), np.repeat(at, counts)):
+            cut = [cut_words(t) if t else [] for t in texts]
+            codes = pair.codes(list(chain.from_iterable(cut)))
+            known, bounds = pair.known, np.concatenate([[0], np.cumsum([len(c) for c in cut])])
+
+            def sums(of: np.ndarray) -> np.ndarray:
+                return np.diff(np.concatenate([[0], np.cumsum(of[codes])])[bounds])
+
+            counts = [sums(x) for x in (known.n_a, known.n_b, known.n_links)]
+            groups = known.groups
+            digests = [sha256("".join([groups[c] for c in codes[i:j].tolist()])[:-1].encode()).hexdigest() if i < j else ""
+                       for i, j in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+            links, places = [known.pairs_of(codes)], [np.repeat(at, counts[2])]
+            broken = np.flatnonzero(sums(~known.good))
+            if len(broken):  # the whole text decides
+                links[0] = links[0][~np.isin(places[0], at[broken])]
+                places[0] = places[0][~np.isin(places[0], at[broken])]
+            for i in broken:
+                whole = pair.align([texts[i]]) or _Aligned([True], [0], [0], [0], [], [""])
+                for column, own in zip(counts, (whole.n_a, whole.n_b, whole.n_links), strict=True):
+                    column[i] = own[0]
+                digests[i] = sha256(whole.groups[0][:-1].encode()).hexdigest() if whole.groups[0] else ""
+                links.append(whole.pairs)
+                places.append(np.full(len(whole.pairs), at[i]))
+            links, places = np.concatenate(links), np.concatenate(places)
+            named = dict(zip(("n_a", "n_b", "n_links", "n_groups"), (*counts, counts[2]), strict=True))
+            yield table({"block": pa.array([block] * len(docs)), "pos": pa.array(at),
+                         "doc_id": pa.array(docs, pa.int64()), "groups_sha256": pa.array(digests, pa.string())}
+                        | {n: pa.array(x) for n, x in named.items()}, len(docs))
+            if len(links):
+                for pairs, plane, n, bits in _postings(links, places):
                     for i in range(0, len(n), 20_000):
                         part = slice(i, i + 20_000)
                         size = len(n[part])
