@@ -223,6 +223,58 @@ def resolve_groups(members: DataFrame, decisions: DataFrame) -> DataFrame:
     ).drop("keep_file_id")
 
 
+def resolved_members(hashed: DataFrame, decisions: DataFrame) -> DataFrame:
+    """What ``resolve_groups`` gives, straight from the digests.
+
+    The decisions are joined with the narrow rows first, so that one aggregate
+    per group knows its size and its keeper, and one join brings both back.
+    """
+    rows = hashed.where(F.col("sha256").isNotNull()).withColumnRenamed("sha256", "group_id")
+    chosen = _latest_decisions(decisions).select(
+        *GROUP, F.col("keep_file_id").alias("file_id"), F.lit(True).alias("_chosen")
+    )
+    keeper = F.min(F.when(F.col("_chosen"), F.col("file_id")))
+    groups = rows.select(*GROUP, "file_id", "size_bytes").join(chosen, [*GROUP, "file_id"], "left").groupBy(
+        *GROUP).agg(
+        F.min("size_bytes").alias("file_size_bytes"), F.count(F.lit(1)).alias("member_count"),
+        keeper.alias("_keeper"),
+    ).where("member_count > 1").withColumns({
+        "wasted_bytes": F.col("file_size_bytes") * (F.col("member_count") - 1),
+        "status": F.when(F.col("_keeper").isNotNull(), "resolved").otherwise("unresolved"),
+    })
+    joined = join_by_key(rows, groups, GROUP, "member_count", "file_id")
+    return joined.withColumn(
+        "is_keeper", F.coalesce(F.col("file_id") == F.col("_keeper"), F.lit(False))
+    ).drop("_keeper")
+
+
+def duplicate_totals(hashed: DataFrame, top: int = 5) -> DataFrame:
+    """Groups, files, wasted bytes and the most frequent extensions of each scan, in one pass.
+
+    Files are counted per digest and extension first; a digest's window then
+    holds a row for each of its extensions, and a scan's last step one for each
+    extension of it.
+    """
+    counted = hashed.where(F.col("sha256").isNotNull()).groupBy("scan_id", "sha256", "extension").agg(
+        F.count(F.lit(1)).alias("n"), F.min("size_bytes").alias("size"))
+    whole = W.partitionBy("scan_id", "sha256")
+    placed = counted.select(
+        "scan_id", "extension", "n", F.sum("n").over(whole).alias("members"), F.min("size").over(whole).alias("size"),
+        F.row_number().over(whole.orderBy("extension")).alias("at"),
+    ).where("members > 1")
+    first = F.col("at") == 1
+    by_extension = placed.groupBy("scan_id", "extension").agg(
+        F.sum("n").alias("n"), F.count_if(first).alias("groups"),
+        F.sum(F.when(first, F.col("size") * (F.col("members") - 1)).otherwise(0)).alias("wasted"))
+    rank = F.row_number().over(W.partitionBy("scan_id").orderBy(
+        F.col("extension").isNull(), F.col("n").desc(), "extension"))
+    listed = F.when((F.col("rank") <= top) & F.col("extension").isNotNull(), F.struct("rank", "extension"))
+    return by_extension.withColumn("rank", rank).groupBy("scan_id").agg(
+        F.sum("groups").alias("duplicate_groups"), F.sum("n").alias("duplicate_files"),
+        F.sum("wasted").alias("wasted_bytes"),
+        F.transform(F.array_sort(F.collect_list(listed)), lambda e: e["extension"]).alias("top_extensions"))
+
+
 def _latest_decisions(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy(*GROUP).agg(
         F.max(F.struct("decided_at", "keep_file_id"))["keep_file_id"].alias("keep_file_id")

@@ -29,12 +29,7 @@ def context(
     growth: DataFrame | None = None,
     top_files: int = 20,
 ) -> DataFrame:
-    """What the rules look at: one row per scan of the scored inventory.
-
-    ``free_bytes`` is (scan_id, free_storage) and ``growth`` is
-    (scan_id, daily_growth_bytes). Lists in the row are short by nature: five
-    extensions, one entry per workspace type and the largest files.
-    """
+    """What the rules look at, from stored duplicate groups and members; see ``context_of``."""
     by_extension = (
         members.where(F.col("extension").isNotNull())
         .groupBy("scan_id", "extension")
@@ -46,14 +41,34 @@ def context(
             lambda e: e["extension"],
         ).alias("top_extensions")
     )
-    duplicates = groups.groupBy("scan_id").agg(
+    totals = groups.groupBy("scan_id").agg(
         F.count(F.lit(1)).alias("duplicate_groups"),
         F.sum("member_count").alias("duplicate_files"),
         F.sum("wasted_bytes").alias("wasted_bytes"),
     )
+    return context_of([totals, extension_list], scored, spaces, free_bytes, growth, top_files)
+
+
+def context_of(
+    duplicates: list[DataFrame],
+    scored: DataFrame,
+    spaces: DataFrame,
+    free_bytes: DataFrame | None = None,
+    growth: DataFrame | None = None,
+    top_files: int = 20,
+) -> DataFrame:
+    """What the rules look at: one row per scan of the scored inventory.
+
+    ``duplicates`` are rows per scan with duplicate_groups, duplicate_files,
+    wasted_bytes and top_extensions, as ``duplicate_totals`` gives them in one pass.
+    ``free_bytes`` is (scan_id, free_storage) and ``growth`` is
+    (scan_id, daily_growth_bytes). Lists in the row are short by nature: five
+    extensions, one entry per workspace type and the largest files.
+    """
     stale, archive = F.col("tier") == "stale", F.col("tier") == "archive_candidate"
     large = F.coalesce(F.col("size_bytes") > V.GIB, F.lit(False))
     tiers = scored.groupBy("scan_id").agg(
+        F.sum("size_bytes").alias("total_bytes"),
         F.sum(F.when(stale, F.col("size_bytes")).otherwise(0)).alias("stale_bytes"),
         F.count_if(stale).alias("stale_count"),
         F.sum(F.when(archive, F.col("size_bytes")).otherwise(0)).alias("archive_bytes"),
@@ -84,7 +99,7 @@ def context(
             lambda e: F.struct(e["path"].alias("path"), (-e["o"]).alias("size_bytes")),
         ).alias("largest_files")
     )
-    parts = [duplicates, extension_list, tiers, workspaces, largest]
+    parts = [*duplicates, tiers, workspaces, largest]
     zero = F.lit(0).cast("bigint")
     defaults = {
         name: zero

@@ -31,10 +31,10 @@ def join_by_key(
     Nothing is dropped.
     """
     keys = [key] if isinstance(key, str) else key
-    hot = lookup.where(F.col(weight) > rows_per_task).select(
-        *keys, F.ceil(F.col(weight) / rows_per_task).cast("int").alias("_pieces")
-    )
-    hot = F.broadcast(hot)
+    pieces = F.when(
+        F.col(weight) > rows_per_task, F.ceil(F.col(weight) / rows_per_task).cast("int")
+    ).otherwise(1)
+    hot = F.broadcast(lookup.where(F.col(weight) > rows_per_task).select(*keys, pieces.alias("_pieces")))
     left = rows.join(hot, keys, "left").withColumn(
         "_piece",
         F.when(
@@ -42,12 +42,5 @@ def join_by_key(
             F.pmod(F.xxhash64(F.col(spread_by)), F.col("_pieces")).cast("int"),
         ).otherwise(0),
     ).drop("_pieces")
-    right = (
-        lookup.join(hot, keys, "left")
-        .withColumn(
-            "_piece",
-            F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1)),
-        )
-        .drop("_pieces")
-    )
+    right = lookup.withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
     return left.join(right, [*keys, "_piece"], how).drop("_piece")

@@ -33,34 +33,28 @@ def snapshot(
     """One row with the totals and breakdowns of a completed scan, else no row.
 
     Used bytes are capacity less free space, or the files' bytes where the
-    capacity is not known.
+    capacity is not known. The inventory is read twice, for its sums and for its
+    largest files; ``folders`` is a stored rollup.
     """
+    # One pass over the files gives totals, categories and extensions.
     cube = category_extension_cube(of_scan(files, scan_id))
-    categories = cube.groupBy("scan_id", "category").agg(F.sum("total_bytes").alias("b"),
-                                                         F.sum("file_count").alias("n"))
-    totals = categories.groupBy("scan_id").agg(
-        F.sum("n").alias("file_count"),
-        F.sum("b").alias("_bytes"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "b"))))
+    sums = cube.groupingSets([["scan_id", "category"], ["scan_id", "extension"]], "scan_id", "category", "extension").agg(
+        F.sum("total_bytes").alias("b"), F.sum("file_count").alias("n"),
+        F.grouping("extension").alias("_by_category"))
+    by_category = F.col("_by_category") == 1
+    place = F.row_number().over(W.partitionBy("scan_id", "_by_category", F.col("extension").isNull()).orderBy(
+        F.col("b").desc(), "extension"))
+    listed = ~by_category & F.col("extension").isNotNull() & (F.col("_place") <= top_extensions)
+    entry = F.struct("_place", "extension", F.col("b").alias("total_bytes"), F.col("n").alias("file_count"))
+    totals = sums.withColumn("_place", place).groupBy("scan_id").agg(
+        F.sum(F.when(by_category, F.col("n"))).alias("file_count"),
+        F.sum(F.when(by_category, F.col("b"))).alias("_bytes"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(by_category, F.struct("category", "b")))))
         .alias("category_breakdown"),
-    )
-    top = (
-        cube.where(F.col("extension").isNotNull())
-        .groupBy("scan_id", "extension")
-        .agg(F.sum("total_bytes").alias("b"), F.sum("file_count").alias("n"))
-        .orderBy(F.col("b").desc(), "extension")
-        .limit(top_extensions)
-        .groupBy("scan_id")
-        .agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct((-F.col("b")).alias("o"), "extension", "b", "n"))),
-                lambda e: F.struct(
-                    e["extension"].alias("extension"),
-                    e["b"].alias("total_bytes"),
-                    e["n"].alias("file_count"),
-                ),
-            ).alias("extension_breakdown")
-        )
+        F.transform(
+            F.array_sort(F.collect_list(F.when(listed, entry))),
+            lambda e: F.struct(*[e[c].alias(c) for c in ("extension", "total_bytes", "file_count")]),
+        ).alias("extension_breakdown"),
     )
     dirs = of_scan(folders, scan_id).groupBy("scan_id").agg(F.count(F.lit(1)).alias("dir_count"))
     biggest_files = _largest(of_scan(files, scan_id), "size_bytes", "largest_files", largest)
@@ -70,7 +64,7 @@ def snapshot(
     done = of_scan(scans, scan_id).where(F.col("status").startswith("completed")).select("scan_id")
     used = F.lit(None if capacity_bytes is None or free_bytes is None
                  else capacity_bytes - free_bytes).cast("bigint")
-    row = merge_by_scan([totals, top, dirs, biggest_files, biggest_folders], {})
+    row = merge_by_scan([totals, dirs, biggest_files, biggest_folders], {})
     return row.join(done.distinct(), "scan_id", "left_semi").where("file_count IS NOT NULL").select(
         "scan_id",
         F.lit(snapshot_date).cast("date").alias("snapshot_date"),

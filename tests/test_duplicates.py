@@ -256,3 +256,26 @@ def test_ranges_of_real_files(spark, frame, tmp_path):
     for piece in (1 << 20, 1024):
         got = {r["file_id"]: r["identical"] for r in duplicates.verify_files(members, piece).collect()}
         assert got == {"f1": True, "f2": False, "f3": False, "f4": False, "f5": False, "f7": True}
+
+
+def test_resolved_members_and_totals_in_one_pass(frame):
+    blobs = [*BLOBS, _noise(5000, 1)]
+    content = _content(frame, blobs).withColumn(
+        "extension", F.when(F.col("file_id") == "f006", None).when(F.col("file_id") > "f006", ".x").otherwise(".bin"))
+    hashed = duplicates.full_hashes(content, 1024)
+    members = duplicates.duplicate_members(hashed)
+    ids = {r["group_id"]: r["file_id"] for r in members.orderBy("file_id").collect()}
+    decisions = frame([("s", g, f, 1) for g, f in list(ids.items())[:1]] + [("s", "none", "f000", 2)], DECISIONS)
+    columns = ["scan_id", "group_id", "file_id", "path", "file_size_bytes", "member_count", "wasted_bytes", "status",
+               "is_keeper", "size_bytes", "extension"]
+    old = duplicates.resolve_groups(members, decisions).select(*columns)
+    new = duplicates.resolved_members(hashed, decisions).select(*columns)
+    assert sorted(map(str, new.collect())) == sorted(map(str, old.collect()))
+    plan = duplicates.resolved_members(hashed, decisions)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LocalRelation") + plan.count("LogicalRDD") <= 9
+    row = duplicates.duplicate_totals(hashed).first()
+    assert (row["duplicate_groups"], row["duplicate_files"], row["wasted_bytes"]) == duplicates.duplicate_summary(
+        duplicates.duplicate_groups(hashed)).first()
+    top = [r["extension"] for r in duplicates.top_duplicate_extensions(members, 5).collect()]
+    assert row["top_extensions"] == top == [".bin", ".x"]
+    assert duplicates.duplicate_totals(hashed.limit(0)).collect() == []

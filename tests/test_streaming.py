@@ -112,6 +112,23 @@ def test_analysis_of_small_scans_again_and_again(spark, frame, tmp_path):
     assert spark.read.parquet(str(tmp_path / "snapshots")).count() == 2
 
 
+def test_stored_snapshots_are_the_next_history(spark, tmp_path):
+    files = given.inventory(spark, SF).limit(40)
+    done = files.select("scan_id").distinct().withColumn("status", F.lit("completed"))
+    none = named._hashed(spark, SF).limit(0)
+    days = ["2026-01-01", "2026-01-03", "2026-01-05", "2026-01-05"]
+    for i, day in enumerate(days):
+        grown = files.withColumns({"size_bytes": F.col("size_bytes") + i * 1000, "scan_id": F.lit(f"s{i}")})
+        register = done.withColumn("scan_id", F.lit(f"s{i}"))
+        counted = analysis_job.run_analysis(
+            spark, grown, none, register, None, str(tmp_path), f"s{i}", f"{day} 00:00:00", volume_id="v")
+        rows = {r["table_name"]: r["row_count"] for r in counted.collect()}
+        assert rows["scored_files"] == 40 and rows["snapshots"] == 1
+        assert rows["forecasts"] == (1 if i else 0)
+    last = spark.read.parquet(str(tmp_path / "forecasts")).where("scan_id = 's3'").first()
+    assert last["series"] == "v" and last["data_points_used"] == 3  # two scans of one day are one point
+
+
 def test_shared_folder_is_the_clusters(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
