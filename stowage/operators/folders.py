@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stowage.functions.paths import depth_below, file_name, under_root
+from stowage.functions.paths import depth_below, directory_of, file_name, under_root
 
 
 def _folder_columns(path: Column, root: str) -> list[Column]:
@@ -84,3 +84,46 @@ def depth_limit(files: DataFrame, max_depth: int, root: str = "/") -> DataFrame:
         under_root(F.col("directory"), root)
         & (depth_below(F.col("directory"), root) <= max_depth)
     )
+
+
+#: The columns of a maintained rollup; names and depths follow from the path.
+ROLLUP = ["path", "total_size_bytes", "file_count", "dir_count"]
+
+
+def rollup_changes(delta: DataFrame, root: str = "/") -> DataFrame:
+    """Signed bytes and files per folder and all above it, from a delta of two inventories.
+
+    A path occurs once in an inventory, since the delta matches files by path.
+    """
+    one = F.when(F.col("change") == "new", 1).when(F.col("change") == "gone", -1).otherwise(0)
+    grown = F.coalesce("size_bytes", F.lit(0)) - F.coalesce("old_size_bytes", F.lit(0))
+    sums = delta.where("change <> 'unchanged'").groupBy(directory_of(F.col("path")).alias("directory")).agg(
+        F.sum(grown).alias("bytes"), F.sum(one).cast("bigint").alias("files"))
+    return with_each_ancestor(sums, "directory", root).groupBy("path").agg(
+        F.sum("bytes").alias("bytes"), F.sum("files").alias("files"))
+
+
+def apply_changes(stored: DataFrame, changes: DataFrame, root: str = "/") -> DataFrame:
+    """The rollup after the changes: ``stored`` holds all folders that they touch, and maybe more.
+
+    A folder is there while it holds a file at any depth; one that comes or goes
+    counts for every folder above it.
+    """
+    zero = F.lit(0).cast("bigint")
+    both = stored.join(changes, "path", "full_outer").select(
+        "path", (F.coalesce("total_size_bytes", zero) + F.coalesce("bytes", zero)).alias("total_size_bytes"),
+        (F.coalesce("file_count", zero) + F.coalesce("files", zero)).alias("file_count"),
+        F.coalesce("dir_count", zero).alias("dir_count"),
+        F.coalesce(F.col("file_count") > 0, F.lit(False)).cast("int").alias("_was"))
+    born = (F.col("file_count") > 0).cast("int") - F.col("_was")
+    turned = both.select(F.col("path").alias("_own"), born.alias("_born")).where("_born <> 0")
+    dirs = with_each_ancestor(turned, "_own", root).where("path <> _own").groupBy("path").agg(
+        F.sum("_born").alias("_dirs"))
+    return both.where("file_count > 0").join(dirs, "path", "left").select(
+        "path", "total_size_bytes", "file_count",
+        (F.col("dir_count") + F.coalesce("_dirs", zero)).alias("dir_count"))
+
+
+def with_folder_columns(rollup: DataFrame, root: str = "/") -> DataFrame:
+    """A maintained rollup with the names, parents and depths that ``folder_rollup`` gives."""
+    return rollup.select("path", *_folder_columns(F.col("path"), root), *ROLLUP[1:])

@@ -552,6 +552,10 @@ def oracle_sql() -> dict[str, str]:
  WHERE s_acctbal > 0)"""
     q["folder_table"] = f"WITH {FOLDERS} SELECT scan_id, path, name, parent_path, depth FROM folders"
     q["folder_rollup"] = f"WITH {FOLDERS} SELECT * FROM folders"
+    once = ", once AS (SELECT scan_id, path, max(size_bytes) AS size_bytes FROM raw2 GROUP BY 1, 2),"
+    second = RAW + "," + SECOND + once + _parts("once", "inv") + FOLDERS.removeprefix(INV)
+    q["folder_rollup_delta"] = f"""WITH {second} SELECT path, name, parent_path, depth, total_size_bytes,
+ file_count, dir_count FROM folders"""
     q["folder_direct_sizes"] = f"""WITH {PAGES} SELECT scan_id, directory,
  {size_sum} AS total_size_bytes, count(*) AS file_count FROM page_inv GROUP BY 1, 2"""
     q["depth_limit"] = f"""WITH {INV} SELECT file_id, path FROM inv

@@ -24,7 +24,7 @@ from stowage.operators import (
 )
 from stowage.plans import analysis_job
 from stowage.session import shared_folder, use_utc
-from stowage.sources import buckets, tables
+from stowage.sources import buckets, rollups, tables
 from stowage.sources import given_tables as given
 from stowage.streaming import jobs as streams
 from stowage.streaming import tasks as task_streams
@@ -212,6 +212,19 @@ def folder_rollup(spark, sf):
     return _rollup(spark, sf)
 
 
+@query
+def folder_rollup_delta(spark, sf):
+    """The first scan's stored rollup, brought up to date from what changed until the second one."""
+    folder = f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}"
+    first, second = (
+        scan(spark, sf).groupBy("scan_id", "path", "directory").agg(
+            F.max("size_bytes").alias("size_bytes"), F.max("modified_at").alias("modified_at"))
+        for scan in (given.inventory, given.second_inventory))
+    rollups.write_rollup(folders.folder_rollup(first), folder)
+    rollups.update_rollup(spark, folder, scans.inventory_delta(first, second))
+    return folders.with_folder_columns(rollups.read_rollup(spark, folder))
+
+
 @query
 def folder_direct_sizes(spark, sf):
     return folders.direct_sizes(given.page_paths(spark, sf))

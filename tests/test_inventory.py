@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from stowage.functions.paths import with_path_parts
 from stowage.operators import breakdowns, exclusions, folders, paging, scans
-from stowage.sources import listing, tables
+from stowage.sources import listing, rollups, tables
 
 
 def _inventory(frame, rows):
@@ -235,3 +235,45 @@ def test_register_of_odd_scans(frame):
 def test_delta_of_unknown_sizes(frame):
     rows = frame([("/a", None, None)], "path string, size_bytes bigint, modified_at timestamp")
     assert [r["change"] for r in scans.inventory_delta(rows, rows).collect()] == ["unchanged"]
+
+
+def test_a_rollup_follows_its_deltas(spark, frame, tmp_path):
+    """Equal to a full rollup after each of three deltas; folders elsewhere are not rewritten."""
+    import random
+
+    rng = random.Random(3)
+    folder, at = str(tmp_path / "rollup"), {}
+    ddl = "scan_id string, path string, directory string, size_bytes bigint, modified_at int"
+
+    def scan():
+        rows = [("s", p, p.rsplit("/", 1)[0] or "/", *v) for p, v in at.items()]
+        return frame(rows, ddl)
+
+    def path(top):
+        return "/".join([top, *(rng.choice("abc") for _ in range(rng.randrange(4))), f"f{rng.randrange(30)}"])
+
+    for i in range(120):
+        at[path(rng.choice(["/v1", "/v2", "/v3"]))] = (rng.randrange(100), 0)
+    at["/top"] = (1, 0)
+    before = scan()
+    rollups.write_rollup(folders.folder_rollup(before), folder)
+    kept = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "rollup" / "area=v3").iterdir()}
+    for step in range(3):
+        for p in rng.sample([p for p in sorted(at) if p.startswith(("/v1", "/v2"))], 25):
+            if rng.random() < 0.6:
+                del at[p]
+            else:
+                at[p] = (rng.randrange(100), step + 1)
+        for _ in range(10):
+            at[path(rng.choice(["/v1", "/v2/new"]))] = (rng.randrange(100), step + 1)
+        after = scan()
+        areas = rollups.update_rollup(spark, folder, scans.inventory_delta(before, after))
+        assert set(areas) <= {"_", "v1", "v2"}
+        want = folders.folder_rollup(after).drop("scan_id")
+        got = folders.with_folder_columns(rollups.read_rollup(spark, folder)).select(*want.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        before = after
+    assert kept == {p.name: p.stat().st_mtime_ns for p in (tmp_path / "rollup" / "area=v3").iterdir()}
+    at.clear()
+    rollups.update_rollup(spark, folder, scans.inventory_delta(before, scan()))
+    assert rollups.read_rollup(spark, folder).count() == 0
