@@ -17,11 +17,11 @@ record, so records can be read in any order.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from array import array
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,14 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 MASK = 0xA282EAD8
 _HEAD, _FOOT = struct.Struct("<QI"), struct.Struct("<I")
 _ID = struct.Struct("<?qB")
-#: Words whose ids a worker remembers; others are encoded again when they return.
-_REMEMBERED = 400_000
+#: Words whose ids a worker remembers; beyond it only those that came again are kept.
+_REMEMBERED = 300_000
+#: Words encoded in one call, and the word between them, which is a token of its own.
+_JOINED, _BETWEEN = 64, "|"
+#: Marks that are a token of their own behind letters.
+_MARKS = [".", ","]
+#: Bytes of text whose words are looked up together, at least one document.
+_PART_BYTES = 10_000_000
 
 
 def masked_crc(data: bytes) -> int:
@@ -80,45 +86,81 @@ def _tokenizer(definition: str, special_as_text: bool):
 class _WordIds:
     """Ids of words between white space, which this kind of tokenizer encodes one by one.
 
-    It also lower-cases, and takes letters and marks apart; so plain words in
-    capitals or before a stop or comma need no encoding of their own.
+    It also lower-cases, and takes letters and marks apart; so capitals a-z and
+    a stop or comma behind letters need no encoding of their own.
     """
 
     def __init__(self, definition: str, width: int, special_as_text: bool = True):
         self.tokenizer = _tokenizer(definition, special_as_text)
         added = self.tokenizer.get_added_tokens_decoder().values()
-        special = [] if special_as_text else [re.escape(t.content.lower()) for t in added]
-        # Words that hold such a string in any case are encoded as they are.
-        self.special = re.compile("|".join(special)).search if special else None
+        # Texts that hold such a string in any case are encoded as they are.
+        self.special = [] if special_as_text else [t.content for t in added]
         self.kind = np.dtype(f"<u{width}")
         self.known: dict[str, bytes] = {}
-        self.marks = {mark: self._encoded([mark])[0] for mark in ".,"}
+        self.again: set[str] = set()
+        between = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+        self.between = between[0] if len(between) == 1 else None
+        marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in _MARKS}
+        single = {m: ids[0] for m, ids in marks.items() if len(ids) == 1}
+        self.stripped = pa.array(list(single), pa.string())
+        self.marks = np.array([0, *single.values()], self.kind)
+
+    def lowered(self, texts: pa.Array) -> pa.Array:
+        whole = pc.fill_null(texts, "")
+        if not self.special:
+            return pc.ascii_lower(whole)
+        hits = [pc.match_substring(whole, token, ignore_case=True) for token in self.special]
+        return pc.if_else(reduce(pc.or_, hits), whole, pc.ascii_lower(whole))
+
+    def table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and how many each has."""
+        ends = pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(words, -1), self.stripped), -1)
+        stems = pc.utf8_slice_codeunits(words, 0, -1)
+        marked = pc.and_(pc.greater_equal(ends, 0), pc.ascii_is_alpha(stems))
+        found = pc.if_else(marked, stems, words).dictionary_encode()
+        mark = np.where(marked.to_numpy(zero_copy_only=False), ends.to_numpy() + 1, 0)
+        stem = found.indices.to_numpy()
+        pieces = self.pieces(found.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.kind.itemsize
+        length = sizes[stem] + (mark > 0)
+        last = np.cumsum(length) - 1
+        # A marked word's last place lies behind its stem and is written over.
+        flat = np.append(np.frombuffer(b"".join(pieces), self.kind), self.kind.type(0))
+        starts = (np.cumsum(sizes) - sizes)[stem]
+        out = flat[np.repeat(starts - (last + 1 - length), length) + np.arange(length.sum())]
+        out[last[mark > 0]] = self.marks[mark[mark > 0]]
+        return out, length
 
     def _encoded(self, words: list[str]) -> list[bytes]:
         code = "H" if self.kind.itemsize == 2 else "I"
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [array(code, e.ids).tobytes() for e in found]
 
+    def _beside(self, words: list[str]) -> list[bytes]:
+        """Ids of words, many in one call; none of them holds the word between."""
+        texts = [f" {_BETWEEN} ".join(words[i : i + _JOINED]) for i in range(0, len(words), _JOINED)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.array([i for e in found for i in (*e.ids, self.between)], self.kind)
+        ends = np.flatnonzero(ids == self.between).tolist()
+        data, width = ids.tobytes(), self.kind.itemsize
+        starts = [0, *(e + 1 for e in ends)]
+        return [data[a * width : b * width] for a, b in zip(starts, ends, strict=False)]
+
     def pieces(self, words: list[str]) -> list[bytes]:
-        known, marks = self.known, self.marks
-        keys, ends = [], []
-        for word in words:
-            end = b""
-            if word.isascii() and not (self.special and self.special(word.lower())):
-                word = word.lower()
-                if word[-1:] in marks and word[:-1].isalpha():
-                    end = marks[word[-1]]
-                    word = word[:-1]
-            keys.append(word)
-            ends.append(end)
-        new = [k for k in dict.fromkeys(keys) if k not in known]
+        """Ids of each of these distinct words."""
+        known = self.known
+        self.again.update(w for w in words if w in known)
+        new = [w for w in words if w not in known]
         if len(known) + len(new) > _REMEMBERED:
-            known = self.known = {}
-            new = list(dict.fromkeys(keys))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            known.update(zip(part, self._encoded(part), strict=True))
-        return [known[k] + end for k, end in zip(keys, ends, strict=True)]
+            known = self.known = {w: known[w] for w in self.again}
+            self.again = set()
+        joined = [w for w in new if _BETWEEN not in w] if self.between is not None else []
+        alone = new if self.between is None else [w for w in new if _BETWEEN in w]
+        for some, encode in ((joined, self._beside), (alone, self._encoded)):
+            for i in range(0, len(some), 20_000):
+                part = some[i : i + 20_000]
+                known.update(zip(part, encode(part), strict=True))
+        return [known[w] for w in words]
 
 
 @lru_cache(maxsize=1)
@@ -129,15 +171,12 @@ def _word_ids(definition: str, width: int, special_as_text: bool) -> _WordIds:
 
 def encode_texts(texts: pa.Array, words_of: _WordIds, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, each with its end id, and where each text begins."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    lists = pc.ascii_split_whitespace(words_of.lowered(texts))
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     filled = lists.flatten()
     found = filled.dictionary_encode()
     codes = found.indices.to_numpy(zero_copy_only=False)
-    pieces = words_of.pieces(found.dictionary.to_pylist())
-    width = words_of.kind.itemsize
-    length = np.fromiter((len(p) // width for p in pieces), np.int64, len(pieces))
-    flat = np.frombuffer(b"".join(pieces), words_of.kind)
+    flat, length = words_of.table(found.dictionary)
     start = np.cumsum(length) - length
     sizes = length[codes]
     ends = np.cumsum(sizes)
@@ -148,6 +187,18 @@ def encode_texts(texts: pa.Array, words_of: _WordIds, end_id: int) -> tuple[np.n
     return ids, bounds + np.arange(len(bounds))
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, text) cut by the bytes of their texts."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(batch):
+            before = sizes[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, before + _PART_BYTES, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def write_records(
     docs: DataFrame,
     folder: str,
@@ -179,9 +230,7 @@ def write_records(
 
     def run(batches):
         words_of = _word_ids(shared.value, width, special_as_text)
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in _parts(batches):
             ids, bounds = encode_texts(batch.column(1), words_of, end_id)
             names = batch.column(0).to_pylist()
             out = [
