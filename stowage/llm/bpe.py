@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding with a given list of ranked tokens.
 
-Encoding works on distinct words. Each task numbers the words of a block of
-documents, and one fold of Spark's array functions over the bytes of every
-distinct word applies the merges in the order of their ranks, looked up in a
-literal map. The numbers then become token ids. Words that a sample finds
-frequent are folded once beforehand. Decoding looks pieces up in a literal list
-and concatenates them.
+Encoding works on distinct words. Each task numbers the words of its documents,
+block by block, and one fold of Spark's array functions over the bytes of every
+word that is new in the task applies the merges in the order of their ranks,
+looked up in a literal map. The numbers then become token ids. Words that a
+sample finds frequent are folded once beforehand. Decoding looks pieces up in a
+literal list and concatenates them.
 """
 
 from __future__ import annotations
@@ -22,9 +22,11 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 from stowage.llm.tables import Scratch
 
 #: Words numbered together; a document is never cut, so one can be larger.
-WORDS_PER_BLOCK = 1_200_000
-#: Documents whose words are counted, and words folded beforehand, at most: some 20 MB.
-SAMPLED_DOCS, KEPT_WORDS = 20_000, 250_000
+WORDS_PER_BLOCK = 300_000
+#: Distinct words after which a task begins to number anew.
+SEEN_WORDS = 400_000
+#: Documents whose words are counted, and words folded beforehand, at most: some 8 MB.
+SAMPLED_DOCS, KEPT_WORDS = 20_000, 100_000
 #: Matches of more bytes are encoded by the tiktoken library: a fold takes quadratic time in them.
 LONGEST_FOLD = 256
 #: Places over which the map's rows are laid.
@@ -61,6 +63,8 @@ def _rank_map(path: str) -> tuple[str, str]:
     ``starts[a] + b``; rows of first tokens are laid into each other where they
     leave room, the longest ones first. Other places belong to another a, or hold -1.
     """
+    if max(read_ranks(path).values()) >= 1 << 16:
+        raise ValueError(f"{path} has ranks of more than 16 bits, which the map doesn't hold")
     rows: dict[int, list[tuple[int, int]]] = {}
     for (a, b), rank in _merged_pairs(read_ranks(path)).items():
         rows.setdefault(a, []).append((b, rank))
@@ -146,6 +150,17 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
     return whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
 
 
+def _parts(batch: pa.RecordBatch):
+    """A batch of lists of words in parts with not many more words than a block."""
+    sizes = np.cumsum(np.diff(batch.column(1).offsets.to_numpy()))
+    at = 0
+    while at < len(batch):
+        before = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + WORDS_PER_BLOCK, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _matches(text_col: str, pattern: str) -> Column:
     return F.regexp_extract_all(
         F.coalesce(F.col(text_col), F.lit("")), F.lit(f"(?U)({pattern})"), F.lit(0)
@@ -190,8 +205,8 @@ def encode(
     """Per row of ``docs``: its id and ``ids``, the token ids of the whole text.
 
     Every match of ``pattern`` is encoded by itself; there are no special tokens.
-    Nothing is shuffled: a block of documents is numbered, its new words are
-    folded, and it is put together within one task.
+    Nothing is shuffled: a block of documents is numbered, the words that the
+    task hasn't seen before are folded, and it is put together within one task.
 
     Defined cases: NULL and empty texts have no ids; repeated rows give repeated
     rows; a NULL id stays NULL; an empty table gives an empty one; other columns
@@ -211,70 +226,87 @@ def encode(
     arrow_id = to_arrow_type(id_type)
 
     def number(batches):
-        """A row per block: ids, words per document, numbers of their words, and new words."""
+        """A row per block: ids, words per document, their numbers, words new in the task, if numbers start anew."""
         known = places.value
+        seen: dict[str, int] = {}
         waiting: list[pa.RecordBatch] = []
-        size = 0
+        size, fresh = 0, True
 
         def flush():
+            nonlocal seen, fresh
             whole = pa.Table.from_batches(waiting)
             lists = _one(whole.column("words"))
             found = lists.flatten().dictionary_encode()
             words = found.dictionary.to_pylist()
-            place = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
-            new = np.flatnonzero(place < 0)
-            place[new] = len(known) + np.arange(len(new))
-            codes = place.astype(np.int32)[found.indices.to_numpy(zero_copy_only=False)]
+            if len(seen) > SEEN_WORDS:
+                seen, fresh = {}, True
+            begun, new = fresh, []
+            place = np.empty(len(words), np.int32)
+            for i, word in enumerate(words):
+                at = known.get(word)
+                if at is None:
+                    at = seen.get(word)
+                    if at is None:
+                        at = seen[word] = len(known) + len(seen)
+                        new.append(word)
+                place[i] = at
+            fresh = False
+            codes = place[found.indices.to_numpy(zero_copy_only=False)]
             counts = np.diff(lists.offsets.to_numpy()).astype(np.int32)
             ids = _one(whole.column("id"))
             return pa.RecordBatch.from_arrays([
                 pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
                 pa.array([counts.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary()),
-                pa.array([[words[i] for i in new]], pa.list_(pa.string())),
-            ], names=["ids", "counts", "codes", "words"])
+                pa.array([new], pa.list_(pa.string())), pa.array([begun]),
+            ], names=["ids", "counts", "codes", "words", "fresh"])
 
         for batch in batches:
-            waiting.append(batch)
-            size += len(batch.column(1).flatten())
-            if size >= WORDS_PER_BLOCK:
-                yield flush()
-                waiting, size = [], 0
+            for part in _parts(batch):
+                waiting.append(part)
+                size += len(part.column(1).flatten())
+                if size >= WORDS_PER_BLOCK:
+                    yield flush()
+                    waiting, size = [], 0
         if waiting and sum(map(len, waiting)):
             yield flush()
 
     first = StructType().add("ids", ArrayType(id_type))
-    rest = StructType.fromDDL("counts binary, codes binary, words array<string>")
+    rest = StructType.fromDDL("counts binary, codes binary, words array<string>, fresh boolean")
     blocks = matches.mapInArrow(number, StructType(first.fields + rest.fields))
     folded = blocks.select(
-        "ids", "counts", "codes",
+        "ids", "counts", "codes", "fresh",
         F.filter("words", lambda w: F.octet_length(w) > LONGEST_FOLD).alias("longer"),
         F.transform("words", lambda w: _pieces(w, ranks_path)).alias("pieces"),
     )
 
     def assemble(batches):
-        known_ids, known_offsets = frequent.value
+        flat = starts = length = None
         for batch in batches:
             for i in range(len(batch)):
-                yield one_block(batch.slice(i, 1), known_ids, known_offsets)
-
-    def one_block(block, known_ids, known_offsets):
-        documents = block.column(0).flatten()
-        counts = np.frombuffer(block.column(1)[0].as_buffer(), np.int32)
-        codes = np.frombuffer(block.column(2)[0].as_buffer(), np.int32)
-        pieces = block.column(4).flatten()
-        if pieces.null_count:
-            longer = iter(_long_matches(ranks, block.column(3).flatten()))
-            pieces = pa.array(
-                [next(longer) if p is None else p for p in pieces.to_pylist()], pa.list_(pa.int32()))
-        offsets = pieces.offsets.to_numpy()
-        flat = np.concatenate([known_ids, pieces.flatten().to_numpy(zero_copy_only=False)]).astype(np.int32)
-        start = np.concatenate([known_offsets[:-1], offsets[:-1] - offsets[0] + len(known_ids)])
-        length = np.concatenate([np.diff(known_offsets), np.diff(offsets)])
+                block = batch.slice(i, 1)
+                if block.column("fresh")[0].as_py():
+                    known_ids, known_offsets = frequent.value
+                    flat, starts, length = known_ids, known_offsets[:-1], np.diff(known_offsets)
+                pieces = block.column("pieces").flatten()
+                if pieces.null_count:
+                    longer = iter(_long_matches(ranks, block.column("longer").flatten()))
+                    pieces = pa.array([next(longer) if p is None else p for p in pieces.to_pylist()],
+                                      pa.list_(pa.int32()))
+                offsets = pieces.offsets.to_numpy()
+                starts = np.concatenate([starts, offsets[:-1] - offsets[0] + len(flat)])
+                length = np.concatenate([length, np.diff(offsets)])
+                flat = np.concatenate([flat, pieces.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
+                yield one_block(block, flat, starts, length)
+
+    def one_block(block, flat, starts, length):
+        documents = block.column("ids").flatten()
+        counts = np.frombuffer(block.column("counts")[0].as_buffer(), np.int32)
+        codes = np.frombuffer(block.column("codes")[0].as_buffer(), np.int32)
         sizes = length[codes]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         # Where each token of the block stands in the list of pieces.
-        at = np.repeat((start[codes] - (ends - sizes)).astype(np.int32), sizes)
+        at = np.repeat((starts[codes] - (ends - sizes)).astype(np.int32), sizes)
         at += np.arange(total, dtype=np.int32)
         ids = flat[at]
         tokens = np.concatenate([[0], ends])
