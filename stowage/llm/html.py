@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from stowage.llm.tables import free_name
+
 #: Elements of HTML by their part in a page (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe noscript template".split())
@@ -453,7 +455,7 @@ def extract(
     columns = [
         c for c in (pages.columns if keep is None else keep) if c.lower() != result_col.lower()
     ]
-    source = pages.select(*columns, F.col(html_col).alias("__html"))
+    source = pages.select(*columns, F.col(html_col).alias(free_name("html", columns)))
 
     def run(batches):
         for batch in batches:

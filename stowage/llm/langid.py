@@ -9,6 +9,7 @@ language costs a penalty, labels spans of mixed text (Viterbi).
 from __future__ import annotations
 
 import re
+from unicodedata import category
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,11 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from stowage.llm.tables import free_name
+
 UNDETERMINED = "und"
 #: Documents of a language that a model is fitted on, on average.
 MAX_DOCS_PER_LANG = 2_000
-#: Trigrams of a language kept in the model: its most frequent ones.
-MAX_GRAMS_PER_LANG = 20_000
 #: What a change of language costs, in natural logarithms of a likelihood.
 SWITCH_PENALTY = 9.0
 #: A script holding at least this part of a language's letters is one of its scripts.
@@ -31,7 +32,9 @@ REMEMBERED_WORDS = 400_000
 #: Words labelled at once.
 WORDS_PER_BATCH = 1_500_000
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Numbers such as fractions and circled digits, which count as word characters but are no letters.
+_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if category(c) in ("Nl", "No"))
+_WORD = re.compile(f"[^\\W\\d_{re.escape(_NUMBERS)}]+")
 #: First and last code points of scripts (fixed values of the Unicode blocks).
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF)],
@@ -121,12 +124,15 @@ def train(
     text_col: str = "text",
     lang_col: str = "lang",
     max_docs_per_lang: int = MAX_DOCS_PER_LANG,
+    max_grams_per_lang: int | None = None,
 ) -> LanguageModel:
     """Fits a model on rows with a text and a language.
 
     A bounded sample by a hash of the id is used, about ``max_docs_per_lang``
-    documents of each language; texts are used whole. Without any such row the
-    model has no language and every prediction is ``und``.
+    documents of each language; texts are used whole, and all their trigrams
+    are learned unless ``max_grams_per_lang`` says how many of the most frequent
+    ones. Without any such row the model has no language and every prediction
+    is ``und``.
     """
     named = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"),
@@ -162,10 +168,12 @@ def train(
         .groupBy("kind", "lang", "item").agg(F.sum("n").alias("n"))
         .collect()
     )
-    return _fit(counts, [tuple(r) for r in counted])
+    return _fit(counts, [tuple(r) for r in counted], max_grams_per_lang)
 
 
-def _fit(docs: dict[str, int], counted: list[tuple[str, str, str, int]]) -> LanguageModel:
+def _fit(
+    docs: dict[str, int], counted: list[tuple[str, str, str, int]], max_grams: int | None = None
+) -> LanguageModel:
     languages = sorted(docs)
     at = {lang: i for i, lang in enumerate(languages)}
     by_lang: dict[str, list] = {lang: [] for lang in languages}
@@ -175,7 +183,7 @@ def _fit(docs: dict[str, int], counted: list[tuple[str, str, str, int]]) -> Lang
             by_lang[lang].append((-n, item))
         else:
             letters[lang, item] += n
-    kept = {item for rows in by_lang.values() for _, item in sorted(rows)[:MAX_GRAMS_PER_LANG]}
+    kept = {item for rows in by_lang.values() for _, item in sorted(rows)[:max_grams]}
     grams = {item: i for i, item in enumerate(sorted(kept))}
     weights = np.full((len(grams) + 1, max(1, len(languages))), 0.5)
     for lang, rows in by_lang.items():
@@ -204,7 +212,7 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.nd
     one array operation over the texts that have a word left.
     """
     n, k = scores.shape
-    path = np.zeros(n, np.int8)
+    path = np.zeros(n, np.int32)
     order = np.argsort(-lengths, kind="stable")
     first = (np.cumsum(lengths) - lengths)[order]
     long = lengths[order]
@@ -212,10 +220,11 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.nd
         return path
     # Texts with more than t words, for every t.
     active = len(long) - np.searchsorted(long[::-1], np.arange(long[0]), side="right")
-    arrived = np.zeros((n, k), np.int8)
+    kind = np.int8 if k < 128 else np.int32  # one cell for each word and language
+    arrived = np.zeros((n, k), kind)
     best = scores[first[: active[0]]].astype(np.float32)
-    final = np.zeros(len(long), np.int8)
-    states = np.arange(k, dtype=np.int8)
+    final = np.zeros(len(long), np.int32)
+    states = np.arange(k, dtype=kind)
     for t in range(1, int(long[0])):
         m = active[t]
         if m < len(best):
@@ -225,7 +234,7 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.nd
         top = best.argmax(axis=1)
         switched = best[np.arange(m), top][:, None] - penalty
         stay = best >= switched
-        arrived[at] = np.where(stay, states, top[:, None].astype(np.int8))
+        arrived[at] = np.where(stay, states, top[:, None].astype(kind))
         best = np.where(stay, best, switched) + scores[at]
     final[: len(best)] = best.argmax(axis=1)
     state = final.copy()
@@ -308,7 +317,7 @@ def identify(
 
     results = [f"{prefix}lang_pred", f"{prefix}score", f"{prefix}spans"]
     columns = [c for c in (docs.columns if keep is None else keep) if c.lower() not in results]
-    source = docs.select(*columns, F.col(text_col).alias("__text"))
+    source = docs.select(*columns, F.col(text_col).alias(free_name("text", columns)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

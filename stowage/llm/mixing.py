@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stowage.llm.tables import Scratch, appended
+from stowage.llm.tables import Scratch, appended, free_prefix
 
 #: Up to so many sources the table of rates, a few hundred bytes a row, is broadcast.
 MAX_BROADCAST_SOURCES = 20_000
@@ -103,40 +103,41 @@ def mix_sources(
     like an empty one; rows with one id draw the same number; an empty table
     gives an empty one; an input column ``copy`` is replaced.
     """
+    p = free_prefix("__mix_", docs.columns)
     rates = source_rates(docs, weights, budget, exponent, source_col, text_col)
     draws = F.greatest(F.ceil(F.col("rate") / MEAN_PER_DRAW), F.lit(1)).cast("int")
     rates = rates.select(
-        F.col("source_key").alias("__mix_key"), F.col("unnamed").alias("__mix_null"),
-        draws.alias("__mix_draws"), _distribution(F.col("rate") / draws).alias("__mix_cdf"),
+        F.col("source_key").alias(f"{p}key"), F.col("unnamed").alias(f"{p}null"),
+        draws.alias(f"{p}draws"), _distribution(F.col("rate") / draws).alias(f"{p}cdf"),
     )
     few = rates.limit(max_broadcast_sources + 1).count() <= max_broadcast_sources
     rows = appended(docs, "copy").withColumns({
-        "__mix_key": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
-        "__mix_null": F.col(source_col).isNull(),
+        f"{p}key": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
+        f"{p}null": F.col(source_col).isNull(),
     })
-    keys = ["__mix_key", "__mix_null"]
+    keys = [f"{p}key", f"{p}null"]
     if few:
         rows = rows.join(F.broadcast(rates), keys)
     else:
         piece = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(PIECES)).cast("int")
         pieces = F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1)))
-        rows = rows.withColumn("__mix_piece", piece).join(
-            rates.withColumn("__mix_piece", pieces), [*keys, "__mix_piece"]
+        rows = rows.withColumn(f"{p}piece", piece).join(
+            rates.withColumn(f"{p}piece", pieces), [*keys, f"{p}piece"]
         )
 
     def drawn(i: Column) -> Column:
         u = _uniform(seed, id_col, i)
-        return F.size(F.filter("__mix_cdf", lambda c: u >= c))
+        return F.size(F.filter(f"{p}cdf", lambda c: u >= c))
 
     copies = F.aggregate(
-        F.transform(F.sequence(F.lit(1), F.col("__mix_draws")), drawn), F.lit(0), lambda a, b: a + b
+        F.transform(F.sequence(F.lit(1), F.col(f"{p}draws")), drawn), F.lit(0), lambda a, b: a + b
     )
-    rows = rows.withColumn("__mix_copies", copies).where("__mix_copies > 0")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
+    rows = rows.withColumn(f"{p}copies", copies).where(f"{p}copies > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(f"{p}copies"))))
     order = F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy"), F.col(text_col))
     return (
-        rows.withColumn("__mix_order", order)
-        .repartition("__mix_order")
-        .sortWithinPartitions("__mix_order")
+        rows.withColumn(f"{p}order", order)
+        .repartition(f"{p}order")
+        .sortWithinPartitions(f"{p}order")
         .select(*appended(docs, "copy").columns, "copy")
     )

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from stowage.llm.tables import free_name
+
 #: Labelled documents that a model is fitted on, at most.
 MAX_TRAINING_DOCS = 6_000
 #: Bytes of a passage; the last one of a text may be shorter.
@@ -248,7 +250,7 @@ def score_quality(
     columns = [
         c for c in (docs.columns if keep is None else keep) if c.lower() != result_col.lower()
     ]
-    source = docs.select(*columns, F.col(text_col).alias("__text"))
+    source = docs.select(*columns, F.col(text_col).alias(free_name("text", columns)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,22 @@ def appended(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """A column name that none of the taken ones is, whatever its case."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def free_prefix(prefix: str, taken: Iterable[str]) -> str:
+    """The start of column names with which none of the taken ones begins."""
+    held = [t.lower() for t in taken]
+    while any(t.startswith(prefix) for t in held):
+        prefix += "_"
+    return prefix
+
+
 class Scratch:
     """Tables of one run below ``spark.checkpoint.dir``.
 

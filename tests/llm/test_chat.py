@@ -44,3 +44,26 @@ def test_format(frame):
 def test_empty_table(frame):
     ddl = "conv_id bigint, turn bigint, role string, text string"
     assert chat.format_conversations(frame([], ddl)).collect() == []
+
+
+def test_long_conversations(spark, frame):
+    import time
+
+    n = 6000
+    rows = [(c, i, ("user", "assistant")[i % 2 if c else i % 1000 // 700], f"text {i} é" * (i % 3)) for c in (0, 1) for i in range(n)]
+    ddl = "conv_id bigint, turn bigint, role string, text string"
+    made = chat.format_conversations(frame(rows, ddl).repartition(3))
+    start = time.perf_counter()
+    out = _read(made)
+    assert time.perf_counter() - start < 60
+    for c in (0, 1):
+        own = [(r[2], r[3]) for r in rows if r[0] == c]
+        assert [tuple(t) for t in out[c]["turns"]] == own
+        assert out[c]["loss"] == [t for role, t in own if role == "assistant"]
+        assert out[c]["formatted"].count(chat.START) == len(list(itertools.groupby(own, lambda t: t[0])))
+
+
+def test_turns_are_folded_in_arrays(spark, frame):
+    ddl = "conv_id bigint, turn bigint, role string, text string"
+    plan = chat.format_conversations(frame([(1, 1, "user", "a")], ddl))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "aggregate(" in plan

@@ -59,3 +59,31 @@ def test_nothing_to_learn_from_and_empty_table(frame, model):
     none = langid.train(frame([(1, "text", None, None)], DDL))
     assert [r["lang_pred"] for r in langid.identify(frame([(1, "a", None, None)], DDL), none).collect()] == ["und"]
     assert langid.identify(frame([], DDL), model).collect() == []
+
+
+def test_numbers_are_no_letters_and_many_languages(frame, model):
+    texts = ["½ ² ①", "Ⅷ ⅓", "the ½ house", "一 二"]
+    out = {r["doc_id"]: r for r in langid.identify(frame([(i, t, None, None) for i, t in enumerate(texts)], DDL), model).collect()}
+    assert [out[i]["lang_pred"] for i in (0, 1)] == ["und", "und"] and out[0]["score"] == 0.0 and out[0]["spans"] == []
+    assert out[2]["lang_pred"] == "aa" and out[3]["score"] == 0.0
+    lengths = np.array([5, 3])
+    scores = np.full((8, 300), -50.0, np.float32)
+    want = [299, 299, 150, 150, 150, 128, 128, 128]
+    scores[np.arange(8), want] = 0
+    assert langid.best_paths(scores, lengths, 1.0).tolist() == want
+
+
+def test_a_column_named_like_a_working_one(frame, model):
+    rows = frame([(1, "the house", "kept", "zz")], "doc_id bigint, text string, __text string, text_ string")
+    row = langid.identify(rows, model).first()
+    assert (row["__text"], row["text_"], row["lang_pred"]) == ("kept", "zz", "aa")
+
+
+def test_held_out_accuracy_on_given_documents(spark):
+    from stowage.llm.queries import op3_language_id
+
+    folder = "/root/testdata/sf0.01"
+    found = op3_language_id(spark, folder).where("held_out").join(
+        spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id").where("lang is not null")
+    hits = found.selectExpr("avg(cast(lang = lang_pred as double)) as a", "count(*) as n").first()
+    assert hits["n"] > 100 and hits["a"] >= 0.95
