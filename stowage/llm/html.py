@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import html as references
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -69,22 +70,63 @@ PLAIN = frozenset(
     "links list outer panel posts right row section top unit slot wrap wrapper".split()
 )
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
-    re.S,
-)
+#: How much more prose speaks for a larger part of the page, and the prose of a chapter (two paragraphs' points).
+MORE, PROSE = 1.25, 2.5
+
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _NAMES = re.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+class _Scanner:
+    """Tags of a page in order; each character is looked at once, however broken the markup is."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {quote: page.rfind(quote) for quote in "\"'"}
+
+    def _behind(self, mark: str, at: int) -> int:
+        end = self.page.find(mark, at)
+        return len(self.page) if end < 0 else end + len(mark)
+
+    def attributes(self, at: int) -> tuple[int, int]:
+        """Where the attributes that begin at a place end, and where their tag ends.
+
+        A quote that is never closed is an ordinary character.
+        """
+        while found := _STOP.search(self.page, at):
+            mark = found.group()
+            if mark == ">":
+                return found.start(), found.end()
+            closed = found.start() < self.last[mark]
+            at = self.page.find(mark, found.end()) + 1 if closed else found.end()
+        return len(self.page), len(self.page)
+
+    def next(self, at: int) -> tuple[int, int, str | None, str | None, str] | None:
+        """Start and end of the next tag, whether it closes, its name and attributes; no name for others."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if found := _OPEN.match(page, start):
+                stop, end = self.attributes(found.end())
+                return start, end, found[1], found[2], page[found.end() : stop]
+            if page.startswith("<!--", start):
+                return start, self._behind("-->", start + 4), None, None, ""
+            if page.startswith("<![CDATA[", start):
+                return start, self._behind("]]>", start), None, None, ""
+            if page.startswith(("<!", "<?"), start):
+                return start, self._behind(">", start), None, None, ""
+            at = start + 1
+        return None
+
+
 class _Node:
     """A block element: its blocks of text and children in page order, and its points."""
 
     __slots__ = ("tag", "parent", "content", "points", "chars", "linked", "furniture", "named",
-                 "suspect", "level")
+                 "suspect", "level", "prose", "headed")
 
     def __init__(self, tag: str, parent: _Node | None, furniture: bool, named: bool,
                  suspect: _Suspect | None = None):
@@ -92,8 +134,9 @@ class _Node:
         self.furniture, self.named, self.suspect = furniture, named, suspect
         self.level = 0 if parent is None else parent.level + 1
         self.content: list = []
-        self.points = 0.0
+        self.points = self.prose = 0.0
         self.chars = self.linked = 0
+        self.headed = tag in HEADINGS
 
 
 class _Suspect:
@@ -205,17 +248,27 @@ def _tree(page: str) -> _Node:
 
     def left() -> None:
         while inline and inline[-1][3].level > node.level:
-            inline.pop()
-
+            within[inline.pop()[0]] -= 1
+
+    def ascend(to: _Node) -> None:
+        nonlocal node
+        while node is not to:
+            around[node.tag] -= 1
+            node = node.parent
+
+    # How many elements of each tag are open: blocks, and inline ones in ``inline``.
+    around: Counter[str] = Counter()
+    within: Counter[str] = Counter()
+    scanner = _Scanner(page)
     at, end = 0, len(page)
     while at < end:
-        found = _TAG.search(page, at)
+        found = scanner.next(at)
         if not found:
             add(page[at:])
             break
-        add(page[at : found.start()])
-        at = found.end()
-        close, tag, attributes = found.groups()
+        start, after, close, tag, attributes = found
+        add(page[at:start])
+        at = after
         if tag is None:
             continue
         tag = tag.lower()
@@ -224,18 +277,19 @@ def _tree(page: str) -> _Node:
                 depth = max(0, depth - 1)
             elif tag in BLOCKS:
                 finish()
-                up = node
-                while up.parent is not None and up.tag != tag:
-                    up = up.parent
-                if up.parent is not None:
-                    node = up.parent
+                if around[tag]:
+                    up = node
+                    while up.tag != tag:
+                        up = up.parent
+                    ascend(up.parent)
                     left()
             elif tag == "br":
                 add(" ")
-            if inline and tag not in BLOCKS:
-                for i in range(len(inline) - 1, -1, -1):
-                    if inline[i][0] == tag:
-                        del inline[i:]
+            if within[tag] and tag not in BLOCKS:
+                while within[tag]:
+                    name = inline.pop()[0]
+                    within[name] -= 1
+                    if name == tag:
                         break
             continue
         if tag in RAW:
@@ -243,8 +297,7 @@ def _tree(page: str) -> _Node:
             at = stop.start() if stop else end
             if tag not in SKIPPED and stop:
                 continue
-            found = _TAG.match(page, at) if stop else None
-            at = found.end() if found else end
+            at = scanner.next(at)[1] if stop else end
             continue
         if tag == "br":
             add(" ")
@@ -255,19 +308,18 @@ def _tree(page: str) -> _Node:
         if tag in BLOCKS:
             finish()
             depth = 0
-            up = node
-            while up.tag == "p" and up.parent is not None:  # a block ends an open paragraph
-                up = up.parent
-            node = up
+            while node.tag == "p" and node.parent is not None:  # a block ends an open paragraph
+                ascend(node.parent)
             closes = CLOSED_BY.get(tag)
-            if closes:
-                up = node
+            if closes and any(around[c] for c in closes):
+                up, to = node, node
                 while up.parent is not None and up.tag not in SCOPES:
                     if up.tag in closes:
-                        node = up.parent
+                        to = up.parent
                         if tag != "tr":
                             break
                     up = up.parent
+                ascend(to)
             left()
             if tag == "hr":
                 continue
@@ -278,6 +330,7 @@ def _tree(page: str) -> _Node:
             child = _Node(tag, node, furniture or node.furniture, named, suspect)
             node.content.append(child)
             node = child
+            around[tag] += 1
             continue
         if tag == "a":
             depth += 1
@@ -287,6 +340,7 @@ def _tree(page: str) -> _Node:
                 furniture = furniture or inline[-1][1]
                 suspect = inline[-1][3] is node and inline[-1][2] or suspect
             inline.append((tag, furniture, suspect, node))
+            within[tag] += 1
     finish()
     return root
 
@@ -368,9 +422,13 @@ def _score(root: _Node) -> list[_Node]:
             if isinstance(x, _Node):
                 node.chars += x.chars
                 node.linked += x.linked
+                node.prose += x.prose
+                node.headed |= x.headed and x.chars > 0
             else:
                 node.chars += len(x[0])
                 node.linked += x[1]
+        if not node.furniture:
+            node.prose += _own_points(node)[0]
     for node in nodes:
         points, length, _ = _own_points(node)
         if node.furniture or not length:
@@ -395,15 +453,43 @@ def _score(root: _Node) -> list[_Node]:
     return nodes
 
 
-def _blocks(node: _Node | tuple[str, int], out: list[str]) -> None:
-    stack: list = [node]
+def _kept(best: _Node) -> list[str]:
+    """Blocks of the best container and of what belongs to it around it.
+
+    Where the container's name says nothing, the page may be cut into several
+    like it: then the search goes up while a larger part holds much more prose.
+    On each level what is mostly links is left out, and what has neither a
+    heading nor a chapter's prose; beside an ``article`` or ``main`` only more
+    of the kind and plain content count.
+    """
+    sure = best.tag in ("article", "main")
+
+    def belongs(x: _Node | tuple[str, int]) -> bool:
+        if not isinstance(x, _Node):
+            return x[1] < len(x[0]) / 2
+        if x.furniture or not x.chars or x.linked >= x.chars / 2:
+            return False
+        return x.tag == best.tag or x.tag in BESIDE or x.named or not sure and (x.headed or x.prose >= PROSE)
+
+    path, top, at = [best], 1, best
+    while at.parent is not None:
+        if not best.named and at.parent.prose > MORE * at.prose:
+            top = len(path)
+        at = at.parent
+        path.append(at)
+    levels = {id(x) for x in path[1 : top + 1]}
+    inside = {id(x) for x in path[:top]}
+    out: list[str] = []
+    stack: list = [path[top] if len(path) > top else best]
     while stack:
         x = stack.pop()
-        if isinstance(x, _Node):
-            if not x.furniture:
-                stack.extend(reversed(x.content))
-        else:
+        if not isinstance(x, _Node):
             out.append(x[0])
+        elif id(x) in levels:
+            stack.extend(y for y in reversed(x.content) if id(y) in inside or belongs(y))
+        elif not x.furniture:
+            stack.extend(reversed(x.content))
+    return out
 
 
 def main_text(page: str | None) -> str:
@@ -418,22 +504,7 @@ def main_text(page: str | None) -> str:
     best = max(nodes, key=lambda n: n.points)
     while best.tag in PARAGRAPHS and best.parent is not None:
         best = best.parent
-    kept = [best]
-    if best.parent is not None:
-        kept = []
-        for x in best.parent.content:
-            if x is best:
-                kept.append(x)
-            elif not isinstance(x, _Node):
-                if x[1] < len(x[0]) / 2:
-                    kept.append(x)
-            elif not x.furniture and x.chars and x.linked < x.chars / 2:
-                if x.tag == best.tag or x.tag in BESIDE or x.named:
-                    kept.append(x)
-    out: list[str] = []
-    for node in kept:
-        _blocks(node, out)
-    return "\n".join(out)
+    return "\n".join(_kept(best))
 
 
 def extract(

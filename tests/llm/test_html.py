@@ -28,6 +28,45 @@ def test_articles(body, text):
     assert main_text(SHELL.format(body=body)) == text
 
 
+_ONE, _TWO, _THREE = (f"<p>{n} words of an article, long enough, with commas, to be one.</p>" * 2 for n in ("Some", "More", "Last"))
+_PLAIN = lambda *parts: re.sub("</p><p>", "\n", "".join(parts)).replace("<p>", "").replace("</p>", "")
+
+
+@pytest.mark.parametrize("body", [
+    f"<section>{_ONE}{_ONE}</section><div>{_TWO}</div>",
+    f"<div class=content>{_ONE}{_ONE}</div><section><h2>Then</h2>{_TWO}</section>",
+    f"<div class=row><div class=c1>{_ONE}{_ONE}</div></div><div class=row><div class=c1>{_TWO}</div></div>",
+    f"<div><div>{_ONE}{_ONE}</div><ul><li><a href=x>Some link, or other</a></ul></div><div><div>{_TWO}</div></div>",
+    f"<section><h2>A</h2><p>Short, one.</p></section><div>{_ONE}{_ONE}</div><section><h2>B</h2>{_TWO}</section>",
+])
+def test_no_chapter_is_lost(body):
+    text = main_text(SHELL.format(body=body))
+    assert text.count("Some words") == 4 and text.count("More words") == 2
+    assert "link" not in text and "Side text" not in text and "Buy" not in text
+    assert [h for h in ("A", "B", "Then") if f">{h}<" in body] == [x for x in text.split("\n") if len(x) < 5]
+
+
+def test_a_list_of_links_beside_an_article_stays_out():
+    body = f"<article>{_ONE}</article><div><h3>Latest</h3><p>Not, of, this, article, at, all, really.</p></div>"
+    assert main_text(SHELL.format(body=body)).count("\n") == 1
+
+
+@pytest.mark.parametrize("part", [
+    "<a title=\"", "<a b='", "<div \"", "</x>", "</div>", "<b class=ad></i>", "<", "<!--", "<p class=\"a>b ", "<div></p>", "<li><b>",
+    "<script", "&amp", "<![CDATA[", "<td><i class=ad>",
+])
+def test_broken_markup_takes_linear_time(part):
+    import time
+
+    seconds = []
+    for n in (30_000, 240_000):
+        page = "<div><p>Text.</p>" + part * (n // len(part))
+        start = time.perf_counter()
+        main_text(page)
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 24 * seconds[0] + 0.5 and seconds[1] < 6
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<html><body></body>") == ""
     assert main_text("plain &amp; simple") == "plain & simple"
