@@ -160,7 +160,7 @@ def _prepare(docs: DataFrame, sketch, bits: int, id_col: str, text_col: str, siz
                 prefix = own[order].view(np.int64)
                 group = xxhash.xxh3_64_intdigest(prefix.tobytes() + n.to_bytes(8, "little"))
                 group -= 1 << 63
-                key = xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
+                key = _key(own)
                 first = group not in seen
                 seen.add(group)
                 full = int((often[order] == FULL).sum()) if first else 0
@@ -212,41 +212,51 @@ def _neighbours(lists: DataFrame, by: list[str], node: str, size: str, percent:
                        & _fits(F.col("n"), F.col("m"), percent)).select(*_sides("a", "b"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of ids whose texts are similar enough."""
+def _key(own: np.ndarray) -> int:
+    """The hash that names a set."""
+    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) of nodes whose texts are similar enough.
+
+    A node's text is that of its first id; where several rows have this id, the
+    one whose set is the node's.
+    """
 
     def run(batches):
         hashes = _WordHashes()
-        sets: dict[int, np.ndarray] = {}
+        sets: dict[tuple, tuple[np.ndarray, int]] = {}
 
-        def own(doc, text):
-            if doc not in sets:
+        def own(node, text):
+            if node not in sets:
                 if len(sets) >= 256:
                     sets.clear()
-                sets[doc] = np.unique(shingles(text, size, hashes))
-            return sets[doc]
+                found = np.unique(shingles(text, size, hashes))
+                sets[node] = found, _key(found)
+            return sets[node]
 
         for batch in batches:
-            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
+            a, b, ka, kb, ta, tb = (c.to_pylist() for c in batch.columns)
             out = []
             for i in range(len(a)):
-                x, y = own((a[i], hash(ta[i])), ta[i]), own((b[i], hash(tb[i])), tb[i])
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                (x, kx), (y, ky) = own((a[i], hash(ta[i])), ta[i]), own((b[i], hash(tb[i])), tb[i])
+                both = len(np.intersect1d(x, y, assume_unique=True)) if kx == ka[i] and ky == kb[i] else 0
                 out.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
             keep = pa.array(out, pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1)], names=["a", "b"]
             ).filter(keep)
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    def side(name: str) -> DataFrame:
+        return classes.select(
+            F.col("node").alias(name), F.col("rep").alias(f"r{name}"), F.col("set_key").alias(f"k{name}"))
 
+    def text(name: str) -> DataFrame:
+        return texts.select(F.col("doc_id").alias(f"r{name}"), F.col("text").alias(f"t{name}"))
 
-def _needed(n: Column, m: Column, percent: int) -> Column:
-    """Shingles that two similar sets of these sizes must share."""
-    return F.ceil((n + m) * percent / (100 + percent))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").join(text("a"), "ra").join(text("b"), "rb")
+    return rows.select("a", "b", "ka", "kb", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
 def _may_match(a: str, b: str, percent: int) -> Column:
@@ -310,9 +320,7 @@ def _crossing(rows: DataFrame, by: str, node: str, percent: int) -> DataFrame:
 
 def _members(classes: DataFrame, roots: DataFrame) -> DataFrame:
     """Classes with their component and its number of classes."""
-    members = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep")
-    )
+    members = classes.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = members.groupBy("component").agg(F.count("*").alias("members"))
     return members.join(sizes, "component")
 
@@ -366,21 +374,21 @@ def linked_documents(
     heads = lists.where("hot and first = gid").select("token", "gid", "n").distinct()
     group_pairs = near.unionByName(_neighbours(heads, ["token"], "gid", "n", percent)).distinct()
 
-    # Members: documents of one set are one class, named by its smallest id.
+    # Members: documents of one set are one class, a node with a number of its own.
     classes = scratch.write(
         prep.where("n > 0").groupBy("gid", "set_key").agg(
             F.min("doc_id").alias("rep"), F.first("n").alias("n")
-        ).where("rep is not null"), "classes",
+        ).where("rep is not null").withColumn("node", F.monotonically_increasing_id()), "classes",
     )
-    leaders = classes.groupBy("gid").agg(F.min("rep").alias("rep"), F.count("*").alias("k"))
+    leaders = classes.groupBy("gid").agg(F.min("node").alias("node"), F.count("*").alias("k"))
     several = classes.join(leaders.where("k > 1").select("gid"), "gid")
     by_gid = lambda name, side: leaders.select(
-        F.col("gid").alias(name), F.col("rep").alias(side)
+        F.col("gid").alias(name), F.col("node").alias(side)
     )
     pairs = group_pairs.withColumnsRenamed({"a": "g", "b": "h"}).join(by_gid("g", "a"), "g").join(
         by_gid("h", "b"), "h").where("a <> b").select(*_sides("a", "b"))
-    pairs = pairs.unionByName(_neighbours(several, ["gid"], "rep", "n", percent)).distinct()
-    links = scratch.write(_verified(pairs, texts, size, percent), "links")
+    pairs = pairs.unionByName(_neighbours(several, ["gid"], "node", "n", percent)).distinct()
+    links = scratch.write(_verified(pairs, classes, texts, size, percent), "links")
     roots = scratch.write(connected_components(links, scratch, "first"), "roots")
 
     # What isn't connected yet: first pairs that stand close in a random order, then all pairs.
@@ -391,37 +399,38 @@ def linked_documents(
     for turn, pairs_of in enumerate((_nearby, _crossing)):
         members = scratch.write(_members(classes, roots), f"members-{turn}")
         # A group in several components counts as one of its own until its members are looked at.
+        several_parts = F.col("low") != F.col("high")
         groups = members.groupBy("gid").agg(
-            F.when(F.min("component") == F.max("component"), F.min("component"))
-            .otherwise(F.lit(-1) - F.min("rep")).alias("component"),
-            F.max("members").alias("members"),
-        )
+            F.min("component").alias("low"), F.max("component").alias("high"), F.max("members").alias("members"),
+        ).select("gid", "members", F.struct(
+            several_parts.alias("own"), F.when(several_parts, F.col("gid")).otherwise(F.col("low")).alias("number"),
+        ).alias("component"))
         open_lists = scratch.write(_mixed(open_lists.join(groups, "gid"), "token"), f"open-{turn}")
         open_groups = pairs_of(open_lists, "token", "gid", percent).distinct().select(
             F.col("a").alias("g"), F.col("b").alias("h")
         )
         side = lambda name, s: members.select(  # noqa: B023, E731
-            F.col("gid").alias(name), F.col("rep").alias(s), F.col("component").alias(f"c_{s}")
+            F.col("gid").alias(name), F.col("node").alias(s), F.col("component").alias(f"c_{s}")
         )
         across = open_groups.join(side("g", "a"), "g").join(side("h", "b"), "h").where("c_a <> c_b")
         within = members.join(several.select("gid").distinct(), "gid").withColumns(
             {"at": F.lit(0), "bitmap": F.lit(None).cast("array<bigint>")})
-        inside = pairs_of(_mixed(within, "gid"), "gid", "rep", percent)
+        inside = pairs_of(_mixed(within, "gid"), "gid", "node", percent)
         open_pairs = across.select(*_sides("a", "b")).unionByName(inside).where("a <> b").distinct()
-        more = scratch.write(_verified(open_pairs, texts, size, percent), f"more-{turn}")
+        more = scratch.write(_verified(open_pairs, classes, texts, size, percent), f"more-{turn}")
         if more.limit(1).count():
             links = links.unionByName(more)
             roots = scratch.write(connected_components(links, scratch, f"again-{turn}"), f"roots-{turn}")
         open_lists = open_lists.drop("component", "members", "main")
     scratch.drop("lists", "links", "open-0", "open-1", "more-0", "more-1", "members-0", "members-1")
-    named = classes.select("gid", "set_key", "rep").join(
-        roots.withColumnRenamed("node", "rep"), "rep", "left"
-    )
+    numbered = _members(classes, roots)
+    least = numbered.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = numbered.join(least, "component").select("gid", "set_key", "component_id")
     return (
         prep.select("doc_id", "n", "gid", "set_key")
         .join(named, ["gid", "set_key"], "left")
         .select(
             "doc_id", F.col("n").cast("bigint").alias("n_shingles"),
-            F.coalesce("component", "rep", "doc_id").alias("component_id"),
+            F.coalesce("component_id", "doc_id").alias("component_id"),
         )
     )

@@ -93,3 +93,28 @@ def test_components_of_chains_and_stars(spark, frame):
     out = connected_components(frame(links, "a bigint, b bigint"), Scratch(spark, "c"), "t").collect()
     got = {r["node"]: r["component"] for r in out}
     assert got == ({i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(50)} | {1999: 1999, 2000: 1999})
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_groups_of_several_components_with_any_ids(frame, seed):
+    """Sets with one prefix and size that lie in several components, under ids of either sign."""
+    rng = random.Random(seed)
+    common = [f"c{i}" for i in range(30)]
+    ids = rng.sample(range(-50, 51), 60)
+    rows = []
+    for i in ids:
+        own = [f"x{rng.randrange(9)}" for _ in range(rng.choice([4, 5, 6]))]
+        rows.append((i, " ".join(["rare", *common[: rng.choice([20, 26, 30])], *own])))
+    docs = frame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, n int, gid string")
+    for size, percent in ((1, 80), (2, 60)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"])
+               for r in jaccard.linked_documents(docs, size, percent).collect()}
+        assert got == brute(rows, size, percent)
+
+
+def test_one_id_with_different_texts(frame):
+    a, near, other = "a b c d e f g h i j k l", "a b c d e f g h i j k z", "p q r s t u v w"
+    rows = [(3, near), (5, a), (5, other), (5, other), (9, other + " x"), (None, a), (None, "n n n"), (8, "p q r s t u v w x y")]
+    out = jaccard.linked_documents(frame(rows, "doc_id bigint, text string"), 1, 70).collect()
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in out)
+    assert got == [(0, 1, None), (0, 12, 3), (3, 12, 3), (5, 8, 5), (5, 8, 5), (5, 12, 3), (8, 10, 5), (9, 9, 5)]
