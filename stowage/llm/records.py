@@ -33,13 +33,13 @@ MASK = 0xA282EAD8
 _HEAD, _FOOT = struct.Struct("<QI"), struct.Struct("<I")
 _ID = struct.Struct("<?qB")
 #: Words whose ids a worker remembers; beyond it only those that came again are kept.
-_REMEMBERED = 300_000
+_REMEMBERED = 200_000
 #: Words encoded in one call, and the word between them, which is a token of its own.
 _JOINED, _BETWEEN = 64, "|"
 #: Marks that are a token of their own behind letters.
 _MARKS = [".", ","]
 #: Bytes of text whose words are looked up together, at least one document.
-_PART_BYTES = 10_000_000
+_PART_BYTES = 4_000_000
 
 
 def masked_crc(data: bytes) -> int:
@@ -181,7 +181,9 @@ def encode_texts(texts: pa.Array, words_of: _WordIds, end_id: int) -> tuple[np.n
     sizes = length[codes]
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
-    ids = flat[np.repeat(start[codes] - (ends - sizes), sizes) + np.arange(total)]
+    at = np.repeat((start[codes] - (ends - sizes)).astype(np.int32), sizes)
+    at += np.arange(total, dtype=np.int32)
+    ids = flat[at]
     bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
     ids = np.insert(ids, bounds[1:], end_id)
     return ids, bounds + np.arange(len(bounds))
@@ -238,6 +240,8 @@ def write_records(
                 for name, a, b in zip(names, bounds, bounds[1:], strict=False)
             ]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+            del ids, out
+            pa.default_memory_pool().release_unused()  # a worker's peak is the sum of what it keeps
 
     framed = (
         rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "value binary")
