@@ -135,6 +135,11 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def text_key(text: Column) -> Column:
+    """A hash that tells rows of one id apart by their texts."""
+    return F.xxhash64(F.lit("text"), text).alias("text_key")
+
+
 def _prepare(docs: DataFrame, sketch, bits: int, id_col: str, text_col: str, size: int, percent: int):
     """Per row: id, set size, hashes of the set and of the group, prefix, its full counters, bitmap.
 
@@ -171,6 +176,7 @@ def _prepare(docs: DataFrame, sketch, bits: int, id_col: str, text_col: str, siz
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array([r[0] for r in rows], pa.int32()),
                     pa.array([r[1] for r in rows], pa.int64()),
                     pa.array([r[2] for r in rows], pa.int64()),
@@ -178,11 +184,12 @@ def _prepare(docs: DataFrame, sketch, bits: int, id_col: str, text_col: str, siz
                     pa.array([r[4] for r in rows], pa.int32()),
                     pa.array([r[5] for r in rows], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "set_key", "gid", "prefix", "n_full", "bitmap"],
+                names=["doc_id", "text_key", "n", "set_key", "gid", "prefix", "n_full", "bitmap"],
             )
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_col).mapInArrow(
-        run, "doc_id bigint, n int, set_key bigint, gid bigint, prefix array<bigint>, n_full int, "
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_col, text_key(F.col(text_col)))
+    return rows.mapInArrow(
+        run, "doc_id bigint, text_key bigint, n int, set_key bigint, gid bigint, prefix array<bigint>, n_full int, "
         "bitmap array<bigint>"
     )
 
@@ -333,7 +340,7 @@ def linked_documents(
     text_col: str = "text",
     max_sketch_bits: int = MAX_SKETCH_BITS,
 ) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``.
+    """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` and ``text_key``.
 
     Two documents are linked if their sets of shingles have
     ``100 * intersection >= percent * union``; ``component_id`` is the smallest
@@ -427,10 +434,10 @@ def linked_documents(
     least = numbered.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = numbered.join(least, "component").select("gid", "set_key", "component_id")
     return (
-        prep.select("doc_id", "n", "gid", "set_key")
+        prep.select("doc_id", "text_key", "n", "gid", "set_key")
         .join(named, ["gid", "set_key"], "left")
         .select(
             "doc_id", F.col("n").cast("bigint").alias("n_shingles"),
-            F.coalesce("component_id", "doc_id").alias("component_id"),
+            F.coalesce("component_id", "doc_id").alias("component_id"), "text_key",
         )
     )

@@ -84,7 +84,7 @@ def op4_chat_format(spark, sf):
 
 @query
 def op5_jaccard_join(spark, sf):
-    return jaccard.linked_documents(table(spark, sf, "documents"), size=4, percent=85)
+    return jaccard.linked_documents(table(spark, sf, "documents"), size=4, percent=85).drop("text_key")
 
 
 @query
