@@ -47,12 +47,26 @@ def test_odd_rows(spark, frame):
     kept = _rows(pipeline.language_id(spark, docs, SF))
     assert {k[0] for k in kept} == {1, None, 6} and kept[rows[0]] == 2
     kept = _rows(pipeline.near_duplicates(spark, docs, SF))
-    assert kept == Counter([rows[0], rows[1], rows[2], rows[3], rows[4], rows[6]])
+    # The row without an id has the words of document 1.
+    assert kept == Counter([rows[0], rows[1], rows[2], rows[3], rows[4]])
     none = frame([], DDL)
     for _, stage in pipeline.STAGES:
         assert stage(spark, none, SF).collect() == []
 
 
+def test_rows_of_one_id_and_rows_without(spark, frame):
+    """A near copy goes and a clean text of the same id stays; rows without an id form no group of their own."""
+    words = [f"w{i}" for i in range(60)]
+    near, other = " ".join([*words[:-1], "x"]), " ".join(reversed(words))
+    rows = [(3, near), (5, " ".join(words)), (5, other), (5, other), (None, other), (None, "q r s"), (None, "q r s"),
+            (7, ""), (7, "alone here"), (None, None)]
+    docs = frame([(*r, "en", "s", i, "own") for i, r in enumerate(rows)], DDL + ", text_key string")
+    kept = pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns and {r["text_key"] for r in kept.collect()} == {"own"}
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert got == Counter([(3, near), (5, other), (None, "q r s"), (7, ""), (7, "alone here"), (None, None)])
+
+
 def test_whole_run(spark):
     rows = pipeline.run(spark, SF).collect()
     assert rows and all(r["n_tokens"] > 0 for r in rows)
