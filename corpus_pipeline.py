@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stowage.llm import jaccard, langid, mixing, quality
 from stowage.llm.queries import GOOD_FROM, bpe_digests
-from stowage.llm.tables import Scratch, table
+from stowage.llm.tables import Scratch, free_name, table
 
 #: A document in which no learned language has this part of the letters is rejected.
 LANGUAGE_FROM = 0.4
@@ -34,14 +34,23 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group linked by shared word 5-grams.
+    """Keeps one document of each group linked by shared word 5-grams: the one with the smallest id.
 
-    Of rows with one id one stays; rows without an id belong to no group and stay.
+    Rows of one id are told apart by their texts: of several in one group the one
+    with the smallest hash of its text stays, and of equal rows one. Documents
+    without words form no group, nor do those without an id unless a document
+    with an id has the same words; of equal ones one stays.
     """
-    linked = jaccard.linked_documents(docs)
-    kept = linked.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    key = free_name("text_key", docs.columns)
+    linked = jaccard.linked_documents(docs).withColumnRenamed("text_key", key)
+    first = linked.where("doc_id = component_id").groupBy(
+        "doc_id", (F.col("n_shingles") > 0).alias("worded")).agg(F.min(key).alias(key))
+    alone = linked.where("doc_id is null and component_id is null").select(key).distinct()
+    rows = docs.withColumn(key, jaccard.text_key(F.col("text")))
+    named = rows.join(first.select("doc_id", key).distinct(), ["doc_id", key], "left_semi")
+    unnamed = rows.where("doc_id is null").join(alone, key, "left_semi")
+    return named.dropDuplicates(["doc_id", key]).unionByName(
+        unnamed.dropDuplicates([key])).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
