@@ -33,13 +33,13 @@ MASK = 0xA282EAD8
 _HEAD, _FOOT = struct.Struct("<QI"), struct.Struct("<I")
 _ID = struct.Struct("<?qB")
 #: Words whose ids a worker remembers; beyond it only those that came again are kept.
-_REMEMBERED = 200_000
+_REMEMBERED = 450_000
 #: Words encoded in one call, and the word between them, which is a token of its own.
 _JOINED, _BETWEEN = 64, "|"
 #: Marks that are a token of their own behind letters.
 _MARKS = [".", ","]
 #: Bytes of text whose words are looked up together, at least one document.
-_PART_BYTES = 4_000_000
+_PART_BYTES = 5_000_000
 
 
 def masked_crc(data: bytes) -> int:

@@ -108,3 +108,22 @@ def test_recall_with_shards_as_in_use(spark, frame):
         near[q] = -np.inf
         hits.append(len({i for i, _ in got[q]} & set(np.argsort(-near)[:5].tolist())) / 5)
     assert np.mean(hits) >= 0.95
+
+
+def test_recall_on_given_vectors(spark):
+    """With the production shard size, over a table that fills one shard, and over small shards."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in vectors.collect()]
+    x = np.array([v for _, v in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = np.array([i for i, _ in rows])
+    for shard_rows in (ann.SHARD_ROWS, 300):
+        index = ann.build_index(vectors, Scratch(spark, "ann"), 5, shard_rows=shard_rows)
+        got = _found(ann.search_index(index, vectors.where("vec_id % 50 = 0"), 5))
+        hits = []
+        for at in np.flatnonzero(ids % 50 == 0):
+            cosine = x @ x[at]
+            cosine[at] = -2
+            want = ids[np.argsort(-cosine, kind="stable")[:5]]
+            hits.append(len({i for i, _ in got[ids[at]]} & set(want.tolist())) / 5)
+        assert np.mean(hits) >= 0.9
