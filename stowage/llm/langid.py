@@ -32,9 +32,26 @@ REMEMBERED_WORDS = 400_000
 #: Words labelled at once.
 WORDS_PER_BATCH = 1_500_000
 
-#: Numbers such as fractions and circled digits, which count as word characters but are no letters.
-_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if category(c) in ("Nl", "No"))
-_WORD = re.compile(f"[^\\W\\d_{re.escape(_NUMBERS)}]+")
+_WORD = re.compile(r"[^\W\d_]+")
+#: Numbers such as fractions and circled digits, which count as word characters but are no letters;
+#: looking for them takes long, so only texts that hold some are searched.
+_NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(0x110000)) if category(c) in ("Nl", "No")) + "]")
+
+
+def _found(text: str) -> list[str]:
+    """The runs of letters of a text."""
+    words = _WORD.findall(text)
+    if words and not "".join(words).isalpha():
+        return _WORD.findall(_NUMBERS.sub(" ", text))
+    return words
+
+
+def _starts(text: str) -> list[int]:
+    """Where the runs of letters begin."""
+    whole = "".join(_WORD.findall(text))
+    return [m.start() for m in _WORD.finditer(text if whole.isalpha() else _NUMBERS.sub(" ", text))]
+
+
 #: First and last code points of scripts (fixed values of the Unicode blocks).
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF)],
@@ -151,7 +168,7 @@ def train(
         grams: Counter = Counter()
         letters: Counter = Counter()
         for lang, text in _text_batches(batches, ["lang", "text"]):
-            for word in _WORD.findall(text.lower()):
+            for word in _found(text.lower()):
                 letters[lang, script_of(word[0])] += len(word)
                 padded = f"^{word}$"
                 for i in range(len(padded) - 2):
@@ -249,7 +266,7 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.nd
 
 def _label(model: LanguageModel, words: _Words, texts: list[str | None], penalty: float):
     """Per text: language, score and spans."""
-    found = [_WORD.findall(t.lower()) if t else [] for t in texts]
+    found = [_found(t.lower()) if t else [] for t in texts]
     lengths = np.array([len(f) for f in found], np.int64)
     numbers = np.fromiter(
         (words[w] for f in found for w in f), np.int32, count=int(lengths.sum())
@@ -282,7 +299,7 @@ def _spans(text: str, path: np.ndarray, turns: np.ndarray, languages: list[str])
     lowered = text.lower()
     if len(lowered) != len(text):  # a few capitals grow: places then hold for the lower-cased text
         text = lowered
-    starts = [m.start() for m in _WORD.finditer(lowered)]
+    starts = _starts(lowered)
     cuts = [0, *(starts[t] for t in turns), len(text)]
     firsts = [0, *turns]
     return [
