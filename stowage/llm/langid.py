@@ -34,22 +34,22 @@ WORDS_PER_BATCH = 1_500_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Numbers such as fractions and circled digits, which count as word characters but are no letters;
-#: looking for them takes long, so only texts that hold some are searched.
-_NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(0x110000)) if category(c) in ("Nl", "No")) + "]")
+#: only texts that hold some are gone through for them.
+_NUMBERS = {i: " " for i in range(0x110000) if category(chr(i)) in ("Nl", "No")}
 
 
 def _found(text: str) -> list[str]:
     """The runs of letters of a text."""
     words = _WORD.findall(text)
     if words and not "".join(words).isalpha():
-        return _WORD.findall(_NUMBERS.sub(" ", text))
+        return _WORD.findall(text.translate(_NUMBERS))
     return words
 
 
 def _starts(text: str) -> list[int]:
     """Where the runs of letters begin."""
     whole = "".join(_WORD.findall(text))
-    return [m.start() for m in _WORD.finditer(text if whole.isalpha() else _NUMBERS.sub(" ", text))]
+    return [m.start() for m in _WORD.finditer(text if whole.isalpha() else text.translate(_NUMBERS))]
 
 
 #: First and last code points of scripts (fixed values of the Unicode blocks).
