@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from stowage.functions import grams
 from stowage.functions.literals import required_literals
 from stowage.operators import exclusions, pattern_index
 
@@ -89,3 +90,28 @@ def test_a_pattern_goes_under_its_rarest_piece(spark, frame):
     known = pattern_index.with_literals(frame([("/common/rare",), ("/absent/",)], "regex string"))
     rows = pattern_index.pattern_index(values, known).collect()
     assert [(r["literal"], r["piece"] in "/rare") for r in rows] == [("/common/rare", True)]
+
+
+def test_a_pattern_goes_under_its_rarest_text(frame):
+    """The longest plain text is held by all values, a shorter one by one of them."""
+    values = frame([(f"/common/{i}/x",) for i in range(50)] + [("/common/51/-77-",)], "value string")
+    known = pattern_index.with_literals(frame([("/common/[0-9]+/-77-",)], "regex string"))
+    assert [r["literal"] for r in pattern_index.pattern_index(values, known).collect()] == ["/-77-"]
+
+
+def test_only_wanted_pieces_leave_the_task(frame):
+    values = frame([(f"/Ünï/{i}/x",) for i in range(2000)] + [(None,), ("",), ("ab",)], "value string")
+    wanted = grams.with_slots(frame([("/77/",), ("ï/1",)], "piece string"), "piece", 16, 2)
+    got = {(r["value"], r["piece"]) for r in grams.with_runs(values, grams.bitmap_of(wanted, 16), 16, 2).collect()}
+    needed = {(f"/Ünï/{i}/x", p) for i in range(2000) for p in ("/77/", "ï/1") if p in f"/Ünï/{i}/x"}
+    assert needed <= got and len(got) < len(needed) + 50
+
+
+def test_keys_that_no_rule_equals_are_not_shuffled(spark, frame):
+    rules = exclusions.rule_table(spark, [("src", "name"), ("/v1/x", "path"), ("p7/build", "path")])
+    named = exclusions._rules_of(rules, "name", "path")
+    keys = exclusions._folder_keys(frame([(p,) for p in _paths(500)], "path string"), F.lit(2), F.lit(2)).withColumn(
+        "kind", F.lit("path"))
+    kept = keys.where(exclusions._has_slot(exclusions._slots_of(named).scalar())).select("pattern").distinct().collect()
+    held = {p for p in ("/v1/x", "p7/build") if any(p in path for path in _paths(500))}
+    assert held <= {r["pattern"] for r in kept} and len(kept) < 10
