@@ -11,11 +11,15 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Names that begin with an underscore are no part of a table.
 STAGED, MARKER = "_staged", "_commit"
+#: Partitions that a task writes side by side; only rows of further ones are sorted by partition.
+WRITERS = 8
 
 
 class Store:
@@ -73,11 +77,25 @@ class Store:
                 raise OSError(f"{'/'.join(source)} can't be moved to {'/'.join(target)}")
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for the queries that run inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+        if before is not None:
+            spark.conf.set(name, before)
+
+
 def stage(df: DataFrame, folder: str, keys: list[str]) -> tuple[Store, str]:
     """Writes rows, parted by the keys, where readers of the table don't see them."""
     store, change = Store(df.sparkSession, folder), uuid.uuid4().hex
     recover(df.sparkSession, folder)
-    df.write.mode("overwrite").partitionBy(*keys).parquet(f"{folder}/{STAGED}/{change}/rows")
+    with setting(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", str(WRITERS)):
+        df.write.mode("overwrite").partitionBy(*keys).parquet(f"{folder}/{STAGED}/{change}/rows")
     return store, change
 
 

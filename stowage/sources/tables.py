@@ -12,6 +12,8 @@ from stowage.sources import commits
 
 #: The column of the batch in which a row arrived; a whole scan written at once is the first.
 BATCH, FIRST_BATCH = "batch", -1
+#: Bytes of a source file that one task sorts, at most where its row groups allow: they fit in memory.
+SORTED_BYTES = 8 << 20
 
 
 def read_inventory(spark: SparkSession, folder: str, scan_id: str | None = None) -> DataFrame:
@@ -56,11 +58,15 @@ def write_inventory(files: DataFrame, folder: str, by_size: bool = True) -> None
     """Stores the files of their scans, in place of all that was stored of them.
 
     Sorting by size within each task makes row-group statistics useful to
-    size filters, without a shuffle.
+    size filters, without a shuffle. Tasks are small, so that none spills.
     """
     rows = files.withColumn(BATCH, F.lit(FIRST_BATCH).cast("bigint"))
     rows = rows.sortWithinPartitions("scan_id", F.col("size_bytes").desc()) if by_size else rows
-    replace_partitions(rows, folder, "scan_id")
+    spark = files.sparkSession
+    name = "spark.sql.files.maxPartitionBytes"
+    given = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    with commits.setting(spark, name, str(min(SORTED_BYTES, given))):
+        replace_partitions(rows, folder, "scan_id")
 
 
 def add_arrivals(files: DataFrame, folder: str, batch: int, source: str = "stream") -> None:
