@@ -42,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     with an id has the same words; of equal ones one stays.
     """
     key = free_name("text_key", docs.columns)
-    linked = jaccard.linked_documents(docs).withColumnRenamed("text_key", key)
+    linked = jaccard.linked_rows(docs).withColumnRenamed("text_key", key)
     first = linked.where("doc_id = component_id").groupBy(
         "doc_id", (F.col("n_shingles") > 0).alias("worded")).agg(F.min(key).alias(key))
     alone = linked.where("doc_id is null and component_id is null").select(key).distinct()

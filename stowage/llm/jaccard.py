@@ -339,6 +339,18 @@ def linked_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_sketch_bits: int = MAX_SKETCH_BITS,
+) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``, as ``linked_rows`` gives them."""
+    return linked_rows(docs, size, percent, id_col, text_col, max_sketch_bits).drop("text_key")
+
+
+def linked_rows(
+    docs: DataFrame,
+    size: int = WORDS,
+    percent: int = PERCENT,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_sketch_bits: int = MAX_SKETCH_BITS,
 ) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` and ``text_key``.
 
