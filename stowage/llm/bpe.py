@@ -1,21 +1,23 @@
 """Byte-level BPE encoding and decoding with a given list of ranked tokens.
 
 Encoding works on distinct words. Each task numbers the words of its documents,
-block by block, and one fold of Spark's array functions over the bytes of every
-word that is new in the task applies the merges in the order of their ranks,
-looked up in a literal map. The numbers then become token ids. Words that a
-sample finds frequent are folded once beforehand. Decoding looks pieces up in a
-literal list and concatenates them.
+block by block, and folds those of a block together: the bytes of each are a row
+of a matrix, and a step merges every row's pair of the lowest rank, looked up in a
+map. The numbers then become token ids. Words that a sample finds frequent are
+folded once beforehand. Decoding looks pieces up in a literal list and
+concatenates them.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
@@ -23,14 +25,17 @@ from stowage.llm.tables import Scratch
 
 #: Words numbered together; a document is never cut, so one can be larger.
 WORDS_PER_BLOCK = 300_000
-#: Distinct words after which a task begins to number anew.
-SEEN_WORDS = 400_000
 #: Documents whose words are counted, and words folded beforehand, at most: some 8 MB.
 SAMPLED_DOCS, KEPT_WORDS = 20_000, 100_000
 #: Matches of more bytes are encoded by the tiktoken library: a fold takes quadratic time in them.
 LONGEST_FOLD = 256
+#: Words up to these numbers of bytes are folded together, so many cells of ids at once.
+_WIDTHS = (4, 8, 12, 16, 24, 32, 64, 128, LONGEST_FOLD)
+CELLS_AT_ONCE = 200_000
 #: Places over which the map's rows are laid.
 _PLACES = 1 << 17
+#: A place of the map without an entry, and the rank of a pair that doesn't merge.
+_EMPTY, _NONE = np.uint32(0xFFFFFFFF), 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,80 +60,153 @@ def _merged_pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return pairs
 
 
-@lru_cache(maxsize=4)
-def _rank_map(path: str) -> tuple[str, str]:
-    """The map from pairs to ranks as two JSON lists, starts and entries.
+@dataclass
+class RankMap:
+    """Ranks of merges by pair of ids, and what the fold needs besides.
 
     The pair (a, b) has its entry, ``a * 65536 + rank`` in 32 bits, at place
     ``starts[a] + b``; rows of first tokens are laid into each other where they
-    leave room, the longest ones first. Other places belong to another a, or hold -1.
+    leave room, the longest ones first. Other places belong to another a, or hold
+    ``_EMPTY``. ``fill`` is an id that no token has.
     """
-    if max(read_ranks(path).values()) >= 1 << 16:
+
+    starts: np.ndarray
+    entries: np.ndarray
+    byte_ids: np.ndarray
+    ranks: dict[bytes, int]
+    unreachable: dict[str, int] = field(default_factory=dict)
+
+    @property
+    def fill(self) -> int:
+        return len(self.starts) - 1
+
+    def merges(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each merge of two ids; ``_NONE`` where they don't merge."""
+        entry = self.entries[self.starts[a] + b]
+        return np.where((entry >> 16 == a) & (entry != _EMPTY), entry & 0xFFFF, _NONE).astype(np.int32)
+
+
+@lru_cache(maxsize=4)
+def _rank_map(path: str) -> RankMap:
+    ranks = read_ranks(path)
+    last = max(ranks.values())
+    if last >= 1 << 16:
         raise ValueError(f"{path} has ranks of more than 16 bits, which the map doesn't hold")
     rows: dict[int, list[tuple[int, int]]] = {}
-    for (a, b), rank in _merged_pairs(read_ranks(path)).items():
+    for (a, b), rank in _merged_pairs(ranks).items():
         rows.setdefault(a, []).append((b, rank))
-    top = max(b for row in rows.values() for b, _ in row) + 1
-    entries = np.full(_PLACES + top, -1, np.int32)
-    starts = np.zeros(max(rows) + 1, np.int64)
+    entries = np.full(_PLACES + last + 2, _EMPTY, np.uint32)
+    starts = np.zeros(last + 2, np.int32)
     rng = np.random.default_rng(1)
     for a, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
         columns = np.array([b for b, _ in row])
         tried = rng.integers(0, _PLACES, 256 if len(row) > 2 else 16)
-        free = (entries[tried[:, None] + columns] == -1).all(axis=1)
+        free = (entries[tried[:, None] + columns] == _EMPTY).all(axis=1)
         while not free.any():
             tried = rng.integers(0, _PLACES, 4096)
-            free = (entries[tried[:, None] + columns] == -1).all(axis=1)
+            free = (entries[tried[:, None] + columns] == _EMPTY).all(axis=1)
         starts[a] = start = tried[free.argmax()]
-        values = np.array([a << 16 | rank for _, rank in row], np.int64)
-        entries[start + columns] = values.astype(np.uint32).view(np.int32)
-    return tuple(json.dumps(x.tolist(), separators=(",", ":")) for x in (starts, entries))
+        entries[start + columns] = np.array([a << 16 | rank for _, rank in row], np.uint32)
+    byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+    return RankMap(starts, entries, byte_ids, ranks, _unreachable(ranks))
 
 
-def _literal(values: str, kind: str) -> Column:
-    """A list given as JSON, as one literal of the optimized plan."""
-    return F.from_json(F.lit(values), kind)
+def _fold_rows(ids: np.ndarray, table: RankMap) -> np.ndarray:
+    """Rows of ids, filled up at their ends, with all merges made in the order of ranks.
+
+    A step makes one merge in each row that has one left: of the pairs of the
+    lowest rank the first. Each such row becomes shorter by one.
+    """
+    out = np.full(ids.shape, table.fill, np.int32)
+    rows = np.arange(len(ids))
+    ranks = table.merges(ids[:, :-1], ids[:, 1:])
+    while len(rows):
+        width = ids.shape[1]
+        each = np.arange(len(rows))
+        at = ranks.argmin(axis=1) if width > 1 else np.zeros(len(rows), np.int64)
+        rank = ranks[each, at] if width > 1 else np.full(len(rows), _NONE, np.int32)
+        merging = rank != _NONE
+        if not merging.all():
+            out[rows[~merging], :width] = ids[~merging]
+            rows, ids, ranks, at, rank = (x[merging] for x in (rows, ids, ranks, at, rank))
+            each = each[: len(rows)]
+            if not len(rows):
+                break
+        ids[each, at] = rank
+        kept = np.ones(ids.shape, bool)
+        kept[each, at + 1] = False
+        ids = ids[kept].reshape(len(rows), width - 1)
+        kept = np.ones(ranks.shape, bool)
+        kept[each, at] = False
+        ranks = ranks[kept].reshape(len(rows), width - 2)
+        left, right = each[at > 0], each[at < width - 2]
+        for row, first in ((left, at[left] - 1), (right, at[right])):
+            ranks[row, first] = table.merges(ids[row, first], ids[row, first + 1])
+    return out
+
+
+def fold_words(words: pa.Array, table: RankMap) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of matches of the pattern, one after the other, and how many each match has.
+
+    Merges the bytes of a match in the order of ranks; words of like length are
+    folded together. Tokens that no merge makes are taken as they are, and the
+    rare very long matches are left to the tiktoken library.
+    """
+    words = words.cast(pa.string())
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    letters = table.byte_ids[data]
+    sizes = np.diff(offsets)
+    counts = np.zeros(len(words), np.int64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []  # places of words, and their ids in rows
+    shortest = 0
+    for width in _WIDTHS:
+        of_width = np.flatnonzero((sizes > shortest) & (sizes <= width))
+        shortest = width
+        step = max(1, CELLS_AT_ONCE // width)
+        for some in (of_width[i : i + step] for i in range(0, len(of_width), step)):
+            column = np.arange(width, dtype=np.int32)
+            inside = column < sizes[some, None]
+            ids = np.full(inside.shape, table.fill, np.int32)
+            ids[inside] = letters[(offsets[some, None] + column)[inside]]
+            ids = _fold_rows(ids, table)
+            found.append((some, ids))
+            counts[some] = (ids != table.fill).sum(axis=1)
+    others: dict[int, list[int]] = {}
+    longer = np.flatnonzero(sizes > LONGEST_FOLD)
+    if len(longer):
+        others |= zip(longer.tolist(), _long_matches(table.ranks, words.take(pa.array(longer))), strict=True)
+    if table.unreachable:
+        whole = pc.index_in(words, pa.array(list(table.unreachable), pa.string()).cast(words.type))
+        for i in np.flatnonzero(whole.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            others[i] = [table.unreachable[words[i].as_py()]]
+    for i, ids in others.items():
+        counts[i] = len(ids)
+    starts = np.cumsum(counts) - counts
+    flat = np.empty(int(counts.sum()), np.int32)
+    for some, ids in found:
+        if others:
+            plain = ~np.isin(some, list(others))
+            some, ids = some[plain], ids[plain]
+        place = starts[some, None] + np.arange(ids.shape[1])
+        real = ids != table.fill
+        flat[place[real]] = ids[real]
+    for i, ids in others.items():
+        flat[starts[i] : starts[i] + len(ids)] = ids
+    return flat, counts
 
 
 def fold_merges(word: Column, path: str) -> Column:
     """Token ids of one match of the pattern, by merging its bytes in the order of ranks."""
-    ranks = read_ranks(path)
-    starts, entries = (_literal(x, "array<int>") for x in _rank_map(path))
-    byte_ids = _literal(json.dumps([ranks[bytes([i])] for i in range(256)]), "array<int>")
-    letters = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # one character for each byte
-    n = F.octet_length(word)
-    ids = F.transform(F.split(letters, ""), lambda c: F.get(byte_ids, F.ascii(c)))
-
-    def fold(start: Column, entry_list: Column) -> Column:
-        def next_merge(ids: Column, a: Column, i: Column) -> Column:
-            """Rank and place of the merge with the next id in one number, or NULL."""
-            entry = F.get(entry_list, F.get(start, a) + F.get(ids, i + 1))
-            rank = entry.bitwiseAND(F.lit(0xFFFF))
-            return F.when(F.shiftrightunsigned(entry, 16) == a, rank * 512 + i)
-
-        def with_next(ids: Column) -> Column:
-            merges = F.transform(ids, lambda a, i: next_merge(ids, a, i))
-            return F.struct(ids.alias("ids"), F.array_min(merges).alias("next"))
-
-        def named(ids: Column) -> Column:  # evaluates ids once
-            return F.get(F.transform(F.array(ids), with_next), F.lit(0))
-
-        def merge(state: Column, _: Column) -> Column:
-            at = state["next"].bitwiseAND(F.lit(511))
-            own = state["ids"]
-            rank = F.shiftright(state["next"], 9)
-            merged = F.filter(
-                F.transform(own, lambda a, i: F.when(i == at, rank).when(i != at + 1, a)),
-                lambda a: a.isNotNull(),
-            )
-            return F.when(state["next"].isNull(), state).otherwise(named(merged))
-
-        return F.aggregate(F.sequence(F.lit(1), n), named(ids), merge, lambda state: state["ids"])
-
-    # The lists are named by lambdas, so the plan holds each literal once.
-    inner = F.get(F.transform(F.array(starts), lambda start: F.get(
-        F.transform(F.array(entries), lambda entry_list: fold(start, entry_list)), F.lit(0))), F.lit(0))
-    return inner
+    table = _rank_map(path)
+
+    @F.arrow_udf("array<int>")
+    def folded(words: pa.Array) -> pa.Array:
+        flat, counts = fold_words(pc.fill_null(words, ""), table)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()), mask=words.is_null())
+
+    return folded(word)
 
 
 def _unreachable(ranks: dict[bytes, int]) -> dict[str, int]:
@@ -144,12 +222,6 @@ def _unreachable(ranks: dict[bytes, int]) -> dict[str, int]:
     return out
 
 
-def _one(column: pa.ChunkedArray) -> pa.Array:
-    """A column's chunks as one array."""
-    whole = column.combine_chunks()
-    return whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
-
-
 def _parts(batch: pa.RecordBatch):
     """A batch of lists of words in parts with not many more words than a block."""
     sizes = np.cumsum(np.diff(batch.column(1).offsets.to_numpy()))
@@ -167,14 +239,6 @@ def _matches(text_col: str, pattern: str) -> Column:
     )
 
 
-def _pieces(word: Column, path: str) -> Column:
-    """Token ids of a match; NULL for a very long one."""
-    folded = fold_merges(word, path)
-    for token, rank in sorted(_unreachable(read_ranks(path)).items()):
-        folded = F.when(word == token, F.array(F.lit(rank))).otherwise(folded)
-    return F.when(F.octet_length(word) <= LONGEST_FOLD, folded)
-
-
 def frequent_words(
     docs: DataFrame, ranks_path: str, pattern: str, text_col: str, sample: int, kept: int
 ) -> dict[str, list[int]]:
@@ -188,9 +252,8 @@ def frequent_words(
     counts = words.groupBy("word").count().where("count > 1")
     top = counts.orderBy(F.col("count").desc(), "word").limit(kept).select("word")
     top = Scratch(docs.sparkSession, "bpe").write(top.repartition("word"), "frequent")
-    rows = top.select("word", _pieces(F.col("word"), ranks_path).alias("ids")).toArrow()
-    found = zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist(), strict=True)
-    return {word: ids for word, ids in found if ids is not None}
+    rows = top.select("word", fold_merges(F.col("word"), ranks_path).alias("ids")).toArrow()
+    return dict(zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist(), strict=True))
 
 
 def encode(
@@ -205,8 +268,8 @@ def encode(
     """Per row of ``docs``: its id and ``ids``, the token ids of the whole text.
 
     Every match of ``pattern`` is encoded by itself; there are no special tokens.
-    Nothing is shuffled: a block of documents is numbered, the words that the
-    task hasn't seen before are folded, and it is put together within one task.
+    Nothing is shuffled: a block of documents is numbered, its words that aren't
+    known beforehand are folded, and it is put together within one task.
 
     Defined cases: NULL and empty texts have no ids; repeated rows give repeated
     rows; a NULL id stays NULL; an empty table gives an empty one; other columns
@@ -215,107 +278,50 @@ def encode(
     from pyspark.sql.pandas.types import to_arrow_type
 
     context = docs.sparkSession.sparkContext
-    ranks = read_ranks(ranks_path)
     known = frequent_words(docs, ranks_path, pattern, text_col, sample, kept)
     lists = pa.array(list(known.values()), pa.list_(pa.int32()))
     places = context.broadcast({word: i for i, word in enumerate(known)})
     frequent = context.broadcast((
-        np.array(lists.flatten(), np.int32), np.array(lists.offsets, np.int32)))
+        np.array(lists.flatten(), np.int32), np.array(np.diff(lists.offsets.to_numpy()), np.int32)))
+    ranks = context.broadcast(_rank_map(ranks_path))
     matches = docs.select(F.col(id_col).alias("id"), _matches(text_col, pattern).alias("words"))
     id_type = matches.schema["id"].dataType
     arrow_id = to_arrow_type(id_type)
 
-    def number(batches):
-        """A row per block: ids, words per document, their numbers, words new in the task, if numbers start anew."""
-        known = places.value
-        seen: dict[str, int] = {}
-        waiting: list[pa.RecordBatch] = []
-        size, fresh = 0, True
-
-        def flush():
-            nonlocal seen, fresh
-            whole = pa.Table.from_batches(waiting)
-            lists = _one(whole.column("words"))
+    def run(batches):
+        known, table = places.value, ranks.value
+        known_flat, known_length = frequent.value
+
+        def encoded(block):
+            """The block's documents: its words numbered, those not known folded, then put together."""
+            lists = block.column("words")
             found = lists.flatten().dictionary_encode()
             words = found.dictionary.to_pylist()
-            if len(seen) > SEEN_WORDS:
-                seen, fresh = {}, True
-            begun, new = fresh, []
-            place = np.empty(len(words), np.int32)
-            for i, word in enumerate(words):
-                at = known.get(word)
-                if at is None:
-                    at = seen.get(word)
-                    if at is None:
-                        at = seen[word] = len(known) + len(seen)
-                        new.append(word)
-                place[i] = at
-            fresh = False
+            place = np.fromiter((known.get(word, -1) for word in words), np.int32, len(words))
+            new = np.flatnonzero(place < 0)
+            place[new] = np.arange(len(known), len(known) + len(new))
+            ids, counts = fold_words(found.dictionary.take(pa.array(new)), table)
+            flat = np.concatenate([known_flat, ids])
+            length = np.concatenate([known_length, counts])
+            starts = np.cumsum(length) - length
             codes = place[found.indices.to_numpy(zero_copy_only=False)]
-            counts = np.diff(lists.offsets.to_numpy()).astype(np.int32)
-            ids = _one(whole.column("id"))
-            return pa.RecordBatch.from_arrays([
-                pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                pa.array([counts.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary()),
-                pa.array([new], pa.list_(pa.string())), pa.array([begun]),
-            ], names=["ids", "counts", "codes", "words", "fresh"])
+            sizes = length[codes]
+            ends = np.cumsum(sizes, dtype=np.int64)
+            total = int(ends[-1]) if len(ends) else 0
+            # Where each token of the block stands in the list of pieces.
+            at = np.repeat((starts[codes] - (ends - sizes)).astype(np.int32), sizes)
+            at += np.arange(total, dtype=np.int32)
+            tokens = np.concatenate([[0], ends])
+            bounds = tokens[lists.offsets.to_numpy() - lists.offsets[0].as_py()].astype(np.int32)
+            result = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat[at], pa.int32()))
+            return pa.RecordBatch.from_arrays(
+                [block.column("id").cast(arrow_id), result], names=[id_col, "ids"])
 
         for batch in batches:
-            for part in _parts(batch):
-                waiting.append(part)
-                size += len(part.column(1).flatten())
-                if size >= WORDS_PER_BLOCK:
-                    yield flush()
-                    waiting, size = [], 0
-        if waiting and sum(map(len, waiting)):
-            yield flush()
-
-    first = StructType().add("ids", ArrayType(id_type))
-    rest = StructType.fromDDL("counts binary, codes binary, words array<string>, fresh boolean")
-    blocks = matches.mapInArrow(number, StructType(first.fields + rest.fields))
-    folded = blocks.select(
-        "ids", "counts", "codes", "fresh",
-        F.filter("words", lambda w: F.octet_length(w) > LONGEST_FOLD).alias("longer"),
-        F.transform("words", lambda w: _pieces(w, ranks_path)).alias("pieces"),
-    )
-
-    def assemble(batches):
-        flat = starts = length = None
-        for batch in batches:
-            for i in range(len(batch)):
-                block = batch.slice(i, 1)
-                if block.column("fresh")[0].as_py():
-                    known_ids, known_offsets = frequent.value
-                    flat, starts, length = known_ids, known_offsets[:-1], np.diff(known_offsets)
-                pieces = block.column("pieces").flatten()
-                if pieces.null_count:
-                    longer = iter(_long_matches(ranks, block.column("longer").flatten()))
-                    pieces = pa.array([next(longer) if p is None else p for p in pieces.to_pylist()],
-                                      pa.list_(pa.int32()))
-                offsets = pieces.offsets.to_numpy()
-                starts = np.concatenate([starts, offsets[:-1] - offsets[0] + len(flat)])
-                length = np.concatenate([length, np.diff(offsets)])
-                flat = np.concatenate([flat, pieces.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
-                yield one_block(block, flat, starts, length)
-
-    def one_block(block, flat, starts, length):
-        documents = block.column("ids").flatten()
-        counts = np.frombuffer(block.column("counts")[0].as_buffer(), np.int32)
-        codes = np.frombuffer(block.column("codes")[0].as_buffer(), np.int32)
-        sizes = length[codes]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        # Where each token of the block stands in the list of pieces.
-        at = np.repeat((starts[codes] - (ends - sizes)).astype(np.int32), sizes)
-        at += np.arange(total, dtype=np.int32)
-        ids = flat[at]
-        tokens = np.concatenate([[0], ends])
-        bounds = tokens[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids, pa.int32()))
-        return pa.RecordBatch.from_arrays([documents.cast(arrow_id), lists], names=[id_col, "ids"])
+            yield from map(encoded, _parts(batch))
 
     out = StructType().add(id_col, id_type).add("ids", ArrayType(IntegerType()))
-    return folded.mapInArrow(assemble, out)
+    return matches.mapInArrow(run, out)
 
 
 def _long_matches(ranks: dict[bytes, int], words: pa.Array) -> list[list[int]]:
@@ -326,6 +332,11 @@ def _long_matches(ranks: dict[bytes, int], words: pa.Array) -> list[list[int]]:
     return [own.encode_ordinary(word) for word in words.to_pylist()]
 
 
+def _literal(values: str, kind: str) -> Column:
+    """A list given as JSON, as one literal of the optimized plan."""
+    return F.from_json(F.lit(values), kind)
+
+
 def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids", result_col: str = "decoded"):
     """The columns of ``tokens`` and the bytes that its ids stand for.
 

@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -54,3 +55,40 @@ def test_repeated_rows_and_empty_table(frame, library):
     assert bpe.encode(frame([], ddl), PATH, public_tokenizers.PATTERN).collect() == []
     odd = bpe.decode(frame([(None,), ([],), ([99_999],)], "ids array<int>"), PATH).collect()
     assert [bytes(r["decoded"]) for r in odd] == [b"", b"", b""]
+
+
+def test_words_are_folded_together(library):
+    """All lengths in one call, slices too; a word at a time took the JVM most of the query's time."""
+    rng = random.Random(5)
+    words = ["a" * n for n in range(300)] + ["".join(rng.choice("aeinrst é日") for _ in range(rng.randint(1, 70)))
+                                             for _ in range(2000)]
+    table = bpe._rank_map(PATH)
+    own = tiktoken.Encoding("one", pat_str=r"[\s\S]+", mergeable_ranks=table.ranks, special_tokens={})
+    for some in (pa.array(words), pa.array(words).slice(3, 500), pa.array([], pa.string())):
+        flat, counts = bpe.fold_words(some, table)
+        want = [own.encode_ordinary(w) for w in some.to_pylist()]
+        assert counts.tolist() == [len(w) for w in want] and flat.tolist() == sum(want, [])
+
+
+def test_tokens_taken_as_they_are():
+    """A token that no merge makes is the id of the match that it equals, and of no other."""
+    table = bpe._rank_map(PATH)
+    odd = bpe.RankMap(table.starts, table.entries, table.byte_ids, table.ranks, {"qxqz": 7})
+    words = pa.array(["qxqz", "qxqzq", "the", "qxqz"])
+    flat, counts = bpe.fold_words(words, odd)
+    plain, sizes = bpe.fold_words(words, table)
+    assert counts.tolist() == [1, *sizes[1:3], 1]
+    assert flat.tolist() == [7, *plain[sizes[0] : sizes[:3].sum()], 7]
+
+
+def test_no_fold_in_expressions(frame, library):
+    docs = frame([(1, "some words")], "doc_id bigint, text string")
+    tokens = bpe.encode(docs, PATH, public_tokenizers.PATTERN)
+    plan = tokens._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_ids_that_are_none(frame):
+    rows = [(None,), ([],), ([5, None, -1, 70_000, 6],)]
+    got = frame(rows, "ids array<int>").select(bpe.little_endian(F.col("ids"), PATH).alias("le")).collect()
+    assert [r["le"] and bytes(r["le"]) for r in got] == [None, b"", bytes([5, 0, 0, 0, 6, 0, 0, 0])]
