@@ -9,13 +9,15 @@ language costs a penalty, labels spans of mixed text (Viterbi).
 from __future__ import annotations
 
 import re
+import sys
 from unicodedata import category
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from stowage.llm.tables import free_name
@@ -29,8 +31,8 @@ SWITCH_PENALTY = 9.0
 SCRIPT_SHARE = 0.02
 #: Words whose scores a worker remembers; others are scored again when they return.
 REMEMBERED_WORDS = 400_000
-#: Words labelled at once.
-WORDS_PER_BATCH = 1_500_000
+#: Words labelled at once, taking a word for five bytes; a single text may have more.
+WORDS_PER_BATCH = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Numbers such as fractions and circled digits, which count as word characters but are no letters;
@@ -135,6 +137,18 @@ def _text_batches(batches: Iterator[pa.RecordBatch], names: list[str]):
         yield from zip(*columns, strict=True)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose last column, a text, has about ``WORDS_PER_BATCH`` words."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0)
+    ends = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(batch):
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + 5 * WORDS_PER_BATCH, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def train(
     rows: DataFrame,
     id_col: str = "doc_id",
@@ -183,13 +197,16 @@ def train(
     counted = (
         sample.mapInArrow(count_grams, "kind string, lang string, item string, n bigint")
         .groupBy("kind", "lang", "item").agg(F.sum("n").alias("n"))
-        .collect()
+        .toArrow()
     )
-    return _fit(counts, [tuple(r) for r in counted], max_grams_per_lang)
+    # Kinds and languages are few, so all rows share their texts.
+    few = [map(sys.intern, counted.column(name).to_pylist()) for name in ("kind", "lang")]
+    rows = zip(*few, counted.column("item").to_pylist(), counted.column("n").to_pylist(), strict=True)
+    return _fit(counts, rows, max_grams_per_lang)
 
 
 def _fit(
-    docs: dict[str, int], counted: list[tuple[str, str, str, int]], max_grams: int | None = None
+    docs: dict[str, int], counted: Iterable[tuple[str, str, str, int]], max_grams: int | None = None
 ) -> LanguageModel:
     languages = sorted(docs)
     at = {lang: i for i, lang in enumerate(languages)}
@@ -340,20 +357,14 @@ def identify(
     def run(batches):
         model = shared.value
         words = _Words(model)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            rows, start, pending = [], 0, 0
-            for i, text in enumerate(texts):
-                pending += len(text or "") // 5
-                if pending > WORDS_PER_BATCH or i == len(texts) - 1:
-                    if len(words) > REMEMBERED_WORDS:
-                        words = _Words(model)
-                    part = texts[start : i + 1]
-                    if model.languages:
-                        rows += _label(model, words, part, penalty)
-                    else:
-                        rows += [(UNDETERMINED, 0.0, [])] * len(part)
-                    start, pending = i + 1, 0
+        for part in (part for batch in batches for part in _parts(batch)):
+            if len(words) > REMEMBERED_WORDS:
+                words = _Words(model)
+            texts = part.column(part.num_columns - 1).to_pylist()
+            if model.languages:
+                rows = _label(model, words, texts, penalty)
+            else:
+                rows = [(UNDETERMINED, 0.0, [])] * len(texts)
             arrays = [
                 pa.array([r[0] for r in rows], pa.string()),
                 pa.array([r[1] for r in rows], pa.float64()),
@@ -361,7 +372,7 @@ def identify(
                     [("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))),
             ]
             yield pa.RecordBatch.from_arrays(
-                batch.columns[:-1] + arrays, names=[*columns, *results]
+                part.columns[:-1] + arrays, names=[*columns, *results]
             )
 
     schema = StructType([docs.schema[c] for c in columns])

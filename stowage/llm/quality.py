@@ -21,8 +21,8 @@ from stowage.llm.tables import free_name
 MAX_TRAINING_DOCS = 6_000
 #: Bytes of a passage; the last one of a text may be shorter.
 PASSAGE = 320
-#: Bytes turned into features at once.
-BYTES_PER_BATCH = 8_000_000
+#: Bytes turned into features at once; each takes some 70 bytes of memory meanwhile.
+BYTES_PER_BATCH = 1_000_000
 HIDDEN, GATE = 16, 8
 EPOCHS, BAGS_PER_STEP, RATE, DECAY = 30, 128, 0.01, 1e-4
 

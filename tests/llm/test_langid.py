@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stowage.llm import langid
@@ -87,3 +88,14 @@ def test_held_out_accuracy_on_given_documents(spark):
         spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id").where("lang is not null")
     hits = found.selectExpr("avg(cast(lang = lang_pred as double)) as a", "count(*) as n").first()
     assert hits["n"] > 100 and hits["a"] >= 0.95
+
+
+def test_batches_are_cut_by_their_words():
+    """Labels are found for some 300,000 words at once, whatever a batch of rows holds."""
+    texts = ["word " * 200_000, None, "", "é " * 400_000, *["some words here"] * 50_000]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    parts = list(langid._parts(batch))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert len(parts) > 2 and langid.WORDS_PER_BATCH <= 300_000
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 1_500_000 for p in parts)
+    assert list(langid._parts(batch.slice(0, 0))) == []

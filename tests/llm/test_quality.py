@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +89,14 @@ def test_scores_on_given_documents(spark):
     out = ql.score_quality(docs, ql.train(docs, labels.where(~held)), keep=["doc_id"])
     rows = out.where(held).join(labels, "doc_id").collect()
     assert np.mean([(r["score"] >= 0.3) == (r["quality"] == 1) for r in rows]) > 0.95
+
+
+def test_memory_of_features_is_bounded():
+    """Features of a batch of long texts take some 100 MB; 8 MB of text at once took more than 400."""
+    texts = ["Some words, and 12 more of them. " * 3000] * 200
+    tracemalloc.start()
+    for _, part in ql._batches(texts):
+        ql.passages(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200_000_000
