@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -40,16 +41,12 @@ BITMAP = 16
 REACH = 4
 _CHUNKS = 64
 _BATCH = 2_000_000
-_REMEMBERED = 400_000
+#: Bytes of texts whose shingles are hashed together.
+BYTES_AT_ONCE = 1_000_000
+#: Bytes from which on a word is hashed by itself.
+LONG_WORD = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def _scrambled(x: np.ndarray) -> np.ndarray:
@@ -58,22 +55,67 @@ def _scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, size: int, hashes: dict) -> np.ndarray:
-    """64-bit hashes of a text's shingles, repeated ones too.
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words, eight bytes of all of them at a time; long ones by themselves."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    start, size = offsets[:-1].astype(np.int64), np.diff(offsets)
+    data = np.concatenate([np.frombuffer(words.buffers()[2] or b"", np.uint8), np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) - 7, np.uint64, data, strides=(1,))  # from every byte on
+    out = _scrambled((eights[start] & _FIRST_BYTES[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _STEP))
+    rest = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    for at in range(8, LONG_WORD, 8):
+        rest = rest[size[rest] > at]
+        if not len(rest):
+            break
+        more = eights[start[rest] + at] & _FIRST_BYTES[np.minimum(size[rest] - at, 8)]
+        out[rest] = _scrambled(out[rest] * _STEP + more)
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : start[i] + size[i]].tobytes())
+    return out
+
+
+def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all texts' shingles one after the other, repeated ones too, and how many each text has.
 
     Words are what white space of ASCII leaves, with A-Z lower-cased. Fewer
     than ``size`` words are one shingle; no word is no shingle.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    length = min(size, n)
-    out = np.full(n - length + 1, length, np.uint64)
-    for i in range(length):
-        out = out * _STEP + h[i : n - length + 1 + i]
-    return _scrambled(out)
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    words = pc.ascii_split_whitespace(pc.if_else(pc.equal(trimmed, ""), None, trimmed))
+    n = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    h = np.concatenate([_word_hashes(words.flatten()), np.zeros(size, np.uint64)])
+    length = np.minimum(n, size)
+    counts = np.where(n > 0, n - length + 1, 0)
+    # Where in the words each shingle begins: those of a text follow each other.
+    first = np.arange(int(counts.sum())) + np.repeat((np.cumsum(n) - n) - (np.cumsum(counts) - counts), counts)
+    each = np.repeat(length, counts)
+    out = each.astype(np.uint64)
+    for i in range(size):
+        longer = out * _STEP + h[first + i]
+        out = longer if (length >= size).all() else np.where(each > i, longer, out)
+    return _scrambled(out), counts
+
+
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """Each text's distinct shingles, sorted."""
+    values, counts = shingles(texts, size)
+    out = []
+    for end, count in zip(np.cumsum(counts), counts, strict=True):
+        own = np.sort(values[end - count : end])
+        out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if count else own)
+    return out
+
+
+def _text_parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of about ``BYTES_AT_ONCE``; a single text may be larger."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0)
+    ends = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + BYTES_AT_ONCE, "right")))
+        yield texts.slice(at, end - at)
+        at = end
 
 
 def _frequency_sketch(docs: DataFrame, text_col: str, size: int, bits: int) -> np.ndarray:
@@ -82,23 +124,25 @@ def _frequency_sketch(docs: DataFrame, text_col: str, size: int, bits: int) -> n
 
     def count(batches):
         total = np.zeros(1 << bits, np.uint8)
-        hashes = _WordHashes()
         waiting: list[np.ndarray] = []
 
         def add():
-            found = np.bincount(np.concatenate(waiting).astype(np.int64), minlength=1 << bits)
+            found = np.sort(np.concatenate(waiting))
             waiting.clear()
-            return np.minimum(found + total, FULL).astype(np.uint8)
+            first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]) if len(found) else found)
+            own = found[first]
+            total[own] = np.minimum(total[own] + np.diff(first, append=len(found)), FULL)
 
         pending = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                waiting.append(shingles(text, size, hashes) & mask)
+            for texts in _text_parts(batch.column(0)):
+                waiting.append((shingles(texts, size)[0] & mask).astype(np.uint32))
                 pending += len(waiting[-1])
                 if pending > _BATCH:
-                    total, pending = add(), 0
+                    add()
+                    pending = 0
         if waiting:
-            total = add()
+            add()
         if total.any():
             yield _packed(enumerate(total.reshape(_CHUNKS, -1)))
 
@@ -150,42 +194,49 @@ def _prepare(docs: DataFrame, sketch, bits: int, id_col: str, text_col: str, siz
 
     def run(batches):
         counts = shared.value
-        hashes = _WordHashes()
         seen: set[int] = set()
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                own = np.unique(shingles(text, size, hashes))
-                n = len(own)
-                if not n:
-                    rows.append((0, 0, 0, None, 0, None))
-                    continue
-                often = counts[(own & mask).astype(np.int64)]
-                order = np.argsort(often, kind="stable")[: prefix_length(n, percent)]
-                prefix = own[order].view(np.int64)
-                group = xxhash.xxh3_64_intdigest(prefix.tobytes() + n.to_bytes(8, "little"))
-                group -= 1 << 63
-                key = _key(own)
-                first = group not in seen
-                seen.add(group)
-                full = int((often[order] == FULL).sum()) if first else 0
-                marks = np.zeros(64 * BITMAP, np.uint8)
-                marks[(own >> np.uint64(40)).astype(np.int64) % len(marks)] = 1
-                bitmap = np.packbits(marks, bitorder="little").view(np.int64)
-                rows.append((n, key, group, prefix if first else None, full, bitmap))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(2),
-                    pa.array([r[0] for r in rows], pa.int32()),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([r[2] for r in rows], pa.int64()),
-                    pa.array([r[3] for r in rows], pa.list_(pa.int64())),
-                    pa.array([r[4] for r in rows], pa.int32()),
-                    pa.array([r[5] for r in rows], pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "text_key", "n", "set_key", "gid", "prefix", "n_full", "bitmap"],
-            )
+            at = 0
+            for texts in _text_parts(batch.column(1)):
+                part = batch.slice(at, len(texts))
+                at += len(texts)
+                sets = shingle_sets(texts, size)
+                n = np.array([len(own) for own in sets], np.int32)
+                every = np.concatenate(sets)
+                often = counts[(every & mask).view(np.int64)]
+                marks = np.zeros((len(sets), 64 * BITMAP), np.uint8)
+                marks[np.repeat(np.arange(len(sets)), n), (every >> np.uint64(40)).view(np.int64) % (64 * BITMAP)] = 1
+                bitmaps = np.packbits(marks, axis=1, bitorder="little").view(np.int64)
+                empty = n == 0
+                rows = []
+                for own, start in zip(sets, np.cumsum(n) - n, strict=True):
+                    if not len(own):
+                        rows.append((0, 0, None, 0))
+                        continue
+                    freq = often[start : start + len(own)]
+                    order = np.argsort(freq, kind="stable")[: prefix_length(len(own), percent)]
+                    prefix = own[order].view(np.int64)
+                    group = xxhash.xxh3_64_intdigest(prefix.tobytes() + len(own).to_bytes(8, "little"))
+                    group -= 1 << 63
+                    first = group not in seen
+                    seen.add(group)
+                    full = int((freq[order] == FULL).sum()) if first else 0
+                    rows.append((_key(own), group, prefix if first else None, full))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        part.column(2),
+                        pa.array(n),
+                        pa.array([r[0] for r in rows], pa.int64()),
+                        pa.array([r[1] for r in rows], pa.int64()),
+                        pa.array([r[2] for r in rows], pa.list_(pa.int64())),
+                        pa.array([r[3] for r in rows], pa.int32()),
+                        pa.ListArray.from_arrays(
+                            pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BITMAP),
+                            pa.array(bitmaps.reshape(-1)), mask=pa.array(empty)),
+                    ],
+                    names=["doc_id", "text_key", "n", "set_key", "gid", "prefix", "n_full", "bitmap"],
+                )
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_col, text_key(F.col(text_col)))
     return rows.mapInArrow(
@@ -232,28 +283,26 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
     """
 
     def run(batches):
-        hashes = _WordHashes()
-        sets: dict[tuple, tuple[np.ndarray, int]] = {}
-
-        def own(node, text):
-            if node not in sets:
-                if len(sets) >= 256:
-                    sets.clear()
-                found = np.unique(shingles(text, size, hashes))
-                sets[node] = found, _key(found)
-            return sets[node]
-
         for batch in batches:
-            a, b, ka, kb, ta, tb = (c.to_pylist() for c in batch.columns)
-            out = []
-            for i in range(len(a)):
-                (x, kx), (y, ky) = own((a[i], hash(ta[i])), ta[i]), own((b[i], hash(tb[i])), tb[i])
-                both = len(np.intersect1d(x, y, assume_unique=True)) if kx == ka[i] and ky == kb[i] else 0
-                out.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
-            keep = pa.array(out, pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1)], names=["a", "b"]
-            ).filter(keep)
+            at = 0
+            for first in _text_parts(batch.column(4)):
+                part = batch.slice(at, len(first))
+                at += len(first)
+                # Each text's set once, however many pairs it is in.
+                texts = pa.concat_arrays([part.column(4), part.column(5)]).dictionary_encode()
+                sets = shingle_sets(texts.dictionary, size)
+                keys = [_key(own) for own in sets]
+                places = texts.indices.to_pylist()
+                out = []
+                for i, (ka, kb) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                    x, y = places[i], places[i + len(part)]
+                    both = 0
+                    if x is not None and y is not None and keys[x] == ka and keys[y] == kb:
+                        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    out.append(both > 0 and 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1)], names=["a", "b"]
+                ).filter(pa.array(out, pa.bool_()))
 
     def side(name: str) -> DataFrame:
         return classes.select(

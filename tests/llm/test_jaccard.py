@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from stowage.llm import jaccard
@@ -118,3 +119,27 @@ def test_one_id_with_different_texts(frame):
     out = jaccard.linked_documents(frame(rows, "doc_id bigint, text string"), 1, 70).collect()
     got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in out)
     assert got == [(0, 1, None), (0, 12, 3), (3, 12, 3), (5, 8, 5), (5, 8, 5), (5, 12, 3), (8, 10, 5), (9, 9, 5)]
+
+
+def test_texts_are_hashed_together():
+    """All texts of a batch at once: one number for each shingle, the same wherever the text stands."""
+    texts = [text for _, text in corpus()] + [
+        "\x0b\x0c a\x0bB\x0cc\r\nD  ", "a\x1cb\x85c\xa0d e f g", "\x00 x\x00y", "a a\x00", "ÀÉ ǅ Aİ", None, "\t",
+        " ".join(k * n for n in range(1, 90) for k in "ab"), "l" * 99_999 + "m"]
+    for size in (1, 2, 4):
+        names = {}
+        for some in (pa.array(texts), pa.array(texts).slice(4, 90), pa.array([None, "", " "], pa.string()),
+                     pa.array([], pa.string())):
+            values, counts = jaccard.shingles(some, size)
+            want = []
+            for text in some.to_pylist():
+                words = (text or "").encode().lower().split()
+                want.append([tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))] if words else [])
+            assert counts.tolist() == [len(w) for w in want]
+            for number, shingle in zip(values.tolist(), sum(want, []), strict=True):
+                assert names.setdefault(shingle, number) == number
+            sets = jaccard.shingle_sets(some, size)
+            assert [sorted({names[x] for x in w}) for w in want] == [x.tolist() for x in sets]
+        assert len(set(names.values())) == len(names)
+    parts = list(jaccard._text_parts(pa.array(texts)))
+    assert pa.concat_arrays(parts).to_pylist() == texts
