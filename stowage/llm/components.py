@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from stowage.llm.tables import Scratch
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-    ).first()
-    return row["n"], row["h"]
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node hangs on one root, and no root on another node."""
+    ends = edges.select("u", F.lit(1).alias("up")).unionByName(
+        edges.select(F.col("v").alias("u"), F.lit(None).cast("int").alias("up")))
+    counts = ends.groupBy("u").agg(F.count("up").alias("up"), F.count(F.lit(1)).alias("n"))
+    return counts.where("up > 1 or up = 1 and n > 1").isEmpty()
 
 
 def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -22,18 +22,19 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataF
     first every node ties its larger neighbours to its smallest one, then its
     smaller neighbours. The number of rounds grows with the logarithm of the
     longest path, each is a few grouped passes over the links, and its result
-    is written, so lineage stays short.
+    is written, so lineage stays short. Each shuffle costs the driver a thread and
+    plans besides, so a round has as few as it can, and none only confirms the last.
     """
     edges = links.where("a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     ).distinct()
-    state, turn = None, 0
+    turn = 0
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(
-            F.col("v").alias("u"), F.col("m").alias("v")
-        ).distinct()
+        larger = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        least = edges.unionByName(larger).groupBy("u").agg(F.min("v").alias("m")).select(
+            "u", F.least("u", "m").alias("m"))
+        # Repeated rows, no more than there are links, go with those of the second rewriting.
+        large = larger.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(
             F.col("v").alias("u"), F.col("m").alias("v")
@@ -41,8 +42,7 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataF
         edges = scratch.write(small, f"{name}-{turn}")
         if turn:
             scratch.drop(f"{name}-{turn - 1}")
-        last, state = state, _state(edges)
-        if state == last or state[0] == 0:
+        if _are_stars(edges):
             break
         turn += 1
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -486,9 +486,11 @@ def linked_rows(
         inside = pairs_of(_mixed(within, "gid"), "gid", "node", percent)
         open_pairs = across.select(*_sides("a", "b")).unionByName(inside).where("a <> b").distinct()
         more = scratch.write(_verified(open_pairs, classes, texts, size, percent), f"more-{turn}")
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            roots = scratch.write(connected_components(links, scratch, f"again-{turn}"), f"roots-{turn}")
+        if not more.isEmpty():
+            # What the links so far connect is one link for each node.
+            known = roots.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            roots = scratch.write(
+                connected_components(known.unionByName(more), scratch, f"again-{turn}"), f"roots-{turn}")
         open_lists = open_lists.drop("component", "members", "main")
     scratch.drop("lists", "links", "open-0", "open-1", "more-0", "more-1", "members-0", "members-1")
     numbered = _members(classes, roots)

@@ -96,6 +96,39 @@ def test_components_of_chains_and_stars(spark, frame):
     assert got == ({i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(50)} | {1999: 1999, 2000: 1999})
 
 
+def test_rounds_end_where_links_are_stars(spark, frame, monkeypatch):
+    """Each round is work for the driver: none is there to confirm the one before."""
+    written, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name: written.append(name) or write(self, df, name))
+    stars = [(i, 100 * (i // 100)) for i in range(300)] + [(205, 200), (None, 4), (4, None)]
+    out = connected_components(frame(stars, "a bigint, b bigint"), Scratch(spark, "c"), "t").collect()
+    assert sorted(map(tuple, out)) == [(i, 100 * (i // 100)) for i in range(300)]
+    assert written == ["t-0"]
+    none = connected_components(frame([(3, 3)], "a bigint, b bigint"), Scratch(spark, "c"), "n").collect()
+    assert none == [] and written == ["t-0", "n-0"]
+
+
+def test_later_links_meet_components_only(frame, monkeypatch):
+    """Of links found before, one for each node is gone through again, not all."""
+    given, connect = [], connected_components
+
+    def seen(links, scratch, name):
+        if name == "first":  # leaves links to be found later
+            links = links.where("a % 3 > 0 and b % 3 > 0").cache()
+        given.append([tuple(r) for r in links.collect()])
+        return connect(links, scratch, name)
+
+    monkeypatch.setattr(jaccard, "connected_components", seen)
+    rows = corpus(150)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in
+           jaccard.linked_documents(frame(rows, "doc_id bigint, text string"), 2, 60).collect()}
+    assert got == brute(rows, 2, 60)
+    nodes = set(sum(given[0], ()))
+    assert len(given) > 1 and len(given[0]) > len(nodes)
+    for links in given[1:]:
+        assert sum(nodes.issuperset(pair) for pair in links) < len(given[0])
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_groups_of_several_components_with_any_ids(frame, seed):
     """Sets with one prefix and size that lie in several components, under ids of either sign."""
