@@ -42,15 +42,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     with an id has the same words; of equal ones one stays.
     """
     key = free_name("text_key", docs.columns)
-    linked = jaccard.linked_rows(docs).withColumnRenamed("text_key", key)
-    first = linked.where("doc_id = component_id").groupBy(
-        "doc_id", (F.col("n_shingles") > 0).alias("worded")).agg(F.min(key).alias(key))
-    alone = linked.where("doc_id is null and component_id is null").select(key).distinct()
+    # The links' plan is long, so it is used once, for rows with an id and without.
+    first = jaccard.linked_rows(docs).where("doc_id <=> component_id").groupBy(
+        "doc_id", (F.col("n_shingles") > 0).alias("worded"),
+        F.when(F.col("doc_id").isNull(), F.col("text_key")).alias("alone"),
+    ).agg(F.min("text_key").alias("first_key")).select(F.col("doc_id").alias("first_id"), "first_key")
     rows = docs.withColumn(key, jaccard.text_key(F.col("text")))
-    named = rows.join(first.select("doc_id", key).distinct(), ["doc_id", key], "left_semi")
-    unnamed = rows.where("doc_id is null").join(alone, key, "left_semi")
-    return named.dropDuplicates(["doc_id", key]).unionByName(
-        unnamed.dropDuplicates([key])).select(*docs.columns)
+    kept = rows.join(
+        first, rows["doc_id"].eqNullSafe(first["first_id"]) & (rows[key] == first["first_key"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,10 +24,9 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataF
     longest path, each is a few grouped passes over the links, and its result
     is written, so lineage stays short. Each shuffle costs the driver a thread and
     plans besides, so a round has as few as it can, and none only confirms the last.
+    Repeated links need none either: the first round makes them distinct.
     """
-    edges = links.where("a <> b").select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    ).distinct()
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     turn = 0
     while True:
         larger = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))

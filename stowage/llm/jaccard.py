@@ -275,8 +275,13 @@ def _key(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of nodes whose texts are similar enough.
+def _who() -> Column:
+    """What a pair needs to know of a node, so that no join has to look it up: its number, first id and set."""
+    return F.struct("node", "rep", "set_key")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The numbers of those pairs (a, b) of nodes, as ``_who`` gives them, whose texts are similar enough.
 
     A node's text is that of its first id; where several rows have this id, the
     one whose set is the node's.
@@ -304,14 +309,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
                     [part.column(0), part.column(1)], names=["a", "b"]
                 ).filter(pa.array(out, pa.bool_()))
 
-    def side(name: str) -> DataFrame:
-        return classes.select(
-            F.col("node").alias(name), F.col("rep").alias(f"r{name}"), F.col("set_key").alias(f"k{name}"))
+    def side(name: str) -> list[Column]:
+        return [F.col(f"{name}.node").alias(name), F.col(f"{name}.rep").alias(f"r{name}"),
+                F.col(f"{name}.set_key").alias(f"k{name}")]
 
     def text(name: str) -> DataFrame:
         return texts.select(F.col("doc_id").alias(f"r{name}"), F.col("text").alias(f"t{name}"))
 
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").join(text("a"), "ra").join(text("b"), "rb")
+    rows = pairs.select(*side("a"), *side("b")).join(text("a"), "ra").join(text("b"), "rb")
     return rows.select("a", "b", "ka", "kb", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -374,9 +379,14 @@ def _crossing(rows: DataFrame, by: str, node: str, percent: int) -> DataFrame:
     ).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
 
 
+def _in_components(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Classes with their component."""
+    return classes.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def _members(classes: DataFrame, roots: DataFrame) -> DataFrame:
     """Classes with their component and its number of classes."""
-    members = classes.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = _in_components(classes, roots)
     sizes = members.groupBy("component").agg(F.count("*").alias("members"))
     return members.join(sizes, "component")
 
@@ -414,7 +424,8 @@ def linked_rows(
     ``docs`` don't matter.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+    # Its many joins would each leave the driver a table to gather and a thread, however small the input is.
+    scratch = Scratch(spark, "jaccard", adaptive_broadcasts=False)
     bits = min(max_sketch_bits, max(12, (32 * docs.count()).bit_length()))
     sketch = _frequency_sketch(docs, text_col, size, bits)
     prep = scratch.write(_prepare(docs, sketch, bits, id_col, text_col, size, percent), "prepared")
@@ -448,15 +459,15 @@ def linked_rows(
             F.min("doc_id").alias("rep"), F.first("n").alias("n")
         ).where("rep is not null").withColumn("node", F.monotonically_increasing_id()), "classes",
     )
-    leaders = classes.groupBy("gid").agg(F.min("node").alias("node"), F.count("*").alias("k"))
-    several = classes.join(leaders.where("k > 1").select("gid"), "gid")
+    leaders = classes.groupBy("gid").agg(F.min(_who()).alias("node"), F.count("*").alias("k"))
+    several = classes.join(leaders.where("k > 1").select("gid"), "gid").withColumn("node", _who())
     by_gid = lambda name, side: leaders.select(
         F.col("gid").alias(name), F.col("node").alias(side)
     )
     pairs = group_pairs.withColumnsRenamed({"a": "g", "b": "h"}).join(by_gid("g", "a"), "g").join(
         by_gid("h", "b"), "h").where("a <> b").select(*_sides("a", "b"))
     pairs = pairs.unionByName(_neighbours(several, ["gid"], "node", "n", percent)).distinct()
-    links = scratch.write(_verified(pairs, classes, texts, size, percent), "links")
+    links = scratch.write(_verified(pairs, texts, size, percent), "links")
     roots = scratch.write(connected_components(links, scratch, "first"), "roots")
 
     # What isn't connected yet: first pairs that stand close in a random order, then all pairs.
@@ -478,14 +489,14 @@ def linked_rows(
             F.col("a").alias("g"), F.col("b").alias("h")
         )
         side = lambda name, s: members.select(  # noqa: B023, E731
-            F.col("gid").alias(name), F.col("node").alias(s), F.col("component").alias(f"c_{s}")
+            F.col("gid").alias(name), _who().alias(s), F.col("component").alias(f"c_{s}")
         )
         across = open_groups.join(side("g", "a"), "g").join(side("h", "b"), "h").where("c_a <> c_b")
-        within = members.join(several.select("gid").distinct(), "gid").withColumns(
-            {"at": F.lit(0), "bitmap": F.lit(None).cast("array<bigint>")})
+        within = members.withColumns(
+            {"node": _who(), "at": F.lit(0), "bitmap": F.lit(None).cast("array<bigint>")})
         inside = pairs_of(_mixed(within, "gid"), "gid", "node", percent)
         open_pairs = across.select(*_sides("a", "b")).unionByName(inside).where("a <> b").distinct()
-        more = scratch.write(_verified(open_pairs, classes, texts, size, percent), f"more-{turn}")
+        more = scratch.write(_verified(open_pairs, texts, size, percent), f"more-{turn}")
         if not more.isEmpty():
             # What the links so far connect is one link for each node.
             known = roots.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -493,7 +504,7 @@ def linked_rows(
                 connected_components(known.unionByName(more), scratch, f"again-{turn}"), f"roots-{turn}")
         open_lists = open_lists.drop("component", "members", "main")
     scratch.drop("lists", "links", "open-0", "open-1", "more-0", "more-1", "members-0", "members-1")
-    numbered = _members(classes, roots)
+    numbered = _in_components(classes, roots)
     least = numbered.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = numbered.join(least, "component").select("gid", "set_key", "component_id")
     return (

@@ -8,9 +8,11 @@ import tiktoken
 from test_jaccard import brute
 
 from stowage.llm import bpe, langid
+from stowage.llm.tables import Scratch
 
 DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 SF = "/root/testdata/sf0.001"
+BROADCASTS = "spark.sql.adaptive.autoBroadcastJoinThreshold"
 
 
 def _rows(df):
@@ -71,3 +73,41 @@ def test_whole_run(spark):
     rows = pipeline.run(spark, SF).collect()
     assert rows and all(r["n_tokens"] > 0 for r in rows)
     assert langid.UNDETERMINED == "und"
+
+
+def test_duplicates_plan_their_links_once(spark, frame, monkeypatch):
+    """Each shuffle and broadcast costs the driver memory: the long plans have few and none that small inputs add."""
+    seen, write = {}, Scratch.write
+
+    def watched(self, df, name):
+        out = write(self, df, name)
+        if "/jaccard-" in self.folder:
+            seen[name] = df
+        return out
+
+    monkeypatch.setattr(Scratch, "write", watched)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*words[i % 5 :], f"x{i}"]), "en", "s", i) for i in range(60)]
+    before = spark.conf.get(BROADCASTS, None)
+    kept = pipeline.near_duplicates(spark, frame(rows, DDL), SF)
+    assert spark.conf.get(BROADCASTS, None) == before
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("bitmap") <= 1
+    joins = {name: df._jdf.queryExecution().optimizedPlan().toString().count("Join ") for name, df in seen.items()}
+    assert joins["links"] <= 5 and joins["more-0"] <= 6 and joins["more-1"] <= 8
+
+
+def test_writes_without_adaptive_broadcasts(spark, frame):
+    """A join of two shuffled sides stays a join of shuffled sides, and the session keeps its own setting."""
+    for given, want in ((True, None), (False, "-1")):
+        scratch, seen = Scratch(spark, "x", adaptive_broadcasts=given), []
+
+        class Watched:
+            schema = frame([(1,)], "a int").schema
+
+            @property
+            def write(self):
+                seen.append(spark.conf.get(BROADCASTS, None))
+                return frame([(1,)], "a int").write
+
+        assert [r["a"] for r in scratch.write(Watched(), "t").collect()] == [1]
+        assert seen == [want] and spark.conf.get(BROADCASTS, None) is None
