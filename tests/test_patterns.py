@@ -3,12 +3,14 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from stowage.functions import grams
-from stowage.functions.literals import required_literals
+from stowage.functions.literals import alternatives, required_literals
 from stowage.operators import exclusions, pattern_index
 
 
@@ -51,6 +53,15 @@ def test_every_match_has_a_required_text(pattern, texts):
             assert any(n in text for n in needed)
 
 
+@settings(max_examples=400, deadline=None)
+@given(_PATTERN, st.lists(st.text("abc/.-1", max_size=14), max_size=12))
+def test_a_pattern_matches_where_an_alternative_does(pattern, texts):
+    for text in texts:
+        found = alternatives(pattern, 1)
+        if found:
+            assert bool(re.search(pattern, text)) == any(re.search(regex, text) for regex, _ in found)
+
+
 def _paths(n, seed=1):
     rng = random.Random(seed)
     names = ["src", "node_modules", "build", "Ünï", "a.b", "x"]
@@ -99,6 +110,47 @@ def test_a_pattern_goes_under_its_rarest_text(frame):
     assert [r["literal"] for r in pattern_index.pattern_index(values, known).collect()] == ["/-77-"]
 
 
+def test_an_alternative_of_many_patterns_is_looked_up_once(spark, frame):
+    values = frame([(f"/proj7/cache/-{i}-{j}",) for i in range(20) for j in range(3)], "value string")
+    patterns = frame([(f"-{i}-[12]$|/proj[67]/cache/-1[0-9]-|/proj8/(a|b)",) for i in range(10)], "regex string")
+    rows = pattern_index.pattern_index(values, pattern_index.with_literals(patterns)).collect()
+    assert sorted(r["regex"] for r in rows) == sorted([f"-{i}-[12]$" for i in range(10)] + ["/proj[67]/cache/-1[0-9]-"])
+    got = pattern_index.matched_values(values, patterns, F.array("value")).collect()
+    assert sorted(r["value"] for r in got) == sorted(
+        f"/proj7/cache/-{i}-{j}" for i in range(20) for j in range(3) if i >= 10 or j)
+
+
+def test_pairs_hold_all_texts_that_an_alternative_needs(spark, frame):
+    """The rarest text stands in both values; only one holds the other text too, and no regex is tried on the other."""
+    values = frame([("/vol1/u1/proj-77-",), ("/vol2/u1/proj-77-",), ("/vol3",)], "value string")
+    patterns = frame([("/vol1/u[0-9]/.*-77-",), ("/vol3/|/vol1/u[0-9]x",)], "regex string")
+    index = pattern_index.pattern_index(values, pattern_index.with_literals(patterns)).collect()
+    assert {(r["regex"], r["literal"], *r["others"]) for r in index} >= {("/vol1/u[0-9]/.*-77-", "/vol1/u", "-77-")}
+    got = pattern_index.matched_values(values, patterns, F.array("value")).collect()
+    assert [r["value"] for r in got] == ["/vol1/u1/proj-77-"]
+
+
+def test_keys_are_made_only_of_kinds_with_rules(spark, frame):
+    files = frame([("/a/src/x.py",), ("/a/b/y.js",), (None,)], "path string")
+    kept = lambda rules: exclusions.exclude_files(files, exclusions.rule_table(spark, rules))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    patterns = kept([("/src/[a-z]", "regex")])
+    assert "LeftSemi" not in plan(patterns) and "LeftSemi" in plan(kept([("/src/[a-z]", "regex"), ("x", "name")]))
+    assert {r["path"] for r in patterns.collect()} == {"/a/b/y.js", None}
+    assert {r["path"] for r in kept([("js", "extension")]).collect()} == {"/a/src/x.py", None}
+    assert kept([]).count() == 3
+
+
+@pytest.mark.parametrize("texts", [
+    [b"/a/b", b"", b"c"], ["/Ünï/ab".encode(), b"/a", "ß€😀".encode()], [b"ab\xff", b"cd"], ["Ü".encode()[:1], "Ü".encode()[1:], b"x"], [b""],
+])
+def test_code_points_of_odd_texts(texts):
+    joined, points, starts = grams._points(pa.array([b"skipped", *texts], pa.binary()).slice(1))
+    want = [t.decode("utf-8", "replace") for t in texts]
+    assert joined == "".join(want) and points.tolist() == [ord(c) for c in joined]
+    assert np.diff(starts).tolist() == [len(t) for t in want] and starts[0] == 0
+
+
 def test_only_wanted_pieces_leave_the_task(frame):
     values = frame([(f"/Ünï/{i}/x",) for i in range(2000)] + [(None,), ("",), ("ab",)], "value string")
     wanted = grams.with_slots(frame([("/77/",), ("ï/1",)], "piece string"), "piece", 16, 2)
