@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from stowage.functions.paths import with_path_parts
 from stowage.operators import breakdowns, exclusions, folders, paging, scans
+from stowage.plans import queries
 from stowage.sources import listing, rollups, tables
 
 
@@ -119,6 +120,28 @@ def test_substring_rules(frame, spark):
     assert _kept(exclusions.exclude_files(files, rules, substring=True)) == ["/a/x"]
 
 
+def test_the_query_excludes_files_by_path_text(frame, spark, tmp_path):
+    """A path rule hits where its text stands anywhere in the path, as in the reference."""
+    rows = [(order, 0, supplier, 4, 1.0, "1998-01-01", 1, "A", "O") for order in (1, 10, 60, 21) for supplier in (2, 3)]
+    rows += [(9, 6, 2, 4, 1.0, "1998-01-01", 1, "A", "O"), (9, 7, 2, 4, 1.0, "1998-01-01", 1, "A", "O")]
+    frame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_extendedprice double, "
+          "l_shipdate string, l_quantity int, l_returnflag string, l_linestatus string").withColumn(
+        "l_shipdate", F.to_date("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    kept = _kept(queries.QUERIES["exclude_files"](spark, str(tmp_path)))
+    assert kept == sorted(["/vol2/u1/proj1/docs/f1-0-2-4.py", "/vol2/u10/proj10/docs/f10-0-2-4.py",
+                           "/vol2/u10/proj60/docs/f60-0-2-4.py", "/vol2/u21/proj21/docs/f21-0-2-4.py",
+                           "/vol3/u21/proj21/docs/f21-0-3-4.py", "/vol2/u9/proj9/.cache/huggingface/m/f9-7-2-4.pt"])
+
+
+def test_path_texts_are_taken_as_they_are(frame, spark):
+    files = frame([("/a/b.c",), ("/a/bxc",), ("/q\\Ex/y",), ("/x/y/",), ("/x/yz",), (None,), ("",)], "path string")
+    kept = lambda *texts: [r["path"] for r in exclusions.exclude_files(
+        files, exclusions.rule_table(spark, [(t, "path") for t in texts]), substring=True).collect()]
+    assert set(kept("b.c", "q\\E", "/y/")) == {"/a/bxc", "/x/yz", None, ""}
+    assert set(kept("y", "/A")) == {"/a/b.c", "/a/bxc", None, ""}
+    assert kept("") == [None]
+
+
 def test_any_number_of_rules_and_odd_ones(frame, spark):
     """The root, relative paths, missing paths and patterns that only one regex engine takes."""
     files = frame([("x/z/f.py",), ("/x/y/f.py",), (None,), ("/Ünï/a",)], "path string").withColumn(
